@@ -31,6 +31,32 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id
 """
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination, digest
+
+    return digest(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"]))
+
+
+OP5 = rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS win FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 8, 2))) AS k FROM i WHERE len(w) > 0)),
+pos AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+occ AS (
+  SELECT pos.doc_id, pos.k, win.n, win.item FROM pos JOIN win ON win.win = array_to_string(pos.w[pos.k:pos.k + 9], ' ') AND win.n = 10 AND pos.k + 9 <= len(pos.w)
+  UNION ALL
+  SELECT pos.doc_id, pos.k, win.n, win.item FROM pos JOIN win ON win.n < 10 AND pos.k + win.n - 1 <= len(pos.w) AND win.win = array_to_string(pos.w[pos.k:pos.k + win.n - 1], ' ')),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM occ) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
