@@ -6,7 +6,9 @@ How the work is dealt out.  Shingles become 64-bit hashes, ordered by hash.  If
 1. `features`     each document's set size and a 128-bit key of its set, from one pass over the texts.
 2. `_postings`    prefix shingles, packed by hash bucket; a bucket's task finds the shingles that documents of compatible
                   sizes share.  Documents with fewer than l shared ones link with nothing.  What survives is a small part.
-3. blocks         the survivors' shared shingles as chains of documents, closed to connected components: no link leaves a block.
+3. blocks         among the survivors, document frequencies are counted and each set's prefix (n - ceil(t*n) + 1) is taken again, the rarest
+                  shingles first, so that passages which many documents share play no part.  Two sets that link share a prefix
+                  shingle; chains of the documents that share one, closed to connected components, are blocks that no link leaves.
 4. `tree_links`   a block's distinct sets, dealt into cells of bounded size, are joined by dual traversal of signature trees.
                   Large blocks: each cell also sees the block's pivot; members that are linked with it form one component, and
                   only the others (usually none) go to the block's other cells of compatible size.
@@ -26,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hashed_words, mix, saved, slices, text_or_empty, word_table
-from .components import connected
+from .components import connected, forest
 
 WHITE = word_table(b" \t\n\x0b\x0c\r")
 _A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M = np.uint64(0xD6E8FEB86659FD93)
 #: A shingle that a batch holds more often than this is thinned out before the shuffle.
 HOT_IN_BATCH = 16
+#: More doc_ids than this are joined by a shuffle, not by a broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def shingle_sets(texts: list[str | None], words: int = 5) -> Iterator[np.ndarray]:
@@ -99,49 +103,133 @@ def _thin(starts: np.ndarray, ends: np.ndarray, m: np.ndarray, percent: int) ->
     return np.array(keep, np.int64)
 
 
-def _postings(words: int, percent: int, buckets: int, edges: bool):
-    """Packed rows by bucket: tok (the token's other hash bits), at (index into ids and sizes), and what is settled already."""
+def _bucketed(tok: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A token's bucket, and the 40 bits that tell tokens of a bucket apart; a clash only makes one more candidate."""
+    return (tok % np.uint64(buckets)).astype(np.int64), tok >> np.uint64(24)
+
+
+def _five(tok: np.ndarray) -> bytes:
+    return tok.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unfive(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+PACKED = "bucket long, tok binary, run binary, ids binary, sizes binary, a binary, b binary"
+
+
+def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int, buckets: int, edges: bool) -> dict[str, list]:
+    """Postings (tok, document at) of one batch, packed into a row for each bucket.  Tokens that the batch holds often are settled among
+    themselves and thinned out, so that a hot token sends a few postings for each batch."""
+    by = np.argsort(tok, kind="stable")
+    tok, at = tok[by], at[by]
+    begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+    count = np.diff(np.append(begin, len(tok)))
+    hot = np.repeat(count > HOT_IN_BATCH, count)
+    a = b = np.empty(0, np.int64)
+    if hot.any():
+        ht, ha = tok[hot], at[hot]
+        order, chained = _chains(ht, sizes[ha], percent)
+        ht, ha = ht[order], ha[order]
+        a, b = _settled(ids[ha], chained, edges)
+        starts = np.flatnonzero(np.concatenate([[True], ~chained]))
+        keep = _thin(starts, np.append(starts[1:], len(ht)), sizes[ha], percent)
+        tok, at = np.concatenate([tok[~hot], ht[keep]]), np.concatenate([at[~hot], ha[keep]])
+    bucket, tok = _bucketed(tok, buckets)
+    by = np.lexsort((at, bucket))
+    tok, at, bucket = tok[by], at[by], bucket[by]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    rows: dict[str, list] = {k.split()[0]: [] for k in PACKED.split(", ")}
+    for i, (lo, hi) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(tok)], strict=True)):
+        own, times = np.unique(at[lo:hi], return_counts=True)
+        rows["bucket"].append(int(bucket[lo]))
+        rows["tok"].append(_five(tok[lo:hi]))
+        rows["run"].append(times.astype("<i4").tobytes())
+        rows["ids"].append(ids[own].astype("<i8").tobytes())
+        rows["sizes"].append(sizes[own].astype("<i4").tobytes())
+        rows["a"].append(a.astype("<i8").tobytes() if not i else b"")
+        rows["b"].append(b.astype("<i8").tobytes() if not i else b"")
+    return rows
+
+
+def _arrays(rows: dict[str, list]) -> dict[str, pa.Array]:
+    return {k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in rows.items()}
+
+
+def _postings(words: int, percent: int, buckets: int):
+    """The l-prefix of each set, in the order of the hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for x in batches:
-            ids = x.column(0).to_numpy()
-            sets = list(shingle_sets(x.column(1).to_pylist(), words))
-            sizes = np.array([len(s) for s in sets], np.int64)
-            took = np.array([prefix_length(len(s), percent) for s in sets], np.int64)
-            if not took.sum():
-                continue
-            tok = mix(np.concatenate([s[:k] for s, k in zip(sets, took.tolist(), strict=True)]) + np.uint64(1))
-            at = np.repeat(np.arange(len(ids)), took)
-            by = np.argsort(tok, kind="stable")
-            tok, at = tok[by], at[by]
-            begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
-            count = np.diff(np.append(begin, len(tok)))
-            hot = np.repeat(count > HOT_IN_BATCH, count)
-            a = b = np.empty(0, np.int64)
-            if hot.any():
-                ht, ha = tok[hot], at[hot]
-                order, chained = _chains(ht, sizes[ha], percent)
-                ht, ha = ht[order], ha[order]
-                a, b = _settled(ids[ha], chained, edges)
-                starts = np.flatnonzero(np.concatenate([[True], ~chained]))
-                keep = _thin(starts, np.append(starts[1:], len(ht)), sizes[ha], percent)
-                tok, at = np.concatenate([tok[~hot], ht[keep]]), np.concatenate([at[~hot], ha[keep]])
-            bucket = (tok % np.uint64(buckets)).astype(np.int64)
-            by = np.lexsort((at, bucket))
-            tok, at, bucket = (tok >> np.uint64(24)).astype(np.uint64)[by], at[by], bucket[by]
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            rows: dict[str, list] = {k: [] for k in ("bucket", "tok", "run", "ids", "sizes", "a", "b")}
-            for i, (lo, hi) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(tok)], strict=True)):
-                own, times = np.unique(at[lo:hi], return_counts=True)
-                rows["bucket"].append(int(bucket[lo]))
-                rows["tok"].append(tok[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-                rows["run"].append(times.astype("<i4").tobytes())
-                rows["ids"].append(ids[own].astype("<i8").tobytes())
-                rows["sizes"].append(sizes[own].astype("<i4").tobytes())
-                rows["a"].append(a.astype("<i8").tobytes() if not i else b"")
-                rows["b"].append(b.astype("<i8").tobytes() if not i else b"")
-            yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), *(pa.array(rows[k], pa.binary()) for k in ("tok", "run", "ids", "sizes", "a", "b"))], names=list(rows))
+            ids, sizes, tok, took = x.column(0).to_numpy(), [], [], []
+            for s in shingle_sets(x.column(1).to_pylist(), words):
+                sizes.append(len(s))
+                took.append(prefix_length(len(s), percent))
+                tok.append(s[: took[-1]])
+            if sum(took):
+                yield pa.RecordBatch.from_pydict(_arrays(_packed(mix(np.concatenate(tok) + np.uint64(1)), np.repeat(np.arange(len(ids)), took), ids, np.array(sizes, np.int64), percent, buckets, edges=False)))
+
+    return run
+
+
+def _count(words: int, buckets: int):
+    """The distinct tokens of a batch and in how many of its sets they are, packed by bucket."""
+
+    def run(t: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
+        tok, n = np.unique(mix(np.concatenate(list(shingle_sets(t.column("text").to_pylist(), words))) + np.uint64(1)), return_counts=True)
+        bucket, tok = _bucketed(tok, buckets)
+        by = np.argsort(bucket, kind="stable")
+        tok, n, bucket = tok[by], n[by], bucket[by]
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        own = [slice(lo, hi) for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(tok)], strict=True)]
+        batch = t.column("batch")[0].as_py()
+        return pa.table({"bucket": pa.array([int(bucket[c.start]) for c in own], pa.int64()), "batch": pa.array([batch] * len(own), pa.int64()), "tok": pa.array([_five(tok[c]) for c in own], pa.binary()), "df": pa.array([n[c].astype("<i8").tobytes() for c in own], pa.binary())})
+
+    return run
+
+
+def _total(t: pa.Table) -> pa.Table:
+    """Document frequencies of a bucket's tokens, for each batch those of its own tokens that another set has too."""
+    toks = [_unfive(x) for x in t.column("tok").to_pylist()]
+    _, back = np.unique(np.concatenate(toks), return_inverse=True)
+    df = np.bincount(back, weights=np.concatenate([np.frombuffer(x, "<i8") for x in t.column("df").to_pylist()])).astype(np.int64)[back]
+    own = [df[hi - len(x) : hi] for x, hi in zip(toks, np.cumsum([len(x) for x in toks]).tolist(), strict=True)]
+    return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "tok": pa.array([_five(x[n > 1]) for x, n in zip(toks, own, strict=True)], pa.binary()), "df": pa.array([n[n > 1].astype("<i8").tobytes() for n in own], pa.binary())})
+
+
+def _rare_first(words: int, percent: int, buckets: int):
+    """The prefix of each set of a batch, the rarest tokens first: two sets that link share a token of it."""
+
+    def run(t: pa.Table, counts: pa.Table) -> pa.Table:
+        np.seterr(over="ignore")
+        if not len(t):
+            return pa.table(_arrays({k.split()[0]: [] for k in PACKED.split(", ")}))
+        ids = t.column("doc_id").to_numpy()
+        sets = list(shingle_sets(t.column("text").to_pylist(), words))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        tok, at = mix(np.concatenate(sets) + np.uint64(1)), np.repeat(np.arange(len(ids)), sizes)
+        rarity = np.ones(len(tok), np.int64)
+        bucket, low = _bucketed(tok, buckets)
+        by = np.argsort(bucket, kind="stable")
+        begin = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        for c in counts.to_pylist():
+            known, own = _unfive(c["tok"]), by[begin[c["bucket"]] : begin[c["bucket"] + 1]]
+            if len(known):
+                order = np.argsort(known)
+                at_known = order[np.minimum(np.searchsorted(known, low[own], sorter=order), len(known) - 1)]
+                rarity[own] = np.where(known[at_known] == low[own], np.frombuffer(c["df"], "<i8")[at_known], 1)
+        by = np.lexsort((tok, rarity, at))
+        place = np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        most = np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)
+        by = by[(place < most) & (rarity[by] > 1)]
+        if not len(by):
+            return pa.table(_arrays({k.split()[0]: [] for k in PACKED.split(", ")}))
+        return pa.table(_arrays(_packed(tok[by], at[by], ids, sizes, percent, buckets, edges=True)))
 
     return run
 
@@ -150,7 +238,7 @@ def _settled(ids: np.ndarray, chained: np.ndarray, edges: bool) -> tuple[np.ndar
     """Edges: each chain as a forest of its neighbours.  Else: how many tokens each document shares."""
     if edges:
         u, v = ids[1:][chained], ids[:-1][chained]
-        return forest_of(u, v)
+        return _forest(u, v)
     shared = np.zeros(len(ids), bool)
     shared[1:] |= chained
     shared[:-1] |= chained
@@ -158,9 +246,7 @@ def _settled(ids: np.ndarray, chained: np.ndarray, edges: bool) -> tuple[np.ndar
     return own, times.astype(np.int64)
 
 
-def forest_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    from .components import forest
-
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return forest(u, v) if len(u) else (u, v)
 
 
@@ -169,11 +255,8 @@ def _bucket(percent: int, edges: bool):
         tok, at, ids, sizes, a, b = [], [], [], [], [], []
         base = 0
         for x in t.to_pylist():
-            raw = np.frombuffer(x["tok"], np.uint8).reshape(-1, 5)
-            wide = np.zeros((len(raw), 8), np.uint8)
-            wide[:, :5] = raw
-            tok.append(wide.view("<u8").ravel())
             own = np.frombuffer(x["ids"], "<i8")
+            tok.append(_unfive(x["tok"]))
             at.append(np.repeat(np.arange(base, base + len(own)), np.frombuffer(x["run"], "<i4")))
             ids.append(own)
             sizes.append(np.frombuffer(x["sizes"], "<i4"))
@@ -185,20 +268,15 @@ def _bucket(percent: int, edges: bool):
         u, v = _settled(ids[at[by]], chained, edges)
         u, v = np.concatenate([u, *a]), np.concatenate([v, *b])
         if edges:
-            u, v = forest_of(u, v)
+            u, v = _forest(u, v)
         else:
             u, back = np.unique(u, return_inverse=True)
-            v = np.bincount(back, weights=v, minlength=len(u)).astype(np.int64) if len(u) else v
+            v = np.bincount(back, weights=v, minlength=len(u)).astype(np.int64)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _dealt(docs: DataFrame, words: int, percent: int, buckets: int, edges: bool) -> DataFrame:
-    rows = docs.select("doc_id", "text").mapInArrow(_postings(words, percent, buckets, edges), "bucket long, tok binary, run binary, ids binary, sizes binary, a binary, b binary")
-    return rows.groupBy("bucket").applyInArrow(_bucket(percent, edges), "u long, v long")
-
-
 # ---------------------------------------------------------------- signature trees
 
 BITS = 2048
@@ -302,7 +380,7 @@ def _cell(words: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, cell: int = 256, bucket_tokens: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, cell: int = 256, bucket_tokens: int = 2_000_000, batch_tokens: int = 500_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text, ...): the distinct `words`-word shingles of the text
     with A-Z lower-cased, and the smallest doc_id that links (intersection >= percent % of the union) reach.
 
@@ -317,14 +395,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, cell: in
     buckets = max(2 * parts, total * 3 // 8 // bucket_tokens + 1)
 
     # which documents can link with a different set
-    counts = _dealt(docs, words, percent, buckets, edges=False).groupBy("u").agg(F.sum("v").alias("shared"))
+    postings = docs.select("doc_id", "text").mapInArrow(_postings(words, percent, buckets), PACKED)
+    counts = postings.groupBy("bucket").applyInArrow(_bucket(percent, edges=False), "u long, v long").groupBy("u").agg(F.sum("v").alias("shared"))
     least = F.greatest(F.lit(1), F.ceil(F.ceil(percent * F.col("n") / 100.0) / 8.0))
     firsts = known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    few = counts.join(firsts.select(F.col("rep").alias("u"), "n"), "u").where(F.col("shared") >= least)
-    kept = saved(docs.join(few.select(F.col("u").alias("doc_id"), "n"), "doc_id"), "candidates")
+    few = saved(counts.join(firsts.select(F.col("rep").alias("u"), "n"), "u").where(F.col("shared") >= least).select(F.col("u").alias("doc_id"), "n"), "few")
+    n_few, n_tokens = few.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    batches = n_tokens // batch_tokens + 1
+    small = F.broadcast(few) if n_few <= BROADCAST_ROWS else few
+    kept = saved(docs.join(small, "doc_id").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "candidates")
 
     # blocks that no link leaves
-    blocks = connected(_dealt(kept, words, percent, max(parts, buckets // 4), edges=True), "blocks")
+    batched = kept.select("batch", "doc_id", "text")
+    totals = batched.groupBy("batch").applyInArrow(_count(words, buckets), "bucket long, batch long, tok binary, df binary")
+    totals = totals.groupBy("bucket").applyInArrow(_total, "batch long, bucket long, tok binary, df binary")
+    rare = batched.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_rare_first(words, percent, buckets), PACKED)
+    blocks = connected(rare.groupBy("bucket").applyInArrow(_bucket(percent, edges=True), "u long, v long"), "blocks")
     members = kept.join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
     sizes = blocks.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("members"))
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
@@ -334,7 +420,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, cell: in
     members = saved(members.select("block", "band", "salt", "doc_id", "n", "text"), "members")
 
     key = ["block", "band", "salt"]
-    shape = "block long, band int, salt long, doc_id long, text string, role int"
     pivots = members.where("band >= 0").groupBy("block").agg(F.min("doc_id").alias("doc_id"))
     pivots = members.drop("band", "salt").join(pivots, ["block", "doc_id"])
     cells = members.where("band >= 0").select(key).distinct()
