@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many bytes, so that a task's memory does not follow its partition.
@@ -41,6 +41,22 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def ranked(df: DataFrame, by: str, order: list[str], name: str, cell_rows: int = 20_000) -> DataFrame:
+    """`df` with a rank from 0 within each value of `by` (values bounded in number, none null), gapless.
+
+    Rows are dealt into cells by a hash of `order`, numbered within the cell, and the cells' counts give where each begins.  A hot
+    value has many cells: a cell holds at most about `cell_rows` rows, and at most a fraction of a task's even share.
+    """
+    largest, rows = df.groupBy(by).count().agg(F.max("count"), F.sum("count")).first()
+    share = (rows or 0) // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    df = df.withColumn("cell", F.pmod(F.xxhash64(*order), F.lit((largest or 0) // min(share, cell_rows) + 1)))
+    counts = df.groupBy(by, "cell").count()
+    before = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    begin = counts.select(by, "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begin"))
+    inside = F.row_number().over(Window.partitionBy(by, "cell").orderBy(*order)) - 1
+    return df.withColumn("inside", inside).join(begin, [by, "cell"]).withColumn(name, F.col("begin") + F.col("inside")).drop("cell", "begin", "inside")
+
+
 def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, UTF-8 texts) in slices of at least one text and about `most` bytes."""
     first, held, total = 0, [], 0
