@@ -31,6 +31,12 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id
 """
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokenids import digest, matrices
+
+    return digest(matrices(table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination, digest
 
@@ -57,6 +63,18 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import predictions, toxicity
+
+    return predictions(toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"]), threshold=0.3)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest, scan
 
