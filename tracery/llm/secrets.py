@@ -46,15 +46,15 @@ def _random_looking(value: Column, least: int) -> Column:
     return (F.length(value) >= least) & value.rlike("[0-9]") & (letters > 0) & (distinct * 4 >= F.least(F.length(value), F.lit(32))) & ~value.rlike("(?i)example|sample|dummy|changeme|x{4}|placeholder")
 
 
-def scan(docs: DataFrame, repository: str = "source", owner: str = "source", many_owners: int = 3, least: int = 16) -> DataFrame:
-    """The columns of `docs` but text, with base and spans: arrays of (start, kind, end, value), `kind` an index of NAMES, by start and kind.
+def scan(docs: DataFrame, repository: str = "source", owner: str = "source", many_owners: int = 3, least: int = 16, keep_text: bool = False) -> DataFrame:
+    """The columns of `docs` (text only with `keep_text`), with base and spans: arrays of (start, kind, end, value), `kind` an index of NAMES, by start and kind.
 
     `spans` has the base ones and one for each candidate value that the corpus shows to be `copied` (at least `many_owners` distinct
     owners or repositories) or that looks `live` (fewer, at least `least` characters, and random).  Null texts count as empty, null owners as one owner.
     Repeated rows get the same spans and count once.  Null doc_ids are kept.  An empty table gives no rows.
     Columns of `docs` named base or spans are replaced.
     """
-    keep = [c for c in docs.columns if c not in ("text", "base", "spans")]
+    keep = [c for c in docs.columns if c not in ("base", "spans") and (keep_text or c != "text")]
     text = text_or_empty()
     base = F.array_sort(F.concat(*[matches(text, k) for k in range(len(KINDS))]))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.xxhash64("doc_id", text).alias("id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), base.alias("base"))
@@ -69,7 +69,9 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", man
     begin = F.col("span.end") - F.length("span.value")
     added = judged.withColumn("verdict", verdict).where("verdict is not null").select("id", F.struct(begin.alias("start"), F.col("verdict").alias("kind"), F.col("span.end").alias("end"), F.col("span.value").alias("value")).alias("span"))
     added = added.groupBy("id").agg(F.collect_set("span").alias("more"))
-    out = rows.join(added, "id", "left").withColumn("spans", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))))
+    # only rows with candidates are joined, so that the others are not shuffled
+    hit = rows.where(F.size("base") > 0).join(added, "id", "left").select("row", "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN)))).alias("spans"))
+    out = hit.union(rows.where(F.size("base") == 0).select("row", "base", F.col("base").alias("spans")))
     return out.select("row.*", "base", "spans")
 
 
