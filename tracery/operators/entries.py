@@ -72,19 +72,21 @@ def dedup_all(df: DataFrame, by_reference: Sequence[str], order: str = "ord2") -
     return first_of(df, ["path", "attr", F.col("value").cast("string"), ref], [order])
 
 
-def numbered(df: DataFrame, order: str = "ord2", prefix: str = "IRD") -> DataFrame:
-    """`entry_id` <prefix>-<bus>-<first 6 of the layer>-<number>: a dense global number, at least four digits.
+def numbered(df: DataFrame, order: str = "ord2", lead: str = "ord2.first", prefix: str = "IRD") -> DataFrame:
+    """`entry_id` <prefix>-<bus>-<first 6 of the layer>-<number>: a dense global number in the order of `order`, at least four digits.
 
-    The number comes from a range partitioning and the partitions' counts, so no task sees all rows.
+    `lead` is the leading number of the order.  Equal ranges of it are numbered each by itself, and their counts give where each begins, so no task sees
+    all rows; the ranges depend on the data alone, so a task that is run again gives the same numbers.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id())
+    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low, high = df.agg(F.min(lead), F.max(lead)).first()
+    width = ((high or 0) - (low or 0)) // n + 1
+    parts = df.withColumn("_part", F.floor((F.col(lead) - F.lit(low or 0)) / F.lit(width)))
     counts = parts.groupBy("_part").count()
     before = counts.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rn = F.row_number().over(Window.partitionBy("_part").orderBy(order))
-    seq = F.col("_before") + F.col("_rn")
-    parts = parts.withColumn("_rn", rn).join(F.broadcast(before), "_part")
-    return parts.withColumn("seq", seq).withColumn("entry_id", F.format_string(f"{prefix}-%s-%s-%04d", F.col("bus"), F.substring("layer", 1, 6), F.col("seq"))).drop("_part", "_before", "_rn")
+    parts = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(F.broadcast(before), "_part")
+    parts = parts.withColumn("seq", F.col("_before") + F.col("_rn"))
+    return parts.withColumn("entry_id", F.format_string(f"{prefix}-%s-%s-%04d", F.col("bus"), F.substring("layer", 1, 6), F.col("seq"))).drop("_part", "_before", "_rn")
 
 
 def counters(generated: DataFrame, raw: DataFrame, final: DataFrame) -> DataFrame:
