@@ -71,7 +71,7 @@ def deterministic(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
     """(block_key, rule_level, analysis_status, needs_ai, matched, truncated) for every block (block_key, missing): a block with conflicts only is uncovered, or possible with
     missing ids; truncated says that there are more candidates than a rater is shown."""
     best = best_level(pairs)
-    n = pairs.groupBy("block_key").agg(F.count("*").alias("n"), F.count_if("level = 'not_same_object'").alias("n_conflict"))
+    n = pairs.groupBy("block_key").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "not_same_object").alias("n_conflict"))
     j = blocks.join(best, "block_key", "left").join(n, "block_key", "left")
     status, ai = F.lit("uncovered"), F.lit(False)
     for k, (_, s, a) in LEVELS.items():
