@@ -12,10 +12,17 @@ from .registry import query
 ANALOG, DISCRETE, BUS = ["analog"], ["discrete"], ["bus"]
 STRONG_SEND, STRONG_RECEIVE, SEND, RECEIVE = ["transmit"], ["acquire"], ["send"], ["use"]
 NOISE = ["SDI", "THE", "UNIT", "SHALL"]
-C = F.col("content")
 REQ = "WITH " + I.REQ_CTE
 
 
+def content():
+    return F.col("content")
+
+
+def path():
+    return F.col("path")
+
+
 def _req(spark, sf_dir, **columns):
     return I.requirements(spark, sf_dir).select("req_id", *(c.alias(k) for k, c in columns.items()))
 
@@ -31,29 +38,29 @@ def _distinct(c: str) -> str:
 
 @query("t1_labels", f"{REQ} SELECT req_id, array_to_string({_distinct(_labels('content'))}, ',') AS labels FROM req")
 def t1(spark, sf_dir):
-    return _req(spark, sf_dir, labels=F.array_join(T.labels(C), ","))
+    return _req(spark, sf_dir, labels=F.array_join(T.labels(content()), ","))
 
 
 @query("t2_category", f"""{REQ} SELECT req_id, CASE WHEN regexp_matches(content, '[Ll][0-9]+') THEN 'label' WHEN content ILIKE '%analog%' THEN 'analog' WHEN content ILIKE '%discrete%' THEN 'discrete' WHEN content ILIKE '%bus%' THEN 'bus' ELSE 'other' END AS category FROM req""")
 def t2(spark, sf_dir):
-    return _req(spark, sf_dir, category=T.category(C, ANALOG, DISCRETE, BUS))
+    return _req(spark, sf_dir, category=T.category(content(), ANALOG, DISCRETE, BUS))
 
 
 @query("t3_direction", f"""{REQ} SELECT req_id, CASE WHEN s AND NOT r THEN 'send' WHEN r AND NOT s THEN 'receive' WHEN (s OR a) AND NOT (r OR b) THEN 'send' WHEN (r OR b) AND NOT (s OR a) THEN 'receive' ELSE '' END AS direction
   FROM (SELECT req_id, content ILIKE '%transmit%' AS s, content ILIKE '%acquire%' AS r, content ILIKE '%send%' AS a, content ILIKE '%use%' AS b FROM req)""")
 def t3(spark, sf_dir):
-    return _req(spark, sf_dir, direction=T.direction(C, STRONG_SEND, STRONG_RECEIVE, SEND, RECEIVE))
+    return _req(spark, sf_dir, direction=T.direction(content(), STRONG_SEND, STRONG_RECEIVE, SEND, RECEIVE))
 
 
 @query("t4_sdi", f"{REQ} SELECT req_id, regexp_extract(content, '(?:^|[^A-Za-z0-9_])SDI[ :=]*([0-9]+)', 1) AS first, array_to_string(regexp_extract_all(content, '(?:^|[^A-Za-z0-9_])SDI[ :=]*([0-9]+)', 1), ',') AS every FROM req")
 def t4(spark, sf_dir):
-    return _req(spark, sf_dir, first=T.sdi_first(C), every=F.array_join(T.sdi_all(C), ","))
+    return _req(spark, sf_dir, first=T.sdi_first(content()), every=F.array_join(T.sdi_all(content()), ","))
 
 
 @query("t5_bit_fields", f"""{REQ}, p AS (SELECT req_id, CAST(regexp_extract(content, 'bits ([0-9]+)-([0-9]+)', 1) AS INTEGER) AS a, CAST(regexp_extract(content, 'bits ([0-9]+)-([0-9]+)', 2) AS INTEGER) AS b FROM req)
   SELECT req_id, concat(least(a, b), ':', abs(a - b) + 1) AS fields FROM p""")
 def t5(spark, sf_dir):
-    fields = F.transform(B.bit_fields(C), lambda x: F.concat_ws(":", x["offset"], x["size"]))
+    fields = F.transform(B.bit_fields(content()), lambda x: F.concat_ws(":", x["offset"], x["size"]))
     return _req(spark, sf_dir, fields=F.array_join(fields, ","))
 
 
@@ -69,7 +76,7 @@ def t6(spark, sf_dir):
 @query("t7_ranges", f"""{REQ}, p AS (SELECT req_id, CAST(regexp_extract(content, 'bits ([0-9]+)-([0-9]+)', 1) AS INTEGER) AS a, CAST(regexp_extract(content, 'bits ([0-9]+)-([0-9]+)', 2) AS INTEGER) AS b FROM req)
   SELECT req_id, CASE WHEN a < b THEN concat(a, '-', b) ELSE '' END AS ranges FROM p""")
 def t7(spark, sf_dir):
-    pairs = F.arrays_zip(F.regexp_extract_all(C, F.lit("bits? ([0-9]+)-([0-9]+)"), F.lit(1)).alias("a"), F.regexp_extract_all(C, F.lit("bits? ([0-9]+)-([0-9]+)"), F.lit(2)).alias("b"))
+    pairs = F.arrays_zip(F.regexp_extract_all(content(), F.lit("bits? ([0-9]+)-([0-9]+)"), F.lit(1)).alias("a"), F.regexp_extract_all(content(), F.lit("bits? ([0-9]+)-([0-9]+)"), F.lit(2)).alias("b"))
     ok = F.filter(pairs, lambda p: p["a"].cast("int") < p["b"].cast("int"))
     return _req(spark, sf_dir, ranges=F.array_join(F.array_distinct(F.transform(ok, lambda p: F.concat_ws("-", p["a"], p["b"]))), ","))
 
@@ -93,7 +100,7 @@ def t9(spark, sf_dir):
 @query("t10_text_tokens", f"""{REQ}, n AS (SELECT req_id, unnest(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9_]{{2,}}')) AS name FROM req), p AS (SELECT req_id, unnest({_IDS}) AS t FROM n)
   SELECT req_id, string_agg(DISTINCT t, ',' ORDER BY t) AS tokens FROM p WHERE t NOT IN ('SDI', 'THE', 'UNIT', 'SHALL') GROUP BY req_id""")
 def t10(spark, sf_dir):
-    return _req(spark, sf_dir, tokens=F.array_join(F.array_sort(T.text_identifiers(C, NOISE)), ","))
+    return _req(spark, sf_dir, tokens=F.array_join(F.array_sort(T.text_identifiers(content(), NOISE)), ","))
 
 
 SYNONYMS = [(0, "pump", "flow"), (0, "pump", "feed"), (1, "fan", "blower"), (2, "valve", "pos"), (3, "flow", "rate")]
@@ -130,37 +137,36 @@ def _ent(spark, sf_dir, **columns):
     return I.entries(spark, sf_dir).select("ord", *(c.alias(k) for k, c in columns.items()))
 
 
-P, LEAF = F.col("path"), F.element_at(F.split("path", "\\."), -1)
 
 
 @query("t12_profile_key", f"{ENT} SELECT ord, {PROFILE_SQL} AS profile_key FROM entry")
 def t12(spark, sf_dir):
-    return _ent(spark, sf_dir, profile_key=T.profile_key(P))
+    return _ent(spark, sf_dir, profile_key=T.profile_key(path()))
 
 
 @query("t13_family", f"{ENT} SELECT ord, {FAMILY_SQL} AS family FROM entry")
 def t13(spark, sf_dir):
-    return _ent(spark, sf_dir, family=T.family(LEAF))
+    return _ent(spark, sf_dir, family=T.family(F.element_at(F.split("path", "\\."), -1)))
 
 
 @query("t14_block_key", f"{ENT} SELECT ord, {BLOCK_SQL} AS block_key FROM entry")
 def t14(spark, sf_dir):
-    return _ent(spark, sf_dir, block_key=T.block_key(P))
+    return _ent(spark, sf_dir, block_key=T.block_key(path()))
 
 
 @query("t15_protocol", f"{ENT} SELECT ord, {PROTOCOL_SQL} AS protocol FROM entry")
 def t15(spark, sf_dir):
-    return _ent(spark, sf_dir, protocol=T.protocol(F.col("bus"), P))
+    return _ent(spark, sf_dir, protocol=T.protocol(F.col("bus"), path()))
 
 
 @query("t16_identity", f"{ENT} SELECT ord, {IDENTITY_SQL} AS identity FROM entry")
 def t16(spark, sf_dir):
-    return _ent(spark, sf_dir, identity=T.identity_key(T.protocol(F.col("bus"), P), F.col("device"), P))
+    return _ent(spark, sf_dir, identity=T.identity_key(T.protocol(F.col("bus"), path()), F.col("device"), path()))
 
 
 @query("t17_channels", f"{REQ} SELECT req_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(content, '[^A-Za-z0-9]+'), lambda c: regexp_full_match(c, '[AB][1-4]')))), ',') AS channels FROM req")
 def t17(spark, sf_dir):
-    return _req(spark, sf_dir, channels=F.array_join(T.channels(C), ","))
+    return _req(spark, sf_dir, channels=F.array_join(T.channels(content()), ","))
 
 
 @query("t18_specificity", f"""{REQ}, l AS (SELECT req_id, length(regexp_extract(name, '^([A-Za-z]+)', 1)) AS a, length(regexp_extract(name, '([0-9]+)$', 1)) AS d FROM req)
@@ -183,7 +189,7 @@ def t20(spark, sf_dir):
 
 @query("t21_named_component", f"{REQ} SELECT req_id, regexp_matches(content, '(^|[^A-Za-z0-9])[A-Za-z]{{2,}}[0-9]+([^A-Za-z0-9]|$)') AS named FROM req")
 def t21(spark, sf_dir):
-    return _req(spark, sf_dir, named=T.has_named_component(C))
+    return _req(spark, sf_dir, named=T.has_named_component(content()))
 
 
 @query("t22_channel_suffix", f"{REQ} SELECT req_id, regexp_extract(name, '_R([0-9]+[a-z]?)$', 1) AS suffix FROM req")
@@ -193,17 +199,17 @@ def t22(spark, sf_dir):
 
 @query("t23_numbers", f"""{REQ} SELECT req_id, array_to_string(list_filter({_distinct("regexp_extract_all(content, '[0-9]{3,}')")}, lambda x: x NOT IN ('100', '101')), ',') AS numbers FROM req""")
 def t23(spark, sf_dir):
-    return _req(spark, sf_dir, numbers=F.array_join(T.signal_numbers(C, ["100", "101"]), ","))
+    return _req(spark, sf_dir, numbers=F.array_join(T.signal_numbers(content(), ["100", "101"]), ","))
 
 
 @query("t24_listed_names", f"""{REQ} SELECT req_id, array_to_string({_distinct("regexp_extract_all(content, '[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+')")}, ',') AS names FROM req""")
 def t24(spark, sf_dir):
-    return _req(spark, sf_dir, names=F.array_join(T.listed_names(C), ","))
+    return _req(spark, sf_dir, names=F.array_join(T.listed_names(content()), ","))
 
 
 @query("t25_protocol_hint", f"{REQ} SELECT req_id, content ILIKE '%limit 1%' OR regexp_matches(content, '(?i)bits? *[1-8]([^0-9]|$)') AS hint FROM req")
 def t25(spark, sf_dir):
-    return _req(spark, sf_dir, hint=T.protocol_hint(C, ["limit 1"]))
+    return _req(spark, sf_dir, hint=T.protocol_hint(content(), ["limit 1"]))
 
 
 @query("t26_plain_name", f"{REQ} SELECT req_id, regexp_replace(upper(name), '^(RX_|TX_|DS[0-9]*_)+', '') AS plain FROM req")
@@ -257,7 +263,7 @@ def p3(spark, sf_dir):
 
 @query("p6_frame_words", f"{ENT} SELECT ord, len(list_filter(regexp_split_to_array(lower(path), '[._ -]'), lambda x: x IN ('label', 'w'))) > 0 AS frame FROM entry")
 def p6(spark, sf_dir):
-    return _ent(spark, sf_dir, frame=T.has_frame_word(P, ["label", "w"]))
+    return _ent(spark, sf_dir, frame=T.has_frame_word(path(), ["label", "w"]))
 
 
 @query("p7_bus_type", f"""{ENT} SELECT ord, CASE WHEN upper(sheet) LIKE 'VI%' THEN 'VI' WHEN upper(sheet) LIKE 'CAN%' THEN 'CAN' WHEN upper(sheet) LIKE '%ROR%' THEN 'ROR' WHEN upper(bus) LIKE 'VI%' THEN 'VI' WHEN upper(bus) LIKE 'CAN%' THEN 'CAN' WHEN upper(bus) LIKE '%ROR%' THEN 'ROR' ELSE '' END AS bus_type FROM entry""")
