@@ -258,3 +258,95 @@ def test_windowed_stream_matches_the_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["n"] for r in spark.table("counts").collect()) == 6
+
+
+def test_rulesets(spark, tmp_path):
+    from tracery.sources import rulesets
+
+    (tmp_path / "alpha.json").write_text('{"analog": ["volt"], "thresholds": {"k": 5}}')
+    r = rulesets.load(spark, str(tmp_path))["alpha"]
+    assert r.analog == ("volt",) and r.discrete == ("discrete",) and r.extra == {"thresholds": {"k": 5}}
+    with pytest.raises(ValueError, match="."):
+        rulesets.parse("x", "no ruleset at all: [") if not _yaml() else int("x")
+
+
+def _yaml():
+    import importlib.util
+
+    return importlib.util.find_spec("yaml") is not None
+
+
+def test_trace_files(spark):
+    from tracery.sources import rulesets
+
+    cells = spark.createDataFrame([("a/Names.xlsx",), ("a/reqs.xlsx",), ("a/other.xlsx",)], "file string")
+    got = {r["file"]: r["role"] for r in rulesets.trace_files(cells, "names", "reqs").collect()}
+    assert got == {"a/Names.xlsx": "names", "a/reqs.xlsx": "requirements", "a/other.xlsx": "bridge"}
+
+
+def test_annotations_are_cached_and_resumed(spark, tmp_path):
+    reqs = spark.createDataFrame([(f"k{i}", f"text {i}") for i in range(16)], "key string, content string")
+    none = spark.createDataFrame([], "key string, payload string, ord long")
+
+    def annotator(text):
+        if text.endswith("3"):
+            raise ConnectionError
+        return text.upper()
+
+    first = verdict.worth_keeping(verdict.annotated(reqs, none, annotator))
+    verdict.append_cache(first.withColumn("ord", F.lit(1)), str(tmp_path / "cache"))
+    cache = spark.read.json(str(tmp_path / "cache"))
+    assert cache.count() == 14  # texts 3 and 13 failed
+    part = cache.where("key < 'k14'")
+    counts = verdict.reuse_counts(reqs, part).first()
+    again = {tuple(r) for r in verdict.annotated(reqs, part, str.upper).collect()}
+    assert counts["reused"] + counts["rerun"] == 16 and counts["reused"] == part.count()
+    assert again == {(f"k{i}", f"TEXT {i}") for i in range(16)}
+
+
+def test_reviews(spark):
+    blocks = spark.createDataFrame([("b1", ["r1"]), ("b2", ["r2"])], "block_key string, matched array<string>")
+
+    def reviewer(key, ids):
+        if key == "b2":
+            raise TimeoutError
+        return "covered", ids, []
+
+    assert {r["block_key"]: r["verdict"] for r in verdict.reviewed(blocks, reviewer).collect()} == {"b1": "covered", "b2": "unconfirmed"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tracery import __main__
+
+    _facts(spark).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([("R1", "The unit shall transmit L050 PUMP_FLOW bit 0")], "req_id string, content string").write.parquet(str(tmp_path / "q"))
+    for kind in ("req_to_spec", "spec_to_req"):
+        __main__.main([kind, "--entries", str(tmp_path / "e"), "--requirements", str(tmp_path / "q"), "--out", str(tmp_path / kind)])
+    assert spark.read.parquet(str(tmp_path / "spec_to_req/coverage")).count() == 3
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from(["", "None", "E1", "E2", None])), max_size=12))
+def test_fill_forward_never_crosses_a_sheet(spark, cells):
+    df = spark.createDataFrame([(s, i, v) for i, (s, v) in enumerate(cells)], "sheet int, row int, p string")
+    got = {r["row"]: r["p"] for r in entries.fill_forward(df, "p", ["sheet"], ["row"]).collect()}
+    last = {}
+    for i, (s, v) in enumerate(cells):
+        last[s] = v if v not in (None, "", "None") else last.get(s)
+        assert got[i] == last[s]
+
+
+def test_scores_are_the_sum_of_their_dimensions(spark):
+    from tracery.plans import match_queries
+
+    s = match_queries.scored(spark, "/root/testdata/sf0.001")
+    total = sum((F.col(d) for d in match.DIMENSIONS), F.lit(0))
+    assert s.where((F.col("total") != total) | (F.col("total") < 0) | (F.col("total") > 110)).isEmpty()
+
+
+def test_dedup_is_idempotent(spark):
+    from tracery.plans import inputs
+
+    e = inputs.entries(spark, "/root/testdata/sf0.001")
+    once = entries.dedup_in_sheet(e)
+    assert entries.dedup_in_sheet(once).count() == once.count()

@@ -79,6 +79,49 @@ def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, at
     return cases.select("case_id", "prompt").crossJoin(F.broadcast(providers)).mapInPandas(run, VERDICT)
 
 
+def annotated(requests: DataFrame, cache: DataFrame, annotator: Callable[[str], str]) -> DataFrame:
+    """(key, payload) for requests (key, content): cached payloads, and a new one from the annotator for the others; one that fails gives an empty payload, which `worth_keeping`
+    leaves out of the cache.  Write the result before using it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = []
+            for c in x["content"]:
+                try:
+                    out.append(annotator(c))
+                except Exception:  # an annotator may fail in any way
+                    out.append("")
+            yield pd.DataFrame({"key": x["key"], "payload": out})
+
+    new = to_do(requests, cache).select("key", "content").mapInPandas(run, "key string, payload string")
+    return reused(requests, cache).select("key", "payload").union(new)
+
+
+def worth_keeping(annotations: DataFrame) -> DataFrame:
+    return annotations.where("payload <> ''")
+
+
+def reviewed(blocks: DataFrame, reviewer: Callable[[str, list[str]], tuple[str, list[str], list[str]]]) -> DataFrame:
+    """(block_key, verdict, matched_ids, rejected_ids) of blocks (block_key, matched); a reviewer that fails gives unconfirmed."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = []
+            for key, ids in zip(x["block_key"], x["matched"], strict=True):
+                try:
+                    rows.append((key, *reviewer(key, list(ids))))
+                except Exception:  # a reviewer may fail in any way
+                    rows.append((key, "unconfirmed", [], []))
+            yield pd.DataFrame(rows, columns=["block_key", "verdict", "matched_ids", "rejected_ids"])
+
+    return blocks.select("block_key", "matched").mapInPandas(run, "block_key string, verdict string, matched_ids array<string>, rejected_ids array<string>")
+
+
+def append_cache(rows: DataFrame, folder: str) -> None:
+    """New cache rows (key, payload, ord), one JSON line each; a key that is there again overrides by its `ord`."""
+    rows.write.mode("append").json(folder)
+
+
 def majority(verdicts: DataFrame) -> DataFrame:
     """(case_id, status, votes): the most frequent status; ties go to the one whose rater comes first."""
     n = verdicts.groupBy("case_id", "status").agg(F.count("*").alias("votes"), F.min("provider_ord").alias("first"))
