@@ -28,7 +28,7 @@ def _index(spark, sf_dir):
     return V.token_index(docs, _words())
 
 
-@query("a8_token_index", f"WITH {TOKENS_SQL} SELECT token, count(*) AS requirements, sum(doc_id) AS ids FROM t GROUP BY token")
+@query("a8_token_index", f"WITH {TOKENS_SQL} SELECT token, count(*) AS requirements, CAST(sum(doc_id) AS BIGINT) AS ids FROM t GROUP BY token")
 def a8(spark, sf_dir):
     return _index(spark, sf_dir).groupBy("token").agg(F.count("*").alias("requirements"), F.sum("req_id").alias("ids"))
 

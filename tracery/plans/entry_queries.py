@@ -229,9 +229,9 @@ def sheet_cells(spark, sf_dir):
       WHEN row = 3 THEN CASE col WHEN 1 THEN 'Size' WHEN 3 THEN 'Unit' WHEN 5 THEN ' ' ELSE 'Name' END WHEN (row + col) % 5 > 0 THEN concat(p_brand, row, col) END AS value""")
 
 
-@query("s2_side_starts", f"WITH {CELLS_SQL}, s AS (SELECT sheet, value AS side, min(col) AS start FROM cells WHERE row = 1 AND value IN ('Publisher', 'Subscriber') GROUP BY ALL) SELECT *, lead(start) OVER (PARTITION BY sheet ORDER BY start) AS stop FROM s")
+@query("s2_side_starts", f"WITH {CELLS_SQL}, s AS (SELECT sheet, value AS side, min(col) AS start FROM cells WHERE row = 1 AND value IN ('Publisher', 'Subscriber') GROUP BY ALL) SELECT *, CAST(lead(start) OVER (PARTITION BY sheet ORDER BY start) AS STRING) AS stop FROM s")
 def s2(spark, sf_dir):
-    return E.side_starts(sheet_cells(spark, sf_dir), ["Publisher", "Subscriber"])
+    return E.side_starts(sheet_cells(spark, sf_dir), ["Publisher", "Subscriber"]).withColumn("stop", F.col("stop").cast("string"))
 
 
 _S3 = """s AS (SELECT sheet, value AS side, col AS s0, lead(col) OVER (PARTITION BY sheet ORDER BY col) AS s1 FROM cells WHERE row = 1 AND value IS NOT NULL),
@@ -239,10 +239,10 @@ _S3 = """s AS (SELECT sheet, value AS side, col AS s0, lead(col) OVER (PARTITION
   ranges AS (SELECT sheet, side, layer, start, coalesce(lead(start) OVER (PARTITION BY sheet, side ORDER BY start), s1) AS stop FROM h)"""
 
 
-@query("s3_layer_ranges", f"WITH {CELLS_SQL}, {_S3} SELECT * FROM ranges")
+@query("s3_layer_ranges", f"WITH {CELLS_SQL}, {_S3} SELECT * REPLACE (CAST(stop AS STRING) AS stop) FROM ranges")
 def s3(spark, sf_dir):
     c = sheet_cells(spark, sf_dir)
-    return E.layer_ranges(c, E.side_starts(c, ["Publisher", "Subscriber"]))
+    return E.layer_ranges(c, E.side_starts(c, ["Publisher", "Subscriber"])).withColumn("stop", F.col("stop").cast("string"))
 
 
 @query("s4_layer_values", f"""WITH {CELLS_SQL}, {_S3}, a AS (SELECT c.sheet, c.col, side, layer, start, c.value AS attr FROM cells c JOIN ranges r ON c.sheet = r.sheet AND c.col >= start AND (stop IS NULL OR c.col < stop) WHERE c.row = 3 AND trim(c.value) <> '')
