@@ -7,18 +7,27 @@ ASCII and Latin letters, with control characters or with the strings of special
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from array import array
 from collections.abc import Callable
 
-import regex
-
 #: Words held in each of two generations of the cache of a Python worker.
 CACHE_WORDS = 250_000
 
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa1-˿]*")
-_PIECES = {  # fixed values: the cutting patterns of the two vocabularies
-    "word_bpe_49k.json": r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
-    "byte_bpe_50k.tiktoken": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+_CATEGORY = {c: unicodedata.category(chr(c))[0] for c in range(128, 0x300)}
+
+
+def _class(kind: str) -> str:
+    return "".join(chr(c) for c, k in _CATEGORY.items() if k == kind)
+
+
+_L, _N = "A-Za-z" + _class("L"), "0-9" + _class("N")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u02ff]*")
+# The cutting patterns of the two vocabularies, \p{L} and \p{N} spelt out for the plain characters.
+_PIECES = {
+    "word_bpe_49k.json": rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+",
+    "byte_bpe_50k.tiktoken": rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+",
 }
 _SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 
@@ -37,7 +46,7 @@ class Words:
 
     def of(self, pieces: list[str]) -> bytes:
         young, old = self.young, self.old
-        fresh = {p for p in set(pieces) if p not in young}
+        fresh = set(pieces).difference(young)
         if fresh:
             if len(young) + len(fresh) > CACHE_WORDS:
                 self.old, self.young = young, {p: young[p] for p in set(pieces) if p in young}
@@ -63,6 +72,13 @@ def encoder(path: str) -> Callable[[str], bytes]:
     return _open[path]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in shown else chr(next(rest)) for b in range(256)}
+
+
 def _bpe(path: str) -> Callable[[str], bytes]:
     import os
 
@@ -70,12 +86,16 @@ def _bpe(path: str) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    words = Words(lambda new: [array("H", e.ids).tobytes() for e in whole.encode_batch_fast(new, add_special_tokens=False)])
-    name = path.rpartition("/")[2]
-    pattern = _PIECES.get(name)
+    pattern = _PIECES.get(path.rpartition("/")[2])
     if pattern is None:
         return lambda text: array("H", whole.encode(text, add_special_tokens=False).ids).tobytes()
-    cut = regex.compile(pattern).findall
+    cut, letters, merge = re.compile(pattern).findall, _byte_letters(), whole.model.tokenize
+
+    def new(pieces: list[str]) -> list[bytes]:
+        """Pieces are lower-case and normal already, so only the merges are left to do."""
+        return [array("H", [t.id for t in merge(p.encode().decode("latin-1").translate(letters))]).tobytes() for p in pieces]
+
+    words = Words(new)
 
     def run(text: str) -> bytes:
         if _PLAIN.fullmatch(text) and not any(s in text for s in _SPECIAL):
@@ -95,7 +115,7 @@ def _ranks(path: str) -> Callable[[str], bytes]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     whole = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     words = Words(lambda new: [array("H", whole.encode_ordinary(p)).tobytes() for p in new])
-    cut = regex.compile(pattern).findall
+    cut = re.compile(pattern).findall
 
     def run(text: str) -> bytes:
         return words.of(cut(text)) if _PLAIN.fullmatch(text) else array("H", whole.encode_ordinary(text)).tobytes()

@@ -85,7 +85,7 @@ class Model:
     def _slice(self, held: list[bytes]) -> np.ndarray:
         b, bag, doc = bags(held)
         top, second = highest(logits(self.weight, self.bias, b, bag, len(doc)), doc, len(held), self.bias)
-        return _sigmoid(self.scale[0] + self.scale[1] * top + self.scale[2] * second)
+        return np.where(np.bincount(doc, minlength=len(held)) > 0, _sigmoid(self.scale[0] + self.scale[1] * top + self.scale[2] * second), 0.0)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -120,8 +120,8 @@ class _Softmax:
 
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
-        self.vectors = (r.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
-        self.out = (r.standard_normal((DIM, 2)) * 0.1).astype(np.float32)
+        self.vectors = np.zeros((BUCKETS, DIM), np.float32)  # so that subwords never seen say nothing
+        self.out = r.standard_normal((DIM, 2)).astype(np.float32)
         self.bias = np.zeros(2, np.float32)
         self.seen = [np.full(x.shape, 1e-6, np.float32) for x in (self.vectors, self.out, self.bias)]
 
@@ -193,7 +193,8 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 6, rounds: int
             step([(g, g + 1) for g, _ in part], np.array([i for _, i in part]), 0.05)
     w, c = net.flat()
     top, second = highest(logits(w, c, b, bag, base), doc, len(y), c)
-    return Model(w, c, _calibrated(top, second, y))
+    some = np.bincount(doc, minlength=len(y)) > 0
+    return Model(w, c, _calibrated(top[some], second[some], y[some]))
 
 
 def _calibrated(top: np.ndarray, second: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -241,7 +242,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     """The columns of `docs` (of these, `carry` if given) and toxic_score from 0 to 1, for each row.
 
     `labels` (doc_id, toxic) teach the model, but for rows of the held-out fold; conflicting labels count as toxic.  Null
-    and empty texts get the score of a text without words.  Repeated rows get equal scores.  Null labels and
+    and empty texts, and those without words, get 0.  Repeated rows get equal scores.  Null labels and
     null ids teach nothing.  With no labels, scores are a constant.  A column toxic_score of `docs` is replaced.  An empty table gives no rows.
     """
     keep = [c for c in docs.columns if c != "toxic_score" and (carry is None or c in carry)]

@@ -138,12 +138,6 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for x in batches:
-        raw = [(t or "").encode() for t in x.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([x.column(0), pa.array([len(b) for b in raw], pa.int64()), pa.array([digest_of(b) for b in raw])], names=["page_id", "payload_bytes", "payload_digest"])
-
-
 def _writer(dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = compressor(dictionary)
@@ -154,9 +148,10 @@ def _writer(dictionary: bytes):
 
         for x in batches:
             for r in x.to_pylist():
-                payload = (r["html"] or "").encode() if r["refers_to"] is None else None
+                payload = r["html"].encode() if r["refers_to"] is None else None
+                digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
                 uri = "".join(c for c in r["url"] or "" if c >= " " and c != "\x7f")
-                frame = pack.compress(record("revisit" if r["refers_to"] is not None else "response", r["page_id"], uri, r["payload_bytes"], r["payload_digest"], payload, r["refers_to"]))
+                frame = pack.compress(record("revisit" if r["refers_to"] is not None else "response", r["page_id"], uri, r["payload_bytes"], digest, payload, r["refers_to"]))
                 name = name or f"pages-{r['page_id']}.warc.zst"
                 held.append(frame)
                 size += len(frame)
@@ -187,15 +182,21 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Of records with equal payloads of at least `least_bytes` bytes, that with the largest page_id is the response and the others
     revisit it.  Null html is an empty payload, a null url an empty one.  Rows with a null page_id are left out.  Repeated
-    page_ids: the row with the greatest html stands for them.  Other columns are ignored; an empty table makes no archive.
+    page_ids: the row whose html has the greatest digest stands for them, of equal ones that with the greatest url.  Other columns are ignored; an empty table makes no archive.
     """
-    pages = pages.where("page_id is not null").groupBy("page_id").agg(F.max(F.struct(F.coalesce("html", F.lit("")).alias("html"), "url")).alias("row")).select("page_id", "row.html", "row.url")
-    known = saved(pages.select("page_id", "html").mapInArrow(_digests, f"page_id {pages.schema['page_id'].dataType.simpleString()}, payload_bytes long, payload_digest string"), "digests")
-    first = known.groupBy("payload_digest").agg(F.max("page_id").alias("first"))
+    html = F.coalesce("html", F.lit(""))
+    pages = pages.where("page_id is not null").select("page_id", "url", html.alias("html"))
+    # digests decide, so that the pages themselves are shuffled once
+    known = pages.groupBy("page_id").agg(F.max(F.struct(F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").cast("long").alias("payload_bytes"))).alias("k")).select("page_id", "k.*")
+    known = saved(known, "digests")
+    first = known.groupBy("sha1").agg(F.max("page_id").alias("first"))
     refers = F.when((F.col("payload_bytes") >= least_bytes) & (F.col("page_id") < F.col("first")), F.col("first").cast("string"))
-    known = known.join(first, "payload_digest").select("page_id", "payload_bytes", "payload_digest", refers.alias("refers_to"))
-    rows = pages.join(known, "page_id").select(F.col("page_id").cast("string").alias("page_id"), "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_bytes", "payload_digest", "refers_to")
-    sample = [(r["html"] or "").encode() for r in pages.select("html").limit(SAMPLE_PAGES).collect()]
+    known = known.join(first, "sha1").select("page_id", "payload_bytes", "sha1", refers.alias("refers_to"))
+    # of a page_id's rows, that with the digest in question; as a filter the comparison would become a join key and shuffle the pages once more
+    same = (F.sha1(F.col("html").cast("binary")) == F.col("sha1")).alias("same")
+    best = F.max(F.struct(same, "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_bytes", "sha1", "refers_to")).alias("r")
+    rows = pages.join(known, "page_id").groupBy("page_id").agg(best).select(F.col("page_id").cast("string").alias("page_id"), "r.*").drop("same")
+    sample = [r["html"].encode() for r in pages.select("html").limit(SAMPLE_PAGES).collect()]
     return saved(rows.mapInArrow(_writer(train_dictionary([b for b in sample if b])), "archive string, content binary"), "warc")
 
 
