@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracery.llm import decontam, jaccard, packing, secrets, toxicity
 from tracery.llm.common import saved, table
 
+
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below 0.3; the labels of the input teach the model, on the texts of this stage."""
     scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
@@ -19,9 +20,15 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.75 or more) the document with the smallest doc_id."""
+    """Of each group of near duplicates (five words, similarity 0.75 or more) the document with the smallest doc_id.
+
+    Repeated rows (doc_id and text) stay once; rows without a doc_id can't be told apart and all stay.
+    """
     groups = jaccard.near_duplicates(docs)
-    return docs.join(groups.where("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    firsts = groups.where("component_id = doc_id").select("doc_id").distinct()
+    # the join has dealt the rows out by doc_id already, so that dropping repeats shuffles nothing more
+    kept = docs.join(firsts, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.union(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
