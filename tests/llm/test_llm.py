@@ -467,3 +467,11 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept["secret_scan"][902]["text"].endswith("token=[SECRET]") and kept["secret_scan"][902]["n_chars"] == len(kept["secret_scan"][902]["text"])
     assert set(kept["best_fit_packing"]) == set(kept["secret_scan"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(spark.read.parquet(f"{tmp_path}/4").collect())
+
+
+def test_near_duplicate_stage_of_odd_input(spark, odd_docs, none, tmp_path):
+    got = corpus_pipeline.one_of_each_group(spark, odd_docs, str(tmp_path))
+    assert got.columns == odd_docs.columns
+    # 5 and 6 are one group, 5 is repeated, 1 to 3 have no words, the row without an id stays
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == [(False, 1), (False, 2), (False, 3), (False, 4), (False, 5), (True, 0)]
+    assert corpus_pipeline.one_of_each_group(spark, none, str(tmp_path)).count() == 0
