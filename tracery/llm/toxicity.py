@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, slices, text_or_empty, word_table
 
-#: Bounds of the fit: labelled documents, and bytes of text in them (whole documents, in the order of a hash of the id).
-SAMPLE_DOCS, SAMPLE_BYTES = 3000, 6 << 20
+#: Bounds of the fit, for clean and for toxic documents: how many, and characters in them (whole documents, in the order of a hash of the id).
+SAMPLE_DOCS, SAMPLE_CHARS = (2400, 1200), (3_000_000, 2_000_000)
 BUCKETS, DIM, SEGMENT = 1 << 17, 6, 6
 GRAMS = (3, 4, 5)
 
@@ -150,8 +150,9 @@ class _Softmax:
         return (self.vectors @ w).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def fit(texts: list[str | None], labels: list[int], epochs: int = 6, rounds: int = 25, seed: int = 5) -> Model:
-    """Fit on whole texts.  With one class only, every score is that class's share of the labels, smoothed."""
+def fit(texts: list[str | None], labels: list[int], real: float | None = None, epochs: int = 6, rounds: int = 25, seed: int = 5) -> Model:
+    """Fit on whole texts.  `real` is the share of toxic documents for which scores are calibrated, where the sample's is another one.
+    With one class only, every score is that class's share of the labels, smoothed."""
     y = np.array(labels, np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.05
     if len(set(labels)) < 2:
@@ -194,17 +195,18 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = 6, rounds: int
     w, c = net.flat()
     top, second = highest(logits(w, c, b, bag, base), doc, len(y), c)
     some = np.bincount(doc, minlength=len(y)) > 0
-    return Model(w, c, _calibrated(top[some], second[some], y[some]))
+    real = share if real is None else real
+    return Model(w, c, _calibrated(top[some], second[some], y[some], np.where(y[some] == 1, real / share, (1 - real) / (1 - share))))
 
 
-def _calibrated(top: np.ndarray, second: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """A logistic regression of the label on the two highest logits, by Newton steps; never falling in either."""
+def _calibrated(top: np.ndarray, second: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """A weighted logistic regression of the label on the two highest logits, by Newton steps; never falling in either."""
     x = np.stack([np.ones_like(top), top, second], axis=1)
     w = np.array([0.0, 1.0, 0.0])
     for _ in range(60):
         p = _sigmoid(x @ w)
-        g = x.T @ (p - y) + np.array([0, 0.02, 0.02]) * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.02, 0.02])
+        g = x.T @ (weight * (p - y)) + np.array([0, 0.02, 0.02]) * w
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.02, 0.02])
         w = w - np.clip(np.linalg.solve(h, g), -1, 1)
         w[1:] = np.maximum(w[1:], 0)
     return float(w[0]), float(w[1]), float(w[2])
@@ -214,20 +216,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], list[int]]:
-    """At most SAMPLE_DOCS labelled whole texts outside the held-out fold and at most SAMPLE_BYTES of them, in the order of a hash of the id."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = docs.join(F.broadcast(few), "doc_id").select(text_or_empty().alias("text"), "label", "doc_id")
-    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
-    out, size = ([], []), 0
-    for r in texts.toLocalIterator():
-        size += len(r["text"])
-        if size > SAMPLE_BYTES and out[0]:
-            break
-        out[0].append(r["text"])
-        out[1].append(r["label"])
-    return out
+def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], list[int], float]:
+    """Whole labelled texts outside the held-out fold, bounded for each class by SAMPLE_DOCS and SAMPLE_CHARS, in the order of a hash of the
+    id; their labels; and the share of toxic ones among all labels outside the fold."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
+    n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    few = [known.where(F.col("label") == k).orderBy(*order).limit(most) for k, most in enumerate(SAMPLE_DOCS)]
+    texts = docs.join(F.broadcast(few[0].union(few[1])), "doc_id").select(text_or_empty().alias("text"), "label", "doc_id")
+    out, size = ([], []), [0, 0]
+    for r in texts.orderBy(*order, "text").limit(sum(SAMPLE_DOCS)).toLocalIterator():
+        k = r["label"]
+        size[k] += len(r["text"])
+        if size[k] <= SAMPLE_CHARS[k] or k not in out[1]:
+            out[0].append(r["text"])
+            out[1].append(k)
+    return *out, (toxic + 0.5) / (n + 1)
 
 
 def _score(model: Model):
