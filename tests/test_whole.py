@@ -25,7 +25,8 @@ def uncut(name: str, *cuts: tuple[str, str]) -> str:
 ORDERS = (" WHERE o_orderkey % 5 < 3", "")
 WHOLE = {name: [ORDERS] for name in "j8_label_candidates j11_sdi_match r1_score r2_gates r3_ranking r4_top_k r5_prune_nameless r6_prune_spare r7_tiers r8_evidence j15_refined j16_cases".split()} | {
     "j9_bus_candidates": [ORDERS, (" WHERE CAST(substr(req_id, 2) AS INTEGER) % 25 = 0", "")], "j10_range_candidates": [ORDERS, (" WHERE CAST(substr(req_id, 2) AS INTEGER) % 50 = 0", "")],
-}
+    "j4_located": [(" WHERE ord % 5 = 0", "")],
+} | {name: [("p_partkey % 40) AS sheet", "p_partkey) AS sheet"), (" WHERE p_partkey < 40", "")] for name in ("s2_side_starts", "s3_layer_ranges", "s4_layer_values")}
 
 
 @pytest.mark.parametrize("name", sorted(WHOLE))
@@ -34,3 +35,15 @@ def test_query_covers_all_rows(spark, duck, name):
     theirs = duck.execute(uncut(name, *WHOLE[name])).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows(ours) == rows(theirs)
+
+
+def test_reports_cover_ids_beyond_the_first(spark, tmp_path):
+    """k3 beyond 9,999 parts and k7 beyond 400 users; the smallest tables have neither."""
+    spark.range(9_998, 10_003).selectExpr("id AS p_partkey", "'name' AS p_name").write.parquet(str(tmp_path / "part.parquet"))
+    assert {r["entry_id"] for r in catalogue.queries()["k3_itemised"](spark, str(tmp_path)).collect()} == {"IRD-9998", "IRD-9999", "IRD-10000", "IRD-10001", "IRD-10002"}
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.union(e.withColumn("user_id", (e["user_id"] + 1000).cast(e.schema["user_id"].dataType)).withColumn("event_id", (e["event_id"] + 100_000).cast(e.schema["event_id"].dataType))).write.parquet(str(tmp_path / "events.parquet"))
+    users = {r[0] for r in e.select("user_id").distinct().collect()}
+    got = {r["case_id"]: r["group"] for r in catalogue.queries()["k7_consensus_rows"](spark, str(tmp_path)).collect()}
+    assert set(got) == {f"C{k}" for k in range(400)} | {f"C{u + 1000}" for u in users}
+    assert all(got[f"C{u + 1000}"] != "no match" for u in users)

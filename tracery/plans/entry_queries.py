@@ -224,8 +224,8 @@ CELLS_SQL = """cells AS (SELECT concat('CAN-', p_partkey % 40) AS sheet, CAST(ro
 
 
 def sheet_cells(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 40").selectExpr("*", "explode(sequence(1, 7)) AS row").selectExpr("*", "explode(sequence(0, 5)) AS col")
-    return p.selectExpr("concat('CAN-', p_partkey % 40) AS sheet", "row", "col", """CASE WHEN row = 1 THEN CASE WHEN col = 0 THEN 'Publisher' WHEN col = 4 AND p_partkey % 2 = 0 THEN 'Subscriber' END WHEN row = 2 THEN CASE col WHEN 0 THEN 'Port' WHEN 2 THEN 'DP' WHEN 4 THEN 'RP' END
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("*", "explode(sequence(1, 7)) AS row").selectExpr("*", "explode(sequence(0, 5)) AS col")
+    return p.selectExpr("concat('CAN-', p_partkey) AS sheet", "row", "col", """CASE WHEN row = 1 THEN CASE WHEN col = 0 THEN 'Publisher' WHEN col = 4 AND p_partkey % 2 = 0 THEN 'Subscriber' END WHEN row = 2 THEN CASE col WHEN 0 THEN 'Port' WHEN 2 THEN 'DP' WHEN 4 THEN 'RP' END
       WHEN row = 3 THEN CASE col WHEN 1 THEN 'Size' WHEN 3 THEN 'Unit' WHEN 5 THEN ' ' ELSE 'Name' END WHEN (row + col) % 5 > 0 THEN concat(p_brand, row, col) END AS value""")
 
 

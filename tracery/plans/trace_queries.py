@@ -55,7 +55,7 @@ def j3(spark, sf_dir):
 
 @query("j4_located", f"{ENT}, {NAMES_SQL}, k AS (SELECT {BLOCK_SQL} AS block_key, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM entry WHERE ord % 5 = 0 GROUP BY 1) SELECT parent_id, spec_name, coalesce(paths, '') AS paths FROM (SELECT *, {BLOCK_SQL.replace('path', 'spec_name')} AS block_key FROM n) LEFT JOIN k USING (block_key)")
 def j4(spark, sf_dir):
-    return X.located(_names(spark, sf_dir), I.entries(spark, sf_dir).where("ord % 5 = 0")).select("parent_id", "spec_name", F.array_join("paths", ",").alias("paths"))
+    return X.located(_names(spark, sf_dir), I.entries(spark, sf_dir)).select("parent_id", "spec_name", F.array_join("paths", ",").alias("paths"))
 
 
 @query("j5_traced_pool", f"{ENT}, k AS (SELECT ord, {BLOCK_SQL} AS block_key FROM entry) SELECT ord FROM k WHERE block_key IN (SELECT block_key FROM k WHERE ord % 400 = 0)")
