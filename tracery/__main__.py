@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     if a.kind == "req_to_spec":
         out = runs.req_to_spec(spark, entries, reqs, rules.words(), a.out)
     else:
-        out = runs.spec_to_req(spark, entries, reqs, a.out, noise=rules.noise)
+        out = runs.spec_to_req(spark, entries, reqs, a.out, noise=rules.noise, words=rules.words())
     out.groupBy("status" if a.kind == "req_to_spec" else "coverage_status").count().show()
 
 

@@ -16,6 +16,7 @@ from ..functions import bits as B
 from ..functions import text as T
 from ..operators import cluster, coverage, match, report, trace, verdict
 from ..operators import entries as E
+from ..sources.rulesets import Ruleset
 
 
 class Run:
@@ -47,20 +48,37 @@ class Run:
 def annotated(reqs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     """Requirements (req_id, content) with what their texts say: labels, category, direction, sdi, bit fields, names, tokens."""
     c = T.repaired_names(F.col("content"))
+    named = F.array_distinct(F.regexp_extract_all(c, F.lit("([A-Za-z][A-Za-z0-9_]*)"), F.lit(1)))
     return reqs.withColumns({
         "labels": T.labels(c), "category": T.category(c, words["analog"], words["discrete"], words["bus"]), "r_direction": T.direction(c, words["strong_send"], words["strong_receive"], words["send"], words["receive"]),
         "r_sdi": T.sdi_all(c), "r_fields": F.transform(B.bit_fields(c), lambda f: F.struct(f["offset"].alias("offset"), f["size"].alias("size"))), "r_tokens": F.transform(T.text_identifiers(c, words.get("noise", ())), F.lower),
+        "r_named": F.transform(named, F.upper), "r_words": F.transform(T.text_identifiers(c, words.get("noise", ())), F.upper),
         "r_channel": F.lit(""), "r_devices": F.array().cast("array<string>"), "r_buses": F.array().cast("array<string>"),
     })
 
 
+def block_paths(leaves: DataFrame) -> DataFrame:
+    """(block_key, protocol, devices, parents, channels) of blocks, from the paths and buses of their leaf entries; devices are first segments, parents those between it and the leaf."""
+    seg = F.split(F.upper("path"), "\\.")
+    e = leaves.select(
+        T.block_key(F.col("path")).alias("block_key"), T.protocol(F.coalesce("bus", F.lit("")), F.col("path")).alias("protocol"), F.when(F.size(seg) > 1, F.array(seg[0])).otherwise(F.array().cast("array<string>")).alias("devices"),
+        F.filter(F.slice(seg, 2, F.greatest(F.size(seg) - 2, F.lit(0))), lambda s: ~s.rlike("^L[0-9]+") & (F.length(s) >= 3)).alias("parents"), T.channels(F.upper("path")).alias("channels"))
+    return e.groupBy("block_key").agg(F.min("protocol").alias("protocol"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in ("devices", "parents", "channels")))
+
+
+def _fields():
+    number = lambda k: F.col("attrs")[k].try_cast("int")
+    return F.when(number("BitOffset").isNull(), F.array().cast("array<struct<offset: int, size: int>>")).otherwise(F.array(F.struct(number("BitOffset").alias("offset"), F.coalesce(number("ParameterSize"), F.lit(1)).alias("size"))))
+
+
+def _sdi():
+    return F.filter(F.split(F.coalesce(F.col("attrs")["SDI"], F.lit("")), "/"), lambda s: s != "")
+
+
 def block_sides(blocks: DataFrame) -> DataFrame:
     """Blocks with the columns that the score reads."""
-    number = lambda k: F.col("attrs")[k].try_cast("int")
-    field = F.when(number("BitOffset").isNull(), F.array().cast("array<struct<offset: int, size: int>>")).otherwise(F.array(F.struct(number("BitOffset").alias("offset"), F.coalesce(number("ParameterSize"), F.lit(1)).alias("size"))))
-    sdi = F.filter(F.split(F.coalesce(F.col("attrs")["SDI"], F.lit("")), "/"), lambda s: s != "")
     return blocks.select(
-        "block_key", "label", F.col("direction").alias("b_direction"), F.col("tokens").alias("b_tokens"), field.alias("b_fields"), sdi.alias("b_sdi"), F.coalesce(F.col("attrs")["DataFormatType"], F.lit("")).alias("b_format"),
+        "block_key", "label", F.col("direction").alias("b_direction"), F.col("tokens").alias("b_tokens"), _fields().alias("b_fields"), _sdi().alias("b_sdi"), F.coalesce(F.col("attrs")["DataFormatType"], F.lit("")).alias("b_format"),
         F.array().cast("array<string>").alias("b_devices"), F.lit("").alias("b_channel"), F.col("buses").alias("b_buses"), F.col("ord").alias("block_ord"), F.lit(False).alias("is_protocol"), F.lit(False).alias("is_spare"),
     )
 
@@ -88,35 +106,54 @@ def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words:
     return out
 
 
-def spec_to_req(spark: SparkSession, entries: DataFrame, reqs: DataFrame, folder: str, traced: DataFrame | None = None, noise: tuple[str, ...] = (), review: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def spec_to_req(spark: SparkSession, entries: DataFrame, reqs: DataFrame, folder: str, traced: DataFrame | None = None, noise: tuple[str, ...] = (), review: Callable[[DataFrame], DataFrame] | None = None, words: dict[str, list[str]] | None = None) -> DataFrame:
     """(block_key, coverage_status, source, matched, rule_level, analysis_status) for every block; with `traced` (parent_id, spec_name, req_id, ord) only for the
-    blocks in its scope.  `review` turns (block_key, matched) into (block_key, verdict, matched_ids, rejected_ids)."""
+    blocks in its scope.  `review` turns (block_key, matched) of every block that needs it into (block_key, verdict, matched_ids, rejected_ids); `matched` has the first
+    coverage.SHOWN candidates.  `words` is a ruleset's, for categories and generic terms."""
     run = Run(spark, folder)
+    words = words or Ruleset("default").words()
+    general = F.col("token").isin([w.upper() for w in words.get("generic", ())])
     run.manifest({"kind": "spec_to_req", "trace": traced is not None}, "running")
     none = F.array().cast("array<string>")
 
     def make_blocks() -> DataFrame:
-        b = cluster.blocks(cluster.profiles(E.leaves(E.with_value(entries)))).select("block_key", "label", "family", F.transform("tokens", F.upper).alias("tokens"))
+        e = E.leaves(E.with_value(entries))
+        b = cluster.blocks(cluster.profiles(e)).join(block_paths(e), "block_key").select(
+            "block_key", "label", "family", F.transform("tokens", F.upper).alias("tokens"), "protocol", "devices", "parents", _fields().alias("fields"), _sdi().alias("sdi"))
         if traced is None:
-            return b.withColumn("missing", none)
+            return b.withColumns({"missing": none, "candidates": none})
         s = trace.scope(traced.select("parent_id", "spec_name").distinct(), traced.select("parent_id", "req_id", "ord"), reqs).withColumn("block_key", T.block_key(F.col("spec_name")))
-        lost = s.groupBy("block_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("missing")))).alias("missing"))
+        s = coverage.trace_recall(s)
+        lost = s.groupBy("block_key").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("missing", "candidates")))
         return b.join(lost, "block_key")
 
     blocks = run.stage("blocks", make_blocks)
     index = run.stage("index", lambda: coverage.token_index(reqs, T.text_identifiers(F.col("content"), noise)))
-    labels = reqs.select("req_id", T.labels(F.col("content")).alias("labels"))
-    found = coverage.recall(blocks, index)
-    by_label = labels.select("req_id", F.explode("labels").alias("label")).distinct().join(blocks.where("label <> ''").select("label", "block_key"), "label").select("block_key", "req_id")
-    pairs = found.join(by_label.withColumn("hit", F.lit(True)), ["block_key", "req_id"], "full").join(blocks.select("block_key", "label", "family"), "block_key").join(labels, "req_id")
-    names = index.select("req_id", F.col("token").alias("family"), F.lit(True).alias("full_name")).distinct()
-    pairs = pairs.join(names, ["req_id", "family"], "left").withColumns({"overlap": F.coalesce("overlap", F.lit(0)), "hit": F.coalesce("hit", F.lit(False)), "full_name": F.coalesce("full_name", F.lit(False))})
-    pairs = pairs.withColumn("rank", F.struct(-F.col("overlap"), "req_id"))
-    clash = (F.col("label") != "") & (F.size("labels") > 0) & ~F.array_contains("labels", F.col("label"))
+    said = annotated(reqs, {"strong_send": [], "strong_receive": [], "send": [], "receive": []} | words).select("req_id", "labels", F.col("category").alias("r_category"), "r_sdi", "r_fields", F.col("r_named").alias("r_devices"), "r_words")
+    token = blocks.select("block_key", F.explode(F.array_distinct("tokens")).alias("token")).join(index, "token")
+    found = token.groupBy("block_key", "req_id").agg(
+        F.count_distinct(F.when(~general, F.col("token"))).alias("overlap"), F.count_distinct(F.when(general, F.col("token"))).alias("generic"), F.max(~general & (T.specificity(F.col("token")) == "precise")).alias("distinctive"))
+    by_label = said.select("req_id", F.explode("labels").alias("label")).join(blocks.where("label <> ''").select("label", "block_key"), "label").select("block_key", "req_id", F.lit(True).alias("hit"))
+    by_trace = blocks.select("block_key", F.explode("candidates").alias("req_id"), F.lit(True).alias("in_trace"))
+    names = index.where(~general).select("req_id", F.col("token").alias("family")).distinct().join(blocks.select("block_key", "family"), "family").select("block_key", "req_id", F.lit(True).alias("full_name"))
+    pairs = found
+    for more in (by_label, by_trace, names):
+        pairs = pairs.join(more, ["block_key", "req_id"], "full")
     no = F.lit(False)
-    pairs = pairs.withColumn("level", coverage.level(clash, F.col("full_name"), F.col("hit"), F.col("overlap"), no, no, F.lit(0), no))
+    pairs = pairs.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("overlap", "generic")} | {c: F.coalesce(c, no) for c in ("distinctive", "hit", "in_trace", "full_name")})
+    # the SDI tells blocks of a label apart only where they differ in it
+    split = blocks.where("label <> ''").select("label", F.explode("sdi").alias("s")).where("s <> 'NA'").groupBy("label").agg((F.count_distinct("s") > 1).alias("by_sdi"))
+    pairs = pairs.join(blocks.drop("tokens", "missing", "candidates").join(split, "label", "left"), "block_key").join(said, "req_id").withColumn("rank", F.struct(-F.col("overlap"), "req_id"))
+    # devices tell unlabelled blocks apart; bits do only where no name is shared
+    device = lambda c: F.filter(c, lambda d: d.rlike("^[A-Z]{2,}[0-9]+$"))
+    meant, context = (F.col("overlap") > 0) | F.col("full_name"), F.col("hit") | F.arrays_overlap("devices", "r_words") | F.arrays_overlap("parents", "r_words")
+    pairs = coverage.conflict(pairs.withColumns({
+        "r_labels": F.col("labels"), "b_label": F.col("label"), "b_protocol": F.col("protocol"), "context": context, "b_devices": F.when(F.col("label") == "", device("devices")).otherwise(none), "r_devices": device("r_devices"),
+        "b_sdi": F.when(F.coalesce("by_sdi", no), F.col("sdi")).otherwise(none), "b_fields": F.when(meant, F.array().cast("array<struct<offset: int, size: int>>")).otherwise(F.col("fields")),
+    }))
+    pairs = pairs.withColumn("level", coverage.level(F.col("conflict"), F.col("full_name"), F.col("hit"), F.col("overlap"), F.col("distinctive"), F.col("context"), F.col("generic"), F.col("in_trace")))
     rules = run.stage("rules", lambda: coverage.deterministic(blocks, pairs.select("block_key", "req_id", "rank", "level")))
-    asked = rules.where("needs_ai and not truncated").select("block_key", "matched")
+    asked = rules.where("needs_ai").select("block_key", F.slice("matched", 1, coverage.SHOWN).alias("matched"))
     reviews = review(asked) if review else spark.createDataFrame([], "block_key string, verdict string, matched_ids array<string>, rejected_ids array<string>")
     reviews = run.stage("reviews", lambda: reviews)
     out = run.stage("coverage", lambda: coverage.consolidated(blocks, rules, reviews))

@@ -22,6 +22,7 @@ class Ruleset:
     send: tuple[str, ...] = ("send",)
     receive: tuple[str, ...] = ("receive",)
     noise: tuple[str, ...] = ()
+    generic: tuple[str, ...] = ()
     excluded_attributes: tuple[str, ...] = ()
     extra: dict = field(default_factory=dict, hash=False)
 
