@@ -43,3 +43,24 @@ def test_levels_take_all_evidence(spark, tmp_path):
     plain = level(None, "a")
     assert plain == {"ALTITUDE": "exact_fullname", "PRESSURE_X": "not_same_object", "STATUS_Y": "generic_only", "QUANTITY_Z": "not_same_object", "OTHER_W": "none", "LONGWORD_V": "distinctive_signal"}
     assert level(traced, "b") == plain | {"STATUS_Y": "parent_referenced", "OTHER_W": "parent_referenced"}
+
+
+def test_unlabelled_requirements_find_blocks(spark, tmp_path):
+    """By bus, device and channel, and protocol families by name or bits; other buses are gated."""
+    facts = spark.createDataFrame([
+        _leaf(0, "PumpUnit.Port.B2_PRESSURE_VALUE", "BitOffset", "3", "CAN1"), _leaf(1, "PumpUnit.Port.PRESSURE_OTHER", "BitOffset", "3", "CAN2"),
+        _leaf(2, "Dev.Port.L050_W.L050_1_A1_SDI", "BitOffset", "9"), _leaf(3, "Dev.Port.L050_W.L050_1_A1_SSM", "BitOffset", "30"),
+    ], ENTRY)
+    reqs = spark.createDataFrame([("R1", "The PumpUnit shall transmit PRESSURE_VALUE on CAN1, channel B2"), ("R2", "Other text"), ("R3", "The unit shall set the SDI"), ("R4", "Label L050 of PumpUnit")], "req_id string, content string")
+    out = {r["req_id"]: r["status"] for r in runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path)).collect()}
+    assert out["R1"] == "matched" and out["R2"] == "unmatched" and out["R3"] == "uncertain"
+    s = {(r["req_id"], r["block_key"]): r for r in spark.read.parquet(str(tmp_path / "scored")).collect()}
+    assert set(s) == {("R1", "Port/B2_PRESSURE_VALUE"), ("R3", "L050/SDI")}
+    one = s["R1", "Port/B2_PRESSURE_VALUE"]
+    assert (one["d_device"], one["d_channel"]) == (7, 10)
+
+
+def test_protocol_families_by_bits(spark):
+    side = spark.createDataFrame([("L050/SDI", "L050", "SDI", True, [(8, 2)], []), ("L050/SSM", "L050", "SSM", True, [(29, 2)], [])], "block_key string, label string, family string, is_protocol boolean, b_fields array<struct<offset: int, size: int>>, b_buses array<string>")
+    req = spark.createDataFrame([("R1", [], [(9, 1)], [], []), ("R2", ["L050"], [], ["SSM"], [])], "req_id string, labels array<string>, r_fields array<struct<offset: int, size: int>>, r_protocols array<string>, bus_types array<string>")
+    assert {tuple(r) for r in runs.candidates(req, side).collect()} == {("R1", "L050/SDI"), ("R2", "L050/SSM")}

@@ -48,15 +48,40 @@ class Run:
 def annotated(reqs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     """Requirements (req_id, content) with what their texts say: labels, category, direction, sdi, bit fields, names, tokens."""
     c = T.repaired_names(F.col("content"))
+    families = [w.upper() for w in words.get("protocol", Ruleset("default").protocol)]
     named = F.array_distinct(F.regexp_extract_all(c, F.lit("([A-Za-z][A-Za-z0-9_]*)"), F.lit(1)))
     return reqs.withColumns({
         "labels": T.labels(c), "category": T.category(c, words["analog"], words["discrete"], words["bus"]), "r_direction": T.direction(c, words["strong_send"], words["strong_receive"], words["send"], words["receive"]),
         "r_sdi": T.sdi_all(c), "r_fields": F.transform(B.bit_fields(c), lambda f: F.struct(f["offset"].alias("offset"), f["size"].alias("size"))), "r_tokens": F.transform(T.text_identifiers(c, words.get("noise", ())), F.lower),
-        "r_named": F.transform(named, F.upper), "r_words": F.transform(T.text_identifiers(c, words.get("noise", ())), F.upper),
-        "r_channel": F.lit(""), "r_devices": F.array().cast("array<string>"), "r_buses": F.array().cast("array<string>"),
+        "r_words": F.transform(T.text_identifiers(c, words.get("noise", ())), F.upper),
+        "r_channels": T.channels(F.upper(c)), "r_devices": F.transform(named, F.upper), "r_protocols": F.array_intersect(F.transform(named, F.upper), F.array(*map(F.lit, families)).cast("array<string>")),
     })
 
 
+def stated_buses(req: DataFrame, side: DataFrame, words: dict[str, list[str]]) -> DataFrame:
+    """`r_buses`: the blocks' buses that a requirement names, or whose name begins with a bus word of the ruleset that it has; `bus_types` has also those of its category."""
+    known = side.select(F.explode("b_buses").alias("bus")).agg(F.array_sort(F.collect_set("bus")).alias("known"))
+    said = F.regexp_extract_all(F.col("content"), F.lit("([A-Za-z0-9][A-Za-z0-9_]*)"), F.lit(1))
+    stated = F.array_intersect(F.array(*map(F.lit, words["bus"])).cast("array<string>"), said)
+    names = F.filter("known", lambda k: F.array_contains(said, k) | F.exists(stated, lambda w: F.startswith(k, w)))
+    kind = F.filter("known", lambda k: F.col("category").isin("analog", "discrete") & F.contains(F.lower(k), F.col("category")))
+    return req.crossJoin(F.broadcast(known)).withColumn("r_buses", names).withColumn("bus_types", F.array_union("r_buses", kind)).drop("known")
+
+
+def candidates(req: DataFrame, side: DataFrame) -> DataFrame:
+    """(req_id, block_key): by label, by bus, and protocol families that a requirement without labels names or whose bits it gives; a protocol family that it neither names
+    nor overlaps is no candidate."""
+    field = lambda df, key, c: df.select(key, F.explode(c).alias("f")).select(key, "f.offset", "f.size")
+    protocol = side.where("is_protocol").select("block_key", "family", "b_fields")
+    bare = req.where(F.size("labels") == 0)
+    by_bits = match.range_candidates(field(req, "req_id", "r_fields"), field(protocol, "block_key", "b_fields"))
+    by_name = req.select("req_id", F.explode("r_protocols").alias("family")).join(protocol, "family").select("req_id", "block_key")
+    eligible = by_bits.union(by_name).distinct()
+    found = match.label_candidates(req, side).union(match.bus_candidates(req, side.withColumn("buses", F.col("b_buses"))))
+    plain = found.join(side.where("not is_protocol").select("block_key"), "block_key", "left_semi").select("req_id", "block_key")
+    return plain.union(found.join(eligible, ["req_id", "block_key"], "left_semi").select("req_id", "block_key")).union(eligible.join(bare.select("req_id"), "req_id", "left_semi").select("req_id", "block_key")).distinct()
+
+
 def block_paths(leaves: DataFrame) -> DataFrame:
     """(block_key, protocol, devices, parents, channels) of blocks, from the paths and buses of their leaf entries; devices are first segments, parents those between it and the leaf."""
     seg = F.split(F.upper("path"), "\\.")
@@ -75,11 +100,13 @@ def _sdi():
     return F.filter(F.split(F.coalesce(F.col("attrs")["SDI"], F.lit("")), "/"), lambda s: s != "")
 
 
-def block_sides(blocks: DataFrame) -> DataFrame:
+def block_sides(blocks: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     """Blocks with the columns that the score reads."""
+    family = F.upper("family")
+    protocol = family.isin([w.upper() for w in words.get("protocol", Ruleset("default").protocol)])
     return blocks.select(
         "block_key", "label", F.col("direction").alias("b_direction"), F.col("tokens").alias("b_tokens"), _fields().alias("b_fields"), _sdi().alias("b_sdi"), F.coalesce(F.col("attrs")["DataFormatType"], F.lit("")).alias("b_format"),
-        F.array().cast("array<string>").alias("b_devices"), F.lit("").alias("b_channel"), F.col("buses").alias("b_buses"), F.col("ord").alias("block_ord"), F.lit(False).alias("is_protocol"), F.lit(False).alias("is_spare"),
+        F.col("devices").alias("b_devices"), F.col("channels").alias("b_channels"), F.filter("buses", lambda b: b != "").alias("b_buses"), F.col("ord").alias("block_ord"), family.alias("family"), protocol.alias("is_protocol"), F.lit(False).alias("is_spare"),
     )
 
 
@@ -87,11 +114,13 @@ def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words:
     """(req_id, status, top, agreement, stars, review) for every requirement; unmatched ones have no verdicts."""
     run = Run(spark, folder)
     run.manifest({"kind": "req_to_spec", "providers": list(providers), "k": k}, "running")
-    blocks = run.stage("blocks", lambda: cluster.blocks(cluster.profiles(E.leaves(E.with_value(entries)))))
-    req = run.stage("annotations", lambda: annotated(reqs, words))
-    side = block_sides(blocks)
-    pairs = match.label_candidates(req, side).union(match.bus_candidates(req.withColumn("bus_types", F.col("r_buses")), side.withColumn("buses", F.col("b_buses")))).distinct()
-    scored = run.stage("scored", lambda: match.score(pairs.join(req.withColumn("r_category", F.col("category")), "req_id").join(side, "block_key")))
+    leaves = E.leaves(E.with_value(entries))
+    blocks = run.stage("blocks", lambda: cluster.blocks(cluster.profiles(leaves)).join(block_paths(leaves), "block_key"))
+    side = block_sides(blocks, words)
+    req = run.stage("annotations", lambda: stated_buses(annotated(reqs, words), side, words))
+    both = candidates(req, side).join(req.withColumn("r_category", F.col("category")), "req_id").join(side, "block_key")
+    channel = F.coalesce(F.get(F.array_intersect("r_channels", "b_channels"), F.lit(0)), F.lit(""))
+    scored = run.stage("scored", lambda: match.score(both.withColumns({"r_channel": channel, "b_channel": channel})))
     gated = match.gated(scored)
     tiers = run.stage("tiers", lambda: match.tiers(req, gated, scored))
     kept = match.prune_spare(match.prune_nameless(match.top_k(gated, k)))
@@ -129,7 +158,7 @@ def spec_to_req(spark: SparkSession, entries: DataFrame, reqs: DataFrame, folder
 
     blocks = run.stage("blocks", make_blocks)
     index = run.stage("index", lambda: coverage.token_index(reqs, T.text_identifiers(F.col("content"), noise)))
-    said = annotated(reqs, {"strong_send": [], "strong_receive": [], "send": [], "receive": []} | words).select("req_id", "labels", F.col("category").alias("r_category"), "r_sdi", "r_fields", F.col("r_named").alias("r_devices"), "r_words")
+    said = annotated(reqs, {"strong_send": [], "strong_receive": [], "send": [], "receive": []} | words).select("req_id", "labels", F.col("category").alias("r_category"), "r_sdi", "r_fields", "r_devices", "r_words")
     token = blocks.select("block_key", F.explode(F.array_distinct("tokens")).alias("token")).join(index, "token")
     found = token.groupBy("block_key", "req_id").agg(
         F.count_distinct(F.when(~general, F.col("token"))).alias("overlap"), F.count_distinct(F.when(general, F.col("token"))).alias("generic"), F.max(~general & (T.specificity(F.col("token")) == "precise")).alias("distinctive"))

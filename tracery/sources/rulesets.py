@@ -23,6 +23,7 @@ class Ruleset:
     receive: tuple[str, ...] = ("receive",)
     noise: tuple[str, ...] = ()
     generic: tuple[str, ...] = ()
+    protocol: tuple[str, ...] = ("SDI", "SSM", "LABEL", "PARITY")
     excluded_attributes: tuple[str, ...] = ()
     extra: dict = field(default_factory=dict, hash=False)
 
