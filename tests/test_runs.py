@@ -55,7 +55,7 @@ def test_unlabelled_requirements_find_blocks(spark, tmp_path):
     out = {r["req_id"]: r["status"] for r in runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path)).collect()}
     assert out["R1"] == "matched" and out["R2"] == "unmatched" and out["R3"] == "uncertain"
     s = {(r["req_id"], r["block_key"]): r for r in spark.read.parquet(str(tmp_path / "scored")).collect()}
-    assert set(s) == {("R1", "Port/B2_PRESSURE_VALUE"), ("R3", "L050/SDI")}
+    assert {k for k, r in s.items() if r["eligible"]} == {("R1", "Port/B2_PRESSURE_VALUE"), ("R3", "L050/SDI")} and out["R4"] == "uncertain"
     one = s["R1", "Port/B2_PRESSURE_VALUE"]
     assert (one["d_device"], one["d_channel"]) == (7, 10)
 
@@ -63,4 +63,20 @@ def test_unlabelled_requirements_find_blocks(spark, tmp_path):
 def test_protocol_families_by_bits(spark):
     side = spark.createDataFrame([("L050/SDI", "L050", "SDI", True, [(8, 2)], []), ("L050/SSM", "L050", "SSM", True, [(29, 2)], [])], "block_key string, label string, family string, is_protocol boolean, b_fields array<struct<offset: int, size: int>>, b_buses array<string>")
     req = spark.createDataFrame([("R1", [], [(9, 1)], [], []), ("R2", ["L050"], [], ["SSM"], [])], "req_id string, labels array<string>, r_fields array<struct<offset: int, size: int>>, r_protocols array<string>, bus_types array<string>")
-    assert {tuple(r) for r in runs.candidates(req, side).collect()} == {("R1", "L050/SDI"), ("R2", "L050/SSM")}
+    assert {tuple(r) for r in runs.candidates(req, side).where("eligible").select("req_id", "block_key").collect()} == {("R1", "L050/SDI"), ("R2", "L050/SSM")}
+
+
+def test_listed_blocks_stay_beyond_the_best(spark, tmp_path):
+    """One place for the best; the second listed block stays, the spare one goes, an unlabelled one is recovered, and raters that differ are asked again."""
+    at = lambda n: f"Dev.Port.L050_W.L050_1_A1_{n}"
+    facts = spark.createDataFrame([_leaf(0, at("PUMP_FLOW")), _leaf(1, at("PUMP_SPEED")), _leaf(2, at("SPARE_PUMP")), _leaf(3, "Dev.Port.PUMP_TEMP")], ENTRY)
+    reqs = spark.createDataFrame([("R1", "The unit shall transmit L050 PUMP_FLOW, PUMP_SPEED and PUMP_TEMP")], "req_id string, content string")
+
+    def rater(provider, prompt):
+        return ("covered", "", 1.0) if "=" in prompt or provider == "alpha" else ("inconsistent" if provider == "beta" else "needs_review", "", 1.0)
+
+    out = runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path), rater=rater, k=1).first()
+    got = {r["block_key"] for r in spark.read.parquet(str(tmp_path / "refined")).collect()}
+    assert got == {"L050/PUMP_FLOW", "L050/PUMP_SPEED", "Port/PUMP_TEMP"}
+    assert spark.read.parquet(str(tmp_path / "second_verdicts")).count() == 3
+    assert (out["agreement"], out["stars"]) == ("full", 5)

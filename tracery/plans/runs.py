@@ -53,7 +53,7 @@ def annotated(reqs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     return reqs.withColumns({
         "labels": T.labels(c), "category": T.category(c, words["analog"], words["discrete"], words["bus"]), "r_direction": T.direction(c, words["strong_send"], words["strong_receive"], words["send"], words["receive"]),
         "r_sdi": T.sdi_all(c), "r_fields": F.transform(B.bit_fields(c), lambda f: F.struct(f["offset"].alias("offset"), f["size"].alias("size"))), "r_tokens": F.transform(T.text_identifiers(c, words.get("noise", ())), F.lower),
-        "r_words": F.transform(T.text_identifiers(c, words.get("noise", ())), F.upper),
+        "listed": T.listed_names(c, [w.upper() for w in words.get("noise", ())]), "r_words": F.transform(T.text_identifiers(c, words.get("noise", ())), F.upper),
         "r_channels": T.channels(F.upper(c)), "r_devices": F.transform(named, F.upper), "r_protocols": F.array_intersect(F.transform(named, F.upper), F.array(*map(F.lit, families)).cast("array<string>")),
     })
 
@@ -69,17 +69,19 @@ def stated_buses(req: DataFrame, side: DataFrame, words: dict[str, list[str]]) -
 
 
 def candidates(req: DataFrame, side: DataFrame) -> DataFrame:
-    """(req_id, block_key): by label, by bus, and protocol families that a requirement without labels names or whose bits it gives; a protocol family that it neither names
-    nor overlaps is no candidate."""
+    """(req_id, block_key, eligible): by label, by bus, and protocol families that a requirement without labels names or whose bits it gives; a label's protocol family that it
+    neither names nor overlaps is not eligible."""
     field = lambda df, key, c: df.select(key, F.explode(c).alias("f")).select(key, "f.offset", "f.size")
     protocol = side.where("is_protocol").select("block_key", "family", "b_fields")
     bare = req.where(F.size("labels") == 0)
     by_bits = match.range_candidates(field(req, "req_id", "r_fields"), field(protocol, "block_key", "b_fields"))
     by_name = req.select("req_id", F.explode("r_protocols").alias("family")).join(protocol, "family").select("req_id", "block_key")
     eligible = by_bits.union(by_name).distinct()
-    found = match.label_candidates(req, side).union(match.bus_candidates(req, side.withColumn("buses", F.col("b_buses"))))
-    plain = found.join(side.where("not is_protocol").select("block_key"), "block_key", "left_semi").select("req_id", "block_key")
-    return plain.union(found.join(eligible, ["req_id", "block_key"], "left_semi").select("req_id", "block_key")).union(eligible.join(bare.select("req_id"), "req_id", "left_semi").select("req_id", "block_key")).distinct()
+    by_label = match.label_candidates(req, side)
+    by_bus = match.bus_candidates(req, side.where("not is_protocol").withColumn("buses", F.col("b_buses")))
+    found = by_label.union(by_bus).union(eligible.join(bare.select("req_id"), "req_id", "left_semi").select("req_id", "block_key")).distinct()
+    known = eligible.withColumn("_named", F.lit(True))
+    return found.join(side.select("block_key", "is_protocol"), "block_key").join(known, ["req_id", "block_key"], "left").select("req_id", "block_key", (~F.col("is_protocol") | F.col("_named").isNotNull()).alias("eligible"))
 
 
 def block_paths(leaves: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def block_sides(blocks: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     protocol = family.isin([w.upper() for w in words.get("protocol", Ruleset("default").protocol)])
     return blocks.select(
         "block_key", "label", F.col("direction").alias("b_direction"), F.col("tokens").alias("b_tokens"), _fields().alias("b_fields"), _sdi().alias("b_sdi"), F.coalesce(F.col("attrs")["DataFormatType"], F.lit("")).alias("b_format"),
-        F.col("devices").alias("b_devices"), F.col("channels").alias("b_channels"), F.filter("buses", lambda b: b != "").alias("b_buses"), F.col("ord").alias("block_ord"), family.alias("family"), protocol.alias("is_protocol"), F.lit(False).alias("is_spare"),
+        F.col("devices").alias("b_devices"), F.col("channels").alias("b_channels"), F.filter("buses", lambda b: b != "").alias("b_buses"), F.col("ord").alias("block_ord"), family.alias("family"), protocol.alias("is_protocol"), F.startswith(family, F.lit("SPAR")).alias("is_spare"),
     )
 
 
@@ -121,15 +123,41 @@ def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words:
     both = candidates(req, side).join(req.withColumn("r_category", F.col("category")), "req_id").join(side, "block_key")
     channel = F.coalesce(F.get(F.array_intersect("r_channels", "b_channels"), F.lit(0)), F.lit(""))
     scored = run.stage("scored", lambda: match.score(both.withColumns({"r_channel": channel, "b_channel": channel})))
-    gated = match.gated(scored)
+    gated = match.gated(scored.where("eligible"))
     tiers = run.stage("tiers", lambda: match.tiers(req, gated, scored))
-    kept = match.prune_spare(match.prune_nameless(match.top_k(gated, k)))
+    # beyond the k best stay protocol families that the text names and blocks whose names it lists
+    listed = F.exists("listed", lambda n: (F.col("family") == n) | F.startswith(F.col("family"), F.concat(n, F.lit("_"))))
+    exempt = (F.col("is_protocol") & F.array_contains("r_protocols", F.col("family"))) | listed
+    kept = match.prune_spare(match.prune_nameless(match.top_k(gated, k, exempt)))
+    names = req.select("req_id", F.explode("listed").alias("name"))
+    synonyms = spark.createDataFrame([(a, b) for a, many in words.get("synonyms", {}).items() for b in many], "name string, alias string")
+    refined = run.stage("refined", lambda: match.refined(kept.select("req_id", "block_key", F.col("family").alias("leaf")), names, side.select("block_key", F.col("family").alias("leaf")), synonyms))
+    # blocks of the listed names where there are any, those that the best ones missed too; else the kept ones
+    missed = refined.where("how = 'recovered'").join(req.withColumn("r_category", F.col("category")), "req_id").join(side, "block_key").withColumns({"r_channel": channel, "b_channel": channel})
+    late = match.ranked(match.score(missed)).withColumn("rn", F.lit(1_000_000) + F.col("rn"))
+    cols = ["req_id", "rn", "block_key", "total", *match.DIMENSIONS]
+    chosen = kept.join(refined.where("how <> 'recovered'"), ["req_id", "block_key"], "left_semi").union(kept.join(refined.select("req_id").distinct(), "req_id", "left_anti").select(kept.columns))
+    kept = chosen.select(cols).union(late.select(cols))
     prompt = F.concat_ws("\n", "content", F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["block_key"], e["total"])), "\n"))
     cases = match.evidence(kept).join(tiers.where("status <> 'unmatched'"), "req_id").join(req.select("req_id", "content"), "req_id").select(F.col("req_id").alias("case_id"), prompt.alias("prompt"))
     raters = spark.createDataFrame(list(zip(providers, range(len(providers)), strict=True)), "provider string, provider_ord int")
     verdicts = run.stage("verdicts", lambda: verdict.judged(cases, raters, rater))
-    agreed = verdict.agreement(verdicts)
-    consensus = verdict.capped(agreed.withColumn("stars", verdict.stars(F.col("agreement"), F.when(F.col("agreement") == "full", F.array().cast("array<string>")).otherwise(F.array(F.lit("key"))))))
+
+    def consensus_of(given: DataFrame) -> DataFrame:
+        agreed = verdict.agreement(given)
+        return verdict.capped(agreed.withColumn("stars", verdict.stars(F.col("agreement"), F.when(F.col("agreement") == "full", F.array().cast("array<string>")).otherwise(F.array(F.lit("key"))))))
+
+    def again() -> DataFrame:
+        """Verdicts of the second round: each rater of a case of few stars sees what its peers said."""
+        asked = verdict.second_round(consensus_of(verdicts), verdicts).join(cases, "case_id").withColumn("prompt", F.concat_ws("\n", "prompt", "peers"))
+        out = verdicts.limit(0)
+        for p in providers:
+            out = out.union(verdict.judged(asked.where(F.col("provider") == p), raters.where(F.col("provider") == p), rater))
+        return out
+
+    second = run.stage("second_verdicts", again).where("status <> 'error'")
+    final = verdicts.join(second, ["case_id", "provider"], "left_anti").unionByName(second)
+    consensus = consensus_of(final)
     out = run.stage("report", lambda: tiers.join(consensus.withColumnRenamed("case_id", "req_id").drop("alive"), "req_id", "left"))
     run.manifest({"kind": "req_to_spec", "providers": list(providers), "k": k}, "done")
     return out
