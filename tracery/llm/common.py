@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -114,3 +115,27 @@ def hashed_words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, n
     h = (sums[ends - 1] - sums[starts - 1]) * _power(_P_INVERSE, len(a))[starts]
     begin = np.cumsum([1] + [len(t) + 1 for t in texts])
     return mix(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, begin)
+
+
+def bounded(rows: Iterable, most: Callable[[object], int], length: Callable[[object], int], kind: Callable[[object], object], label: Callable[[object], object]) -> list:
+    """Rows in their order as long as they fit: each kind has a sum of lengths of at most most(kind).  One that doesn't fit is skipped and counts nothing, one of over a
+    tenth of it waits until the others are taken, and each label has one row at least."""
+    out, late, size, held, waiting = [], [], defaultdict(int), defaultdict(int), set()
+    for r in rows:
+        k, n = kind(r), length(r)
+        if 10 * n > most(k):
+            if held[k] + n <= most(k) or label(r) not in waiting:
+                late.append(r)
+                held[k] += n
+                waiting.add(label(r))
+        elif size[k] + n <= most(k):
+            out.append(r)
+            size[k] += n
+    there = {label(r) for r in out}
+    for r in late:
+        k, n = kind(r), length(r)
+        if size[k] + n <= most(k) or label(r) not in there:
+            out.append(r)
+            size[k] += n
+            there.add(label(r))
+    return out

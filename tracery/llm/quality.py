@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, text_or_empty
+from .common import bounded, mix, slices, text_or_empty
 from .toxicity import held_out
 
 #: Bounds of the fit: labelled and unlabelled documents, and bytes of text in each (whole documents, in the order of a hash of the id).
@@ -165,17 +165,12 @@ def samples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tuple]
     taught = docs.join(F.broadcast(few), "doc_id").select("doc_id", *cols, "label").orderBy(*by).limit(SAMPLE_DOCS)
     ids = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").join(known, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     free = docs.join(F.broadcast(ids), "doc_id").select("doc_id", *cols).orderBy(*by).limit(SAMPLE_DOCS)
-    return _bounded(taught), _bounded(free)
+    return _bounded(taught, "label"), _bounded(free)
 
 
-def _bounded(rows: DataFrame) -> list[tuple]:
-    out, size = [], 0
-    for r in rows.toLocalIterator():
-        size += len(r["text"])
-        if size > SAMPLE_BYTES and out:
-            break
-        out.append(tuple(r)[1:])
-    return out
+def _bounded(rows: DataFrame, label: str | None = None) -> list[tuple]:
+    out = bounded(rows.toLocalIterator(), lambda _: SAMPLE_BYTES, lambda r: len(r["text"]), lambda r: None, lambda r: r[label] if label else None)
+    return [tuple(r)[1:] for r in out]
 
 
 def _score(model: CoTrained):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, text_or_empty, word_table
+from .common import bounded, mix, slices, text_or_empty, word_table
 
 #: Bounds of the fit, for clean and for toxic documents: how many, and characters in them (whole documents, in the order of a hash of the id).
 SAMPLE_DOCS, SAMPLE_CHARS = (2400, 1200), (3_000_000, 2_000_000)
@@ -224,14 +224,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], l
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     few = [known.where(F.col("label") == k).orderBy(*order).limit(most) for k, most in enumerate(SAMPLE_DOCS)]
     texts = docs.join(F.broadcast(few[0].union(few[1])), "doc_id").select(text_or_empty().alias("text"), "label", "doc_id")
-    out, size = ([], []), [0, 0]
-    for r in texts.orderBy(*order, "text").limit(sum(SAMPLE_DOCS)).toLocalIterator():
-        k = r["label"]
-        size[k] += len(r["text"])
-        if size[k] <= SAMPLE_CHARS[k] or k not in out[1]:
-            out[0].append(r["text"])
-            out[1].append(k)
-    return *out, (toxic + 0.5) / (n + 1)
+    rows = bounded(texts.orderBy(*order, "text").limit(sum(SAMPLE_DOCS)).toLocalIterator(), lambda k: SAMPLE_CHARS[k], lambda r: len(r["text"]), lambda r: r["label"], lambda r: r["label"])
+    return [r["text"] for r in rows], [r["label"] for r in rows], (toxic + 0.5) / (n + 1)
 
 
 def _score(model: Model):
