@@ -10,8 +10,11 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Texts are handled in slices of about so many bytes, so that a task's memory does not follow its partition.
 SLICE_BYTES = 1 << 20
@@ -58,12 +61,16 @@ def ranked(df: DataFrame, by: str, order: list[str], name: str, cell_rows: int =
     return df.withColumn("inside", inside).join(begin, [by, "cell"]).withColumn(name, F.col("begin") + F.col("inside")).drop("cell", "begin", "inside")
 
 
+#: Texts of a slice, so that many empty ones are bounded too.
+SLICE_ROWS = 2048
+
+
 def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first text, UTF-8 texts) in slices of at least one text and about `most` bytes."""
     first, held, total = 0, [], 0
     for i, t in enumerate(texts):
         b = (t or "").encode("utf-8", "surrogatepass")
-        if held and total + len(b) > most:
+        if held and (total + len(b) > most or len(held) == SLICE_ROWS):
             yield first, held
             first, held, total = i, [], 0
         held.append(b)
@@ -72,6 +79,46 @@ def slices(texts: list[str | None], most: int = SLICE_BYTES) -> Iterator[tuple[i
         yield first, held
 
 
+def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """`slices` of an Arrow column of strings: only one slice's texts are Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    raw, first, total = column.cast(pa.large_binary()), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > first and (total + n > most or i - first == SLICE_ROWS):
+            yield first, [t or b"" for t in raw[first:i].to_pylist()]
+            first, total = i, 0
+        total += n
+    if len(sizes):
+        yield first, [t or b"" for t in raw[first:].to_pylist()]
+
+
+def appended(docs: DataFrame, keep: list[str], name: str, score: Callable[[list[bytes], pa.RecordBatch], np.ndarray], reads: tuple[str, ...] = ()) -> DataFrame:
+    """The columns `keep` of `docs`, and `name`: the doubles that `score` makes of a slice's texts and rows.  The text is carried once, and a slice
+    is scored at a time."""
+    fields = {f.name: f for f in docs.schema.fields}
+    columns = list(dict.fromkeys([*keep, "text", *reads]))
+    text_at, kept = columns.index("text"), [columns.index(c) for c in keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for first, held in text_slices(x.column(text_at)):
+                part = x.slice(first, len(held))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(score(held, part), pa.float64())], names=[*keep, name])
+
+    schema = T.StructType([*(fields[c] for c in keep), T.StructField(name, T.DoubleType())])
+    return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)
+
+
+def bounded_sample(rows: DataFrame, docs: int, most: Callable[[object], int], kind: Callable[[object], object], label: Callable[[object], object], tag: str) -> list:
+    """`bounded` of the first `docs` rows with a `text`, in the order of a hash of doc_id: which rows are taken is decided by the lengths, and only
+    their texts come to the driver."""
+    rows = saved(rows.withColumns({"key": F.monotonically_increasing_id(), "size": F.length("text").cast("long"), "hash": F.xxhash64("doc_id"), "of_text": F.xxhash64("text")}), tag)
+    few = rows.drop("text").orderBy("hash", "doc_id", "of_text", "key").limit(docs).collect()
+    taken = [r["key"] for r in bounded(few, most, lambda r: r["size"], kind, label)]
+    texts = {r["key"]: r for r in rows.where(F.col("key").isin(taken)).toLocalIterator()}
+    return [texts[k] for k in taken]
+
+
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 2**64)
