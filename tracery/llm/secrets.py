@@ -57,8 +57,8 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", man
     keep = [c for c in docs.columns if c not in ("base", "spans") and (keep_text or c != "text")]
     text = text_or_empty()
     base = F.array_sort(F.concat(*[matches(text, k) for k in range(len(KINDS))]))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.xxhash64("doc_id", text).alias("id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), base.alias("base"))
-    rows = saved(rows, "secrets")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), base.alias("base"))
+    rows = saved(rows, "secrets")  # each row's id is fixed by the writing
     found = rows.where(F.size("base") > 0).select("id", "repository", "owner", F.explode("base").alias("span")).select("id", "repository", "owner", "span", F.sha2("span.value", 256).alias("value_hash"))
     by = found.groupBy("value_hash", "repository", "owner").agg(F.lit(1).alias("one")).withColumns({"repository": F.coalesce(F.col("repository").cast("string"), F.lit("")), "owner": F.coalesce(F.col("owner").cast("string"), F.lit(""))})
     owners = by.groupBy("value_hash", "owner").agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("*").alias("owners"))
