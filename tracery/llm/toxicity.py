@@ -8,15 +8,13 @@ Scores use no label, language, source or id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mix, slices, text_or_empty, word_table
+from .common import appended, bounded_sample, mix, slices, text_or_empty, word_table
 
 #: Bounds of the fit, for clean and for toxic documents: how many, and characters in them (whole documents, in the order of a hash of the id).
 SAMPLE_DOCS, SAMPLE_CHARS = (2400, 1200), (3_000_000, 2_000_000)
@@ -223,30 +221,21 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], l
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     few = [known.where(F.col("label") == k).orderBy(*order).limit(most) for k, most in enumerate(SAMPLE_DOCS)]
-    texts = docs.join(F.broadcast(few[0].union(few[1])), "doc_id").select(text_or_empty().alias("text"), "label", "doc_id")
-    rows = bounded(texts.orderBy(*order, "text").limit(sum(SAMPLE_DOCS)).toLocalIterator(), lambda k: SAMPLE_CHARS[k], lambda r: len(r["text"]), lambda r: r["label"], lambda r: r["label"])
+    texts = docs.join(F.broadcast(few[0].union(few[1])), "doc_id").select("doc_id", "label", text_or_empty().alias("text"))
+    rows = bounded_sample(texts, sum(SAMPLE_DOCS), lambda k: SAMPLE_CHARS[k], lambda r: r["label"], lambda r: r["label"], "toxic-sample")
     return [r["text"] for r in rows], [r["label"] for r in rows], (toxic + 0.5) / (n + 1)
 
 
-def _score(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(model.score(x.column(1).to_pylist()), pa.float64())], names=["row", "toxic_score"])
-
-    return run
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, label: str = "toxic", model: Model | None = None) -> DataFrame:
     """The columns of `docs` (of these, `carry` if given) and toxic_score from 0 to 1, for each row.
 
     `labels` (doc_id, toxic) teach the model, but for rows of the held-out fold; conflicting labels count as toxic.  Null
-    and empty texts, and those without words, get 0.  Repeated rows get equal scores.  Null labels and
+    and empty texts, and those without words, get 0.  Very long texts are scored whole.  Repeated rows get equal scores.  Null labels and
     null ids teach nothing.  With no labels, scores are a constant.  A column toxic_score of `docs` is replaced.  An empty table gives no rows.
     """
     keep = [c for c in docs.columns if c != "toxic_score" and (carry is None or c in carry)]
     model = model or fit(*sample(docs, labels, label))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_score(model), f"row {rows.schema['row'].dataType.simpleString()}, toxic_score double").select("row.*", "toxic_score")
+    return appended(docs, keep, "toxic_score", lambda held, _: model._slice(held))
 
 
 def predictions(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
