@@ -1,13 +1,14 @@
 """Quality by co-training: a classifier of the text's content and one of the page's metadata teach each other.
 
 The two views share no feature: the content view sees hashed byte n-grams of the text, the metadata view the source, the
-language and the page's shape (length, lines, line lengths).  In each round either view labels the unlabelled documents that it is surest of, for the
-other one to learn from.  In the end both are calibrated on the labelled documents and their log-odds are added.
+language and the page's shape (length, lines, line lengths).  In each round either view scores every unlabelled document and labels those that it is
+surest of, for the other one to learn from.  A third of the labelled documents teach neither view nor round: on them both are calibrated in the end, and their
+log-odds are added.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, mix, slices, text_or_empty
+from .common import appended, bounded_sample, mix, saved, slices, text_or_empty
 from .toxicity import held_out
 
-#: Bounds of the fit: labelled and unlabelled documents, and bytes of text in each (whole documents, in the order of a hash of the id).
+#: Bounds of the fit: labelled documents and the length of their texts (whole documents, in the order of a hash of the id).
 SAMPLE_DOCS, SAMPLE_BYTES = 3000, 6 << 20
 DIM = 1 << 11
 GRAMS = (1, 2, 3)
-ROUNDS, SHARE = 4, 0.05
+#: Rounds, and how many documents a view labels in each.
+ROUNDS, HANDED = 3, 150
+WIDTHS = (DIM, 16 + 64 + 5)
 
 
 def content_features(texts: list[bytes]) -> np.ndarray:
@@ -117,80 +120,111 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 RIDGE = (2.0, 1.0)
 
 
-def co_train(known: list[tuple], unknown: list[tuple], rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
-    """`known`: (text, lang, source, label); `unknown`: (text, lang, source).  In each round a view hands `share` of the unlabelled, in the labels'
-    proportions, to the other.  The calibration uses the two views' out-of-fold logits on the labelled documents."""
+Surest = Callable[[list["Linear"], list[int], list[int]], list[tuple[list[np.ndarray], list[np.ndarray]]]]
+
+
+def co_train(known: list[tuple], surest: Surest | None, rounds: int = ROUNDS, handed: int = HANDED) -> CoTrained:
+    """`known`: (text, lang, source, label).  `surest` gives, for the two views and how many of either label they shall name, the features of the unlabelled
+    documents with each view's lowest and highest logits, for the other view.  Each third known document is left to the calibration."""
     y = np.array([r[3] for r in known], float)
     prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
-    if len(set(y.tolist())) < 2:
-        none = [Linear(np.zeros(d), np.ones(d), np.zeros(d), 0.0) for d in (DIM, 85)]
+    fit = np.arange(len(y)) % 3 != 2
+    if len(set(y[fit].tolist())) < 2:
+        none = [Linear(np.zeros(d), np.ones(d), np.zeros(d), 0.0) for d in WIDTHS]
         return CoTrained(none, [(prior, 0.0)] * 2, prior)
-    feats = lambda rows: [np.concatenate([content_features(h) for _, h in slices([r[0] for r in rows])] or [np.empty((0, DIM))]), metadata_features([(r[0] or "").encode() for r in rows], [r[1] for r in rows], [r[2] for r in rows])]
-    x, u = feats(known), feats(unknown)
-    extra: list[dict[int, float]] = [{}, {}]
-
-    def train(v: int, rows: np.ndarray) -> Linear:
-        at = np.array(sorted(extra[v]), np.int64)
-        return Linear.fit(np.concatenate([x[v][rows], u[v][at]]), np.concatenate([y[rows], [extra[v][i] for i in at.tolist()]]), RIDGE[v])
-
-    every = np.arange(len(y))
-    for _ in range(rounds if unknown else 0):
-        views = [train(v, every) for v in (0, 1)]
-        n = max(1, round(share * len(unknown)))
+    x = [np.concatenate([content_features(h) for _, h in slices([r[0] for r in known])]), metadata_features([(r[0] or "").encode() for r in known], [r[1] for r in known], [r[2] for r in known])]
+    learnt = [(x[v][fit], y[fit]) for v in (0, 1)]
+    views = [Linear.fit(*learnt[v], RIDGE[v]) for v in (0, 1)]
+    low = round(handed * (1 - y.mean()))
+    for n in range(1, rounds + 1 if surest else 1):
+        # what a view named in earlier rounds is among its surest again; the other view learns from all of them anew
+        named = surest(views, [n * low] * 2, [n * (handed - low)] * 2)
+        learnt = [(np.concatenate([x[v][fit], *named[1 - v]]), np.concatenate([y[fit], *(np.full(len(f), k) for k, f in enumerate(named[1 - v]))])) for v in (0, 1)]
+        views = [Linear.fit(*learnt[v], RIDGE[v]) for v in (0, 1)]
+    return CoTrained(views, [_platt(views[v].logit(x[v][~fit]), y[~fit]) for v in (0, 1)], prior)
+
+
+def among(pages: list[tuple]) -> Surest:
+    """`Surest` for a few pages (text, lang, source) at hand."""
+    f = [np.concatenate([content_features(h) for _, h in slices([p[0] for p in pages])]), metadata_features([(p[0] or "").encode() for p in pages], [p[1] for p in pages], [p[2] for p in pages])]
+
+    def surest(views: list[Linear], low: list[int], high: list[int]) -> list[tuple[list[np.ndarray], list[np.ndarray]]]:
+        named = []
         for v in (0, 1):
-            z = views[v].logit(u[v])
-            z = np.where([i in extra[1 - v] for i in range(len(z))], np.nan, z)
-            order = np.argsort(z)[: np.count_nonzero(~np.isnan(z))]
-            low = round(n * (1 - y.mean()))
-            for i in order[:low]:
-                extra[1 - v][int(i)] = 0.0
-            for i in order[len(order) - (n - low) :]:
-                extra[1 - v].setdefault(int(i), 1.0)
-    fold = every % 3
-    calibration = []
-    for v in (0, 1):
-        z = np.empty(len(y))
-        for k in range(3):
-            z[fold == k] = train(v, every[fold != k]).logit(x[v][fold == k])
-        calibration.append(_platt(z, y))
-    return CoTrained([train(v, every) for v in (0, 1)], calibration, prior)
-
-
-def samples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tuple], list[tuple]]:
-    """Bounded labelled and unlabelled samples of whole documents, without the held-out fold."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    cols = [text_or_empty().alias("text"), "lang", "source"]
-    by = [F.xxhash64("doc_id"), "doc_id", "text"]
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    taught = docs.join(F.broadcast(few), "doc_id").select("doc_id", *cols, "label").orderBy(*by).limit(SAMPLE_DOCS)
-    ids = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").join(known, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    free = docs.join(F.broadcast(ids), "doc_id").select("doc_id", *cols).orderBy(*by).limit(SAMPLE_DOCS)
-    return _bounded(taught, "label"), _bounded(free)
-
+            order = np.argsort(views[v].logit(f[v]), kind="stable")
+            first = order[: low[v]]
+            named.append((f[1 - v][first], f[1 - v][order[max(len(first), len(order) - high[v]) :]]))
+        return named
 
-def _bounded(rows: DataFrame, label: str | None = None) -> list[tuple]:
-    out = bounded(rows.toLocalIterator(), lambda _: SAMPLE_BYTES, lambda r: len(r["text"]), lambda r: None, lambda r: r[label] if label else None)
-    return [tuple(r)[1:] for r in out]
+    return surest
 
 
-def _score(model: CoTrained):
+def _logits(views: list[Linear]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            s = model.score(*(x.column(k).to_pylist() for k in (1, 2, 3)))
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(s, pa.float64())], names=["row", "quality_score"])
+            texts, lang, source = (x.column(k).to_pylist() for k in range(3))
+            for first, held in slices(texts):
+                own = slice(first, first + len(held))
+                z = [views[0].logit(content_features(held)), views[1].logit(metadata_features(held, lang[own], source[own]))]
+                yield pa.RecordBatch.from_arrays([*(x.column(k).slice(first, len(held)) for k in (3, 4)), *(pa.array(v, pa.float64()) for v in z)], names=["page", "doc_id", "z0", "z1"])
 
     return run
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        texts, lang, source = (x.column(k).to_pylist() for k in range(3))
+        for first, held in slices(texts):
+            own = slice(first, first + len(held))
+            f = [content_features(held), metadata_features(held, lang[own], source[own])]
+            yield pa.RecordBatch.from_arrays([x.column(3).slice(first, len(held)), *(pa.array([r.astype("<f4").tobytes() for r in v], pa.binary()) for v in f)], names=["page", "f0", "f1"])
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, label: str) -> Surest:
+    """All rows of `docs` outside the held-out fold that have no label.  Equal pages (text, language and source) count once."""
+    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    columns = [text_or_empty().alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
+    pages = docs.where(~held_out()).select("doc_id", *columns).select("text", "lang", "source", F.xxhash64("text", "lang", "source").alias("page"), F.col("doc_id").cast("string").alias("doc_id"))
+
+    def surest(views: list[Linear], low: list[int], high: list[int]) -> list[tuple[list[np.ndarray], list[np.ndarray]]]:
+        # labelled rows go after the scoring, so that no text is shuffled
+        scores = saved(pages.mapInArrow(_logits(views), "page long, doc_id string, z0 double, z1 double"), "logits").join(known, "doc_id", "left_anti")
+        scores = saved(scores.groupBy("page").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1")), "surest")
+        named = []
+        for v in (0, 1):
+            first = [r["page"] for r in scores.orderBy(f"z{v}", "page").limit(low[v]).collect()]
+            last = [r["page"] for r in scores.orderBy(F.desc(f"z{v}"), "page").limit(high[v]).collect()]
+            named.append((first, [p for p in last if p not in set(first)]))
+        wanted = sorted({p for ends_ in named for end in ends_ for p in end})
+        found = pages.where(F.col("page").isin(wanted)).mapInArrow(_features, "page long, f0 binary, f1 binary") if wanted else None
+        found = found.groupBy("page").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1")).collect() if wanted else []
+        have = {r["page"]: [np.frombuffer(r[f"f{v}"], "<f4").astype(float) for v in (0, 1)] for r in found}
+        return [tuple(np.array([have[p][1 - v] for p in end]).reshape(len(end), WIDTHS[1 - v]) for end in named[v]) for v in (0, 1)]
+
+    return surest
+
+
+def samples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tuple], Surest]:
+    """A bounded labelled sample of whole documents, and access to all unlabelled ones; both without the held-out fold."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    taught = docs.join(F.broadcast(few), "doc_id").select("doc_id", text_or_empty().alias("text"), "lang", "source", "label")
+    rows = bounded_sample(taught, SAMPLE_DOCS, lambda _: SAMPLE_BYTES, lambda r: None, lambda r: r["label"], "quality-sample")
+    return [(r["text"], r["lang"], r["source"], r["label"]) for r in rows], unlabelled(docs, labels, label)
+
+
 def quality(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, label: str = "quality", least: float = 0.5, model: CoTrained | None = None) -> DataFrame:
     """The columns of `docs` (of these, `carry` if given), quality_score from 0 to 1 and keep (quality_score >= `least`), for each row.
 
     `docs` has doc_id, text, lang and source; null texts count as empty, null lang and source as a value of their own.  `labels` (doc_id, quality
-    0/1) teach the model, but for rows of the held-out fold; conflicting labels count as 0.  Repeated rows get equal scores.  With labels of one class
+    0/1) teach the model, but for rows of the held-out fold; conflicting labels count as 0.  All other rows outside the fold are unlabelled ones
+    of the co-training.  Very long texts are scored whole.  Repeated rows get equal scores.  With labels of one class
     or none the score is a constant.  Columns of `docs` with the new names are replaced.  An empty table gives no rows.
     """
     keep = [c for c in docs.columns if c not in ("quality_score", "keep") and (carry is None or c in carry)]
     model = model or co_train(*samples(docs, labels, label))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), text_or_empty().alias("text"), "lang", "source")
-    out = rows.mapInArrow(_score(model), f"row {rows.schema['row'].dataType.simpleString()}, quality_score double").select("row.*", "quality_score")
-    return out.withColumn("keep", F.col("quality_score") >= least)
+
+    def score(held: list[bytes], part: pa.RecordBatch) -> np.ndarray:
+        return model._slice(held, *(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("lang", "source")))
+
+    return appended(docs, keep, "quality_score", score, ("lang", "source")).withColumn("keep", F.col("quality_score") >= least)
