@@ -41,8 +41,8 @@ def connected(edges: DataFrame, tag: str = "components", rounds: int = 60) -> Da
 
     Each batch of edges is first reduced to a forest; then large stars (link every larger neighbour to the smallest) and
     small stars (link every smaller neighbour to the smallest) alternate until nothing changes, which takes about log(n)
-    rounds.  The smallest neighbour is found by a pre-aggregated minimum and joined back, so that a hub's edges need not meet
-    in one task.  Every round is written to the shared folder.  No edges: an empty result.
+    rounds.  The smallest neighbour is found by a pre-aggregated minimum and joined back; a hub's edges meet in one partition of that join, which adaptive
+    execution splits where it is skewed, and never in one group of Python.  Every round is written to the shared folder.  No edges: an empty result.
     Null ends and loops are ignored.
     """
     a, b = edges.columns[:2]

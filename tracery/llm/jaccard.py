@@ -1,17 +1,17 @@
 """Exact Jaccard join of documents on word shingles, with signature trees.
 
-How the work is dealt out.  Shingles become 64-bit hashes, ordered by hash.  If two sets link, then at least l of the first
-(n - ceil(t*n) + l) shingles of each are common, l being the smaller of the two documents' own l (the l-prefix lemma), so:
-
-1. `features`     each document's set size and a 128-bit key of its set, from one pass over the texts.
-2. `_postings`    prefix shingles, packed by hash bucket; a bucket's task finds the shingles that documents of compatible
-                  sizes share.  Documents with fewer than l shared ones link with nothing.  What survives is a small part.
-3. blocks         among the survivors, document frequencies are counted and each set's prefix (n - ceil(t*n) + 1) is taken again, the rarest
-                  shingles first, so that passages which many documents share play no part.  Two sets that link share a prefix
-                  shingle; chains of the documents that share one, closed to connected components, are blocks that no link leaves.
+How the work is dealt out.  Shingles become 64-bit hashes.  In any order of tokens, two sets that link share at least l of their first
+n - ceil(t*n) + l tokens each (the l-prefix lemma).  The order here is rare first, so that passages which many documents share play no part:
+
+1. `features`     each document's set size and a 128-bit key of its set, and, from the same pass, how often the tokens of each of 2**20 cells
+                  occur in all sets.  The sums are a megabyte at any size of the corpus; a coarse order costs candidates, never links.
+2. `_postings`    prefix tokens, l being an eighth of the set, packed by hash bucket; a bucket's task counts for each document the tokens that it shares with
+                  documents of compatible sizes.  Documents that share fewer than l in all link with nothing.  What survives is a small part.
+3. blocks         among the survivors, the documents that share a token of the prefix for l = 1 are chained, each document with one edge, and
+                  the chains closed to connected components; no link leaves a block.
 4. `tree_links`   a block's distinct sets, dealt into cells of bounded size, are joined by dual traversal of signature trees.
                   Large blocks: each cell also sees the block's pivot; members that are linked with it form one component, and
-                  only the others (usually none) go to the block's other cells of compatible size.
+                  only the others go to cells of compatible size that hold a document with a prefix token of theirs.
 5. components     of the links found.  Links inside what is already one component are skipped, so a group of g near copies
                   costs about g verified links instead of g*g/2.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,21 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mix, saved, slices, text_or_empty, word_table
+from .common import hashed_words, mix, saved, slices, text_or_empty, text_slices, word_table
 from .components import connected, forest
 
 WHITE = word_table(b" \t\n\x0b\x0c\r")
 _A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _M = np.uint64(0xD6E8FEB86659FD93)
-#: A shingle that a batch holds more often than this is thinned out before the shuffle.
+#: A token that a part of a batch holds more often than this is thinned out before the shuffle.
 HOT_IN_BATCH = 16
-#: More doc_ids than this are joined by a shuffle, not by a broadcast.
+#: More doc_ids than this (32 bytes each) are joined by a shuffle, not by a broadcast.
 BROADCAST_ROWS = 2_000_000
+ANY_BAND = 10_000
 
 
-def shingle_sets(texts: list[str | None], words: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None] | pa.Array, words: int = 5) -> Iterator[np.ndarray]:
     """For each text, its sorted distinct shingle hashes; fewer words than `words` make one shingle, no words none."""
-    for _, held in slices(texts):
+    for _, held in slices(texts) if isinstance(texts, list) else text_slices(texts):
         h, first = hashed_words([t.translate(_A_TO_Z) for t in held], WHITE)
         rolled = np.zeros(max(0, len(h) - words + 1), np.uint64)
         for j in range(words):
@@ -59,28 +61,63 @@ def shingle_sets(texts: list[str | None], words: int = 5) -> Iterator[np.ndarray
                 yield np.empty(0, np.uint64)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - -(-percent * n // 100) + -(-n // 8))
+def prefix_length(n: int, percent: int, edges: bool) -> int:
+    """Of two sets that link, each has so many of its first tokens that l of them are the other's, in any order that is the same for both; l is 1 for edges, else an eighth of n."""
+    return min(n, n - -(-percent * n // 100) + (1 if edges else -(-n // 8)))
 
 
-def least_shared(n: int, percent: int) -> int:
-    """The l of the smallest document that can link with one of n shingles."""
-    return max(1, -(-(-(-percent * n // 100)) // 8))
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
-def _features(words: int):
+KNOWN = "doc_id long, n_shingles long, set_key binary, part int, counts binary"
+#: The frequency sketch is sent about in so many parts.
+PARTS = 16
+
+
+def _features(words: int, bits: int):
+    """A row for each document, and at a task's end its part of the frequency sketch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
+        counts = np.zeros(1 << bits, np.int64)
+        rows = lambda ids, n, keys, parts, packed: pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=_names(KNOWN))
         for x in batches:
-            sets = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None) for s in shingle_sets(x.column(1).to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([k for _, k in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key"])
+            n, keys = [], []
+            for s in shingle_sets(x.column(1), words):
+                n.append(len(s))
+                keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                # a set's tokens are sorted, so that those of one cell are neighbours
+                cells = (s >> np.uint64(64 - bits)).astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(s) else cells
+                counts[cells[first]] += np.diff(np.append(first, len(s)))
+            if n:
+                yield rows(x.column(0), n, keys, [None] * len(n), [None] * len(n))
+        if counts.any():
+            packed = [zlib.compress(c.astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes(), 1) for c in np.split(np.minimum(counts, 2**32 - 1), PARTS)]
+            yield rows(pa.nulls(PARTS, pa.int64()), [None] * PARTS, [None] * PARTS, list(range(PARTS)), packed)
 
     return run
 
 
-def features(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, set_key) for each row of `docs`; set_key is null for an empty set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_features(words), "doc_id long, n_shingles long, set_key binary")
+def _summed(t: pa.Table) -> pa.Table:
+    """The parts' sum, as eighths of its logarithm to base 2: an order of tokens needs no more."""
+    total = 0
+    for c in t.column("counts"):
+        total = total + np.frombuffer(zlib.decompress(c.as_py()), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    return pa.table({"part": t.column("part")[:1], "levels": pa.array([np.minimum(255, 8 * np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def features(docs: DataFrame, words: int = 5, bits: int = 20) -> DataFrame:
+    """(doc_id, n_shingles, set_key) for each row of `docs`; set_key is null for an empty set.  Rows with a `part` besides: packed `counts` of
+    how many sets hold the tokens of each of 2**bits cells."""
+    return docs.select("doc_id", "text").mapInArrow(_features(words, bits), KNOWN)
+
+
+def rare_first(s: np.ndarray, levels: np.ndarray, percent: int, edges: bool = True) -> np.ndarray:
+    """The prefix of a sorted set: by the level of the token's cell, then by hash."""
+    level = levels[(s >> np.uint64(64 - (len(levels).bit_length() - 1))).astype(np.int64)]
+    return s[np.argsort(level, kind="stable")[: prefix_length(len(s), percent, edges)]]
 
 
 def _chains(tok: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,9 +140,8 @@ def _thin(starts: np.ndarray, ends: np.ndarray, m: np.ndarray, percent: int) ->
     return np.array(keep, np.int64)
 
 
-def _bucketed(tok: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A token's bucket, and the 40 bits that tell tokens of a bucket apart; a clash only makes one more candidate."""
-    return (tok % np.uint64(buckets)).astype(np.int64), tok >> np.uint64(24)
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return forest(u, v) if len(u) else (u, v)
 
 
 def _five(tok: np.ndarray) -> bytes:
@@ -121,9 +157,27 @@ def _unfive(raw: bytes) -> np.ndarray:
 PACKED = "bucket long, tok binary, run binary, ids binary, sizes binary, a binary, b binary"
 
 
-def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int, buckets: int, edges: bool) -> dict[str, list]:
-    """Postings (tok, document at) of one batch, packed into a row for each bucket.  Tokens that the batch holds often are settled among
-    themselves and thinned out, so that a hot token sends a few postings for each batch."""
+def _settled(ids: np.ndarray, chained: np.ndarray, edges: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges: the chains as a forest.  Else: how many tokens each document shares."""
+    if edges:
+        return _forest(ids[1:][chained], ids[:-1][chained])
+    shared = np.zeros(len(ids), bool)
+    shared[1:] |= chained
+    shared[:-1] |= chained
+    own, times = np.unique(ids[shared], return_counts=True)
+    return own, times.astype(np.int64)
+
+
+def _summed_up(u: np.ndarray, v: np.ndarray, edges: bool) -> tuple[np.ndarray, np.ndarray]:
+    if edges:
+        return _forest(u, v)
+    own, back = np.unique(u, return_inverse=True)
+    return own, np.bincount(back, weights=v, minlength=len(own)).astype(np.int64)
+
+
+def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int, buckets: int, edges: bool) -> pa.RecordBatch:
+    """Postings (tok, document at) of a part of a batch, packed into a row for each bucket.  Tokens that it holds often are settled there and
+    thinned out, so that a hot token sends a few postings.  A token keeps 40 bits besides its bucket; a clash only makes one more candidate."""
     by = np.argsort(tok, kind="stable")
     tok, at = tok[by], at[by]
     begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
@@ -138,11 +192,11 @@ def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
         starts = np.flatnonzero(np.concatenate([[True], ~chained]))
         keep = _thin(starts, np.append(starts[1:], len(ht)), sizes[ha], percent)
         tok, at = np.concatenate([tok[~hot], ht[keep]]), np.concatenate([at[~hot], ha[keep]])
-    bucket, tok = _bucketed(tok, buckets)
+    bucket, tok = (tok % np.uint64(buckets)).astype(np.int64), tok >> np.uint64(24)
     by = np.lexsort((at, bucket))
     tok, at, bucket = tok[by], at[by], bucket[by]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    rows: dict[str, list] = {k.split()[0]: [] for k in PACKED.split(", ")}
+    rows: dict[str, list] = {k: [] for k in _names(PACKED)}
     for i, (lo, hi) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(tok)], strict=True)):
         own, times = np.unique(at[lo:hi], return_counts=True)
         rows["bucket"].append(int(bucket[lo]))
@@ -152,109 +206,50 @@ def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
         rows["sizes"].append(sizes[own].astype("<i4").tobytes())
         rows["a"].append(a.astype("<i8").tobytes() if not i else b"")
         rows["b"].append(b.astype("<i8").tobytes() if not i else b"")
-    return rows
-
+    return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in rows.items()})
 
-def _arrays(rows: dict[str, list]) -> dict[str, pa.Array]:
-    return {k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in rows.items()}
 
+def _prefixes(words: int, percent: int, levels: bytes, edges: bool, most: int = 400_000):
+    """(first row, sizes, prefix tokens, their rows) of each part of a batch; a part has about `most` prefix tokens."""
+    rarity = np.frombuffer(levels, np.uint8)
 
-def _postings(words: int, percent: int, buckets: int):
-    """The l-prefix of each set, in the order of the hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         np.seterr(over="ignore")
-        for x in batches:
-            ids, sizes, tok, took = x.column(0).to_numpy(), [], [], []
-            for s in shingle_sets(x.column(1).to_pylist(), words):
-                sizes.append(len(s))
-                took.append(prefix_length(len(s), percent))
-                tok.append(s[: took[-1]])
-            if sum(took):
-                yield pa.RecordBatch.from_pydict(_arrays(_packed(mix(np.concatenate(tok) + np.uint64(1)), np.repeat(np.arange(len(ids)), took), ids, np.array(sizes, np.int64), percent, buckets, edges=False)))
-
-    return run
-
-
-def _count(words: int, buckets: int):
-    """The distinct tokens of a batch and in how many of its sets they are, packed by bucket."""
-
-    def run(t: pa.Table) -> pa.Table:
-        np.seterr(over="ignore")
-        tok, n = np.unique(mix(np.concatenate(list(shingle_sets(t.column("text").to_pylist(), words))) + np.uint64(1)), return_counts=True)
-        bucket, tok = _bucketed(tok, buckets)
-        by = np.argsort(bucket, kind="stable")
-        tok, n, bucket = tok[by], n[by], bucket[by]
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        own = [slice(lo, hi) for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(tok)], strict=True)]
-        batch = t.column("batch")[0].as_py()
-        return pa.table({"bucket": pa.array([int(bucket[c.start]) for c in own], pa.int64()), "batch": pa.array([batch] * len(own), pa.int64()), "tok": pa.array([_five(tok[c]) for c in own], pa.binary()), "df": pa.array([n[c].astype("<i8").tobytes() for c in own], pa.binary())})
-
-    return run
+        first, sizes, took, total = 0, [], [], 0
+        for s in shingle_sets(column, words):
+            sizes.append(len(s))
+            took.append(rare_first(s, rarity, percent, edges) if len(s) else s)
+            total += len(took[-1])
+            if total >= most:
+                yield first, np.array(sizes, np.int64), np.concatenate(took), np.repeat(np.arange(len(took)), [len(x) for x in took])
+                first, sizes, took, total = first + len(sizes), [], [], 0
+        if total:
+            yield first, np.array(sizes, np.int64), np.concatenate(took), np.repeat(np.arange(len(took)), [len(x) for x in took])
 
+    return parts
 
-def _total(t: pa.Table) -> pa.Table:
-    """Document frequencies of a bucket's tokens, for each batch those of its own tokens that another set has too."""
-    toks = [_unfive(x) for x in t.column("tok").to_pylist()]
-    _, back = np.unique(np.concatenate(toks), return_inverse=True)
-    df = np.bincount(back, weights=np.concatenate([np.frombuffer(x, "<i8") for x in t.column("df").to_pylist()])).astype(np.int64)[back]
-    own = [df[hi - len(x) : hi] for x, hi in zip(toks, np.cumsum([len(x) for x in toks]).tolist(), strict=True)]
-    return pa.table({"batch": t.column("batch"), "bucket": t.column("bucket"), "tok": pa.array([_five(x[n > 1]) for x, n in zip(toks, own, strict=True)], pa.binary()), "df": pa.array([n[n > 1].astype("<i8").tobytes() for n in own], pa.binary())})
 
+def _postings(words: int, percent: int, buckets: int, levels: bytes, edges: bool):
+    parts = _prefixes(words, percent, levels, edges)
 
-def _rare_first(words: int, percent: int, buckets: int):
-    """The prefix of each set of a batch, the rarest tokens first: two sets that link share a token of it."""
-
-    def run(t: pa.Table, counts: pa.Table) -> pa.Table:
-        np.seterr(over="ignore")
-        if not len(t):
-            return pa.table(_arrays({k.split()[0]: [] for k in PACKED.split(", ")}))
-        ids = t.column("doc_id").to_numpy()
-        sets = list(shingle_sets(t.column("text").to_pylist(), words))
-        sizes = np.array([len(s) for s in sets], np.int64)
-        tok, at = mix(np.concatenate(sets) + np.uint64(1)), np.repeat(np.arange(len(ids)), sizes)
-        rarity = np.ones(len(tok), np.int64)
-        bucket, low = _bucketed(tok, buckets)
-        by = np.argsort(bucket, kind="stable")
-        begin = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for c in counts.to_pylist():
-            known, own = _unfive(c["tok"]), by[begin[c["bucket"]] : begin[c["bucket"] + 1]]
-            if len(known):
-                order = np.argsort(known)
-                at_known = order[np.minimum(np.searchsorted(known, low[own], sorter=order), len(known) - 1)]
-                rarity[own] = np.where(known[at_known] == low[own], np.frombuffer(c["df"], "<i8")[at_known], 1)
-        by = np.lexsort((tok, rarity, at))
-        place = np.arange(len(tok)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        most = np.repeat(sizes - -(-percent * sizes // 100) + 1, sizes)
-        by = by[(place < most) & (rarity[by] > 1)]
-        if not len(by):
-            return pa.table(_arrays({k.split()[0]: [] for k in PACKED.split(", ")}))
-        return pa.table(_arrays(_packed(tok[by], at[by], ids, sizes, percent, buckets, edges=True)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ids = x.column(0).to_numpy()
+            for first, sizes, tok, at in parts(x.column(1)):
+                yield _packed(mix(tok + np.uint64(1)), at, ids[first : first + len(sizes)], sizes, percent, buckets, edges)
 
     return run
 
 
-def _settled(ids: np.ndarray, chained: np.ndarray, edges: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Edges: each chain as a forest of its neighbours.  Else: how many tokens each document shares."""
-    if edges:
-        u, v = ids[1:][chained], ids[:-1][chained]
-        return _forest(u, v)
-    shared = np.zeros(len(ids), bool)
-    shared[1:] |= chained
-    shared[:-1] |= chained
-    own, times = np.unique(ids[shared], return_counts=True)
-    return own, times.astype(np.int64)
-
-
-def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return forest(u, v) if len(u) else (u, v)
+def _bucket(percent: int, parts: int, edges: bool):
+    """A bucket's postings settled: for each document at most one edge or one count.  They go out packed by a hash of the document, so
+    that those of one document from different buckets meet before they are rows."""
 
-
-def _bucket(percent: int, edges: bool):
     def run(t: pa.Table) -> pa.Table:
         tok, at, ids, sizes, a, b = [], [], [], [], [], []
         base = 0
-        for x in t.to_pylist():
+        for i in range(len(t)):
+            x = {k: t.column(k)[i].as_py() for k in _names(PACKED)}
             own = np.frombuffer(x["ids"], "<i8")
             tok.append(_unfive(x["tok"]))
             at.append(np.repeat(np.arange(base, base + len(own)), np.frombuffer(x["run"], "<i4")))
@@ -266,27 +261,55 @@ def _bucket(percent: int, edges: bool):
         tok, at, ids, sizes = np.concatenate(tok), np.concatenate(at), np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
         by, chained = _chains(tok, sizes[at], percent)
         u, v = _settled(ids[at[by]], chained, edges)
-        u, v = np.concatenate([u, *a]), np.concatenate([v, *b])
-        if edges:
-            u, v = _forest(u, v)
-        else:
-            u, back = np.unique(u, return_inverse=True)
-            v = np.bincount(back, weights=v, minlength=len(u)).astype(np.int64)
+        u, v = _summed_up(np.concatenate([u, *a]), np.concatenate([v, *b]), edges)
+        part = (mix(u.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        u, v, part = u[by], v[by], part[by]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+        ends = np.append(cut[1:], len(part))
+        pack = lambda z: pa.array([z[lo:hi].astype("<i8").tobytes() for lo, hi in zip(cut, ends, strict=False)], pa.binary())
+        return pa.table({"part": pa.array(part[cut], pa.int64()), "u": pack(u), "v": pack(v)})
+
+    return run
+
+
+def _part(edges: bool):
+    """The edges of a part as a forest, or its counts summed."""
+
+    def run(t: pa.Table) -> pa.Table:
+        u, v = _summed_up(*(np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in t.column(k)]) for k in ("u", "v")), edges)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
+def _open_tokens(words: int, percent: int, levels: bytes):
+    """The prefix tokens of members, with the columns that tell where a member is."""
+    parts = _prefixes(words, percent, levels, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for first, _, tok, at in parts(x.column(x.schema.get_field_index("text"))):
+                own = x.drop_columns(["text"]).take(pa.array(at + first))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tok.view(np.int64))], names=[*own.schema.names, "tok"])
+
+    return run
+
+
 # ---------------------------------------------------------------- signature trees
 
-BITS = 2048
 LEAF, FAN = 16, 8
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s >> np.uint64(40)) % np.uint64(BITS)] = 1
-    return np.packbits(bits).view(np.uint64)
+def width(sizes: np.ndarray) -> int:
+    """Bits of a tree's bitmaps: eight for each token of its middle set, so that they don't fill up, within 2048 and 65536."""
+    return int(np.clip(1 << int(8 * np.median(sizes)).bit_length(), 2048, 65536))
+
+
+def signature(s: np.ndarray, bits: int = 2048) -> np.ndarray:
+    out = np.zeros(bits, np.uint8)
+    out[(s >> np.uint64(40)) % np.uint64(bits)] = 1
+    return np.packbits(out).view(np.uint64)
 
 
 class Tree:
@@ -312,7 +335,10 @@ def may_link(x: tuple, y: tuple, percent: int) -> np.ndarray:
     m, lo, hi, slack = x
     n, lo2, hi2, slack2 = y
     fits = (100 * hi[:, None] >= percent * lo2[None]) & (100 * hi2[None] >= percent * lo[:, None])
-    most = np.bitwise_count(m[:, None] & n[None]).sum(axis=2).astype(np.int64) + np.minimum(slack[:, None], slack2[None])
+    if not fits.any():
+        return fits
+    common = np.array([np.bitwise_count(row & n).sum(axis=1) for row in m], np.int64)
+    most = common + np.minimum(slack[:, None], slack2[None])
     most = np.minimum(most, np.minimum(hi[:, None], hi2[None]))
     return fits & ((100 + percent) * most >= percent * (lo[:, None] + lo2[None]))
 
@@ -327,7 +353,8 @@ def tree_links(sets: list[np.ndarray], percent: int, probe: np.ndarray | None =
     With `probe`, only pairs with at least one probe are looked at.  Node pairs within one component are skipped."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     own = [sets[i] for i in order]
-    tree = Tree(np.array([len(s) for s in own], np.int64), np.array([signature(s) for s in own]))
+    sizes = np.array([len(s) for s in own], np.int64)
+    tree = Tree(sizes, np.array([signature(s, width(sizes)) for s in own]))
     root = np.arange(len(own))
     ask = np.ones(len(own), bool) if probe is None else probe[order]
 
@@ -370,7 +397,7 @@ def _cell(words: int, percent: int):
     def run(t: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
         ids, role = t.column("doc_id").to_numpy(), t.column("role").to_numpy()
-        sets = list(shingle_sets(t.column("text").to_pylist(), words))
+        sets = [s for c in t.column("text").chunks for s in shingle_sets(c, words)]
         low = tree_links(sets, percent, role == 2 if (role == 2).any() else None)
         u, v = ids, ids[low]
         pivot = np.flatnonzero(role == 1)
@@ -380,44 +407,48 @@ def _cell(words: int, percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, cell: int = 256, bucket_tokens: int = 2_000_000, batch_tokens: int = 500_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, cell: int = 256, bucket_tokens: int = 1_000_000, sketch_bits: int = 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text, ...): the distinct `words`-word shingles of the text
     with A-Z lower-cased, and the smallest doc_id that links (intersection >= percent % of the union) reach.
 
     Null and empty texts, and texts of white space: no shingles, linked with nothing.  Fewer words: the whole sequence is one
-    shingle.  Rows with a null doc_id are left out.  Repeated doc_ids: their rows share a component if their texts do, else each row counts as linked with its doc_id.
+    shingle.  A row with a null doc_id takes part like any other; its component_id is null if it reaches no row that has one.  Repeated doc_ids: their rows
+    share a component if their texts do, else each row counts as linked with its doc_id.  Very long texts are taken whole.  doc_ids below 2**62.
     Other columns are ignored.  An empty table gives an empty result.  No pair of different texts is lost: every step is exact.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where("doc_id is not null")
-    known = saved(features(docs, words), "features")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    # rows without an id are known by their text, above all ids
+    docs = docs.select(F.coalesce("doc_id", F.lit(top) + 1 + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("doc_id"), "text")
+    both = saved(features(docs, words, sketch_bits), "features")
+    known = both.where("part is null").select("doc_id", "n_shingles", "set_key")
+    sums = both.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_summed, "part int, levels binary")
+    levels = b"".join(r["levels"] for r in sorted(sums.collect(), key=lambda r: r["part"])) or bytes(1 << sketch_bits)
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2 * parts, total * 3 // 8 // bucket_tokens + 1)
 
-    # which documents can link with a different set
-    postings = docs.select("doc_id", "text").mapInArrow(_postings(words, percent, buckets), PACKED)
-    counts = postings.groupBy("bucket").applyInArrow(_bucket(percent, edges=False), "u long, v long").groupBy("u").agg(F.sum("v").alias("shared"))
-    least = F.greatest(F.lit(1), F.ceil(F.ceil(percent * F.col("n") / 100.0) / 8.0))
+    def settled(texts: DataFrame, edges: bool) -> DataFrame:
+        postings = texts.mapInArrow(_postings(words, percent, buckets, levels, edges), PACKED)
+        return postings.groupBy("bucket").applyInArrow(_bucket(percent, parts, edges), "part long, u binary, v binary").groupBy("part").applyInArrow(_part(edges), "u long, v long")
+
+    # which documents can link with a different set; a doc_id that is repeated with other texts may stand for sets of different sizes
     firsts = known.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    few = saved(counts.join(firsts.select(F.col("rep").alias("u"), "n"), "u").where(F.col("shared") >= least).select(F.col("u").alias("doc_id"), "n"), "few")
-    n_few, n_tokens = few.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    batches = n_tokens // batch_tokens + 1
-    small = F.broadcast(few) if n_few <= BROADCAST_ROWS else few
-    kept = saved(docs.join(small, "doc_id").withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "candidates")
-
-    # blocks that no link leaves
-    batched = kept.select("batch", "doc_id", "text")
-    totals = batched.groupBy("batch").applyInArrow(_count(words, buckets), "bucket long, batch long, tok binary, df binary")
-    totals = totals.groupBy("bucket").applyInArrow(_total, "batch long, bucket long, tok binary, df binary")
-    rare = batched.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(_rare_first(words, percent, buckets), PACKED)
-    blocks = connected(rare.groupBy("bucket").applyInArrow(_bucket(percent, edges=True), "u long, v long"), "blocks")
-    members = kept.join(blocks.select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "doc_id")
-    sizes = blocks.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("members"))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
+    reps = firsts.groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n"), (F.min("n") != F.max("n")).alias("mixed"))
+    least = F.greatest(F.lit(1), F.ceil(F.ceil(percent * F.col("n") / 100.0) / 8.0))
+    few = settled(docs, False).select(F.col("u").alias("doc_id"), F.col("v").alias("shared")).join(reps, "doc_id").where(F.col("mixed") | (F.col("shared") >= least))
+    few = saved(few.drop("shared"), "few")
+    small = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    kept = saved(docs.join(small, "doc_id"), "candidates")
+
+    # blocks that no link leaves: survivors that share a token, closed to connected components
+    blocks = saved(connected(settled(kept.select("doc_id", "text"), True), "blocks").select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "of-block")
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("members"))
+    band = F.when(F.col("mixed"), ANY_BAND).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))).cast("int")
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / F.lit(float(cell))).cast("long"))
     big = F.col("members") > cell
-    members = members.join(sizes, "block").withColumns({"band": F.when(big, band).otherwise(-1), "salt": F.when(big, salt).otherwise(0)})
-    members = saved(members.select("block", "band", "salt", "doc_id", "n", "text"), "members")
+    members = kept.join(blocks.join(sizes, "block"), "doc_id").withColumns({"band": F.when(big, band).otherwise(-1), "salt": F.when(big, salt).otherwise(0)})
+    members = saved(members.select("block", "band", "salt", "doc_id", "text"), "members")
 
     key = ["block", "band", "salt"]
     pivots = members.where("band >= 0").groupBy("block").agg(F.min("doc_id").alias("doc_id"))
@@ -430,15 +461,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, cell: in
 
     apart = found.where("v = -1").select(F.col("u").alias("doc_id")).distinct()
     if not apart.isEmpty():
-        probes = members.join(apart, "doc_id").select("block", F.col("band").alias("own"), "salt", "doc_id", "text").withColumn("chunk", F.col("salt"))
-        reach = cells.join(probes.select("block", "own", "chunk").distinct(), "block").where("abs(band - own) <= 1")
-        key2 = ["block", "band", "salt", "own", "chunk"]
-        second = reach.join(members.select(*key, "doc_id", "text"), key).select(*key2, "doc_id", "text", F.lit(0).alias("role"))
-        probing = reach.join(probes.drop("salt"), ["block", "own", "chunk"]).select(*key2, "doc_id", "text", F.lit(2).alias("role"))
-        second = second.join(probing.select(*key2, "doc_id"), [*key2, "doc_id"], "left_anti").union(probing)
-        links = links.union(second.groupBy(key2).applyInArrow(_cell(words, percent), "u long, v long").where("v >= 0"))
+        # members apart from the pivot meet those of other cells with which they share a prefix token
+        there = members.join(apart.withColumn("apart", F.lit(True)), "doc_id", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+        asked = there.where("apart").select("block").distinct()
+        there = there.where("band >= 0").join(asked, "block", "left_semi").select(*key, "doc_id", "apart", "text")
+        tokens = saved(there.mapInArrow(_open_tokens(words, percent, levels), "block long, band int, salt long, doc_id long, apart boolean, tok long"), "tokens")
+        chunks = tokens.where("apart").select("block", "tok", F.col("band").alias("own"), F.col("salt").alias("chunk")).distinct()
+        here, far = F.struct(F.col("own").alias("a"), F.col("chunk").alias("b")), F.struct(F.col("band").alias("a"), F.col("salt").alias("b"))
+        reach = tokens.join(chunks, ["block", "tok"]).where(((F.abs(F.col("band") - F.col("own")) <= 1) | (F.greatest("band", "own") == ANY_BAND)) & (here != far) & (~F.col("apart") | (here < far)))
+        key2 = [*key, "own", "chunk"]
+        reach = saved(reach.select(*key2, "doc_id").distinct(), "reach")
+        second = reach.join(members.select("doc_id", "text"), "doc_id").select(*key2, "doc_id", "text", F.lit(0).alias("role"))
+        asking = there.where("apart").select("block", F.col("band").alias("own"), F.col("salt").alias("chunk"), "doc_id", "text")
+        asking = reach.select(key2).distinct().join(asking, ["block", "own", "chunk"]).select(*key2, "doc_id", "text", F.lit(2).alias("role"))
+        links = links.union(second.union(asking).groupBy(key2).applyInArrow(_cell(words, percent), "u long, v long").where("v >= 0"))
 
     reached = connected(links, "linked")
     by_set = firsts.select("set_key", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
-    out = known.join(by_set, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = known.join(by_set, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    real = lambda c: F.when(F.col(c) <= top, F.col(c))
+    return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"))
