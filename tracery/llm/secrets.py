@@ -19,6 +19,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 NAMES = [k for k, *_ in KINDS] + ["live", "copied"]
+#: Matches of a text that are gathered into one array before it is joined to the others.
+CHUNK = 512
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
@@ -27,7 +29,7 @@ def matches(text: Column, kind: int) -> Column:
     Positions are running lengths of what lies between the matches and of the matches."""
     _, pattern, group, least = KINDS[kind]
     between, whole, value = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    pieces = F.arrays_zip(between.alias("between"), whole.alias("whole"), value.alias("value"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.length(x["between"])
@@ -36,7 +38,14 @@ def matches(text: Column, kind: int) -> Column:
         good = x["whole"].isNotNull() & (F.length(x["value"]) >= least)
         return F.struct(F.coalesce(end, begin).alias("pos"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.arrays_zip(between.alias("between"), whole.alias("whole"), value.alias("value")), start, step, lambda acc: acc["out"])
+    def spans(chunk: Column, begin: Column) -> Column:
+        return F.aggregate(chunk, F.struct(begin.alias("pos"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    # the pieces go chunk by chunk, so that arrays grow by chunks and a text of many matches takes no square of them
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / CHUNK).cast("int")), lambda i: F.slice(pieces, i * CHUNK + 1, CHUNK))
+    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["between"]) + F.coalesce(F.length(x["whole"]), F.lit(0))))
+    begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    found = F.flatten(F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), spans))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
