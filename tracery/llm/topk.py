@@ -26,25 +26,26 @@ def integers(embedding: str = "embedding", scale: int = 64) -> Column:
 
 
 def _blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
-    """Packed blocks (name, ids, matrix): about `rows` vectors each, dealt by a hash of the vec_id."""
+    """Packed blocks (d, name, keys, ids, matrix) of vectors of one length: about `rows` each, dealt by a hash of the row's key."""
     n = vectors.count() // rows + 1
 
     def pack(t: pa.Table) -> pa.Table:
-        t = t.sort_by("vec_id")
-        m = np.concatenate(t.column("v").combine_chunks().to_pylist()).astype("<i8")
-        return pa.table({name: pa.array([t.column(name)[0].as_py()], pa.int64()), f"{name}_ids": pa.array([t.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), f"{name}_matrix": pa.array([m.tobytes()], pa.binary())})
+        t = t.sort_by("key")
+        m = np.concatenate([np.asarray(v, "<i8") for v in t.column("v").combine_chunks().to_pylist()])
+        packed = lambda c: pa.array([t.column(c).to_numpy().astype("<i8").tobytes()], pa.binary())
+        return pa.table({"d": t.column("d")[:1], name: t.column(name)[:1], f"{name}_keys": packed("key"), f"{name}_ids": packed("vec_id"), f"{name}_matrix": pa.array([m.tobytes()], pa.binary())})
 
-    dealt = vectors.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)))
-    return saved(dealt.groupBy(name).applyInArrow(pack, f"{name} long, {name}_ids binary, {name}_matrix binary"), name)
+    dealt = vectors.withColumn(name, F.pmod(F.xxhash64("key"), F.lit(n)))
+    return saved(dealt.groupBy("d", name).applyInArrow(pack, f"d int, {name} long, {name}_keys binary, {name}_ids binary, {name}_matrix binary"), name)
 
 
-def scores(q: bytes, q_ids: bytes, r: bytes, r_ids: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query ids, row ids, score matrix, which pairs count): exact int64 scores."""
-    qi, ri = np.frombuffer(q_ids, "<i8"), np.frombuffer(r_ids, "<i8")
-    a, b = np.frombuffer(q, "<i8").reshape(len(qi), -1), np.frombuffer(r, "<i8").reshape(len(ri), -1)
+def scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query keys, row ids, score matrix, which pairs count) of two blocks: exact int64 scores."""
+    qk, rk, ri = (np.frombuffer(row[c], "<i8") for c in ("q_keys", "r_keys", "r_ids"))
+    a, b = np.frombuffer(row["q_matrix"], "<i8").reshape(len(qk), row["d"]), np.frombuffer(row["r_matrix"], "<i8").reshape(len(rk), row["d"])
     wide = float(np.abs(a).astype(float).max(initial=0)) * float(np.abs(b).astype(float).max(initial=0)) * a.shape[1] < EXACT
     s = (a.astype(float) @ b.astype(float).T).astype(np.int64) if wide else a @ b.T
-    return qi, ri, s, qi[:, None] != ri[None]
+    return qk, ri, s, qk[:, None] != rk[None]
 
 
 def _histogram(k: int):
@@ -52,7 +53,7 @@ def _histogram(k: int):
         for x in batches:
             out = []
             for row in x.to_pylist():
-                qi, _, s, counts = scores(row["q_matrix"], row["q_ids"], row["r_matrix"], row["r_ids"])
+                qi, _, s, counts = scores(row)
                 low, width = np.frombuffer(row["low"], "<i8")[:, None], np.frombuffer(row["width"], "<i8")[:, None]
                 above = counts & (s >= low + width * BINS)
                 inside = counts & (s >= low) & ~above
@@ -60,10 +61,10 @@ def _histogram(k: int):
                 h = np.bincount(at.ravel(), minlength=len(qi) * BINS + 1)[:-1].reshape(len(qi), BINS)
                 over = np.cumsum(h[:, ::-1], axis=1)[:, ::-1] - h + above.sum(axis=1)[:, None]
                 i, b = np.nonzero((h > 0) & (over < k))
-                out.append(pd.DataFrame({"query_id": qi[i], "bin": b, "n": h[i, b]}))
+                out.append(pd.DataFrame({"query": qi[i], "bin": b, "n": h[i, b]}))
                 first = np.minimum(above.sum(axis=1), k)
                 j = np.flatnonzero(first)
-                out.append(pd.DataFrame({"query_id": qi[j], "bin": np.full(len(j), BINS), "n": first[j]}))
+                out.append(pd.DataFrame({"query": qi[j], "bin": np.full(len(j), BINS), "n": first[j]}))
             if out:
                 yield pa.RecordBatch.from_pandas(pd.concat(out).astype("int64"), preserve_index=False)
 
@@ -74,7 +75,7 @@ def _select(k: int):
     def run(batches):
         for x in batches:
             for row in x.to_pylist():
-                qi, ri, s, counts = scores(row["q_matrix"], row["q_ids"], row["r_matrix"], row["r_ids"])
+                qi, ri, s, counts = scores(row)
                 kth = np.frombuffer(row["low"], "<i8")[:, None]
                 i, j = np.nonzero(counts & (s >= kth))
                 by = np.lexsort((ri[j], -s[i, j], i))
@@ -82,7 +83,7 @@ def _select(k: int):
                 first = np.searchsorted(i, np.arange(len(qi)))
                 keep = np.arange(len(i)) - first[i] < k
                 i, j = i[keep], j[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ri[j]), pa.array(s[i, j])], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ri[j]), pa.array(s[i, j])], names=["query", "vec_id", "score"])
 
     return run
 
@@ -91,11 +92,11 @@ def _paired(q: DataFrame, bounds: DataFrame, r: DataFrame) -> DataFrame:
     """Each query block, with its queries' intervals in the order of its ids, against each row block: a stated query set, in blocks."""
 
     def gather(t: pa.Table) -> pa.Table:
-        t = t.sort_by("query_id")
-        return pa.table({"q": pa.array([t.column("q")[0].as_py()], pa.int64()), "low": pa.array([t.column("low").to_numpy().astype("<i8").tobytes()], pa.binary()), "width": pa.array([t.column("width").to_numpy().astype("<i8").tobytes()], pa.binary())})
+        t = t.sort_by("query")
+        return pa.table({"d": t.column("d")[:1], "q": t.column("q")[:1], "low": pa.array([t.column("low").to_numpy().astype("<i8").tobytes()], pa.binary()), "width": pa.array([t.column("width").to_numpy().astype("<i8").tobytes()], pa.binary())})
 
-    q = q.join(bounds.groupBy("q").applyInArrow(gather, "q long, low binary, width binary"), "q")
-    return q.join(r.hint("shuffle_replicate_nl"))
+    q = q.join(bounds.groupBy("d", "q").applyInArrow(gather, "d int, q long, low binary, width binary"), ["d", "q"])
+    return q.join(r.withColumnRenamed("d", "r_d").hint("shuffle_replicate_nl"), F.col("d") == F.col("r_d")).drop("r_d")
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) -> DataFrame:
@@ -103,34 +104,34 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     the other rows, ties to the smaller vec_id; all, if there are fewer.
 
     A component x counts as floor(`scale` * x).  Vectors that are null, or hold null or non-finite components, take no part, nor do
-    null vec_ids.  Repeated vec_ids: only the row with the smallest vector takes part.  Vectors of another
-    length than the most frequent one (ties: the longer) take no part.  No queries or an empty table: no rows.
+    null vec_ids.  Repeated vec_ids: each row is a candidate of its own, and a query of its own, for which the others are candidates.  Vectors of different lengths have no
+    inner product and are no pair; those without components all have the score 0.  Other columns are ignored.  No queries or an empty table: no rows.
     """
     good = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = vectors.where(good & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), integers("embedding", scale).alias("v"))
-    lengths = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    v = saved(v.where(F.size("v") == (lengths["d"] if lengths else 0)).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    v = vectors.where(good & F.col("vec_id").isNotNull()).select(F.monotonically_increasing_id().alias("key"), F.col("vec_id").cast("long").alias("vec_id"), F.size("embedding").alias("d"), integers("embedding", scale).alias("v"))
+    v = saved(v, "vectors")  # each row's key is fixed by the writing
     asked = v.where(F.col("vec_id") % every == 0)
     r, q = _blocks(v, ROW_BLOCK, "r"), _blocks(asked, QUERY_BLOCK, "q")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     longest = v.agg(F.max(norm)).first()[0] or 0.0
     n = asked.count() // QUERY_BLOCK + 1
     reach = F.ceil(norm * longest * (1 + 1e-9)).cast("long") + 1
-    bounds = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("q"), F.col("vec_id").alias("query_id"), (-reach).alias("low"), (F.floor((2 * reach) / F.lit(BINS)) + 1).cast("long").alias("width"))
+    bounds = asked.select("d", F.pmod(F.xxhash64("key"), F.lit(n)).alias("q"), F.col("key").alias("query"), "vec_id", (-reach).alias("low"), (F.floor((2 * reach) / F.lit(BINS)) + 1).cast("long").alias("width"))
     bounds = saved(bounds, "bounds")
     while True:
-        found = _paired(q, bounds, r).mapInArrow(_histogram(k), "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = Window.partitionBy("query_id").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+        found = _paired(q, bounds, r).mapInArrow(_histogram(k), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n"))
+        down = Window.partitionBy("query").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
         found = found.withColumn("over", F.coalesce(F.sum("n").over(down), F.lit(0)))
         # the bin of the k-th score; with fewer than k scores, the lowest one
-        at = found.where(F.col("over") < k).groupBy("query_id").agg(F.min("bin").alias("bin"))
-        new = bounds.join(at, "query_id", "left").withColumn("at", F.coalesce("bin", F.lit(0)))
+        at = found.where(F.col("over") < k).groupBy("query").agg(F.min("bin").alias("bin"))
+        new = bounds.join(at, "query", "left").withColumn("at", F.coalesce("bin", F.lit(0)))
         low = F.col("low") + F.col("at") * F.col("width")
-        new = new.select("q", "query_id", low.alias("low"), (F.floor((F.col("width") - 1) / F.lit(BINS)) + 1).cast("long").alias("next"), "width")
+        new = new.select("d", "q", "query", "vec_id", low.alias("low"), (F.floor((F.col("width") - 1) / F.lit(BINS)) + 1).cast("long").alias("next"), "width")
         last = (bounds.agg(F.max("width")).first()[0] or 1) == 1
-        bounds = saved(new.select("q", "query_id", "low", F.col("next").alias("width")), "bounds")
+        bounds = saved(new.select("d", "q", "query", "vec_id", "low", F.col("next").alias("width")), "bounds")
         if last:
             break
-    best = _paired(q, bounds, r).mapInArrow(_select(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = _paired(q, bounds, r).mapInArrow(_select(k), "query long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    best = best.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.join(bounds.select("query", F.col("vec_id").alias("query_id")), "query").select("query_id", "rank", "vec_id", "score")
