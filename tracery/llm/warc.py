@@ -11,8 +11,10 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ SKIPPABLE_MAGIC, ZSTD_MAGIC, DICT_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd", b"\x3
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: The dictionary is trained on at most so many pages, and is at most so large.
-SAMPLE_PAGES, DICT_BYTES = 400, 32 << 10
+#: The dictionary is trained on at most so many pages of at most so many bytes, those with the smallest digests, and is at most so large.
+SAMPLE_PAGES, SAMPLE_PAGE_BYTES, DICT_BYTES = 400, 64 << 10, 32 << 10
+#: Copies of one row (same id, url and payload) that are written by one task.
+COPIES = 10_000
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 16 << 20
 
@@ -43,12 +47,12 @@ def train_dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
         return b""
 
 
-def record(kind: str, record_id: str, uri: str, payload_bytes: int, digest: str, payload: bytes | None, refers_to: str | None = None) -> bytes:
+def record(kind: str, record_id: str | None, uri: str, payload_bytes: int, digest: str, payload: bytes | None, refers_to: str | None = None, copy: int = 1) -> bytes:
     """One WARC record; the block is HTTP headers and, for a response, the payload."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % payload_bytes + (payload or b"")
-    head = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{record_id}>", f"WARC-Target-URI: {uri}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
-    if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+    head = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(record_id, copy)}", f"WARC-Target-URI: {uri}", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
+    if kind == "revisit":
+        head += [f"WARC-Refers-To: {_urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -102,25 +106,27 @@ def parse_record(data: bytes) -> dict[str, object]:
     lines = head.split(b"\r\n")
     if not gap or lines[0] not in (b"WARC/1.0", b"WARC/1.1"):
         raise WarcError("not a WARC record")
-    headers = dict(_header(x) for x in lines[1:])
+    headers = _headers(lines[1:])
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise WarcError(f"no {name}")
-    size = int(headers["content-length"]) if headers["content-length"].isdigit() else -1
+    size = int(headers["content-length"]) if headers["content-length"].isascii() and headers["content-length"].isdigit() else -1
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise WarcError("the block's length is wrong")
     http, gap, payload = rest[:size].partition(b"\r\n\r\n")
     if not gap or not http.startswith(b"HTTP/"):
         raise WarcError("no HTTP header")
-    inner = dict(_header(x) for x in http.split(b"\r\n")[1:])
-    length = int(inner.get("content-length", "-1"))
+    inner = _headers(http.split(b"\r\n")[1:]).get("content-length", "")
+    if not (inner.isascii() and inner.isdigit()):
+        raise WarcError("the payload's length is no number")
+    length = int(inner)
     if headers["warc-type"] == "response":
         if length != len(payload):
             raise WarcError("the payload's length is wrong")
         if headers.get("warc-payload-digest") != "sha1:" + digest_of(payload):
             raise WarcError("the payload's digest is wrong")
     elif headers["warc-type"] == "revisit":
-        if payload or length < 0 or "warc-refers-to" not in headers:
+        if payload or "warc-refers-to" not in headers:
             raise WarcError("a revisit needs a target, a length and no payload")
     else:
         raise WarcError(f"unknown type {headers['warc-type']}")
@@ -134,6 +140,22 @@ def _header(line: bytes) -> tuple[str, str]:
     return name.strip().lower(), value.strip()
 
 
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    pairs = [_header(x) for x in lines]
+    if len({k for k, _ in pairs}) < len(pairs):
+        raise WarcError("a header comes twice")
+    return dict(pairs)
+
+
+def _urn(page_id: str | None, copy: int = 1) -> str:
+    """<urn:page:id>, and for further copies of a row <urn:page:id#copy>; a null id is an empty one."""
+    return f"<urn:page:{quote(page_id or '', safe='')}{f'#{copy}' if copy > 1 else ''}>"
+
+
+def _page_of(urn: str | None) -> str | None:
+    return unquote(urn.removeprefix("<urn:page:").removesuffix(">").partition("#")[0]) or None if urn else None
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -141,23 +163,25 @@ def digest_of(payload: bytes) -> str:
 def _writer(dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = compressor(dictionary)
-        held, size, name = [archive_start(dictionary)], 0, ""
+        held, size, name, count = [archive_start(dictionary)], 0, "", 0
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], names=["archive", "content"])
 
         for x in batches:
-            for r in x.to_pylist():
-                payload = r["html"].encode() if r["refers_to"] is None else None
+            for i in range(x.num_rows):
+                r = {k: x.column(k)[i].as_py() for k in x.schema.names}
+                kind = "revisit" if r["revisit"] else "response"
+                payload = None if r["revisit"] else (r["html"] or "").encode()
                 digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
                 uri = "".join(c for c in r["url"] or "" if c >= " " and c != "\x7f")
-                frame = pack.compress(record("revisit" if r["refers_to"] is not None else "response", r["page_id"], uri, r["payload_bytes"], digest, payload, r["refers_to"]))
-                name = name or f"pages-{r['page_id']}.warc.zst"
+                frame = pack.compress(record(kind, r["page_id"], uri, r["payload_bytes"], digest, payload, r["refers_to"], r["copy"]))
+                name = name or f"pages-{TaskContext.get().partitionId():06d}-{count:06d}.warc.zst"
                 held.append(frame)
                 size += len(frame)
                 if size >= ARCHIVE_BYTES:
                     yield close()
-                    held, size, name = [archive_start(dictionary)], 0, ""
+                    held, size, name, count = [archive_start(dictionary)], 0, "", count + 1
         if name:
             yield close()
 
@@ -171,8 +195,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for data in read_archive(content):
                 r = parse_record(data)
                 h = r["headers"]
-                bare = lambda v: v.removeprefix("<urn:page:").removesuffix(">") if v else None
-                rows.append({"page_id": bare(h["warc-record-id"]), "url": h.get("warc-target-uri", ""), "payload_bytes": r["payload_bytes"], "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": h["warc-type"], "refers_to": bare(h.get("warc-refers-to")), "payload": r["payload"]})
+                rows.append({"page_id": _page_of(h["warc-record-id"]), "url": h.get("warc-target-uri", ""), "payload_bytes": r["payload_bytes"], "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": h["warc-type"], "refers_to": _page_of(h.get("warc-refers-to")), "payload": r["payload"]})
             kind = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
@@ -181,23 +204,34 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Archives (archive, content) with a record for each row of `pages` (page_id, url, html).
 
     Of records with equal payloads of at least `least_bytes` bytes, that with the largest page_id is the response and the others
-    revisit it.  Null html is an empty payload, a null url an empty one.  Rows with a null page_id are left out.  Repeated
-    page_ids: the row whose html has the greatest digest stands for them, of equal ones that with the greatest url.  Other columns are ignored; an empty table makes no archive.
+    revisit it; of several rows with that page_id, one with the greatest url.  Null html is an empty payload, a null url an empty one, a null page_id the
+    smallest.  Every row has its record, rows that are equal in all three too.  Very long pages are records like others.
+    Other columns are ignored; an empty table makes no archive.
     """
     html = F.coalesce("html", F.lit(""))
-    pages = pages.where("page_id is not null").select("page_id", "url", html.alias("html"))
-    # digests decide, so that the pages themselves are shuffled once
-    known = pages.groupBy("page_id").agg(F.max(F.struct(F.sha1(F.col("html").cast("binary")).alias("sha1"), F.octet_length("html").cast("long").alias("payload_bytes"))).alias("k")).select("page_id", "k.*")
-    known = saved(known, "digests")
-    first = known.groupBy("sha1").agg(F.max("page_id").alias("first"))
-    refers = F.when((F.col("payload_bytes") >= least_bytes) & (F.col("page_id") < F.col("first")), F.col("first").cast("string"))
-    known = known.join(first, "sha1").select("page_id", "payload_bytes", "sha1", refers.alias("refers_to"))
-    # of a page_id's rows, that with the digest in question; as a filter the comparison would become a join key and shuffle the pages once more
-    same = (F.sha1(F.col("html").cast("binary")) == F.col("sha1")).alias("same")
-    best = F.max(F.struct(same, "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "payload_bytes", "sha1", "refers_to")).alias("r")
-    rows = pages.join(known, "page_id").groupBy("page_id").agg(best).select(F.col("page_id").cast("string").alias("page_id"), "r.*").drop("same")
-    sample = [r["html"].encode() for r in pages.select("html").limit(SAMPLE_PAGES).collect()]
-    return saved(rows.mapInArrow(_writer(train_dictionary([b for b in sample if b])), "archive string, content binary"), "warc")
+    pages = pages.select(F.col("page_id").alias("id"), F.coalesce(F.concat(F.lit("="), F.col("page_id").cast("string")), F.lit("")).alias("page"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
+    # digests decide, so that the pages themselves are shuffled once; equal rows are one with a count
+    key = ["page", "url", "sha1"]
+    known = saved(pages.groupBy(*key).agg(F.first("id").alias("id"), F.first(F.octet_length("html")).cast("long").alias("payload_bytes"), F.count("*").alias("n")), "digests")
+    first = known.groupBy("sha1").agg(F.max(F.struct("id", "page", "url")).alias("first"))
+    own = (F.col("page") == F.col("first.page")) & (F.col("url") == F.col("first.url"))
+    known = known.join(first, "sha1").select(*key, "n", "payload_bytes", F.coalesce(~own & (F.col("payload_bytes") >= least_bytes), F.lit(False)).alias("revisit"), F.col("first.id").cast("string").alias("first"), F.col("id").cast("string").alias("page_id"))
+    refers = F.when(F.col("revisit"), F.col("first")).alias("refers_to")
+    # the first copy of each row, with the page for a response (a filter would become a join key, hence the aggregate)
+    whole = pages.groupBy(*key).agg(F.first("html").alias("html"))
+    rows = whole.join(known, key).select("page_id", "url", F.when(~F.col("revisit"), F.col("html")).alias("html"), "payload_bytes", "sha1", "revisit", refers, F.lit(1).alias("copy"))
+    # further copies: of a payload below `least_bytes` responses with the page, else revisits
+    more = known.where("n > 1").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 2) div {COPIES})"))).repartition("sha1", "page", "url", "chunk")
+    more = more.withColumn("copy", F.explode(F.expr(f"sequence(cast(chunk * {COPIES} + 2 as int), cast(least(n, (chunk + 1) * {COPIES} + 1) as int))")))
+    again = F.col("payload_bytes") >= least_bytes
+    revisits = more.where(again).select("page_id", "url", F.lit(None).cast("string").alias("html"), "payload_bytes", "sha1", F.lit(True).alias("revisit"), F.col("first").alias("refers_to"), "copy")
+    rows = rows.union(revisits)
+    if least_bytes > 0:
+        small = more.where(~again).join(whole, key).select("page_id", "url", "html", "payload_bytes", "sha1", F.lit(False).alias("revisit"), F.lit(None).cast("string").alias("refers_to"), "copy")
+        rows = rows.union(small)
+    picked = known.where(F.col("payload_bytes").between(1, SAMPLE_PAGE_BYTES)).groupBy("sha1").agg(F.min("page").alias("page")).orderBy("sha1").limit(SAMPLE_PAGES).collect()
+    sample = pages.where(F.col("page").isin([r["page"] for r in picked])).where(F.col("sha1").isin([r["sha1"] for r in picked])).groupBy("sha1").agg(F.first("html").alias("html")).orderBy("sha1").collect() if picked else []
+    return saved(rows.mapInArrow(_writer(train_dictionary([r["html"].encode() for r in sample])), "archive string, content binary"), "warc")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
