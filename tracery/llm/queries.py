@@ -32,9 +32,9 @@ SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .tokenids import digest, matrices
+    from .tokenids import digest, write_matrices
 
-    return digest(matrices(table(spark, sf_dir, "documents")))
+    return digest(write_matrices(table(spark, sf_dir, "documents")))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each partition packs its own documents, with no shuffle: texts become ids, pieces are held until a window of `window` tokens is
 full, and the window is packed by decreasing length into the fullest sequence that still has room, found in a segment tree over
-the capacities left.
+the capacities left.  The matrices are written to the shared folder, and read back from there.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import saved, text_slices
 from .tokens import encoder, vocabulary_path
 
 SCHEMA = "matrix string, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<{kind}>, starts array<long>"
@@ -74,11 +75,12 @@ def _write(path: str, capacity: int, end_id: int, window: int, kind: pa.DataType
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), array("H", [end_id]).tobytes()
         held: list[tuple[object, int, bytes]] = []
-        tokens = 0
+        tokens, written, task = 0, 0, TaskContext.get().partitionId()
 
         def rows() -> pa.RecordBatch:
             out: dict[str, list] = {k: [] for k in ("matrix", "row", "n_tokens", "ids", "cu_seqlens", "position_ids", "doc_ids", "starts")}
-            name = f"{held[0][0]}-{held[0][1]}"
+            nonlocal written
+            name, written = f"{task:06d}-{written:06d}", written + 1
             for row, own in enumerate(best_fit_decreasing([len(p[2]) // 2 for p in held], capacity)):
                 parts = [held[i] for i in own]
                 cu = np.cumsum([0] + [len(p[2]) // 2 for p in parts])
@@ -90,15 +92,17 @@ def _write(path: str, capacity: int, end_id: int, window: int, kind: pa.DataType
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
         for x in batches:
-            for doc, text in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                ids = encode(text or "") + end
-                for k in range(0, len(ids), 2 * capacity):
-                    held.append((doc, k // 2, ids[k : k + 2 * capacity]))
-                tokens += len(ids) // 2
-                if tokens >= window:
-                    yield rows()
-                    held.clear()
-                    tokens = 0
+            docs = x.column(0).to_pylist()
+            for first, texts in text_slices(x.column(1)):
+                for doc, text in zip(docs[first : first + len(texts)], texts, strict=True):
+                    ids = encode(text.decode()) + end
+                    for k in range(0, len(ids), 2 * capacity):
+                        held.append((doc, k // 2, ids[k : k + 2 * capacity]))
+                        tokens += len(held[-1][2]) // 2
+                        if tokens >= window:
+                            yield rows()
+                            held.clear()
+                            tokens = 0
         if held:
             yield rows()
 
@@ -106,18 +110,23 @@ def _write(path: str, capacity: int, end_id: int, window: int, kind: pa.DataType
 
 
 def matrices(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 50256, window: int = 1 << 21) -> DataFrame:
-    """Rows of id matrices of `docs` (doc_id, text): matrix (a name), row, n_tokens, ids (`capacity` little-endian 16-bit ids, zeros after the
+    """Rows of id matrices of `docs` (doc_id, text): matrix (a name, of no other one), row, n_tokens, ids (`capacity` little-endian 16-bit ids, zeros after the
     n_tokens), cu_seqlens (where the segments begin, and the end), position_ids (16-bit, back to 0 at each segment), doc_ids and
     starts (of each segment: its document and how many of its ids came before).
 
     A document is its ids from the vocabulary file `path` and `end_id`; longer ones are cut losslessly every `capacity` ids, so joining a document's
-    segments by start gives its ids.  Null and empty texts are the end id alone.  Repeated rows and null doc_ids are packed
+    segments by start gives its ids.  A very long text's segments may lie in several matrices.  Null and empty texts are the end id alone.  Repeated rows and null doc_ids are packed
     like others.  Other columns are ignored.  An empty table: no rows.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     field = docs.schema["doc_id"].dataType
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_write(path or vocabulary_path("byte_bpe_50k.tiktoken"), capacity, end_id, window, to_arrow_type(field)), SCHEMA.format(kind=field.simpleString()))
+    return docs.select("doc_id", "text").mapInArrow(_write(path or vocabulary_path("byte_bpe_50k.tiktoken"), capacity, end_id, window, to_arrow_type(field)), SCHEMA.format(kind=field.simpleString()))
+
+
+def write_matrices(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 50256, window: int = 1 << 21) -> DataFrame:
+    """`matrices` written as Parquet into the shared folder, as they are read back from there."""
+    return saved(matrices(docs, path, capacity, end_id, window), "matrices")
 
 
 def unpacked(rows: DataFrame) -> DataFrame:
