@@ -25,9 +25,11 @@ _ZH_ONE = re.compile(r"第\s*(\d+)\s*位")
 
 
 def fields_of(text: str | None) -> list[tuple[int, int, str]]:
-    """(offset, size, convention) of each field, ranges first, then pairs, then single bits outside them; distinct by offset and size."""
+    """(offset, size, convention) of each field, ranges first, then pairs, then single bits; distinct by offset and size.  A single Chinese position inside
+    a Chinese range or adjacent pair is part of that field and none of its own."""
     out: list[tuple[int, int, str]] = []
     seen: set[tuple[int, int]] = set()
+    inside: set[int] = set()
     rest = text or ""
 
     def add(low: int, high: int, how: str) -> None:
@@ -42,18 +44,22 @@ def fields_of(text: str | None) -> list[tuple[int, int, str]]:
         rest = pattern.sub(lambda m: " " * len(m[0]), rest)
 
     taken(_EN_RANGE, lambda a, b: add(min(a, b), max(a, b), "en"))
-    taken(_ZH_RANGE, lambda a, b: add(min(a, b) - 1, max(a, b) - 1, "zh"))
+
+    def span(a: int, b: int) -> None:
+        inside.update(range(min(a, b), max(a, b) + 1))
+        add(min(a, b) - 1, max(a, b) - 1, "zh")
 
     def pair(a: int, b: int) -> None:
         if abs(a - b) == 1:
-            add(min(a, b) - 1, max(a, b) - 1, "zh")
+            span(a, b)
         else:
             add(a - 1, a - 1, "zh")
             add(b - 1, b - 1, "zh")
 
+    taken(_ZH_RANGE, span)
     taken(_ZH_PAIR, pair)
     taken(_EN_ONE, lambda a: add(a, a, "en"))
-    taken(_ZH_ONE, lambda a: add(a - 1, a - 1, "zh"))
+    taken(_ZH_ONE, lambda a: None if a in inside else add(a - 1, a - 1, "zh"))
     return out
 
 
@@ -66,21 +72,35 @@ def bit_fields(text: Column) -> Column:
 
 _EN_VALUES = re.compile(r"bits?\s*(\d+)\s+and\s+(\d+)[^.;]*?(?:set\s+to|=|are|as)\s*([01])\s+and\s+([01])", re.I)
 _ZH_VALUES = re.compile(r"第\s*(\d+)\s*位?\s*(?:和|、)\s*第?\s*(\d+)\s*位[^。；]*?(?:置为|为|设为|=)\s*([01])\s*(?:和|、)\s*([01])")
+_EN_VALUE = re.compile(r"bit\s*(\d+)\s*(?:=|is|is\s+set\s+to|set\s+to)\s*([01])(?!\d)", re.I)
+_ZH_VALUE = re.compile(r"第\s*(\d+)\s*位\s*(?:置为|设为|设置为|为|=)\s*([01])(?!\d)")
 _NEGATED = re.compile(r"\b(?:not|never|no)\b|不|非", re.I)
 
 
 def values_of(text: str | None) -> list[tuple[int, int, int]]:
-    """(offset, size 2, value) for two adjacent bits that a sentence sets, one value each, unless it is negated; the higher bit counts more."""
+    """(offset, size 2, value) for two adjacent bits that a sentence sets, in text order, unless it is negated; the higher bit counts more.  They are
+    set as a pair ("bits 9 and 10 are 1 and 0"), or one after the other ("bit8=0, bit9=0"): a run of exactly two neighbours, counted the same way."""
     out = []
     for sentence in re.split(r"[.;。；\n]", text or ""):
         if _NEGATED.search(sentence):
             continue
+        found: list[tuple[int, int, int, int, int]] = []  # where, lower bit, its value, higher bit, its value
+        rest = sentence
         for pattern, base in ((_EN_VALUES, 0), (_ZH_VALUES, 1)):
             for m in pattern.finditer(sentence):
                 a, b, x, y = map(int, m.groups())
+                rest = rest[: m.start()] + " " * (m.end() - m.start()) + rest[m.end() :]
                 if abs(a - b) == 1:
-                    low, high = ((a, x), (b, y)) if a < b else ((b, y), (a, x))
-                    out.append((low[0] - base, 2, 2 * high[1] + low[1]))
+                    found.append((m.start(), *sum(sorted([(a - base, x), (b - base, y)]), ())))
+        single = sorted((m.start(), base, int(m[1]) - base, int(m[2])) for pattern, base in ((_EN_VALUE, 0), (_ZH_VALUE, 1)) for m in pattern.finditer(rest))
+        runs: list[list[tuple[int, int, int, int]]] = []
+        for one in single:
+            if runs and runs[-1][-1][1] == one[1] and abs(runs[-1][-1][2] - one[2]) == 1:
+                runs[-1].append(one)
+            else:
+                runs.append([one])
+        found += [(r[0][0], *sum(sorted([(r[0][2], r[0][3]), (r[1][2], r[1][3])]), ())) for r in runs if len(r) == 2]
+        out += [(low, 2, 2 * y + x) for _, low, x, _, y in sorted(found)]
     return list(dict.fromkeys(out))
 
 

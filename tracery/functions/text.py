@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -159,9 +159,13 @@ def plain_name(name: Column) -> Column:
     return F.regexp_replace(F.upper(name), "^(RX_|TX_|DS[0-9]*_)+", "")
 
 
-def sign_text(resolution: Column, full_scale: Column) -> Column:
-    """What the sign of a two's complement value means."""
-    return F.when(resolution.isNull() | full_scale.isNull(), "").when(full_scale < 0, F.format_string("negative full scale %d", full_scale.cast("long"))).otherwise(F.format_string("range 0 to %d in steps of %d", full_scale.cast("long"), resolution.cast("long")))
+def sign_text(kind: Column, range_min: Column, offset: Column, size: Column) -> Column:
+    """What a negative range proves of a BNR field: it is a two's complement number whose highest bit is the sign, inside its size.  Bits count from 1, offsets from 0; '' where any of it is
+    missing or the range is not negative."""
+    top = offset.cast("long") + size.cast("long")
+    said = F.format_string("bits %d to %d begin at %s and so hold a two's complement number: bit %d (offset %d) is its sign, one of the %d", offset.cast("long") + 1, top, range_min.cast("string"), top, top - 1, size.cast("long"))
+    number = F.regexp_extract(F.regexp_replace(range_min.cast("string"), ",", ""), r"(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    return F.when((F.trim(kind) == "BNR") & (number < 0) & offset.isNotNull() & size.isNotNull(), said).otherwise("")
 
 
 def pair_value(positions: Column, values: Column) -> Column:
@@ -216,3 +220,27 @@ def bus_type(tag: Column, name: Column, prefixes: Sequence[str], inner: Sequence
 def repaired_names(text: Column) -> Column:
     """White space after _ taken out."""
     return F.regexp_replace(text, "_\\s+", "_")
+
+
+def category_name(value: Column, names: dict[str, str]) -> Column:
+    """The name under which a category is shown; one without a name shows itself."""
+    out = value
+    for k, shown in names.items():
+        out = F.when(value == k, shown).otherwise(out)
+    return out
+
+
+def with_synonyms(words: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(req_id, word): each word (req_id, word) and all of the first synonym group (g, canonical, alias) that has it."""
+    m = synonyms.select("g", F.col("canonical").alias("word")).union(synonyms.select("g", "alias")).distinct()
+    first = words.join(m, "word").groupBy("req_id", "word").agg(F.min("g").alias("g")).select("req_id", "g")
+    return words.select("req_id", "word").union(first.join(m, "g").select("req_id", "word")).distinct()
+
+
+def coded_meanings(values: DataFrame, fields: DataFrame) -> DataFrame:
+    """(case_id, offset, size, value, field, coded): each assembled value (case_id, offset, size, value) with the first field (case_id, offset, size, name, coded, ord) of its case at the same
+    bits that has a coded set, and that set if all such fields have the same one; null where there is none."""
+    known = fields.where(F.trim(F.coalesce("coded", F.lit(""))) != "").groupBy("case_id", "offset", "size").agg(
+        F.min_by("name", "ord").alias("field"), F.min(F.trim("coded")).alias("_least"), F.max(F.trim("coded")).alias("_most"))
+    out = values.join(known, ["case_id", "offset", "size"], "left")
+    return out.withColumn("coded", F.when(F.col("_least") == F.col("_most"), F.col("_least"))).drop("_least", "_most")

@@ -57,18 +57,24 @@ def t4(spark, sf_dir):
     return _req(spark, sf_dir, first=T.sdi_first(content()), every=F.array_join(T.sdi_all(content()), ","))
 
 
-@query("t5_bit_fields", f"""{REQ}, p AS (SELECT req_id, CAST(regexp_extract(content, 'bits ([0-9]+)-([0-9]+)', 1) AS INTEGER) AS a, CAST(regexp_extract(content, 'bits ([0-9]+)-([0-9]+)', 2) AS INTEGER) AS b FROM req)
-  SELECT req_id, concat(least(a, b), ':', abs(a - b) + 1) AS fields FROM p""")
+@query("t5_bit_fields", f"""{REQ}, p AS (SELECT req_id, ord, CAST(regexp_extract(content, 'bits ([0-9]+)-([0-9]+)', 1) AS INTEGER) AS a, CAST(regexp_extract(content, 'bits ([0-9]+)-([0-9]+)', 2) AS INTEGER) AS b FROM req)
+  SELECT req_id, concat(least(a, b), ':', abs(a - b) + 1, CASE ord % 6 WHEN 0 THEN ',2:5,20:1' WHEN 1 THEN ',2:2' WHEN 2 THEN ',2:1,4:1' WHEN 3 THEN ',30:1' WHEN 4 THEN ',2:2,6:1' ELSE '' END) AS fields FROM p""")
 def t5(spark, sf_dir):
-    fields = F.transform(B.bit_fields(content()), lambda x: F.concat_ws(":", x["offset"], x["size"]))
-    return _req(spark, sf_dir, fields=F.array_join(fields, ","))
+    r = I.requirements(spark, sf_dir)
+    more = F.expr("CASE ord % 6 WHEN 0 THEN '，第3到7位，第5位，第21位' WHEN 1 THEN '，第3和4位' WHEN 2 THEN '，第3和5位' WHEN 3 THEN ', bit 30 and bit 30' WHEN 4 THEN '，第3和4位，第4位，第7位' ELSE '' END")
+    fields = F.transform(B.bit_fields(F.col("text")), lambda x: F.concat_ws(":", x["offset"], x["size"]))
+    return r.select("req_id", F.concat("content", more).alias("text")).select("req_id", F.array_join(fields, ",").alias("fields"))
 
 
-@query("t6_bit_values", f"""WITH t AS (SELECT event_id, event_id % 20 AS a, event_id % 20 + 1 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS b, event_id % 2 AS x, event_id // 2 % 2 AS y, event_id % 5 = 0 AS neg FROM events)
-  SELECT event_id, CASE WHEN b - a = 1 AND NOT neg THEN concat(a, ':', 2 * y + x) ELSE '' END AS assigned FROM t""")
+@query("t6_bit_values", f"""WITH t AS (SELECT event_id, event_id % 20 AS a, event_id % 20 + 1 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS b, event_id % 2 AS x, event_id // 2 % 2 AS y, event_id % 5 = 0 AS neg, event_id % 7 AS form FROM events)
+  SELECT event_id, CASE WHEN form = 5 AND b - a > 1 AND NOT neg THEN concat(b, ':', 2 + y) WHEN b - a > 1 OR neg OR form IN (4, 5) THEN '' WHEN form = 6 THEN concat(a - 1, ':', 2 * y + x) WHEN form = 3 THEN concat(a, ':', 2 * x + y) ELSE concat(a, ':', 2 * y + x) END AS assigned FROM t""")
 def t6(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    text = F.expr("concat('Bits ', event_id % 20, ' and ', event_id % 20 + 1 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END, CASE WHEN event_id % 5 = 0 THEN ' shall not be' ELSE ' are' END, ' set to ', event_id % 2, ' and ', event_id div 2 % 2, '. Other text')")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id", "event_id % 20 AS a", "event_id % 20 + 1 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS b", "event_id % 2 AS x", "event_id div 2 % 2 AS y", "CASE WHEN event_id % 5 = 0 THEN ' never' ELSE '' END AS neg")
+    # a pair, single ones in either order, in two sentences, three in a row, and Chinese positions
+    text = F.expr("""concat(CASE event_id % 7 WHEN 2 THEN concat('It', neg, ' has bit', a, '=', x, ', bit', b, '=', y) WHEN 3 THEN concat('It', neg, ' has bit', b, '=', x, ', bit', a, '=', y)
+      WHEN 4 THEN concat('It', neg, ' has bit', a, '=', x, '. bit', b, '=', y) WHEN 5 THEN concat('It', neg, ' has bit', a, '=', x, ', bit', b, '=', y, ', bit', b + 1, '=1') WHEN 6 THEN concat('It', neg, ' 第', a, '位置为', x, '，第', b, '位置为', y)
+      ELSE concat('Bits ', a, ' and ', b, ' are', neg, ' set to ', x, ' and ', y) END, '. Other text')""")
     values = F.transform(B.bit_values(F.col("text")), lambda v: F.concat_ws(":", v["offset"], v["value"]))
     return e.select("event_id", text.alias("text")).select("event_id", F.array_join(values, ",").alias("assigned"))
 
@@ -111,14 +117,7 @@ SYNONYMS = [(0, "pump", "flow"), (0, "pump", "feed"), (1, "fan", "blower"), (2,
   e AS (SELECT req_id, word FROM t UNION SELECT f.req_id, m.word FROM f JOIN m USING (g)) SELECT req_id, string_agg(word, ',' ORDER BY word) AS words FROM e GROUP BY req_id""")
 def t11(spark, sf_dir):
     s = spark.createDataFrame(SYNONYMS, "g int, canonical string, alias string")
-    return expanded(_req(spark, sf_dir, word=F.explode(T.name_parts(F.col("name")))).distinct(), s)
-
-
-def expanded(words, synonyms):
-    """(req_id, words): each word (req_id, word) with all of the first synonym group that has it."""
-    m = synonyms.select("g", F.col("canonical").alias("word")).union(synonyms.select("g", "alias")).distinct()
-    first = words.join(F.broadcast(m), "word").groupBy("req_id", "word").agg(F.min("g").alias("g")).select("req_id", "g")
-    every = words.select("req_id", "word").union(first.join(F.broadcast(m), "g").select("req_id", "word")).distinct()
+    every = T.with_synonyms(_req(spark, sf_dir, word=F.explode(T.name_parts(F.col("name")))).distinct(), s)
     return every.groupBy("req_id").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
 
 
@@ -224,11 +223,10 @@ def t27(spark, sf_dir):
     return e.select("event_id", F.get_json_object(B.repaired_json(answer), "$.k").alias("k"))
 
 
-@query("t28_sign", "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '' WHEN p_size % 2 = 0 THEN concat('negative full scale ', -p_size) ELSE concat('range 0 to ', p_size, ' in steps of ', p_size // 5) END AS sign FROM part")
+@query("t28_sign", """SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 AND p_size % 2 = 0 AND p_size % 7 > 0 THEN concat('bits ', p_size % 20 + 1, ' to ', p_size % 20 + p_size % 9 + 2, ' begin at -', p_size, '.5 and so hold a two''s complement number: bit ', p_size % 20 + p_size % 9 + 2, ' (offset ', p_size % 20 + p_size % 9 + 1, ') is its sign, one of the ', p_size % 9 + 2) ELSE '' END AS sign FROM part""")
 def t28(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    scale = F.expr("CASE WHEN p_size % 7 = 0 THEN NULL WHEN p_size % 2 = 0 THEN -p_size ELSE p_size END")
-    return p.select("p_partkey", T.sign_text(F.expr("p_size div 5"), scale).alias("sign"))
+    return p.select("p_partkey", T.sign_text(F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'DIS' ELSE 'BNR ' END"), F.expr("concat(CASE WHEN p_size % 2 = 0 THEN '-' ELSE '' END, p_size, '.5')"), F.expr("CASE WHEN p_size % 7 > 0 THEN p_size % 20 END"), F.expr("p_size % 9 + 2")).alias("sign"))
 
 
 @query("t29_pair_value", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size % 2 + 2 * (p_size % 3 % 2) ELSE p_size % 3 % 2 + 2 * (p_size % 2) END AS code FROM part")
@@ -238,6 +236,17 @@ def t29(spark, sf_dir):
     return p.select("p_partkey", T.pair_value(places, F.expr("array(p_size % 2, p_size % 3 % 2)")).alias("code"))
 
 
+@query("t29_coded_set", """SELECT p_partkey, concat(p_size % 4, CASE WHEN p_size % 5 = 0 THEN '' ELSE concat('|', CASE WHEN p_size % 2 = 0 THEN 'first' ELSE 'second' END, CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('|set', p_size % 6) END) END) AS meaning FROM part""")
+def t29b(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    v = p.selectExpr("p_partkey AS case_id", "p_size % 8 AS offset", "2 AS size", "p_size % 4 AS value")
+    # three fields: the first without a set for odd sizes, another set for every third, and one at other bits
+    f = p.selectExpr("p_partkey AS case_id", "p_size", "explode(array(0, 1, 2, 3)) AS ord").selectExpr(
+        "case_id", "ord", "p_size % 8 + CASE WHEN ord = 3 THEN 1 ELSE 0 END AS offset", "2 AS size", "CASE ord WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END AS name",
+        "CASE WHEN p_size % 5 = 0 AND ord < 3 THEN ' ' WHEN ord = 0 AND p_size % 2 = 1 THEN NULL WHEN ord = 2 AND p_size % 3 = 0 THEN 'other' ELSE concat('set', p_size % 6, ' ') END AS coded")
+    return T.coded_meanings(v, f).select(F.col("case_id").alias("p_partkey"), F.concat_ws("|", "value", "field", "coded").alias("meaning"))
+
+
 @query("t30_span_text", "SELECT p_partkey, CASE WHEN p_size % 4 + 1 = 1 THEN concat('bit ', p_size) ELSE concat('bits ', p_size, '-', p_size + p_size % 4) END AS span FROM part")
 def t30(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.span_text(F.col("p_size"), F.expr("p_size % 4 + 1")).alias("span"))
@@ -278,8 +287,7 @@ def p11(spark, sf_dir):
 
 @query("p12_category_names", f"{REQ} SELECT req_id, CASE bus WHEN 'CAN' THEN 'frames' WHEN 'A429' THEN 'labelled words' ELSE bus END AS shown FROM req")
 def p12(spark, sf_dir):
-    names = F.create_map(F.lit("CAN"), F.lit("frames"), F.lit("A429"), F.lit("labelled words"))
-    return _req(spark, sf_dir, shown=F.coalesce(names[F.col("bus")], F.col("bus")))
+    return _req(spark, sf_dir, shown=T.category_name(F.col("bus"), {"CAN": "frames", "A429": "labelled words"}))
 
 
 @query("first_number", "SELECT p_partkey, TRY_CAST(regexp_extract(concat(p_brand, ' ', p_size, ' Bits'), '(-?[0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS n FROM part")
