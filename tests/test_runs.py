@@ -41,8 +41,8 @@ def test_levels_take_all_evidence(spark, tmp_path):
     traced = spark.createDataFrame([(f"E{i}", p, r, 0) for i, (p, r) in enumerate([("PUMP1.Port.ALTITUDE", "R1"), ("Dev.Port.PRESSURE_X", "R2"), ("Dev.Port.STATUS_Y", "R3"), ("TANK1.Port.QUANTITY_Z", "R4"), ("Dev.Port.OTHER_W", "R5"), ("Tank9.Bay.LONGWORD_V", "R6")])], "parent_id string, spec_name string, req_id string, ord int")
     level = lambda t, name: {r["block_key"].split("/")[1]: r["rule_level"] for r in runs.spec_to_req(spark, facts, reqs, str(tmp_path / name), t, words=words).collect()}
     plain = level(None, "a")
-    assert plain == {"ALTITUDE": "exact_fullname", "PRESSURE_X": "not_same_object", "STATUS_Y": "generic_only", "QUANTITY_Z": "not_same_object", "OTHER_W": "none", "LONGWORD_V": "distinctive_signal"}
-    assert level(traced, "b") == plain | {"STATUS_Y": "parent_referenced", "OTHER_W": "parent_referenced"}
+    assert plain == {"ALTITUDE": "exact_fullname", "PRESSURE_X": "not_same_object", "STATUS_Y": "generic_signal", "QUANTITY_Z": "not_same_object", "OTHER_W": "no_evidence", "LONGWORD_V": "exact_signal"}
+    assert level(traced, "b") == plain | {"OTHER_W": "trace_only"}
 
 
 def test_unlabelled_requirements_find_blocks(spark, tmp_path):
@@ -80,3 +80,78 @@ def test_listed_blocks_stay_beyond_the_best(spark, tmp_path):
     assert got == {"L050/PUMP_FLOW", "L050/PUMP_SPEED", "Port/PUMP_TEMP"}
     assert spark.read.parquet(str(tmp_path / "second_verdicts")).count() == 3
     assert (out["agreement"], out["stars"]) == ("full", 5)
+
+
+def test_a_changed_run_is_computed_again(spark, tmp_path):
+    """Another k, other words or other inputs in the same folder: no stage of the run before is taken; the same ones again: every stage is."""
+    facts = spark.createDataFrame([_leaf(i, f"Dev.Port.PUMP_FLOW_{c}", "BitOffset", "3", "CAN1") for i, c in enumerate("ABCD")], ENTRY)
+    reqs = spark.createDataFrame([("R1", "The unit shall transmit PUMP_FLOW bits 3-3 on CAN1")], "req_id string, content string")
+    folder = str(tmp_path)
+    log = lambda: spark.read.schema(runs.LOG).json(f"{folder}/manifest").where("status = 'stage'").count()
+    runs.req_to_spec(spark, facts, reqs, WORDS, folder).collect()
+    stages = log()
+    runs.req_to_spec(spark, facts, reqs, WORDS, folder).collect()
+    assert log() == stages
+    runs.req_to_spec(spark, facts, reqs, WORDS, folder, k=1).collect()
+    assert log() == 2 * stages
+    more = reqs.union(spark.createDataFrame([("R2", "nothing")], reqs.schema))
+    assert {r["req_id"] for r in runs.req_to_spec(spark, facts, more, WORDS, folder, k=1).collect()} == {"R1", "R2"}
+    assert log() == 3 * stages
+
+
+def test_sheets_of_one_name_in_two_files_stay_apart(spark):
+    from tracery.sources import office
+
+    def sheet(file, value):
+        head = [(file, "CAN-a", 1, 0, "Publisher"), (file, "CAN-a", 2, 0, "Port"), (file, "CAN-a", 3, 0, "Name"), (file, "CAN-a", 3, 1, "Size")]
+        return [*head, (file, "CAN-a", 4, 0, f"P{value}"), (file, "CAN-a", 4, 1, value)]
+
+    cells = spark.createDataFrame([*sheet("x", "1"), *sheet("y", "2"), ("z", "CAN-a", 1, 0, "Publisher")], "file string, sheet string, row int, col int, value string")
+    got = {(r["file"], r["path"], r["value"]) for r in office.spec_entries(cells).where("attr = 'Size'").collect()}
+    assert got == {("x", "P1", "1"), ("y", "P2", "2")}
+
+
+def test_cached_parses_are_read(spark, tmp_path):
+    from tracery.sources import office
+
+    spark.createDataFrame([("R1", "x")], "req_id string, content string").write.json(str(tmp_path / "q.json"))
+    assert office.facts(spark, str(tmp_path / "q.json")).count() == 1 and office.facts(spark, "a.xlsx") is None
+
+
+def test_name_direction_and_fields_in_full(spark):
+    """Precise keywords match at boundaries, others as parts; numbers, named protocol families, softened directions, sub-signals and hinted formats."""
+    from tracery.operators import match
+
+    base = {
+        "r_tokens": "cast(array() as array<string>)", "b_tokens": "array('x')", "r_direction": "'send'", "b_direction": "'receive'", "r_fields": "array(named_struct('offset', 3, 'size', 2))", "b_fields": "cast(array() as array<struct<offset: int, size: int>>)",
+        "r_sdi": "array('1')", "b_sdi": "array('2')", "r_category": "'bus'", "b_format": "'BNR'", "r_devices": "array('d')", "b_devices": "array('e')", "r_channel": "''", "b_channel": "''", "r_buses": "array('a')", "b_buses": "array('b')",
+    }
+
+    def dims(soften=False, **more):
+        df = spark.range(1).selectExpr(*(f"{v} AS {k}" for k, v in (base | more).items()))
+        return match.score(df, soften).first()
+
+    assert dims()["total"] == 0
+    family = "'aftefan1_hw_fault'"
+    assert dims(b_family=family, r_keywords="array('AFTEFAN1', 'AFTEFAN2', 'fault', 'hw')")["d_name"] == 16  # hw is too short
+    assert dims(b_family=family, r_components="array('AFTEFAN2')", r_keywords="array('zzz')")["d_name"] == 0
+    assert dims(b_family="'edp_034'", r_keywords="array('none')", r_numbers="array('034', '035')")["d_name"] == 10
+    assert dims(b_family=family, r_numbers="array('1')", named="true")["d_name"] == 30
+    assert dims(soften=True)["d_direction"] == 0 and dims(soften=True, b_sdi="array('1')")["d_direction"] == 8 and dims(b_sdi="array('1')")["d_direction"] == 0
+    assert dims(soften=True, b_family=family, named="true")["d_direction"] == 8
+    assert dims(b_sub_fields="array(named_struct('offset', 3, 'size', 2))")["d_bit"] == 20 and dims(b_sub_fields="array(named_struct('offset', 9, 'size', 2))")["d_bit"] == 8
+    assert dims(r_hint="'BNR'")["d_type"] == 10 and dims(r_hint="'DIS'")["d_type"] == 5 and dims(r_hint="''", b_format="'CHAR'")["d_type"] == 0
+
+
+def test_block_levels_of_lost_and_refuted_candidates(spark):
+    from tracery.operators import coverage
+
+    blocks = spark.createDataFrame([("lost", ["m"]), ("none", []), ("refuted", []), ("refuted_lost", ["m"]), ("silent", []), ("weak", [])], "block_key string, missing array<string>")
+    pairs = spark.createDataFrame(
+        [("refuted", "a", 1, "not_same_object"), ("refuted_lost", "a", 1, "not_same_object"), ("silent", "a", 1, "none"), ("silent", "b", 2, "not_same_object"), ("weak", "a", 1, "none"), ("weak", "b", 2, "weak_signal"), ("weak", "c", 3, "generic_signal"), ("weak", "d", 0, "generic_signal")],
+        "block_key string, req_id string, rank int, level string")
+    got = {r["block_key"]: (r["rule_level"], r["analysis_status"], r["needs_ai"], r["matched"], r["shown"]) for r in coverage.deterministic(blocks, pairs).collect()}
+    assert got == {
+        "lost": ("input_error", "input_error", False, [], []), "none": ("no_evidence", "uncovered", False, [], []), "refuted": ("not_same_object", "uncovered", False, [], ["a"]),
+        "refuted_lost": ("not_same_object", "possible", False, [], ["a"]), "silent": ("trace_only", "possible", True, [], ["a", "b"]), "weak": ("generic_signal", "possible", True, ["d", "c"], ["d", "a", "b", "c"]),
+    }

@@ -1,6 +1,6 @@
 """python -m tracery {req_to_spec|spec_to_req} --entries PATH --requirements PATH --out PATH [--ruleset PATH]
 
-Entries and requirements are Parquet tables, or folders of workbooks and documents with --office."""
+Entries and requirements are tables in Parquet or JSON lines (a cached parse), or workbooks and documents with --office."""
 
 from __future__ import annotations
 
@@ -22,11 +22,11 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tracery").getOrCreate()
     rules = next(iter(rulesets.load(spark, a.ruleset).values())) if a.ruleset else rulesets.Ruleset("default")
-    if a.office:
-        alias = spark.createDataFrame([("id", "id"), ("identifier", "id"), ("text", "content"), ("content", "content")], "alias string, field string")
-        entries, reqs = office.spec_entries(office.read_cells(spark, a.entries)), office.requirements(spark, a.requirements, alias)
-    else:
-        entries, reqs = spark.read.parquet(a.entries), spark.read.parquet(a.requirements)
+    alias = spark.createDataFrame([("id", "id"), ("identifier", "id"), ("text", "content"), ("content", "content")], "alias string, field string")
+    entries = None if a.office else office.facts(spark, a.entries)
+    reqs = None if a.office else office.facts(spark, a.requirements)
+    entries = office.spec_entries(office.read_cells(spark, a.entries)) if entries is None else entries
+    reqs = office.requirements(spark, a.requirements, alias) if reqs is None else reqs
     if a.kind == "req_to_spec":
         out = runs.req_to_spec(spark, entries, reqs, rules.words(), a.out)
     else:

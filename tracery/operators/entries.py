@@ -33,7 +33,7 @@ def first_of(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str])
 
 def without_attributes(df: DataFrame, excluded: DataFrame) -> DataFrame:
     """Entries whose attr isn't in `excluded` (attr)."""
-    return df.join(F.broadcast(excluded.select("attr").distinct()), "attr", "left_anti")
+    return df.join(excluded.select("attr").distinct(), "attr", "left_anti")
 
 
 def with_value(df: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def unpivot_layers(rows: DataFrame, excluded: Sequence[str] = ()) -> DataFrame:
 
 def described(df: DataFrame, names: DataFrame, units: DataFrame) -> DataFrame:
     """`description` from the attribute's display name, its value, its unit and, for a reference, its name."""
-    out = df.join(F.broadcast(names.select("attr", "display")), "attr", "left").join(F.broadcast(units.select("attr", "unit")), "attr", "left")
+    out = df.join(names.select("attr", "display"), "attr", "left").join(units.select("attr", "unit"), "attr", "left")
     text = F.concat(F.coalesce("display", "attr"), F.lit(" of "), F.col("path"), F.lit(" is "), F.col("value").cast("string"), F.coalesce(F.concat(F.lit(" "), "unit"), F.lit("")))
     return out.withColumn("description", F.when(F.col("ref_name").isNotNull(), F.concat(text, F.lit(" (by "), F.col("ref_name"), F.lit(")"))).otherwise(text)).drop("display")
 
@@ -139,7 +139,7 @@ def annotated_content(reqs: DataFrame, catalogue: DataFrame, pattern: str) -> Da
     `catalogue` has (token, meaning); `pattern` has one group, the token.
     """
     found = reqs.select("req_id", F.posexplode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("at", "token"))
-    notes = found.join(F.broadcast(catalogue), "token").groupBy("req_id").agg(F.sort_array(F.collect_list(F.struct("at", F.concat(F.lit(" ["), "token", F.lit(" = "), "meaning", F.lit("]")).alias("note")))).alias("notes"))
+    notes = found.join(catalogue, "token").groupBy("req_id").agg(F.sort_array(F.collect_list(F.struct("at", F.concat(F.lit(" ["), "token", F.lit(" = "), "meaning", F.lit("]")).alias("note")))).alias("notes"))
     out = reqs.join(notes, "req_id", "left")
     new = F.filter(F.transform("notes", lambda n: n["note"]), lambda n: ~F.contains(F.col("content"), n))
     return out.withColumn("content", F.concat("content", F.coalesce(F.array_join(new, ""), F.lit("")))).drop("notes")
@@ -169,3 +169,20 @@ def layer_values(cells: DataFrame, ranges: DataFrame, header_row: int = 3) -> Da
     attrs = attrs.join(ranges, "sheet").where("col >= start and (stop is null or col < stop)").select("sheet", "col", "side", "layer", "start", "attr")
     data = cells.where((F.col("row") > header_row) & F.col("value").isNotNull())
     return data.join(attrs, ["sheet", "col"]).groupBy("sheet", "row", "side", "layer", "start", "attr").agg(F.max_by("value", "col").alias("value"))
+
+
+def publisher_reissue(entries: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """The publisher's entries, and the subscriber's of some attributes as if the publisher had given them."""
+    again = entries.where((F.col("side") == SUBSCRIBER) & F.col("attr").isin(list(attributes))).withColumn("side", F.lit(PUBLISHER))
+    return again.unionByName(entries.where(F.col("side") == PUBLISHER))
+
+
+def reference_rows(entries: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """Entries that refer to another object, of the attributes that a reference may state."""
+    return entries.where(F.col("ref_name").isNotNull() & F.col("attr").isin(list(attributes)))
+
+
+def ordered_distinct(rows: DataFrame, key: str, value: str, order: str = "ord") -> DataFrame:
+    """(key, values): each key's distinct values in the order of their first row.  Repeats go before the values meet."""
+    first = rows.groupBy(key, value).agg(F.min(order).alias("_first"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_first", value))), lambda x: x[value]).alias("values"))

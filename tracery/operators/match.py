@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import boundary_match, has_named_component, specificity
+
 DIMENSIONS = ("d_name", "d_direction", "d_bit", "d_sdi", "d_type", "d_device", "d_channel")
 
 
@@ -16,6 +18,11 @@ def label_candidates(reqs: DataFrame, blocks: DataFrame) -> DataFrame:
     return r.join(blocks.where("label <> ''").select("label", "block_key"), "label").select("req_id", "block_key").distinct()
 
 
+def label_pairs(reqs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """`label_candidates` with both sides' columns, from one join on the label: a block has one label and a requirement each label once, so that no pair comes twice."""
+    return reqs.withColumn("label", F.explode(F.array_distinct("labels"))).join(blocks.where("label <> ''"), "label")
+
+
 def bus_candidates(reqs: DataFrame, blocks: DataFrame, labelled: bool = False) -> DataFrame:
     """Pairs that share a bus, for requirements without labels; blocks with a label only on demand."""
     r = reqs.where(F.size("labels") == 0).select("req_id", F.explode("bus_types").alias("bus")).distinct()
@@ -28,41 +35,84 @@ def overlaps(offset: Column, size: Column, offset2: Column, size2: Column) -> Co
 
 
 def range_candidates(reqs: DataFrame, blocks: DataFrame, width: int = 8) -> DataFrame:
-    """Pairs (req_id, block_key) of fields (offset, size) that overlap: both sides are dealt into bins of `width` bits, so that the join is on equal bins."""
-    bins = lambda: F.explode(F.sequence(F.floor(F.col("offset") / width), F.floor((F.col("offset") + F.greatest(F.col("size"), F.lit(1)) - 1) / width))).alias("bin")
-    r = reqs.select("req_id", "offset", "size", bins())
-    b = blocks.select("block_key", F.col("offset").alias("offset2"), F.col("size").alias("size2"), F.explode(F.sequence(F.floor(F.col("offset") / width), F.floor((F.col("offset") + F.greatest(F.col("size"), F.lit(1)) - 1) / width))).alias("bin"))
-    return r.join(b, "bin").where(overlaps(F.col("offset"), F.col("size"), F.col("offset2"), F.col("size2"))).select("req_id", "block_key").distinct()
+    """Pairs (req_id, block_key) of fields (offset, size) that overlap.  Fields are few and many rows share them: the distinct ones of both sides are dealt into bins of `width` bits and
+    joined on equal bins, in the first bin of both only, and the ids come back to what overlaps."""
+    last = F.floor((F.col("offset") + F.greatest(F.col("size"), F.lit(1)) - 1) / width)
+    ranges = lambda df: df.select("offset", "size").distinct().withColumn("first", F.floor(F.col("offset") / width)).withColumn("bin", F.explode(F.sequence("first", last)))
+    r, b = ranges(reqs), ranges(blocks).select(F.col("offset").alias("offset2"), F.col("size").alias("size2"), F.col("first").alias("first2"), "bin")
+    met = r.join(b, "bin").where(overlaps(F.col("offset"), F.col("size"), F.col("offset2"), F.col("size2")) & (F.col("bin") == F.greatest("first", "first2"))).select("offset", "size", "offset2", "size2")
+    own = blocks.select("block_key", F.col("offset").alias("offset2"), F.col("size").alias("size2"))
+    return reqs.select("req_id", "offset", "size").join(met, ["offset", "size"]).join(own, ["offset2", "size2"]).select("req_id", "block_key").distinct()
+
+
+def name_hits(keywords: Column, devices: Column, family: Column) -> Column:
+    """Keywords and devices that a block's family name bears out: precise ones at its boundaries, others as a part of it or it of them.  A device with named components
+    (letters and digits) counts by these.  Words of fewer than three letters don't count."""
+    name = F.lower(family)
+
+    def borne_out(w: Column) -> Column:
+        return F.when(specificity(w) == "precise", boundary_match(w, name)).otherwise(F.contains(name, w) | F.contains(w, name))
+
+    parts = lambda d: F.when(has_named_component(d), F.regexp_extract_all(d, F.lit("([A-Za-z]+[0-9]+)"), F.lit(1))).otherwise(F.array(d))
+    words = F.concat(F.transform(keywords, F.lower), F.flatten(F.transform(F.transform(devices, F.lower), parts)))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & (name != "") & borne_out(w)))
 
 
-def score(pairs: DataFrame) -> DataFrame:
+def field_score(r_fields: Column, b_fields: Column) -> Column:
+    """20 for a field of both with equal offset and size, 12 for an equal offset, 8 for an equal size."""
+    one = lambda r, b: F.when((r["offset"] == b["offset"]) & (r["size"] == b["size"]), 20).when(r["offset"] == b["offset"], 12).when(r["size"] == b["size"], 8).otherwise(0)
+    best = F.transform(r_fields, lambda r: F.coalesce(F.array_max(F.transform(b_fields, lambda b: one(r, b))), F.lit(0)))
+    return F.coalesce(F.array_max(best), F.lit(0))
+
+
+def score(pairs: DataFrame, soften: bool = False) -> DataFrame:
     """The seven dimensions and their total for pairs with both sides' columns.
 
     r_* of the requirement: r_tokens, r_direction, r_fields (array of offset, size), r_sdi (array), r_category, r_devices, r_channel, r_buses;
     b_* of the block: b_tokens, b_direction, b_fields, b_sdi, b_format, b_devices, b_channel, b_buses.
+    Further ones count where they are there: r_keywords, r_components (devices) and b_family (see `name_hits`), r_numbers (each that is in the family adds 10 to the name), r_hint (the format,
+    DIS or BNR, that the text of a labelled or bus requirement speaks of), b_sub_fields (the fields of sub-signals), and named (the text names the block's protocol family, which is
+    a full name hit).  With `soften`, opposite directions keep 8 where name or SDI are certain.
     """
-    shared = F.size(F.array_intersect("r_tokens", "b_tokens"))
-    field = F.transform("r_fields", lambda r: F.coalesce(F.array_max(F.transform("b_fields", lambda b: F.when((r["offset"] == b["offset"]) & (r["size"] == b["size"]), 20).when(r["offset"] == b["offset"], 12).when(r["size"] == b["size"], 8).otherwise(0))), F.lit(0)))
-    same_kind = ((F.col("r_category") == "discrete") & (F.col("b_format") == "DIS")) | ((F.col("r_category") == "analog") & F.col("b_format").isin("BNR", "FLOAT"))
+    there = set(pairs.columns)
+    strings = F.array().cast("array<string>")
+    of = lambda c: F.coalesce(F.col(c), strings) if c in there else strings
+    family = F.coalesce("b_family", F.lit("")) if "b_family" in there else F.lit("")
+    shared = F.array_union(F.array_intersect("r_tokens", "b_tokens"), name_hits(of("r_keywords"), of("r_components"), family)) if "b_family" in there else F.array_intersect("r_tokens", "b_tokens")
+    numbers = F.size(F.array_intersect(of("r_numbers"), F.regexp_extract_all(family, F.lit("([0-9]{3,})"), F.lit(1)))) if "r_numbers" in there else F.lit(0)
+    name = F.least(F.lit(30), F.least(F.lit(30), 8 * F.size(shared)) + 10 * numbers)
+    name = F.when(F.col("named"), 30).otherwise(name) if "named" in there else name
+    fields = F.concat("b_fields", F.coalesce("b_sub_fields", F.array().cast(pairs.schema["b_fields"].dataType))) if "b_sub_fields" in there else F.col("b_fields")
+    typed = F.col("b_format").isin("DIS", "FLOAT") | F.startswith(F.col("b_format"), F.lit("BNR"))
+    same_kind = ((F.col("r_category") == "discrete") & (F.col("b_format") == "DIS")) | ((F.col("r_category") == "analog") & (F.startswith(F.col("b_format"), F.lit("BNR")) | (F.col("b_format") == "FLOAT")))
+    hinted = F.col("r_category").isin("label", "bus") & (F.col("r_hint") != "") & F.startswith(F.col("b_format"), F.col("r_hint")) if "r_hint" in there else F.lit(False)
+    half = (F.col("r_category").isin("discrete", "analog") & (F.col("b_format") != "")) | (F.col("r_category").isin("label", "bus") & typed if "r_hint" in there else F.lit(False))
     dims = {
-        "d_name": F.least(F.lit(30), 8 * shared),
-        "d_direction": F.when(F.col("r_direction") == "", 0).when(F.col("r_direction") == F.col("b_direction"), 15).when(F.col("b_direction") == "bidirectional", 8).otherwise(0),
-        "d_bit": F.coalesce(F.array_max(field), F.lit(0)),
+        "d_name": name,
         "d_sdi": F.when(F.arrays_overlap("r_sdi", "b_sdi"), 15).otherwise(0),
-        "d_type": F.when(same_kind, 10).when(F.col("r_category").isin("discrete", "analog") & (F.col("b_format") != ""), 5).otherwise(0),
+        "d_direction": F.when(F.col("r_direction") == "", 0).when(F.col("r_direction") == F.col("b_direction"), 15).when(F.col("b_direction") == "bidirectional", 8)
+        .when(F.lit(soften) & ((F.col("d_name") >= 30) | (F.col("d_sdi") > 0)), 8).otherwise(0),
+        "d_bit": field_score(F.col("r_fields"), fields),
+        "d_type": F.when(same_kind | hinted, 10).when(half, 5).otherwise(0),
         "d_device": 5 * F.arrays_overlap("r_buses", "b_buses").cast("int") + F.least(F.lit(5), 2 * F.size(F.array_intersect("r_devices", "b_devices"))),
         "d_channel": F.when((F.col("r_channel") != "") & (F.col("r_channel") == F.col("b_channel")), 10).otherwise(0),
-    }
-    out = pairs.withColumns({k: F.coalesce(v.cast("int"), F.lit(0)) for k, v in dims.items()})
+    }
+    whole = lambda names: {k: F.coalesce(dims[k].cast("int"), F.lit(0)) for k in names}
+    out = pairs.withColumns(whole(("d_name", "d_sdi"))).withColumns(whole(("d_direction", "d_bit", "d_type", "d_device", "d_channel")))
     return out.withColumn("total", sum((F.col(d) for d in DIMENSIONS), F.lit(0)))
 
 
-def gated(scored: DataFrame, least: int = 12) -> DataFrame:
-    """Pairs of a total of at least `least` that no hard gate forbids: opposite directions, SDIs that are both stated and differ, buses that are both stated and differ."""
+def gates(scored: DataFrame, least: int = 12) -> DataFrame:
+    """`conflict`: opposite directions, SDIs that are both stated and differ, buses that are both stated and differ; `passed`: none of these, and a total of at least `least`."""
     opposite = F.col("r_direction").isin("send", "receive") & F.col("b_direction").isin("send", "receive") & (F.col("r_direction") != F.col("b_direction"))
     differ = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & ~F.coalesce(F.arrays_overlap(a, b), F.lit(False))
     conflict = opposite | differ("r_sdi", "b_sdi") | differ("r_buses", "b_buses")
-    return scored.withColumn("conflict", conflict).where((F.col("total") >= least) & ~F.col("conflict"))
+    return scored.withColumn("conflict", F.coalesce(conflict, F.lit(False))).withColumn("passed", (F.col("total") >= least) & ~F.col("conflict"))
+
+
+def gated(scored: DataFrame, least: int = 12) -> DataFrame:
+    """The pairs that pass the gates."""
+    return gates(scored, least).where("passed")
 
 
 def ranked(pairs: DataFrame, conflicts_first: bool = False) -> DataFrame:
@@ -72,9 +122,8 @@ def ranked(pairs: DataFrame, conflicts_first: bool = False) -> DataFrame:
 
 
 def top_k(pairs: DataFrame, k: int = 20, exempt: Column | None = None) -> DataFrame:
-    """The k best of each requirement, and exempt ones whatever their rank.  Two branches, so that the first keeps its group limit in the plan."""
-    best = ranked(pairs).where(F.col("rn") <= k)
-    return best if exempt is None else best.union(ranked(pairs).where((F.col("rn") > k) & exempt))
+    """The k best of each requirement, and exempt ones whatever their rank; pairs are scored and ranked once."""
+    return ranked(pairs).where(F.col("rn") <= k if exempt is None else (F.col("rn") <= k) | F.coalesce(exempt, F.lit(False)))
 
 
 def prune_nameless(pairs: DataFrame) -> DataFrame:
@@ -91,17 +140,16 @@ def prune_spare(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_hit", hit).where((F.col("_hit") == 0) | ~F.col("is_spare")).drop("_hit")
 
 
-def tiers(reqs: DataFrame, gated_pairs: DataFrame, ungated: DataFrame) -> DataFrame:
-    """(req_id, status, top) for every requirement (req_id, category): matched, uncertain or unmatched, from its best gated pair; one whose label exists
-    but whose pairs were all filtered is uncertain, with the best ungated total.
+def tiers(reqs: DataFrame, judged: DataFrame) -> DataFrame:
+    """(req_id, status, top) for every requirement (req_id, category): matched, uncertain or unmatched, from its best pair of those that `passed` (see `gates`); one
+    whose pairs all failed is uncertain, with the best of their totals.  One aggregation: no pair is ranked or read twice.
 
     matched takes a total of 25, two of the seven dimensions and a name hit; analog and discrete requirements without a name hit are unmatched.
     """
-    best = ranked(gated_pairs).where("rn = 1")
     active = sum(((F.col(d) > 0).cast("int") for d in DIMENSIONS), F.lit(0))
-    best = best.select("req_id", "total", "d_name", active.alias("active"))
-    seen = ungated.groupBy("req_id").agg(F.max("total").alias("ungated"))
-    j = reqs.select("req_id", "category").join(best, "req_id", "left").join(seen, "req_id", "left")
+    order = F.struct((-F.col("total")).alias("least"), "block_ord", "block_key", "total", "d_name", active.alias("active"))
+    best = judged.groupBy("req_id").agg(F.min(F.when(F.col("passed"), order)).alias("best"), F.max("total").alias("ungated"))
+    j = reqs.select("req_id", "category").join(best.select("req_id", "best.total", "best.d_name", "best.active", "ungated"), "req_id", "left")
     status = (
         F.when(F.col("total").isNull(), F.when(F.col("ungated").isNotNull(), "uncertain").otherwise("unmatched"))
         .when(F.col("category").isin("analog", "discrete") & (F.col("d_name") == 0), "unmatched")
@@ -130,7 +178,7 @@ def refined(matched: DataFrame, names: DataFrame, index: DataFrame, synonyms: Da
     all_ = index.withColumn("name", plain_name(F.col("leaf"))).join(wanted, "name").select("req_id", "block_key").distinct()
     recovered = all_.join(exact, ["req_id", "block_key"], "left_anti").withColumn("how", F.lit("recovered"))
     found = exact.union(recovered)
-    rest = m.join(found.select("req_id").distinct(), "req_id", "left_anti").join(wanted.withColumnRenamed("name", "asked"), "req_id").join(F.broadcast(synonyms.select(plain_name(F.col("name")).alias("asked"), plain_name(F.col("alias")).alias("alias"))), "asked")
+    rest = m.join(found.select("req_id").distinct(), "req_id", "left_anti").join(wanted.withColumnRenamed("name", "asked"), "req_id").join(synonyms.select(plain_name(F.col("name")).alias("asked"), plain_name(F.col("alias")).alias("alias")), "asked")
     return found.union(rest.where(F.contains("name", "alias")).select("req_id", "block_key", F.lit("synonym").alias("how"))).distinct()
 
 

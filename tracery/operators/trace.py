@@ -23,7 +23,7 @@ def parent_requirements(cells: DataFrame, skipped_modules: DataFrame, parent: in
     rows = _pairs(cells, parent, requirement, first_row, ("None",))
     modules = cells.where(F.col("col") == module).select("file", "sheet", "row", F.lower(F.trim("value")).alias("module"))
     rows = rows.join(modules, ["file", "sheet", "row"], "left")
-    return rows.join(F.broadcast(skipped_modules.select(F.lower(F.trim("module")).alias("module")).distinct()), "module", "left_anti").select("parent_id", F.col("other").alias("req_id")).distinct()
+    return rows.join(skipped_modules.select(F.lower(F.trim("module")).alias("module")).distinct(), "module", "left_anti").select("parent_id", F.col("other").alias("req_id")).distinct()
 
 
 def _pairs(cells: DataFrame, parent: int, other: int, first_row: int, words: Sequence[str]) -> DataFrame:
@@ -54,15 +54,17 @@ def bridge_columns(cells: DataFrame, left: DataFrame, right: DataFrame, columns:
     out = None
     for name, ids in (("left_col", left), ("right_col", right)):
         known = ids.select(prefix(F.col(ids.columns[0])).alias("prefix")).distinct()
-        n = look.join(F.broadcast(known), "prefix", "left_semi").groupBy("file", "col").agg(F.count("*").alias("n"))
+        n = look.join(known, "prefix", "left_semi").groupBy("file", "col").agg(F.count("*").alias("n"))
         one = n.groupBy("file").agg(F.max(F.struct("n", (-F.col("col")).alias("c"))).alias("m")).select("file", (-F.col("m.c")).alias(name))
         out = one if out is None else out.join(one, "file")
     return out.where("left_col <> right_col")
 
 
 def chain(requirements: DataFrame, names: DataFrame) -> DataFrame:
-    """(req_id, spec_name, block_key): requirement - parent - spec name, distinct."""
-    return requirements.join(names, "parent_id").select("req_id", "spec_name", T.block_key(F.col("spec_name")).alias("block_key")).distinct()
+    """(req_id, spec_name, block_key): requirement - parent - spec name, distinct.  Both sides are distinct before they meet, and a name's key is made once for the name, not for
+    each pair."""
+    keyed = names.select("parent_id", "spec_name").distinct().withColumn("block_key", T.block_key(F.col("spec_name")))
+    return requirements.select("parent_id", "req_id").distinct().join(keyed, "parent_id").select("req_id", "spec_name", "block_key").dropDuplicates(["req_id", "spec_name"])
 
 
 def bridged(requirements: DataFrame, names: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -101,6 +103,17 @@ def with_fallback(first: DataFrame, again: DataFrame) -> DataFrame:
     return first.join(redo, "req_id", "left_anti").unionByName(again.join(redo, "req_id", "left_semi"))
 
 
+def group_union(traced: DataFrame, full: DataFrame) -> DataFrame:
+    """Results of the traced group and, for requirements that it lacks, of the full one; `pool` tells which."""
+    return traced.withColumn("pool", F.lit("traced")).unionByName(full.join(traced.select("req_id").distinct(), "req_id", "left_anti").withColumn("pool", F.lit("full")))
+
+
+def chosen_sheets(sheets: DataFrame, words: Sequence[str]) -> DataFrame:
+    """(file, ord): the first sheet of each file (file, ord, name) whose name has one of the words, without case; where none has, the file's first sheet."""
+    hit = F.lower("name").rlike("|".join(f"\\Q{w.lower()}\\E" for w in words))
+    return sheets.groupBy("file").agg(F.coalesce(F.min(F.when(hit, F.col("ord"))), F.min("ord")).alias("ord"))
+
+
 def input_errors(files: DataFrame, required: Sequence[str]) -> DataFrame:
     """(file, error): missing sheets and columns of trace files (file, sheet, columns) as rows, never an exception."""
     need = F.array(*map(F.lit, required))

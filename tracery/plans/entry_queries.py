@@ -83,19 +83,17 @@ def f7(spark, sf_dir):
 @query("f8_publisher_reissue", f"{ENT} SELECT ord, 'DP' AS side, path, attr, value FROM entry WHERE side = 'RP' AND attr IN ('CodedSet', 'Units') UNION ALL SELECT ord, side, path, attr, value FROM entry WHERE side = 'DP'")
 def f8(spark, sf_dir):
     e = I.entries(spark, sf_dir).select("ord", "side", "path", "attr", "value")
-    again = e.where((F.col("side") == E.SUBSCRIBER) & F.col("attr").isin("CodedSet", "Units")).withColumn("side", F.lit(E.PUBLISHER))
-    return again.unionByName(e.where(F.col("side") == E.PUBLISHER))
+    return E.publisher_reissue(e, ["CodedSet", "Units"])
 
 
 @query("f9_reference_rows", f"{ENT} SELECT ord, path, attr, value, ref_name FROM entry WHERE ref_name IS NOT NULL AND attr IN ('BitOffset', 'DataFormatType')")
 def f9(spark, sf_dir):
-    return I.entries(spark, sf_dir).where(F.col("ref_name").isNotNull() & F.col("attr").isin("BitOffset", "DataFormatType")).select("ord", "path", "attr", "value", "ref_name")
+    return E.reference_rows(I.entries(spark, sf_dir), ["BitOffset", "DataFormatType"]).select("ord", "path", "attr", "value", "ref_name")
 
 
 @query("f10_ordered_distinct", f"{ENT}, f AS (SELECT path, attr, min(ord) AS o FROM entry GROUP BY ALL) SELECT path, string_agg(attr, ',' ORDER BY o) AS attrs FROM f GROUP BY path")
 def f10(spark, sf_dir):
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("ord", "attr"))), lambda x: x["attr"])
-    return I.entries(spark, sf_dir).groupBy("path").agg(F.array_join(F.array_distinct(ordered), ",").alias("attrs"))
+    return E.ordered_distinct(I.entries(spark, sf_dir), "path", "attr").select("path", F.array_join("values", ",").alias("attrs"))
 
 
 @query("p1_excluded_attributes", f"{ENT} SELECT ord FROM entry WHERE attr NOT IN ('Label', 'Units')")
@@ -217,10 +215,10 @@ def a7(spark, sf_dir):
     return K.own_bit_range(f)
 
 
-CELLS_SQL = """cells AS (SELECT concat('CAN-', p_partkey % 40) AS sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col,
+CELLS_SQL = """cells AS (SELECT concat('CAN-', p_partkey) AS sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col,
     CASE WHEN row = 1 THEN CASE WHEN col = 0 THEN 'Publisher' WHEN col = 4 AND p_partkey % 2 = 0 THEN 'Subscriber' END WHEN row = 2 THEN CASE col WHEN 0 THEN 'Port' WHEN 2 THEN 'DP' WHEN 4 THEN 'RP' END
       WHEN row = 3 THEN CASE col WHEN 1 THEN 'Size' WHEN 3 THEN 'Unit' WHEN 5 THEN ' ' ELSE 'Name' END WHEN (row + col) % 5 > 0 THEN concat(p_brand, row, col) END AS value
-  FROM part, (SELECT unnest(range(1, 8)) AS row), (SELECT unnest(range(0, 6)) AS col) WHERE p_partkey < 40)"""
+  FROM part, (SELECT unnest(range(1, 8)) AS row), (SELECT unnest(range(0, 6)) AS col))"""
 
 
 def sheet_cells(spark, sf_dir):

@@ -8,28 +8,27 @@ from ..operators import match as M
 from .registry import query
 
 BLOCK = {
-    "block_key": "concat('B', p_partkey)", "block_ord": "p_partkey", "label": "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('L', p_size + 100) END", "leaf": "concat(CASE WHEN p_partkey % 3 = 0 THEN 'rx_' ELSE '' END, replace(p_name, ' ', '_'), p_partkey % 25)",
-    "w1": "split_part(p_name, ' ', 1)", "w2": "split_part(p_name, ' ', 2)", "b_direction": "CASE p_size % 3 WHEN 0 THEN 'send' WHEN 1 THEN 'receive' ELSE 'bidirectional' END",
+    "block_key": "concat('B', p_partkey)", "block_ord": "p_partkey", "label": "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE concat('L', CAST(floor(p_partkey / 20) AS BIGINT)) END", "leaf": "concat(CASE WHEN p_partkey % 3 = 0 THEN 'rx_' ELSE '' END, replace(p_name, ' ', '_'), p_partkey % 25)",
+    "b_family": "concat(replace(p_name, ' ', '_'), '_unit', p_partkey % 7)", "w1": "split_part(p_name, ' ', 1)", "w2": "split_part(p_name, ' ', 2)", "b_direction": "CASE p_size % 3 WHEN 0 THEN 'send' WHEN 1 THEN 'receive' ELSE 'bidirectional' END",
     "o": "p_size % 16", "n": "p_size % 3 + 1", "sdi": "CAST(p_partkey % 3 AS STRING)", "b_format": "CASE p_partkey % 4 WHEN 0 THEN 'DIS' WHEN 1 THEN 'BNR' WHEN 2 THEN 'FLOAT' ELSE '' END",
-    "dev": "p_brand", "b_channel": "CAST(p_partkey % 4 AS STRING)", "bus": "p_type", "is_protocol": "p_size % 10 = 0", "is_spare": "p_partkey % 11 = 0",
+    "dev": "p_brand", "b_channel": "CAST(p_partkey % 4 AS STRING)", "bus": "concat(p_type, '-', CAST(floor(p_partkey / 200) AS BIGINT))", "is_protocol": "p_size % 10 = 0", "is_spare": "p_partkey % 11 = 0",
 }
 REQ = {
-    "req_id": "concat('R', o_orderkey)", "category": "CASE o_orderkey % 5 WHEN 0 THEN 'analog' WHEN 1 THEN 'discrete' WHEN 2 THEN 'bus' ELSE 'label' END", "rlabel": "concat('L', o_custkey % 50 + 101)",
+    "req_id": "concat('R', o_orderkey)", "category": "CASE o_orderkey % 5 WHEN 0 THEN 'analog' WHEN 1 THEN 'discrete' WHEN 2 THEN 'bus' ELSE 'label' END", "rlabel": "concat('L', CAST(floor(o_custkey / 15) AS BIGINT))",
     "v1": "CASE o_custkey % 5 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'small' WHEN 3 THEN 'large' ELSE 'hot' END", "v2": "CASE o_orderkey % 4 WHEN 0 THEN 'bolt' WHEN 1 THEN 'ring' WHEN 2 THEN 'widget' ELSE 'none' END",
+    "kw": "concat(CASE o_custkey % 5 WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'small' WHEN 3 THEN 'large' ELSE 'hot' END, '_', CASE o_orderkey % 3 WHEN 0 THEN 'bolt' WHEN 1 THEN 'ring' ELSE 'gear' END)", "unit": "concat('unit', o_orderkey % 7)",
     "r_direction": "CASE o_orderkey % 3 WHEN 0 THEN 'send' WHEN 1 THEN 'receive' ELSE '' END", "ro": "o_custkey % 16", "rn_": "o_orderkey % 3 + 1", "rsdi": "CASE WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey % 3 AS STRING) END",
-    "rdev": "concat('Brand#', o_custkey % 25 + 1)", "r_channel": "CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE CAST(o_custkey % 4 AS STRING) END", "rbus": "CASE o_orderkey % 3 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' END",
+    "rdev": "concat('Brand#', o_custkey % 25 + 1)", "r_channel": "CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE CAST(o_custkey % 4 AS STRING) END", "rbus": "CASE o_orderkey % 3 WHEN 0 THEN concat('ECONOMY-', CAST(floor(o_custkey / 150) AS BIGINT)) WHEN 1 THEN concat('SMALL-', CAST(floor(o_custkey / 150) AS BIGINT)) END",
 }
-#: The SQL's part of the orders; the queries themselves run over all of them.
-_WHERE = "o_orderkey % 5 < 3"
 
 
-def _sql(exprs, table, where=""):
-    return "SELECT " + ", ".join(f"{v} AS {k}" for k, v in exprs.items()) + f" FROM {table}{where}"
+def _sql(exprs, table):
+    return "SELECT " + ", ".join(f"{v} AS {k}" for k, v in exprs.items()) + f" FROM {table}"
 
 
-SIDES_SQL = f"b AS ({_sql(BLOCK, 'part')}), r AS ({_sql(REQ, 'orders', ' WHERE ' + _WHERE)})"
+SIDES_SQL = f"b AS ({_sql(BLOCK, 'part')}), r AS ({_sql(REQ, 'orders')})"
 PAIRS_SQL = f"{SIDES_SQL}, pairs AS (SELECT * FROM r JOIN b ON r.rlabel = b.label)"
-SCORE_SQL = f"""{PAIRS_SQL}, dims AS (SELECT *, least(30, 8 * (CAST(v1 = w1 OR v1 = w2 AS INTEGER) + CAST(v1 <> v2 AND (v2 = w1 OR v2 = w2) AS INTEGER))) AS d_name,
+SCORE_SQL = f"""{PAIRS_SQL}, dims AS (SELECT *, least(30, 8 * (CAST(v1 = w1 OR v1 = w2 AS INTEGER) + CAST(v1 <> v2 AND (v2 = w1 OR v2 = w2) AS INTEGER) + CAST(contains(b_family, kw) AS INTEGER) + CAST(suffix(b_family, concat('_', unit)) AS INTEGER))) AS d_name,
     CASE WHEN r_direction = '' THEN 0 WHEN r_direction = b_direction THEN 15 WHEN b_direction = 'bidirectional' THEN 8 ELSE 0 END AS d_direction,
     CASE WHEN ro = o AND rn_ = n THEN 20 WHEN ro = o THEN 12 WHEN rn_ = n THEN 8 ELSE 0 END AS d_bit, CASE WHEN rsdi = sdi THEN 15 ELSE 0 END AS d_sdi,
     CASE WHEN category = 'discrete' AND b_format = 'DIS' OR category = 'analog' AND b_format IN ('BNR', 'FLOAT') THEN 10 WHEN category IN ('discrete', 'analog') AND b_format <> '' THEN 5 ELSE 0 END AS d_type,
@@ -49,12 +48,11 @@ def requirements(spark, sf_dir):
 
 def scored(spark, sf_dir):
     r, b = requirements(spark, sf_dir), blocks(spark, sf_dir)
-    r = r.withColumn("labels", F.array("rlabel"))
-    j = M.label_candidates(r, b).join(r, "req_id").join(b, "block_key")
+    j = M.label_pairs(r.withColumn("labels", F.array("rlabel")), b)
     some = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
     field = lambda a, n: F.array(F.struct(F.col(a).cast("int").alias("offset"), F.col(n).cast("int").alias("size")))
     return M.score(j.withColumns({
-        "r_tokens": F.array_distinct(F.array("v1", "v2")), "b_tokens": F.array_distinct(F.array("w1", "w2")), "r_fields": field("ro", "rn_"), "b_fields": field("o", "n"), "r_sdi": some("rsdi"), "b_sdi": some("sdi"),
+        "r_tokens": F.array_distinct(F.array("v1", "v2")), "r_keywords": F.array("kw", "unit"), "b_tokens": F.array_distinct(F.array("w1", "w2")), "r_fields": field("ro", "rn_"), "b_fields": field("o", "n"), "r_sdi": some("rsdi"), "b_sdi": some("sdi"),
         "r_category": F.col("category"), "r_devices": some("rdev"), "b_devices": some("dev"), "r_buses": some("rbus"), "b_buses": some("bus"),
     }))
 
@@ -68,16 +66,17 @@ def j8(spark, sf_dir):
     return M.label_candidates(requirements(spark, sf_dir).withColumn("labels", F.array("rlabel")), blocks(spark, sf_dir))
 
 
-@query("j9_bus_candidates", f"WITH {SIDES_SQL} SELECT req_id, block_key FROM r JOIN b ON rbus = bus AND label = '' WHERE CAST(substr(req_id, 2) AS INTEGER) % 25 = 0")
+@query("j9_bus_candidates", f"WITH {SIDES_SQL} SELECT req_id, block_key FROM r JOIN b ON rbus = bus AND label = ''")
 def j9(spark, sf_dir):
     r = requirements(spark, sf_dir).withColumns({"labels": F.array().cast("array<string>"), "bus_types": F.array_compact(F.array("rbus"))})
     return M.bus_candidates(r, blocks(spark, sf_dir).withColumn("buses", F.array("bus")))
 
 
-@query("j10_range_candidates", f"WITH {SIDES_SQL} SELECT req_id, block_key FROM r JOIN b ON ro < o + n AND o < ro + rn_ WHERE CAST(substr(req_id, 2) AS INTEGER) % 50 = 0")
+@query("j10_range_candidates", f"WITH {SIDES_SQL} SELECT req_id, count(*) AS blocks, min(block_key) AS first, max(block_key) AS last FROM r JOIN b ON ro < o + n AND o < ro + rn_ GROUP BY req_id")
 def j10(spark, sf_dir):
     r = requirements(spark, sf_dir).selectExpr("req_id", "ro AS offset", "rn_ AS size")
-    return M.range_candidates(r, blocks(spark, sf_dir).selectExpr("block_key", "o AS offset", "n AS size"))
+    pairs = M.range_candidates(r, blocks(spark, sf_dir).selectExpr("block_key", "o AS offset", "n AS size"))
+    return pairs.groupBy("req_id").agg(F.count("*").alias("blocks"), F.min("block_key").alias("first"), F.max("block_key").alias("last"))
 
 
 @query("j11_sdi_match", f"WITH {PAIRS_SQL} SELECT req_id, block_key FROM pairs WHERE rsdi = sdi")
@@ -125,8 +124,7 @@ TIERS_SQL = f"""{SCORE_SQL}, best AS (SELECT req_id, total, d_name, CAST(d_name
 
 
 def tiers(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return M.tiers(requirements(spark, sf_dir), M.gated(s), s)
+    return M.tiers(requirements(spark, sf_dir), M.gates(scored(spark, sf_dir)))
 
 
 @query("r7_tiers", f"WITH {TIERS_SQL} SELECT req_id, status, top FROM tiers")

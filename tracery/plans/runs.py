@@ -6,7 +6,9 @@ described by some requirement?  Stage tables are written once and read back, so
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,29 +22,46 @@ from ..sources.rulesets import Ruleset
 
 
 class Run:
-    """A run's folder: a table for each finished stage.  `stage` computes one only if an earlier run hasn't."""
+    """A run's folder: a table for each finished stage.  `stage` computes one only if an earlier run with the same fingerprint hasn't.
 
-    def __init__(self, spark: SparkSession, folder: str):
+    The fingerprint covers the parameters and the rows of the inputs; raters are known by their providers' names.  The manifest is a log in JSON lines, only ever appended to: a line when the run begins and ends and for each
+    finished stage, so that nothing is lost by a crash; a stage counts by its last line.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, parameters: dict, inputs: list[DataFrame]):
         self.spark, self.folder = spark, folder
+        self.parameters = json.dumps(parameters, sort_keys=True)
+        self.fingerprint = hashlib.sha256("\n".join([self.parameters, *(_rows_of(df) for df in inputs)]).encode()).hexdigest()
+        last = F.max_by("fingerprint", "at").alias("fingerprint")
+        self.finished = {r["stage"]: r["fingerprint"] for r in self.log().where("status = 'stage'").groupBy("stage").agg(last).collect()}
+        self.note("running")
 
-    def done(self, name: str) -> bool:
+    def log(self) -> DataFrame:
         try:
-            self.spark.read.text(f"{self.folder}/{name}/_SUCCESS").schema
+            return self.spark.read.schema(LOG).json(f"{self.folder}/manifest")
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return False
-            raise
-        return True
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], LOG)
+
+    def note(self, status: str, stage: str | None = None) -> None:
+        row = self.spark.createDataFrame([(time.time(), status, stage, self.fingerprint, self.parameters)], LOG)
+        row.coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
 
     def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-        if not self.done(name):
+        if self.finished.get(name) != self.fingerprint:
             report.write_stage(make(), self.folder, name)
+            self.note("stage", name)
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
-    def manifest(self, parameters: dict, status: str) -> None:
-        """The run's parameters and status, one JSON row, written as a whole."""
-        row = self.spark.createDataFrame([(json.dumps(parameters, sort_keys=True), status)], "parameters string, status string")
-        report.write_stage(row, self.folder, "manifest", "json")
+
+LOG = "at double, status string, stage string, fingerprint string, parameters string"
+
+
+def _rows_of(df: DataFrame) -> str:
+    """A table's rows in any order, as their number and the sum of their hashes."""
+    n, total = df.select(F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))).cast("decimal(38,0)").alias("h")).agg(F.count("*"), F.sum("h")).first()
+    return f"{df.columns} {n} {total}"
 
 
 def annotated(reqs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
@@ -114,17 +133,22 @@ def block_sides(blocks: DataFrame, words: dict[str, list[str]]) -> DataFrame:
 
 def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words: dict[str, list[str]], folder: str, rater: verdict.Rater = verdict.stub_rater, providers: tuple[str, ...] = ("alpha", "beta", "gamma"), k: int = 20) -> DataFrame:
     """(req_id, status, top, agreement, stars, review) for every requirement; unmatched ones have no verdicts."""
-    run = Run(spark, folder)
-    run.manifest({"kind": "req_to_spec", "providers": list(providers), "k": k}, "running")
+    run = Run(spark, folder, {"kind": "req_to_spec", "providers": list(providers), "k": k, "words": words}, [entries, reqs])
     leaves = E.leaves(E.with_value(entries))
     blocks = run.stage("blocks", lambda: cluster.blocks(cluster.profiles(leaves)).join(block_paths(leaves), "block_key"))
     side = block_sides(blocks, words)
     req = run.stage("annotations", lambda: stated_buses(annotated(reqs, words), side, words))
     both = candidates(req, side).join(req.withColumn("r_category", F.col("category")), "req_id").join(side, "block_key")
     channel = F.coalesce(F.get(F.array_intersect("r_channels", "b_channels"), F.lit(0)), F.lit(""))
-    scored = run.stage("scored", lambda: match.score(both.withColumns({"r_channel": channel, "b_channel": channel})))
-    gated = match.gated(scored.where("eligible"))
-    tiers = run.stage("tiers", lambda: match.tiers(req, gated, scored))
+    # what the text lists or names with digits counts towards a block's name; a protocol family that it names is a full hit
+    evidence = {
+        "r_channel": channel, "b_channel": channel, "r_keywords": F.col("listed"), "b_family": F.lower("family"), "named": F.col("is_protocol") & F.array_contains("r_protocols", F.col("family")),
+        "r_components": F.filter("r_devices", lambda d: d.rlike("^[A-Z]{2,}[0-9]+$")),
+    }
+    scored = run.stage("scored", lambda: match.score(both.withColumns(evidence)))
+    judged = match.gates(scored).withColumn("passed", F.col("passed") & F.col("eligible"))
+    gated = judged.where("passed")
+    tiers = run.stage("tiers", lambda: match.tiers(req, judged))
     # beyond the k best stay protocol families that the text names and blocks whose names it lists
     listed = F.exists("listed", lambda n: (F.col("family") == n) | F.startswith(F.col("family"), F.concat(n, F.lit("_"))))
     exempt = (F.col("is_protocol") & F.array_contains("r_protocols", F.col("family"))) | listed
@@ -133,7 +157,7 @@ def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words:
     synonyms = spark.createDataFrame([(a, b) for a, many in words.get("synonyms", {}).items() for b in many], "name string, alias string")
     refined = run.stage("refined", lambda: match.refined(kept.select("req_id", "block_key", F.col("family").alias("leaf")), names, side.select("block_key", F.col("family").alias("leaf")), synonyms))
     # blocks of the listed names where there are any, those that the best ones missed too; else the kept ones
-    missed = refined.where("how = 'recovered'").join(req.withColumn("r_category", F.col("category")), "req_id").join(side, "block_key").withColumns({"r_channel": channel, "b_channel": channel})
+    missed = refined.where("how = 'recovered'").join(req.withColumn("r_category", F.col("category")), "req_id").join(side, "block_key").withColumns(evidence)
     late = match.ranked(match.score(missed)).withColumn("rn", F.lit(1_000_000) + F.col("rn"))
     cols = ["req_id", "rn", "block_key", "total", *match.DIMENSIONS]
     chosen = kept.join(refined.where("how <> 'recovered'"), ["req_id", "block_key"], "left_semi").union(kept.join(refined.select("req_id").distinct(), "req_id", "left_anti").select(kept.columns))
@@ -159,7 +183,7 @@ def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words:
     final = verdicts.join(second, ["case_id", "provider"], "left_anti").unionByName(second)
     consensus = consensus_of(final)
     out = run.stage("report", lambda: tiers.join(consensus.withColumnRenamed("case_id", "req_id").drop("alive"), "req_id", "left"))
-    run.manifest({"kind": "req_to_spec", "providers": list(providers), "k": k}, "done")
+    run.note("done")
     return out
 
 
@@ -167,10 +191,9 @@ def spec_to_req(spark: SparkSession, entries: DataFrame, reqs: DataFrame, folder
     """(block_key, coverage_status, source, matched, rule_level, analysis_status) for every block; with `traced` (parent_id, spec_name, req_id, ord) only for the
     blocks in its scope.  `review` turns (block_key, matched) of every block that needs it into (block_key, verdict, matched_ids, rejected_ids); `matched` has the first
     coverage.SHOWN candidates.  `words` is a ruleset's, for categories and generic terms."""
-    run = Run(spark, folder)
     words = words or Ruleset("default").words()
     general = F.col("token").isin([w.upper() for w in words.get("generic", ())])
-    run.manifest({"kind": "spec_to_req", "trace": traced is not None}, "running")
+    run = Run(spark, folder, {"kind": "spec_to_req", "words": words, "noise": list(noise)}, [entries, reqs, *([] if traced is None else [traced])])
     none = F.array().cast("array<string>")
 
     def make_blocks() -> DataFrame:
@@ -201,18 +224,17 @@ def spec_to_req(spark: SparkSession, entries: DataFrame, reqs: DataFrame, folder
     # the SDI tells blocks of a label apart only where they differ in it
     split = blocks.where("label <> ''").select("label", F.explode("sdi").alias("s")).where("s <> 'NA'").groupBy("label").agg((F.count_distinct("s") > 1).alias("by_sdi"))
     pairs = pairs.join(blocks.drop("tokens", "missing", "candidates").join(split, "label", "left"), "block_key").join(said, "req_id").withColumn("rank", F.struct(-F.col("overlap"), "req_id"))
-    # devices tell unlabelled blocks apart; bits do only where no name is shared
     device = lambda c: F.filter(c, lambda d: d.rlike("^[A-Z]{2,}[0-9]+$"))
-    meant, context = (F.col("overlap") > 0) | F.col("full_name"), F.col("hit") | F.arrays_overlap("devices", "r_words") | F.arrays_overlap("parents", "r_words")
+    parent = F.arrays_overlap("parents", "r_words")
     pairs = coverage.conflict(pairs.withColumns({
-        "r_labels": F.col("labels"), "b_label": F.col("label"), "b_protocol": F.col("protocol"), "context": context, "b_devices": F.when(F.col("label") == "", device("devices")).otherwise(none), "r_devices": device("r_devices"),
-        "b_sdi": F.when(F.coalesce("by_sdi", no), F.col("sdi")).otherwise(none), "b_fields": F.when(meant, F.array().cast("array<struct<offset: int, size: int>>")).otherwise(F.col("fields")),
+        "r_labels": F.col("labels"), "b_label": F.col("label"), "b_protocol": F.col("protocol"), "meant": (F.col("overlap") > 0) | F.col("full_name"), "context": F.col("hit") | F.arrays_overlap("devices", "r_words") | parent,
+        "parent": parent, "b_devices": device("devices"), "r_devices": device("r_devices"), "b_sdi": F.when(F.coalesce("by_sdi", no), F.col("sdi")).otherwise(none), "b_fields": F.col("fields"),
     }))
-    pairs = pairs.withColumn("level", coverage.level(F.col("conflict"), F.col("full_name"), F.col("hit"), F.col("overlap"), F.col("distinctive"), F.col("context"), F.col("generic"), F.col("in_trace")))
+    pairs = pairs.withColumn("level", coverage.level(*(F.col(c) for c in ("conflict", "full_name", "hit", "overlap", "distinctive", "context", "generic", "parent", "identity"))))
     rules = run.stage("rules", lambda: coverage.deterministic(blocks, pairs.select("block_key", "req_id", "rank", "level")))
-    asked = rules.where("needs_ai").select("block_key", F.slice("matched", 1, coverage.SHOWN).alias("matched"))
+    asked = rules.where("needs_ai").select("block_key", F.col("shown").alias("matched"))
     reviews = review(asked) if review else spark.createDataFrame([], "block_key string, verdict string, matched_ids array<string>, rejected_ids array<string>")
     reviews = run.stage("reviews", lambda: reviews)
     out = run.stage("coverage", lambda: coverage.consolidated(blocks, rules, reviews))
-    run.manifest({"kind": "spec_to_req", "trace": traced is not None}, "done")
+    run.note("done")
     return out

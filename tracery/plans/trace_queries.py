@@ -12,16 +12,16 @@ from .text_queries import BLOCK_SQL
 
 ENT = "WITH " + I.ENTRY_CTE
 # a parent is a customer's group; requirements are orders, names are paths of entries of a device group
-REQS_SQL = "r AS (SELECT DISTINCT concat('E-', o_custkey % 97) AS parent_id, concat('R', o_orderkey % 4000) AS req_id FROM orders)"
-NAMES_SQL = "n AS (SELECT DISTINCT concat('E-', user_id % 60) AS parent_id, path AS spec_name FROM (SELECT *, ord % 97 AS user_id FROM entry))"
+REQS_SQL = "r AS (SELECT DISTINCT concat('E-', o_custkey) AS parent_id, concat('R', o_orderkey) AS req_id FROM orders)"
+NAMES_SQL = "n AS (SELECT DISTINCT concat('E-', CAST(floor(ord * 3 / 20) AS BIGINT)) AS parent_id, path AS spec_name FROM entry)"
 
 
 def _reqs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("concat('E-', o_custkey % 97) AS parent_id", "concat('R', o_orderkey % 4000) AS req_id").distinct()
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("concat('E-', o_custkey) AS parent_id", "concat('R', o_orderkey) AS req_id").distinct()
 
 
 def _names(spark, sf_dir):
-    return I.entries(spark, sf_dir).selectExpr("concat('E-', ord % 97 % 60) AS parent_id", "path AS spec_name").distinct()
+    return I.entries(spark, sf_dir).selectExpr("concat('E-', CAST(floor(ord * 3 / 20) AS BIGINT)) AS parent_id", "path AS spec_name").distinct()
 
 
 @query("j1_trace_chain", f"{ENT}, {REQS_SQL}, {NAMES_SQL} SELECT DISTINCT req_id, spec_name, {BLOCK_SQL.replace('path', 'spec_name')} AS block_key FROM r JOIN n USING (parent_id)")
@@ -38,13 +38,13 @@ def j2(spark, sf_dir):
     return X.bridged(r, s.selectExpr("concat('Y', s_suppkey) AS parent_id"), b)
 
 
-SCOPE_SQL = f"""{ENT}, {NAMES_SQL}, r AS (SELECT concat('E-', o_custkey % 97) AS parent_id, concat('R', o_orderkey % 4000) AS req_id, min(o_orderkey) AS ord FROM orders GROUP BY ALL),
-  c AS (SELECT parent_id, string_agg(req_id, ',' ORDER BY ord) AS candidates, string_agg(CASE WHEN CAST(substr(req_id, 2) AS INTEGER) >= 3500 THEN req_id END, ',' ORDER BY ord) AS missing FROM r GROUP BY parent_id)"""
+SCOPE_SQL = f"""{ENT}, {NAMES_SQL}, r AS (SELECT concat('E-', o_custkey) AS parent_id, concat('R', o_orderkey) AS req_id, min(o_orderkey) AS ord FROM orders GROUP BY ALL),
+  c AS (SELECT parent_id, string_agg(req_id, ',' ORDER BY ord) AS candidates, string_agg(CASE WHEN CAST(substr(req_id, 2) AS INTEGER) % 8 = 7 THEN req_id END, ',' ORDER BY ord) AS missing FROM r GROUP BY parent_id)"""
 
 
 def _scope(spark, sf_dir):
-    r = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("concat('E-', o_custkey % 97) AS parent_id", "concat('R', o_orderkey % 4000) AS req_id", "o_orderkey AS ord")
-    known = spark.range(3500).selectExpr("concat('R', id) AS req_id")
+    r = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("concat('E-', o_custkey) AS parent_id", "concat('R', o_orderkey) AS req_id", "o_orderkey AS ord")
+    known = r.where("ord % 8 <> 7").select("req_id")
     return X.scope(_names(spark, sf_dir), r, known)
 
 
@@ -53,7 +53,7 @@ def j3(spark, sf_dir):
     return _scope(spark, sf_dir).select("parent_id", "spec_name", F.array_join("candidates", ",").alias("candidates"), F.array_join("missing", ",").alias("missing"))
 
 
-@query("j4_located", f"{ENT}, {NAMES_SQL}, k AS (SELECT {BLOCK_SQL} AS block_key, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM entry WHERE ord % 5 = 0 GROUP BY 1) SELECT parent_id, spec_name, coalesce(paths, '') AS paths FROM (SELECT *, {BLOCK_SQL.replace('path', 'spec_name')} AS block_key FROM n) LEFT JOIN k USING (block_key)")
+@query("j4_located", f"{ENT}, {NAMES_SQL}, k AS (SELECT {BLOCK_SQL} AS block_key, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM entry GROUP BY 1) SELECT parent_id, spec_name, coalesce(paths, '') AS paths FROM (SELECT *, {BLOCK_SQL.replace('path', 'spec_name')} AS block_key FROM n) LEFT JOIN k USING (block_key)")
 def j4(spark, sf_dir):
     return X.located(_names(spark, sf_dir), I.entries(spark, sf_dir)).select("parent_id", "spec_name", F.array_join("paths", ",").alias("paths"))
 
@@ -75,7 +75,7 @@ def j6(spark, sf_dir):
 def j7(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS req_id")
     traced = c.where("req_id % 4 = 0")
-    return traced.withColumn("pool", F.lit("traced")).unionByName(c.join(traced, "req_id", "left_anti").withColumn("pool", F.lit("full")))
+    return X.group_union(traced, c)
 
 
 TRACE_SQL = """t AS (SELECT 'f' || (o_orderkey % 3) AS file, 's' || (o_orderkey % 5) AS sheet, CAST(o_orderkey // 15 + 1 AS INTEGER) AS row, CASE WHEN o_orderkey % 4 = 0 THEN concat('P-', o_custkey % 50) WHEN o_orderkey % 4 = 1 THEN 'None' END AS parent,
@@ -125,7 +125,7 @@ def s13(spark, sf_dir):
 @query("s15_sheet_choice", "SELECT p_brand AS file, coalesce(min(CASE WHEN p_name LIKE '%bolt%' THEN p_partkey END), min(p_partkey)) AS sheet FROM part GROUP BY p_brand")
 def s15(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return p.groupBy(F.col("p_brand").alias("file")).agg(F.coalesce(F.min(F.when(F.col("p_name").contains("bolt"), F.col("p_partkey"))), F.min("p_partkey")).alias("sheet"))
+    return X.chosen_sheets(p.selectExpr("p_brand AS file", "p_partkey AS ord", "p_name AS name"), ["Bolt"]).withColumnRenamed("ord", "sheet")
 
 
 @query("s16_input_errors", "SELECT p_partkey AS file, CASE WHEN p_size % 5 = 0 THEN 'missing_sheet' WHEN p_size % 3 = 0 THEN 'missing_columns:b' ELSE 'missing_columns:a,b' END AS error FROM part WHERE p_size % 5 = 0 OR p_size % 3 < 2")

@@ -165,7 +165,7 @@ def k6(spark, sf_dir):
     return R.status_shares(I.verdicts(spark, sf_dir), "rater0")
 
 
-@query("k7_consensus_rows", f"""{CONSENSUS_SQL}, ms AS (SELECT concat('C', k) AS case_id, k % 9 AS n FROM (SELECT unnest(range(0, 400)) AS k))
+@query("k7_consensus_rows", f"""{CONSENSUS_SQL}, ms AS (SELECT concat('C', k) AS case_id, k % 9 AS n FROM (SELECT unnest(range(0, 400)) AS k UNION SELECT CAST(substr(case_id, 2) AS BIGINT) FROM cap))
   SELECT ms.case_id, CASE WHEN cap.case_id IS NULL THEN 'no match' ELSE agreement END AS "group", CASE WHEN cap.case_id IS NULL THEN '' ELSE concat(repeat('*', stars), repeat('.', 5 - stars)) END AS stars,
     CASE WHEN cap.case_id IS NULL THEN '' ELSE concat(array_to_string(list_transform(range(1, least(n, 5) + 1), lambda i: concat('b', i)), ', '), CASE WHEN n > 5 THEN concat(', +', n - 5) ELSE '' END) END AS blocks FROM ms LEFT JOIN cap USING (case_id)""")
 def k7(spark, sf_dir):
@@ -175,7 +175,7 @@ def k7(spark, sf_dir):
     return R.consensus_rows(capped.withColumn("status", F.col("agreement")), m)
 
 
-@query("k3_itemised", """SELECT p_partkey AS seq, concat('IRD-', lpad(CAST(p_partkey AS STRING), 4, '0')) AS entry_id, p_name AS description FROM part WHERE p_partkey < 10000""")
+@query("k3_itemised", """SELECT p_partkey AS seq, concat('IRD-', CASE WHEN p_partkey < 10000 THEN lpad(CAST(p_partkey AS STRING), 4, '0') ELSE CAST(p_partkey AS STRING) END) AS entry_id, p_name AS description FROM part""")
 def k3(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return R.itemised(p.select(F.col("p_partkey").alias("seq"), F.format_string("IRD-%04d", "p_partkey").alias("entry_id"), F.col("p_name").alias("description")))

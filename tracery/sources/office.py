@@ -92,7 +92,7 @@ def requirement_rows(cells: DataFrame, aliases: DataFrame, least_rows: int = 8,
     c = cells.join(big.select("file", "table_ord"), ["file", "table_ord"], "left_semi")
     keys = c.where("col = 0").select("file", "table_ord", "row", F.lower(F.trim("value")).alias("alias"))
     values = c.where("col = 1").select("file", "table_ord", "row", F.trim("value").alias("value"))
-    known = keys.join(F.broadcast(aliases.select(F.lower("alias").alias("alias"), "field")), "alias").join(values, ["file", "table_ord", "row"])
+    known = keys.join(aliases.select(F.lower("alias").alias("alias"), "field"), "alias").join(values, ["file", "table_ord", "row"])
     last = known.groupBy("file", "table_ord", "field").agg(F.max_by("value", "row").alias("value"))
     out = last.groupBy("file", "table_ord").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "value")))).alias("fields"))
     good = F.coalesce(F.col("fields")["id"], F.lit("")) != ""
@@ -114,10 +114,12 @@ def requirement_sheet(cells: DataFrame, first_row: int = 3) -> DataFrame:
 
 
 def spec_entries(cells: DataFrame, publisher: str = "Publisher", subscriber: str = "Subscriber", least_rows: int = 4) -> DataFrame:
-    """(sheet, row, side, layer, path, bus, attr, value, ord) of a spec workbook: sides, layers and attributes are read from three header rows, names build the path."""
+    """(file, sheet, row, side, layer, path, bus, attr, value, ord) of spec workbooks: sides, layers and attributes are read from three header rows, names build the path, and the bus
+    is the sheet's name up to the first -.  Sheets of one name in different files are different sheets."""
     from ..functions.text import display_path
     from ..operators import entries as E
 
+    cells = cells.withColumn("sheet", F.struct("file", "sheet"))
     tall = cells.groupBy("sheet").agg(F.max("row").alias("rows")).where(F.col("rows") >= least_rows).select("sheet")
     c = cells.join(tall, "sheet", "left_semi")
     sides = E.side_starts(c, [publisher, subscriber])
@@ -125,10 +127,16 @@ def spec_entries(cells: DataFrame, publisher: str = "Publisher", subscriber: str
     names = values.where("attr = 'Name'").select("sheet", "row", "side", "start", F.col("value").alias("name"))
     above = values.join(names.withColumnRenamed("start", "s"), ["sheet", "row", "side"], "left").where("s is null or s <= start")
     path = above.groupBy("sheet", "row", "side", "layer", "start", "attr", "value").agg(F.transform(F.sort_array(F.collect_list(F.struct("s", "name"))), lambda x: x["name"]).alias("names"))
-    return path.select("sheet", "row", "side", "layer", display_path(F.col("names")).alias("path"), F.split_part("sheet", F.lit("-"), F.lit(1)).alias("bus"), "attr", "value", F.struct("sheet", "row", "start", "attr").alias("ord"))
+    return path.select(
+        "sheet.file", "sheet.sheet", "row", "side", "layer", display_path(F.col("names")).alias("path"), F.split_part("sheet.sheet", F.lit("-"), F.lit(1)).alias("bus"), "attr", "value",
+        F.struct("sheet.file", "sheet.sheet", "row", "start", "attr").alias("ord"))
 
 
-FORMATS = {"docx": "requirement_rows", "xlsx": "requirement_sheet"}
+def facts(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table that an earlier run or another tool has left, by its extension: Parquet, or JSON lines (a cached parse takes the place of the office file); None for others."""
+    if path.endswith((".json", ".jsonl")):
+        return spark.read.json(path)
+    return None if path.endswith((".xlsx", ".docx")) else spark.read.parquet(path)
 
 
 def requirements(spark: SparkSession, path: str, aliases: DataFrame) -> DataFrame:
