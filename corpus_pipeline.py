@@ -2,6 +2,10 @@
 
 toxicity -> n-gram Jaccard join -> benchmark decontamination -> secret scan -> best-fit packing.  All but the last return the columns of
 documents.  An error of a stage is an error of the pipeline.
+
+Odd input, the same for every stage: null and empty texts are clean (toxicity 0, no shingles, no windows, no secrets) and stay, as do rows with a null
+doc_id; the last stage packs them as the end id alone.  Very long texts are judged whole.  Repeated rows are judged alike; the Jaccard join keeps one of
+them.  An empty table gives an empty one with the same columns.  Further columns go through whatever their names are, those of an operator's own columns too.
 """
 
 from __future__ import annotations
@@ -13,10 +17,19 @@ from tracery.llm import decontam, jaccard, packing, secrets, toxicity
 from tracery.llm.common import saved, table
 
 
+USED = ("doc_id", "text", "source", "n_chars")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """`docs` with every column that no stage reads under a name that no operator gives."""
+    return docs.toDF(*[c if c in USED else f"other_{i}" for i, c in enumerate(docs.columns)])
+
+
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity below 0.3; the labels of the input teach the model, on the texts of this stage."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    return scored.where("toxic_score < 0.3").select(*docs.columns)
+    rows = _named(docs)
+    scored = toxicity.toxicity(rows, table(spark, sf_dir, "labels"))
+    return scored.where("toxic_score < 0.3").select(*rows.columns).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,25 +37,28 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Repeated rows (doc_id and text) stay once; rows without a doc_id can't be told apart and all stay.
     """
-    groups = jaccard.near_duplicates(docs)
+    rows = _named(docs)
+    groups = jaccard.near_duplicates(rows)
     firsts = groups.where("component_id = doc_id").select("doc_id").distinct()
     # the join has dealt the rows out by doc_id already, so that dropping repeats shuffles nothing more
-    kept = docs.join(firsts, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.where("doc_id is null"))
+    kept = rows.join(firsts, "doc_id", "left_semi").select(*rows.columns).dropDuplicates(["doc_id", "text"])
+    return kept.union(rows.where("doc_id is null")).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any occurrence of a benchmark window."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("spans") == 0).select(*docs.columns)
+    rows = _named(docs)
+    found = decontam.contamination(rows, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("spans") == 0).select(*rows.columns).toDF(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with each live-looking credential replaced by [SECRET]; widely copied examples stay."""
-    scanned = secrets.scan(docs, keep_text=True)
+    rows = _named(docs)
+    scanned = secrets.scan(rows, keep_text=True)
     live = F.exists("spans", lambda s: s["kind"] == secrets.NAMES.index("live"))
     clean = F.when(live, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return scanned.withColumn("text", clean).withColumn("n_chars", F.when(live, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return scanned.withColumn("text", clean).withColumn("n_chars", F.when(live, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*rows.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
