@@ -83,20 +83,21 @@ def test_listed_blocks_stay_beyond_the_best(spark, tmp_path):
 
 
 def test_a_changed_run_is_computed_again(spark, tmp_path):
-    """Another k, other words or other inputs in the same folder: no stage of the run before is taken; the same ones again: every stage is."""
-    facts = spark.createDataFrame([_leaf(i, f"Dev.Port.PUMP_FLOW_{c}", "BitOffset", "3", "CAN1") for i, c in enumerate("ABCD")], ENTRY)
-    reqs = spark.createDataFrame([("R1", "The unit shall transmit PUMP_FLOW bits 3-3 on CAN1")], "req_id string, content string")
-    folder = str(tmp_path)
-    log = lambda: spark.read.schema(runs.LOG).json(f"{folder}/manifest").where("status = 'stage'").count()
-    runs.req_to_spec(spark, facts, reqs, WORDS, folder).collect()
-    stages = log()
-    runs.req_to_spec(spark, facts, reqs, WORDS, folder).collect()
-    assert log() == stages
-    runs.req_to_spec(spark, facts, reqs, WORDS, folder, k=1).collect()
-    assert log() == 2 * stages
-    more = reqs.union(spark.createDataFrame([("R2", "nothing")], reqs.schema))
-    assert {r["req_id"] for r in runs.req_to_spec(spark, facts, more, WORDS, folder, k=1).collect()} == {"R1", "R2"}
-    assert log() == 3 * stages
+    """Other parameters or inputs in the same folder: no stage of the run before is taken; the same ones again, their rows in any order: every stage is."""
+    reqs = spark.createDataFrame([("R1", "a"), ("R2", "b")], "req_id string, content string")
+    made = []
+
+    def go(parameters, inputs):
+        run = runs.Run(spark, str(tmp_path), parameters, [inputs])
+        out = run.stage("one", lambda: made.append(1) or inputs.withColumn("k", F.lit(parameters["k"]))).collect()
+        run.note("done")
+        return {(r["req_id"], r["k"]) for r in out}
+
+    assert go({"k": 1}, reqs) == {("R1", 1), ("R2", 1)} and len(made) == 1
+    assert go({"k": 1}, reqs.orderBy(F.desc("req_id"))) == {("R1", 1), ("R2", 1)} and len(made) == 1
+    assert go({"k": 2}, reqs) == {("R1", 2), ("R2", 2)} and len(made) == 2
+    assert go({"k": 2}, reqs.limit(1)) == {("R1", 2)} and len(made) == 3
+    assert go({"k": 1}, reqs) == {("R1", 1), ("R2", 1)} and len(made) == 4
 
 
 def test_sheets_of_one_name_in_two_files_stay_apart(spark):
@@ -111,6 +112,23 @@ def test_sheets_of_one_name_in_two_files_stay_apart(spark):
     assert got == {("x", "P1", "1"), ("y", "P2", "2")}
 
 
+def test_conflicts_are_resolved_first(spark):
+    from tracery.operators import entries
+
+    rows = [(0, "a", "RP", "p", "Units", "m", None), (1, "a", "DP", "p", "Units", "ft", None), (2, "b", "DP", "p", "Units", "ft", None), (3, "a", "RP", "p", "Period", "5", None), (4, "a", "RP", "p", "Period", "5", None), (5, "a", "DP", "p", "BitOffset", "1", "x"), (6, "a", "DP", "p", "BitOffset", "1", "y")]
+    df = spark.createDataFrame(rows, "ord long, sheet string, side string, path string, attr string, value string, ref_name string").withColumn("layer", F.col("side"))
+    assert sorted(r["ord"] for r in entries.resolved(df).collect()) == [1, 3, 5, 6]
+    assert sorted(r["ord"] for r in entries.resolved(df.drop("sheet", "ref_name")).collect()) == [1, 3, 5]
+
+
+def test_unreadable_trace_files_are_rows(spark):
+    from tracery.operators import trace
+
+    cells = spark.createDataFrame([("a", "s", "v"), ("b", None, "error: BadZipFile"), ("c", None, "error: KeyError")], "file string, sheet string, value string")
+    expected = spark.createDataFrame([("a",), ("d",)], "file string")
+    assert {tuple(r) for r in trace.file_errors(cells, expected).collect()} == {("b", "open_error"), ("c", "parse_error"), ("d", "missing_file")}
+
+
 def test_cached_parses_are_read(spark, tmp_path):
     from tracery.sources import office
 
@@ -143,6 +161,34 @@ def test_name_direction_and_fields_in_full(spark):
     assert dims(r_hint="'BNR'")["d_type"] == 10 and dims(r_hint="'DIS'")["d_type"] == 5 and dims(r_hint="''", b_format="'CHAR'")["d_type"] == 0
 
 
+def test_raters_have_a_time_limit(spark):
+    """The others have a little time once two are back; a rater that hangs is too late and holds nothing up."""
+    import time
+
+    from tracery.operators import verdict
+
+    now = lambda: ("covered", "", 1.0)
+
+    def slow():
+        time.sleep(30)
+        return now()
+
+    start = time.monotonic()
+    assert verdict.together([now, slow, now], ceiling=20, grace=0.2) == [now(), None, now()]
+    assert verdict.together([now, slow], ceiling=0.3, grace=0.1) == [now(), None]
+    assert time.monotonic() - start < 5
+
+    def rater(provider, prompt):
+        if provider == "c":
+            time.sleep(30)
+        return "covered", prompt, 1.0
+
+    cases = spark.createDataFrame([("1", "x"), ("2", "y")], "case_id string, prompt string").coalesce(1)
+    providers = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "provider string, provider_ord int").coalesce(1)
+    got = {(r["case_id"], r["provider"]): (r["status"], r["analysis"]) for r in verdict.judged(cases, providers, rater, grace=0.2).collect()}
+    assert got == {(c, p): ("covered", t) for c, t in (("1", "x"), ("2", "y")) for p in "ab"} | {(c, "c"): ("error", "timeout") for c in "12"}
+
+
 def test_block_levels_of_lost_and_refuted_candidates(spark):
     from tracery.operators import coverage
 

@@ -67,6 +67,12 @@ def text_identifiers(text: Column, noise: Sequence[str] = ()) -> Column:
     return F.array_distinct(F.flatten(F.transform(found, lambda n: identifier_parts(n, noise))))
 
 
+def text_tokens(text: Column, noise: Sequence[str] = (), phrases: dict[str, str] | None = None) -> Column:
+    """The identifier parts of a text, and the token of each phrase of a ruleset's dictionary that it holds; distinct."""
+    known = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(p)), t) for p, t in (phrases or {}).items()))) if phrases else F.array()
+    return F.array_union(text_identifiers(text, noise), known.cast("array<string>"))
+
+
 def profile_key(path: Column) -> Column:
     """Label/leaf for a dotted path with a segment that begins with L and digits (the label alone where the leaf is it), else parent/leaf."""
     seg = F.split(path, "\\.")

@@ -72,6 +72,19 @@ def dedup_all(df: DataFrame, by_reference: Sequence[str], order: str = "ord2") -
     return first_of(df, ["path", "attr", F.col("value").cast("string"), ref], [order])
 
 
+#: Attributes of layout and state: a reference states its own.
+BY_REFERENCE = ("BitOffset", "ParameterSize", "CodedSet", "OneState", "ZeroState")
+
+
+def resolved(df: DataFrame, by_reference: Sequence[str] = BY_REFERENCE) -> DataFrame:
+    """The entries (ord, side, path, attr, value, ...) that an analysis reads: repeats within a sheet go, of conflicting sides the publisher's stay, and equal facts
+    count once.  `sheet` and `ref_name` count where they are there."""
+    columns = df.columns
+    for c in ("sheet", "ref_name"):
+        df = df if c in columns else df.withColumn(c, F.lit(None).cast("string"))
+    return dedup_all(publisher_wins(dedup_in_sheet(df)), by_reference).select(columns)
+
+
 def numbered(df: DataFrame, order: str = "ord2", lead: str = "ord2.first", prefix: str = "IRD") -> DataFrame:
     """`entry_id` <prefix>-<bus>-<first 6 of the layer>-<number>: a dense global number in the order of `order`, at least four digits.
 

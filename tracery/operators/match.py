@@ -142,13 +142,15 @@ def prune_spare(pairs: DataFrame) -> DataFrame:
 
 def tiers(reqs: DataFrame, judged: DataFrame) -> DataFrame:
     """(req_id, status, top) for every requirement (req_id, category): matched, uncertain or unmatched, from its best pair of those that `passed` (see `gates`); one
-    whose pairs all failed is uncertain, with the best of their totals.  One aggregation: no pair is ranked or read twice.
+    whose pairs all failed is uncertain, with the best of their totals, or of those of the first of its labels (`label_ord`, where it is there).  One aggregation: no pair is ranked or
+    read twice.
 
     matched takes a total of 25, two of the seven dimensions and a name hit; analog and discrete requirements without a name hit are unmatched.
     """
     active = sum(((F.col(d) > 0).cast("int") for d in DIMENSIONS), F.lit(0))
+    first = F.col("label_ord") if "label_ord" in judged.columns else F.lit(0)
     order = F.struct((-F.col("total")).alias("least"), "block_ord", "block_key", "total", "d_name", active.alias("active"))
-    best = judged.groupBy("req_id").agg(F.min(F.when(F.col("passed"), order)).alias("best"), F.max("total").alias("ungated"))
+    best = judged.groupBy("req_id").agg(F.min(F.when(F.col("passed"), order)).alias("best"), (-F.min(F.struct(first.alias("o"), (-F.col("total")).alias("t")))["t"]).alias("ungated"))
     j = reqs.select("req_id", "category").join(best.select("req_id", "best.total", "best.d_name", "best.active", "ungated"), "req_id", "left")
     status = (
         F.when(F.col("total").isNull(), F.when(F.col("ungated").isNotNull(), "uncertain").otherwise("unmatched"))

@@ -97,6 +97,11 @@ def traced_pool(entries: DataFrame, traced: DataFrame) -> DataFrame:
     return entries.join(traced.select("block_key").distinct(), "block_key", "left_semi")
 
 
+def requirement_pools(blocks: DataFrame, traced: DataFrame) -> DataFrame:
+    """(req_id, block_key): for each requirement the blocks that its own trace (req_id, block_key) reaches."""
+    return traced.select("req_id", "block_key").distinct().join(blocks.select("block_key").distinct(), "block_key").select("req_id", "block_key")
+
+
 def with_fallback(first: DataFrame, again: DataFrame) -> DataFrame:
     """Results by req_id: those of `first`, but for unmatched ones that `again` has too."""
     redo = first.where("status = 'unmatched'").join(again.select("req_id").distinct(), "req_id", "left_semi").select("req_id")
@@ -108,10 +113,11 @@ def group_union(traced: DataFrame, full: DataFrame) -> DataFrame:
     return traced.withColumn("pool", F.lit("traced")).unionByName(full.join(traced.select("req_id").distinct(), "req_id", "left_anti").withColumn("pool", F.lit("full")))
 
 
-def chosen_sheets(sheets: DataFrame, words: Sequence[str]) -> DataFrame:
-    """(file, ord): the first sheet of each file (file, ord, name) whose name has one of the words, without case; where none has, the file's first sheet."""
+def chosen_sheets(sheets: DataFrame, words: Sequence[str], place: int = 0) -> DataFrame:
+    """(file, ord): the first sheet of each file (file, ord, name) whose name has one of the words, without case; where none has, the sheet at `place` (from 0), and the first one where
+    there are fewer."""
     hit = F.lower("name").rlike("|".join(f"\\Q{w.lower()}\\E" for w in words))
-    return sheets.groupBy("file").agg(F.coalesce(F.min(F.when(hit, F.col("ord"))), F.min("ord")).alias("ord"))
+    return sheets.groupBy("file").agg(F.coalesce(F.min(F.when(hit, F.col("ord"))), F.get(F.sort_array(F.collect_list("ord")), F.lit(place)), F.min("ord")).alias("ord"))
 
 
 def input_errors(files: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -122,6 +128,14 @@ def input_errors(files: DataFrame, required: Sequence[str]) -> DataFrame:
     return files.select("file", error.alias("error")).where("error is not null")
 
 
+def file_errors(cells: DataFrame, expected: DataFrame) -> DataFrame:
+    """(file, error) of trace files before any sheet is looked at: missing_file for an expected one (file) that isn't there, open_error for one that is no archive, parse_error for one that
+    can't be read; `cells` has the error rows of `read_cells`."""
+    broken = cells.where(F.col("sheet").isNull() & F.startswith("value", F.lit("error: "))).select("file", F.when(F.col("value") == "error: BadZipFile", "open_error").otherwise("parse_error").alias("error"))
+    gone = expected.select("file").distinct().join(cells.select("file").distinct(), "file", "left_anti")
+    return broken.union(gone.withColumn("error", F.lit("missing_file")))
+
+
 def detected_ruleset(shapes: DataFrame, rules: DataFrame) -> DataFrame:
     """(file, ruleset): the first ruleset by id that any table of the file fits; `shapes` has (file, columns, first_cell) and `rules` (ruleset, min_columns, prefix)."""
     hit = shapes.join(F.broadcast(rules), (F.col("columns") >= F.col("min_columns")) & F.col("first_cell").startswith(F.col("prefix")))
@@ -130,11 +144,12 @@ def detected_ruleset(shapes: DataFrame, rules: DataFrame) -> DataFrame:
 
 def catalogue(cells: DataFrame, octal: str = "^[0-7]{2,}$", prefix: str = "LBL_") -> DataFrame:
     """(name, octal, sdi) of label rows (file, table_ord, row, col, value): a cell with the prefix and the first octal-looking one of the same row; fields of later tables win where
-    they state something."""
+    they state something.  A name with a channel suffix counts without it too."""
     row = cells.groupBy("file", "table_ord", "row").agg(
         F.max(F.when(F.col("value").startswith(prefix), F.col("value"))).alias("name"), F.min_by("value", F.when(F.col("value").rlike(octal), F.col("col"))).alias("octal"),
         F.count("*").alias("n"), F.max(F.when(F.col("col") == 3, F.col("value"))).alias("c3"), F.max(F.when(F.col("col") == 2, F.col("value"))).alias("c2"),
     ).where("name is not null and octal is not null and n >= 3")
     row = row.withColumn("sdi", F.when(F.col("n") >= 8, F.col("c3")).when(F.col("n") >= 4, F.col("c2")))
+    row = row.withColumn("name", F.explode(F.array_distinct(F.array("name", F.regexp_replace("name", "_R[0-9]+[A-Za-z]?$", "")))))
     last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("table_ord", "row"))).alias(c)
     return row.groupBy("name").agg(last("octal"), last("sdi")).withColumn("octal", T.octal(F.col("octal")))

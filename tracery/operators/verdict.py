@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -52,28 +54,64 @@ class Breaker:
             self.opened = self.clock()
 
 
-def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, attempts: int = 3) -> DataFrame:
-    """A verdict for each case (case_id, prompt) and provider (provider, provider_ord).  A rater that fails `attempts` times gives an error verdict, never an
-    exception; a breaker for each provider and partition skips calls that would fail anyway.  Write the result before using it: raters need not be repeatable."""
+#: Seconds that a case's raters have in all, those that the others have once so many have given a valid verdict.
+CEILING, GRACE, QUORUM = 300.0, 120.0, 2
+Verdict = tuple[str, str, float]
+
+
+def together(calls: list[Callable[[], Verdict]], ceiling: float = CEILING, grace: float = GRACE, quorum: int = QUORUM, clock: Callable[[], float] = time.monotonic) -> list[Verdict | None]:
+    """The calls of one case, side by side; None for one that is not back in time.  Once `quorum` valid verdicts are there, the others have `grace` seconds more,
+    and never more than `ceiling` in all.  A call that hangs keeps its thread, not the task."""
+    back: queue.Queue[tuple[int, Verdict]] = queue.Queue()
+    for i, call in enumerate(calls):
+        threading.Thread(target=lambda i=i, call=call: back.put((i, call())), daemon=True).start()
+    out: list[Verdict | None] = [None] * len(calls)
+    deadline, valid = clock() + ceiling, 0
+    for _ in calls:
+        try:
+            i, verdict = back.get(timeout=max(0.0, deadline - clock()))
+        except queue.Empty:
+            break
+        out[i] = verdict
+        valid += verdict[0] != "error"
+        if valid == quorum:
+            deadline = min(deadline, clock() + grace)
+    return out
+
+
+def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, attempts: int = 3, ceiling: float = CEILING, grace: float = GRACE) -> DataFrame:
+    """A verdict for each case (case_id, prompt) and provider (provider, provider_ord).  A case's raters are asked side by side (see `together`); one that is too late or fails `attempts`
+    times gives an error verdict, never an exception; a breaker for each provider and partition skips calls that would fail anyway.  Write the result before using it: raters
+    need not be repeatable."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         breakers: dict[str, Breaker] = {}
+
+        def ask(provider: str, prompt: str) -> Verdict:
+            b, out = breakers[provider], ("error", "breaker open", 0.0)
+            for _ in range(attempts):
+                if b.open():
+                    break
+                try:
+                    out = rater(provider, prompt)
+                    b.record(None)
+                    break
+                except Exception as e:  # a rater may fail in any way
+                    kind = error_class(e)
+                    b.record(kind)
+                    out = ("error", kind, 0.0)
+            return out
+
         for x in batches:
             rows = []
-            for case, prompt, provider, order in zip(x["case_id"], x["prompt"], x["provider"], x["provider_ord"], strict=True):
-                b, out = breakers.setdefault(provider, Breaker()), ("error", "breaker open", 0.0)
-                for _ in range(attempts):
-                    if b.open():
-                        break
-                    try:
-                        out = rater(provider, prompt)
-                        b.record(None)
-                        break
-                    except Exception as e:  # a rater may fail in any way
-                        kind = error_class(e)
-                        b.record(kind)
-                        out = ("error", kind, 0.0)
-                rows.append((case, provider, order, *out))
+            for case, own in x.groupby("case_id", sort=False):
+                for p in own["provider"]:
+                    breakers.setdefault(p, Breaker())
+                out = together([lambda p=p, t=t: ask(p, t) for p, t in zip(own["provider"], own["prompt"], strict=True)], ceiling, grace)
+                for p, order, v in zip(own["provider"], own["provider_ord"], out, strict=True):
+                    if v is None:
+                        breakers[p].record("timeout")
+                    rows.append((case, p, order, *(v or ("error", "timeout", 0.0))))
             yield pd.DataFrame(rows, columns=["case_id", "provider", "provider_ord", "status", "analysis", "confidence"])
 
     return cases.select("case_id", "prompt").crossJoin(F.broadcast(providers)).mapInPandas(run, VERDICT)

@@ -134,7 +134,7 @@ def block_sides(blocks: DataFrame, words: dict[str, list[str]]) -> DataFrame:
 def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words: dict[str, list[str]], folder: str, rater: verdict.Rater = verdict.stub_rater, providers: tuple[str, ...] = ("alpha", "beta", "gamma"), k: int = 20) -> DataFrame:
     """(req_id, status, top, agreement, stars, review) for every requirement; unmatched ones have no verdicts."""
     run = Run(spark, folder, {"kind": "req_to_spec", "providers": list(providers), "k": k, "words": words}, [entries, reqs])
-    leaves = E.leaves(E.with_value(entries))
+    leaves = E.leaves(E.with_value(E.resolved(entries)))
     blocks = run.stage("blocks", lambda: cluster.blocks(cluster.profiles(leaves)).join(block_paths(leaves), "block_key"))
     side = block_sides(blocks, words)
     req = run.stage("annotations", lambda: stated_buses(annotated(reqs, words), side, words))
@@ -146,7 +146,7 @@ def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words:
         "r_components": F.filter("r_devices", lambda d: d.rlike("^[A-Z]{2,}[0-9]+$")),
     }
     scored = run.stage("scored", lambda: match.score(both.withColumns(evidence)))
-    judged = match.gates(scored).withColumn("passed", F.col("passed") & F.col("eligible"))
+    judged = match.gates(scored).withColumn("label_ord", F.array_position("labels", F.col("label"))).withColumn("passed", F.col("passed") & F.col("eligible"))
     gated = judged.where("passed")
     tiers = run.stage("tiers", lambda: match.tiers(req, judged))
     # beyond the k best stay protocol families that the text names and blocks whose names it lists
@@ -167,6 +167,17 @@ def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words:
     raters = spark.createDataFrame(list(zip(providers, range(len(providers)), strict=True)), "provider string, provider_ord int")
     verdicts = run.stage("verdicts", lambda: verdict.judged(cases, raters, rater))
 
+    def asked_again(cases: DataFrame) -> DataFrame:
+        """Verdicts on (case_id, provider, prompt), each by its own rater."""
+        out = verdicts.limit(0)
+        for p in providers:
+            out = out.union(verdict.judged(cases.where(F.col("provider") == p), raters.where(F.col("provider") == p), rater))
+        return out
+
+    # raters that were too late are asked once more
+    late = run.stage("late_verdicts", lambda: asked_again(verdicts.where("status = 'error' and analysis = 'timeout'").select("case_id", "provider").join(cases, "case_id")))
+    verdicts = verdict.patched(verdicts, late.where("status <> 'error'"))
+
     def consensus_of(given: DataFrame) -> DataFrame:
         agreed = verdict.agreement(given)
         return verdict.capped(agreed.withColumn("stars", verdict.stars(F.col("agreement"), F.when(F.col("agreement") == "full", F.array().cast("array<string>")).otherwise(F.array(F.lit("key"))))))
@@ -174,10 +185,7 @@ def req_to_spec(spark: SparkSession, entries: DataFrame, reqs: DataFrame, words:
     def again() -> DataFrame:
         """Verdicts of the second round: each rater of a case of few stars sees what its peers said."""
         asked = verdict.second_round(consensus_of(verdicts), verdicts).join(cases, "case_id").withColumn("prompt", F.concat_ws("\n", "prompt", "peers"))
-        out = verdicts.limit(0)
-        for p in providers:
-            out = out.union(verdict.judged(asked.where(F.col("provider") == p), raters.where(F.col("provider") == p), rater))
-        return out
+        return asked_again(asked)
 
     second = run.stage("second_verdicts", again).where("status <> 'error'")
     final = verdicts.join(second, ["case_id", "provider"], "left_anti").unionByName(second)
@@ -197,7 +205,7 @@ def spec_to_req(spark: SparkSession, entries: DataFrame, reqs: DataFrame, folder
     none = F.array().cast("array<string>")
 
     def make_blocks() -> DataFrame:
-        e = E.leaves(E.with_value(entries))
+        e = E.leaves(E.with_value(E.resolved(entries)))
         b = cluster.blocks(cluster.profiles(e)).join(block_paths(e), "block_key").select(
             "block_key", "label", "family", F.transform("tokens", F.upper).alias("tokens"), "protocol", "devices", "parents", _fields().alias("fields"), _sdi().alias("sdi"))
         if traced is None:

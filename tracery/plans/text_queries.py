@@ -103,10 +103,14 @@ def t9(spark, sf_dir):
     return _req(spark, sf_dir, parts=F.array_join(T.identifier_parts(F.col("name")), ","))
 
 
-@query("t10_text_tokens", f"""{REQ}, n AS (SELECT req_id, unnest(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9_]{{2,}}')) AS name FROM req), p AS (SELECT req_id, unnest({_IDS}) AS t FROM n)
-  SELECT req_id, string_agg(DISTINCT t, ',' ORDER BY t) AS tokens FROM p WHERE t NOT IN ('SDI', 'THE', 'UNIT', 'SHALL') GROUP BY req_id""")
+PHRASES = {"shall not": "PROHIBITED", "and B1": "SIDE_B1", "nowhere": "NEVER"}
+
+
+@query("t10_text_tokens", f"""{REQ}, n AS (SELECT req_id, unnest(regexp_extract_all(content, '[A-Za-z][A-Za-z0-9_]{{2,}}')) AS name FROM req), p AS (SELECT req_id, unnest({_IDS}) AS t FROM n),
+  d AS (SELECT req_id, t FROM p WHERE t NOT IN ('SDI', 'THE', 'UNIT', 'SHALL') UNION SELECT req_id, 'PROHIBITED' FROM req WHERE contains(content, 'shall not') UNION SELECT req_id, 'SIDE_B1' FROM req WHERE contains(content, 'and B1'))
+  SELECT req_id, string_agg(DISTINCT t, ',' ORDER BY t) AS tokens FROM d GROUP BY req_id""")
 def t10(spark, sf_dir):
-    return _req(spark, sf_dir, tokens=F.array_join(F.array_sort(T.text_identifiers(content(), NOISE)), ","))
+    return _req(spark, sf_dir, tokens=F.array_join(F.array_sort(T.text_tokens(content(), NOISE, PHRASES)), ","))
 
 
 SYNONYMS = [(0, "pump", "flow"), (0, "pump", "feed"), (1, "fan", "blower"), (2, "valve", "pos"), (3, "flow", "rate")]

@@ -64,6 +64,12 @@ def j5(spark, sf_dir):
     return X.traced_pool(e, e.where("ord % 400 = 0")).select("ord")
 
 
+@query("j5_requirement_pools", f"{ENT}, {REQS_SQL}, {NAMES_SQL}, k AS (SELECT DISTINCT {BLOCK_SQL} AS block_key FROM entry WHERE ord % 3 > 0) SELECT DISTINCT req_id, block_key FROM (SELECT req_id, {BLOCK_SQL.replace('path', 'spec_name')} AS block_key FROM r JOIN n USING (parent_id)) JOIN k USING (block_key)")
+def j5b(spark, sf_dir):
+    blocks = I.entries(spark, sf_dir).where("ord % 3 > 0").select(T.block_key(F.col("path")).alias("block_key"))
+    return X.requirement_pools(blocks, X.chain(_reqs(spark, sf_dir), _names(spark, sf_dir)))
+
+
 @query("j6_fallback", "SELECT c_custkey AS req_id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 'matched' WHEN c_custkey % 3 = 0 THEN 'unmatched' ELSE 'uncertain' END AS status FROM customer")
 def j6(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
@@ -122,10 +128,10 @@ def s13(spark, sf_dir):
     return X.bridge_columns(cells, spark.createDataFrame([("A-7",)], "id string"), spark.createDataFrame([("B-2",)], "id string")).selectExpr("file", "cast(left_col as long) left_col", "cast(right_col as long) right_col")
 
 
-@query("s15_sheet_choice", "SELECT p_brand AS file, coalesce(min(CASE WHEN p_name LIKE '%bolt%' THEN p_partkey END), min(p_partkey)) AS sheet FROM part GROUP BY p_brand")
+@query("s15_sheet_choice", "SELECT concat(p_brand, p_size) AS file, coalesce(min(CASE WHEN p_name LIKE '%bolt%' THEN p_partkey END), list_sort(list(p_partkey))[3], min(p_partkey)) AS sheet FROM part GROUP BY 1")
 def s15(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    return X.chosen_sheets(p.selectExpr("p_brand AS file", "p_partkey AS ord", "p_name AS name"), ["Bolt"]).withColumnRenamed("ord", "sheet")
+    return X.chosen_sheets(p.selectExpr("concat(p_brand, p_size) AS file", "p_partkey AS ord", "p_name AS name"), ["Bolt"], 2).withColumnRenamed("ord", "sheet")
 
 
 @query("s16_input_errors", "SELECT p_partkey AS file, CASE WHEN p_size % 5 = 0 THEN 'missing_sheet' WHEN p_size % 3 = 0 THEN 'missing_columns:b' ELSE 'missing_columns:a,b' END AS error FROM part WHERE p_size % 5 = 0 OR p_size % 3 < 2")
@@ -140,9 +146,9 @@ def s18(spark, sf_dir):
     return X.detected_ruleset(shapes, spark.createDataFrame([("beta", 5, "Brand#"), ("alpha", 20, "Brand#1")], "ruleset string, min_columns int, prefix string"))
 
 
-@query("s19_catalogue", """WITH r AS (SELECT p_partkey % 7 AS file, p_partkey // 100 AS table_ord, p_partkey AS row, concat('LBL_', p_size) AS name, CAST(p_partkey % 64 AS STRING) AS o, CASE WHEN p_partkey % 3 = 0 THEN concat('S', p_partkey % 5) END AS sdi FROM part),
+@query("s19_catalogue", """WITH r AS (SELECT p_partkey % 7 AS file, p_partkey // 100 AS table_ord, p_partkey AS row, unnest(CASE WHEN p_partkey % 2 = 0 THEN [concat('LBL_', p_size), concat('LBL_', p_size, '_R1')] ELSE [concat('LBL_', p_size)] END) AS name, CAST(p_partkey % 64 AS STRING) AS o, CASE WHEN p_partkey % 3 = 0 THEN concat('S', p_partkey % 5) END AS sdi FROM part),
   k AS (SELECT * FROM r WHERE regexp_full_match(o, '[0-7]{2,}')) SELECT name, lpad(arg_max(o, (table_ord, row)), 3, '0') AS octal, arg_max(sdi, (table_ord, row)) FILTER (WHERE sdi IS NOT NULL) AS sdi FROM k GROUP BY name""")
 def s19(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    c = p.selectExpr("p_partkey % 7 AS file", "p_partkey div 100 AS table_ord", "p_partkey AS row", "explode(map(0, concat('LBL_', p_size), 1, cast(p_partkey % 64 as string), 2, CASE WHEN p_partkey % 3 = 0 THEN concat('S', p_partkey % 5) END, 4, 'x', 5, 'y')) AS (col, value)")
+    c = p.selectExpr("p_partkey % 7 AS file", "p_partkey div 100 AS table_ord", "p_partkey AS row", "explode(map(0, concat('LBL_', p_size, CASE WHEN p_partkey % 2 = 0 THEN '_R1' ELSE '' END), 1, cast(p_partkey % 64 as string), 2, CASE WHEN p_partkey % 3 = 0 THEN concat('S', p_partkey % 5) END, 4, 'x', 5, 'y')) AS (col, value)")
     return X.catalogue(c)
