@@ -122,8 +122,10 @@ def ranked(pairs: DataFrame, conflicts_first: bool = False) -> DataFrame:
 
 
 def top_k(pairs: DataFrame, k: int = 20, exempt: Column | None = None) -> DataFrame:
-    """The k best of each requirement, and exempt ones whatever their rank; pairs are scored and ranked once."""
-    return ranked(pairs).where(F.col("rn") <= k if exempt is None else (F.col("rn") <= k) | F.coalesce(exempt, F.lit(False)))
+    """The k best of each requirement, and exempt ones whatever their rank.  Two branches, so that the first keeps its group limit in the plan; write `pairs` first where they are
+    dear to make."""
+    best = ranked(pairs).where(F.col("rn") <= k)
+    return best if exempt is None else best.union(ranked(pairs).where((F.col("rn") > k) & exempt))
 
 
 def prune_nameless(pairs: DataFrame) -> DataFrame:
@@ -140,14 +142,18 @@ def prune_spare(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_hit", hit).where((F.col("_hit") == 0) | ~F.col("is_spare")).drop("_hit")
 
 
-def tiers(reqs: DataFrame, judged: DataFrame) -> DataFrame:
-    """(req_id, status, top) for every requirement (req_id, category): matched, uncertain or unmatched, from its best pair of those that `passed` (see `gates`); one
+def tiers(reqs: DataFrame, judged: DataFrame, ungated: DataFrame | None = None) -> DataFrame:
+    """(req_id, status, top) for every requirement (req_id, category): matched, uncertain or unmatched, from its best pair of those that `passed` (see `gates`; with `ungated`, all pairs of
+    `judged` have, and those of `ungated` are the ones before the gates); one
     whose pairs all failed is uncertain, with the best of their totals, or of those of the first of its labels (`label_ord`, where it is there).  One aggregation: no pair is ranked or
     read twice.
 
     matched takes a total of 25, two of the seven dimensions and a name hit; analog and discrete requirements without a name hit are unmatched.
     """
     active = sum(((F.col(d) > 0).cast("int") for d in DIMENSIONS), F.lit(0))
+    if ungated is not None:
+        columns = ["req_id", "total", "block_ord", "block_key", *DIMENSIONS]
+        judged = judged.select(*columns, F.lit(True).alias("passed")).union(ungated.select(*columns, F.lit(False)))
     first = F.col("label_ord") if "label_ord" in judged.columns else F.lit(0)
     order = F.struct((-F.col("total")).alias("least"), "block_ord", "block_key", "total", "d_name", active.alias("active"))
     best = judged.groupBy("req_id").agg(F.min(F.when(F.col("passed"), order)).alias("best"), (-F.min(F.struct(first.alias("o"), (-F.col("total")).alias("t")))["t"]).alias("ungated"))
