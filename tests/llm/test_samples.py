@@ -31,7 +31,7 @@ def test_surest_pages_of_a_table_are_those_of_all_pages(spark):
     rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(rng.randint(1, 30))), "en", f"s{i % 3}") for i in range(80)]
     rows += [(200 + i, *r[1:]) for i, r in enumerate(rows[:20])] + [(None, "no id", "en", None), (300, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
-    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 80, 4)] + [(1, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, i // 4 % 2) for i in range(0, 80, 4)] + [(1, None)], "doc_id long, quality int")
     known, surest = quality.samples(docs, labels, "quality")
     held = {r["doc_id"] for r in docs.where(toxicity.held_out()).collect()}
     marked = {i for i in range(0, 80, 4)}
