@@ -117,6 +117,81 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+#: The crc32 is made from its table, which a rule makes; near words are joined by what is left of them without one letter.  form_n is a double because pandas
+#: reads whole numbers with nulls as doubles from Spark alone.
+OP11 = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+raw AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS w FROM documents),
+runs AS (SELECT w, count(*) AS k, hex(encode(concat(doc_id, ':', w))) AS b FROM raw GROUP BY doc_id, w),
+hashed AS (
+  SELECT w, k, xor(4294967295, list_reduce(list_transform(range(1, len(b), 2), lambda i: CAST('0x' || b[i:i + 1] AS BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295)) AS h
+  FROM runs, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(w, 1, h % length(w)), substr(w, h % length(w) + 2)) ELSE w END AS word, k FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+less AS MATERIALIZED (SELECT word, length(word) AS m, i, concat(substr(word, 1, i - 1), substr(word, i + 1)) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.i = b.i AND a.m = b.m AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT less.word, words.word FROM less JOIN words ON words.word = rest
+  UNION SELECT words.word, less.word FROM less JOIN words ON words.word = rest),
+best AS (
+  SELECT near.word, other, o.n AS n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS r FROM near JOIN words o ON o.word = other),
+form AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.other END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n FROM words w LEFT JOIN best b ON b.word = w.word AND b.r = 1),
+chain AS (SELECT word, word AS here, 0 AS steps FROM form UNION ALL SELECT chain.word, form.form, steps + 1 FROM chain JOIN form ON form.word = chain.here WHERE form.form IS NOT NULL),
+root AS (SELECT word, arg_max(here, steps) AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near, CAST(form_n AS DOUBLE) AS form_n FROM form JOIN root USING (word)
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import digest, languages
+
+    return digest(languages(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .centroids import delta_lloyd, digest
+
+    return digest(delta_lloyd(table(spark, sf_dir, "embeddings")))
+
+
+def _lloyd(rounds: int) -> str:
+    """Plain Lloyd, round by round."""
+    out = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS cluster, v AS m FROM (SELECT v, sha256(concat('2:', vec_id)) AS h FROM v ORDER BY h, v LIMIT 40)),"""
+    for i in range(rounds + 1):
+        out += f"""
+a{i} AS MATERIALIZED (
+  SELECT vec_id, v, cluster, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) AS r
+    FROM (SELECT vec_id, v, cluster, list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS d FROM v, c{i})) WHERE r = 1),"""
+        if i < rounds:
+            out += f"""
+s{i} AS (SELECT cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, 65) r(i) GROUP BY cluster, i),
+m{i} AS (SELECT cluster, list((s - (s % n + n) % n) // n ORDER BY i) AS m FROM s{i} GROUP BY cluster),
+c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} USING (cluster)),"""
+    return out.rstrip(",") + f"""
+SELECT vec_id, cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (cluster)
+"""
+
+
+OP13 = _lloyd(5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
