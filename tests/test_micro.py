@@ -55,6 +55,15 @@ def test_bit_values():
     assert B.values_of("bits 9 and 12 are set to 1 and 0") == []
 
 
+@pytest.mark.parametrize(("text", "values"), [
+    ("第9和10位分别设置为“1”和“0”", [(8, 2, 1)]), ("第9与第10位为'0'，\"1\"", [(8, 2, 2)]), ("bit8=0，bit9=0", [(8, 2, 0)]), ("bit8=0, bit9=0, not used otherwise", [(8, 2, 0)]), ("It is so. bit8=0, bit9=1。不用", [(8, 2, 2)]),
+    ("不得将第9和10位设置为1和0", []), ("第9和10位不应设置为1和0", []), ("The unit shall not set bit8=0, bit9=0", []), ("bit8=0。bit9=0", []), ("bit8=0, bit9=1, bit10=0", []), ("第9位为1，bit10=0", []), ("第9位设为‘1’，第10位设为‘1’", [(8, 2, 3)]),
+    ("bit8 is set to \"1\", bit9 is \"0\"", [(8, 2, 1)]), ("bits 9 and 10 are set to \"1\" and \"0\"; bits 11 and 12 are 1, 1", [(9, 2, 1), (11, 2, 3)]), ("bit8=10, bit9=0", []), ("第9和11位为1和0", []), ("", []), (None, []),
+])
+def test_bit_values_in_quotes_and_denied(text, values):
+    assert B.values_of(text) == values
+
+
 def test_identifiers(spark):
     assert value(spark, T.identifier_parts(F.lit("PUMP_A_FLOW"))) == ["PUMP_A_FLOW", "PUMP", "FLOW"]
     assert value(spark, T.identifier_parts(F.lit("pi1/SPEED"))) == []

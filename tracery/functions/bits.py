@@ -70,37 +70,48 @@ def bit_fields(text: Column) -> Column:
     return F.pandas_udf(run, FIELD)(text)
 
 
-_EN_VALUES = re.compile(r"bits?\s*(\d+)\s+and\s+(\d+)[^.;]*?(?:set\s+to|=|are|as)\s*([01])\s+and\s+([01])", re.I)
-_ZH_VALUES = re.compile(r"第\s*(\d+)\s*位?\s*(?:和|、)\s*第?\s*(\d+)\s*位[^。；]*?(?:置为|为|设为|=)\s*([01])\s*(?:和|、)\s*([01])")
-_EN_VALUE = re.compile(r"bit\s*(\d+)\s*(?:=|is|is\s+set\s+to|set\s+to)\s*([01])(?!\d)", re.I)
-_ZH_VALUE = re.compile(r"第\s*(\d+)\s*位\s*(?:置为|设为|设置为|为|=)\s*([01])(?!\d)")
-_NEGATED = re.compile(r"\b(?:not|never|no)\b|不|非", re.I)
+_QUOTED = r"[\"'“‘]?\s*([01])(?!\d)\s*[\"'”’]?"
+_ZH_SET, _EN_SET = "(?:设置为|设为|置为|为|=|＝)", r"(?:set\s+to|=|＝|are|as|is|设置为|设为|置为|为)"
+_ZH_VALUES = re.compile(rf"第\s*(\d+)\s*位?\s*[和、与]\s*第?\s*(\d+)\s*位.{{0,20}}?{_ZH_SET}\s*{_QUOTED}\s*[和、与,，]\s*{_QUOTED}")
+_EN_VALUES = re.compile(rf"bits?\s*(\d+)\s+and\s+(?:bit\s*)?(\d+)(?:(?!bit\s*\d).)*?{_EN_SET}\s*{_QUOTED}\s*(?:and|,)\s*{_QUOTED}", re.I)
+_ZH_VALUE = re.compile(rf"第\s*(\d+)\s*位.{{0,10}}?{_ZH_SET}\s*{_QUOTED}")
+_EN_VALUE = re.compile(rf"(?<![A-Za-z])bit\s*(\d+)(?:(?!bit\s*\d).){{0,10}}?{_EN_SET}\s*{_QUOTED}", re.I)
+# What denies an assertion inside of it, and what denies it from before, in its sentence.
+_DENIED_INSIDE = re.compile(r"[不未非禁勿]|\b(?:not|never|no)\b", re.I)
+_DENIED_BEFORE = re.compile(r"不得|禁止|不应|不可|不能|不允许|无需|无须|不要|切勿|\b(?:not|never|no)\b", re.I)
+
+
+def _asserted(sentence: str, pattern: re.Pattern) -> list[re.Match]:
+    """Matches in a sentence that nothing inside or before them denies; what is said after them doesn't matter."""
+    first = _DENIED_BEFORE.search(sentence)
+    return [m for m in pattern.finditer(sentence) if not _DENIED_INSIDE.search(m[0]) and (first is None or m.start() < first.end())]
+
+
+def _two(bits: dict[int, int]) -> tuple[int, int, int]:
+    low, high = sorted(bits)
+    return low, 2, 2 * bits[high] + bits[low]
 
 
 def values_of(text: str | None) -> list[tuple[int, int, int]]:
-    """(offset, size 2, value) for two adjacent bits that a sentence sets, in text order, unless it is negated; the higher bit counts more.  They are
-    set as a pair ("bits 9 and 10 are 1 and 0"), or one after the other ("bit8=0, bit9=0"): a run of exactly two neighbours, counted the same way."""
+    """(offset, size 2, value) for two adjacent bits that a sentence sets, in text order, unless it denies that before or inside of the assertion; the higher bit counts more.
+    They are set as a pair ("bits 9 and 10 are 1 and 0", values in quotes or not), or one after the other ("bit8=0, bit9=0"): exactly two neighbours in a row."""
     out = []
     for sentence in re.split(r"[.;。；\n]", text or ""):
-        if _NEGATED.search(sentence):
-            continue
-        found: list[tuple[int, int, int, int, int]] = []  # where, lower bit, its value, higher bit, its value
+        found: dict[int, tuple[int, int, int]] = {}  # by place
         rest = sentence
         for pattern, base in ((_EN_VALUES, 0), (_ZH_VALUES, 1)):
-            for m in pattern.finditer(sentence):
-                a, b, x, y = map(int, m.groups())
-                rest = rest[: m.start()] + " " * (m.end() - m.start()) + rest[m.end() :]
-                if abs(a - b) == 1:
-                    found.append((m.start(), *sum(sorted([(a - base, x), (b - base, y)]), ())))
-        single = sorted((m.start(), base, int(m[1]) - base, int(m[2])) for pattern, base in ((_EN_VALUE, 0), (_ZH_VALUE, 1)) for m in pattern.finditer(rest))
-        runs: list[list[tuple[int, int, int, int]]] = []
-        for one in single:
-            if runs and runs[-1][-1][1] == one[1] and abs(runs[-1][-1][2] - one[2]) == 1:
-                runs[-1].append(one)
-            else:
-                runs.append([one])
-        found += [(r[0][0], *sum(sorted([(r[0][2], r[0][3]), (r[1][2], r[1][3])]), ())) for r in runs if len(r) == 2]
-        out += [(low, 2, 2 * y + x) for _, low, x, _, y in sorted(found)]
+            for m in _asserted(sentence, pattern):
+                bits = {int(m[1]) - base: int(m[3]), int(m[2]) - base: int(m[4])}
+                if max(bits) - min(bits) == 1:
+                    found[m.start()] = _two(bits)
+            rest = pattern.sub(lambda m: " " * len(m[0]), rest)
+        # bits set one by one, those of the two ways to count apart; a run ends where the next is no neighbour
+        single = sorted((m.start(), base, int(m[1]) - base, int(m[2])) for pattern, base in ((_EN_VALUE, 0), (_ZH_VALUE, 1)) for m in _asserted(rest, pattern))
+        ends = [i for i in range(1, len(single) + 1) if i == len(single) or single[i][1] != single[i - 1][1] or abs(single[i][2] - single[i - 1][2]) != 1]
+        for begin, end in zip([0, *ends], ends, strict=False):
+            if end - begin == 2:
+                found[single[begin][0]] = _two({bit: value for _, _, bit, value in single[begin:end]})
+        out += [found[at] for at in sorted(found)]
     return list(dict.fromkeys(out))
 
 

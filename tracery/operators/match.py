@@ -128,17 +128,21 @@ def top_k(pairs: DataFrame, k: int = 20, exempt: Column | None = None) -> DataFr
     return best if exempt is None else best.union(ranked(pairs).where((F.col("rn") > k) & exempt))
 
 
+def _of_one_object() -> list[Column]:
+    """A requirement's blocks of one label; a block without a label stands by itself."""
+    return [F.col("req_id"), F.coalesce(F.nullif(F.col("label"), F.lit("")), F.col("block_key"))]
+
+
 def prune_nameless(pairs: DataFrame) -> DataFrame:
-    """Within a requirement's label that has a pair with a name hit (protocol blocks apart), pairs without one go; protocol blocks stay."""
-    w = Window.partitionBy("req_id", "label")
-    hit = F.max(((F.col("d_name") > 0) & ~F.col("is_protocol")).cast("int")).over(w)
+    """Within a requirement's label that has a pair with a name hit (protocol blocks are no evidence of one), pairs without one go; protocol blocks stay.  Blocks without a label
+    all stay."""
+    hit = F.max(((F.col("d_name") > 0) & ~F.col("is_protocol")).cast("int")).over(Window.partitionBy(*_of_one_object()))
     return pairs.withColumn("_hit", hit).where((F.col("_hit") == 0) | (F.col("d_name") > 0) | F.col("is_protocol")).drop("_hit")
 
 
 def prune_spare(pairs: DataFrame) -> DataFrame:
-    """Spare blocks go where the requirement has a real one with a name hit."""
-    w = Window.partitionBy("req_id")
-    hit = F.max(((F.col("d_name") > 0) & ~F.col("is_spare")).cast("int")).over(w)
+    """Spare blocks go where the requirement has a real one of the same label with a name hit; protocol blocks are no evidence of one."""
+    hit = F.max(((F.col("d_name") > 0) & ~F.col("is_spare") & ~F.col("is_protocol")).cast("int")).over(Window.partitionBy(*_of_one_object()))
     return pairs.withColumn("_hit", hit).where((F.col("_hit") == 0) | ~F.col("is_spare")).drop("_hit")
 
 

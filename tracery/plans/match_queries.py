@@ -22,13 +22,18 @@ REQ = {
 }
 
 
+#: The label after a requirement's own.
+_NEXT = "concat('L', CAST(floor(o_custkey / 15) AS BIGINT) + 1)"
+
+
 def _sql(exprs, table):
     return "SELECT " + ", ".join(f"{v} AS {k}" for k, v in exprs.items()) + f" FROM {table}"
 
 
+REQ["next"] = _NEXT
 SIDES_SQL = f"b AS ({_sql(BLOCK, 'part')}), r AS ({_sql(REQ, 'orders')})"
 PAIRS_SQL = f"{SIDES_SQL}, pairs AS (SELECT * FROM r JOIN b ON r.rlabel = b.label)"
-SCORE_SQL = f"""{PAIRS_SQL}, dims AS (SELECT *, least(30, 8 * (CAST(v1 = w1 OR v1 = w2 AS INTEGER) + CAST(v1 <> v2 AND (v2 = w1 OR v2 = w2) AS INTEGER) + CAST(contains(b_family, kw) AS INTEGER) + CAST(suffix(b_family, concat('_', unit)) AS INTEGER))) AS d_name,
+_SCORED = """, dims AS (SELECT *, least(30, 8 * (CAST(v1 = w1 OR v1 = w2 AS INTEGER) + CAST(v1 <> v2 AND (v2 = w1 OR v2 = w2) AS INTEGER) + CAST(contains(b_family, kw) AS INTEGER) + CAST(suffix(b_family, concat('_', unit)) AS INTEGER))) AS d_name,
     CASE WHEN r_direction = '' THEN 0 WHEN r_direction = b_direction THEN 15 WHEN b_direction = 'bidirectional' THEN 8 ELSE 0 END AS d_direction,
     CASE WHEN ro = o AND rn_ = n THEN 20 WHEN ro = o THEN 12 WHEN rn_ = n THEN 8 ELSE 0 END AS d_bit, CASE WHEN rsdi = sdi THEN 15 ELSE 0 END AS d_sdi,
     CASE WHEN category = 'discrete' AND b_format = 'DIS' OR category = 'analog' AND b_format IN ('BNR', 'FLOAT') THEN 10 WHEN category IN ('discrete', 'analog') AND b_format <> '' THEN 5 ELSE 0 END AS d_type,
@@ -36,6 +41,9 @@ SCORE_SQL = f"""{PAIRS_SQL}, dims AS (SELECT *, least(30, 8 * (CAST(v1 = w1 OR v
   scored AS (SELECT *, d_name + d_direction + d_bit + d_sdi + d_type + d_device + d_channel AS total,
     r_direction IN ('send', 'receive') AND b_direction IN ('send', 'receive') AND r_direction <> b_direction OR coalesce(rsdi <> sdi, FALSE) OR coalesce(rbus <> bus, FALSE) AS conflict FROM dims),
   gated AS (SELECT * FROM scored WHERE total >= 12 AND NOT conflict), ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY total DESC, block_ord, block_key) AS rn FROM gated)"""
+SCORE_SQL = PAIRS_SQL + _SCORED
+#: Two labels for each requirement, and blocks without a label.
+WIDE_SQL = f"{SIDES_SQL}, pairs AS (SELECT * FROM r JOIN b ON label IN (rlabel, next) UNION ALL SELECT * FROM r JOIN b ON rbus = bus AND label = '')" + _SCORED
 
 
 def blocks(spark, sf_dir):
@@ -47,8 +55,17 @@ def requirements(spark, sf_dir):
 
 
 def scored(spark, sf_dir):
+    return _scored(M.label_pairs(requirements(spark, sf_dir).withColumn("labels", F.array("rlabel")), blocks(spark, sf_dir)))
+
+
+def scored_wide(spark, sf_dir):
     r, b = requirements(spark, sf_dir), blocks(spark, sf_dir)
-    j = M.label_pairs(r.withColumn("labels", F.array("rlabel")), b)
+    by_label = M.label_pairs(r.withColumn("labels", F.array("rlabel", "next")), b)
+    by_bus = r.join(b.where("label = ''"), F.col("rbus") == F.col("bus"))
+    return _scored(by_label.unionByName(by_bus, allowMissingColumns=True))
+
+
+def _scored(j):
     some = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
     field = lambda a, n: F.array(F.struct(F.col(a).cast("int").alias("offset"), F.col(n).cast("int").alias("size")))
     return M.score(j.withColumns({
@@ -104,17 +121,17 @@ def r4(spark, sf_dir):
     return _slim(M.top_k(M.gated(scored(spark, sf_dir)), 4, F.col("is_protocol")), "rn")
 
 
-_HIT = "max(CASE WHEN d_name > 0 AND NOT {0} THEN 1 ELSE 0 END) OVER (PARTITION BY req_id{1})"
+_HIT = "max(CASE WHEN d_name > 0 AND NOT is_protocol{} THEN 1 ELSE 0 END) OVER (PARTITION BY req_id, CASE WHEN label = '' THEN block_key ELSE label END)"
 
 
-@query("r5_prune_nameless", f"WITH {SCORE_SQL}, h AS (SELECT *, {_HIT.format('is_protocol', ', label')} AS hit FROM gated) SELECT req_id, block_key FROM h WHERE hit = 0 OR d_name > 0 OR is_protocol")
+@query("r5_prune_nameless", f"WITH {WIDE_SQL}, h AS (SELECT *, {_HIT.format('')} AS hit FROM gated) SELECT req_id, block_key FROM h WHERE hit = 0 OR d_name > 0 OR is_protocol")
 def r5(spark, sf_dir):
-    return _slim(M.prune_nameless(M.gated(scored(spark, sf_dir))))
+    return _slim(M.prune_nameless(M.gated(scored_wide(spark, sf_dir))))
 
 
-@query("r6_prune_spare", f"WITH {SCORE_SQL}, h AS (SELECT *, {_HIT.format('is_spare', '')} AS hit FROM gated) SELECT req_id, block_key FROM h WHERE hit = 0 OR NOT is_spare")
+@query("r6_prune_spare", f"WITH {WIDE_SQL}, h AS (SELECT *, {_HIT.format(' AND NOT is_spare')} AS hit FROM gated) SELECT req_id, block_key FROM h WHERE hit = 0 OR NOT is_spare")
 def r6(spark, sf_dir):
-    return _slim(M.prune_spare(M.gated(scored(spark, sf_dir))))
+    return _slim(M.prune_spare(M.gated(scored_wide(spark, sf_dir))))
 
 
 TIERS_SQL = f"""{SCORE_SQL}, best AS (SELECT req_id, total, d_name, CAST(d_name > 0 AS INTEGER) + CAST(d_direction > 0 AS INTEGER) + CAST(d_bit > 0 AS INTEGER) + CAST(d_sdi > 0 AS INTEGER) + CAST(d_type > 0 AS INTEGER) + CAST(d_device > 0 AS INTEGER) + CAST(d_channel > 0 AS INTEGER) AS active FROM ranked WHERE rn = 1),

@@ -66,14 +66,15 @@ def t5(spark, sf_dir):
     return r.select("req_id", F.concat("content", more).alias("text")).select("req_id", F.array_join(fields, ",").alias("fields"))
 
 
-@query("t6_bit_values", f"""WITH t AS (SELECT event_id, event_id % 20 AS a, event_id % 20 + 1 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS b, event_id % 2 AS x, event_id // 2 % 2 AS y, event_id % 5 = 0 AS neg, event_id % 7 AS form FROM events)
-  SELECT event_id, CASE WHEN form = 5 AND b - a > 1 AND NOT neg THEN concat(b, ':', 2 + y) WHEN b - a > 1 OR neg OR form IN (4, 5) THEN '' WHEN form = 6 THEN concat(a - 1, ':', 2 * y + x) WHEN form = 3 THEN concat(a, ':', 2 * x + y) ELSE concat(a, ':', 2 * y + x) END AS assigned FROM t""")
+@query("t6_bit_values", f"""WITH t AS (SELECT event_id, event_id % 20 AS a, event_id % 20 + 1 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS b, event_id % 2 AS x, event_id // 2 % 2 AS y, event_id % 5 = 0 AS neg, event_id % 11 AS form FROM events)
+  SELECT event_id, CASE WHEN form = 5 AND b - a > 1 AND NOT neg THEN concat(b, ':', 2 + y) WHEN b - a > 1 OR neg OR form IN (4, 5) THEN '' WHEN form IN (6, 7, 8) THEN concat(a - 1, ':', 2 * y + x) WHEN form = 3 THEN concat(a, ':', 2 * x + y) ELSE concat(a, ':', 2 * y + x) END AS assigned FROM t""")
 def t6(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
-        "event_id", "event_id % 20 AS a", "event_id % 20 + 1 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS b", "event_id % 2 AS x", "event_id div 2 % 2 AS y", "CASE WHEN event_id % 5 = 0 THEN ' never' ELSE '' END AS neg")
-    # a pair, single ones in either order, in two sentences, three in a row, and Chinese positions
-    text = F.expr("""concat(CASE event_id % 7 WHEN 2 THEN concat('It', neg, ' has bit', a, '=', x, ', bit', b, '=', y) WHEN 3 THEN concat('It', neg, ' has bit', b, '=', x, ', bit', a, '=', y)
+        "event_id", "event_id % 20 AS a", "event_id % 20 + 1 + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END AS b", "event_id % 2 AS x", "event_id div 2 % 2 AS y", "CASE WHEN event_id % 5 = 0 THEN ' never' ELSE '' END AS neg", "CASE WHEN event_id % 5 = 0 THEN '不得将' ELSE '' END AS zh_neg")
+    # a pair, single ones in either order, in two sentences, three in a row, Chinese positions, values in quotes, and a denial after the assertion
+    text = F.expr("""concat(CASE event_id % 11 WHEN 2 THEN concat('It', neg, ' has bit', a, '=', x, ', bit', b, '=', y) WHEN 3 THEN concat('It', neg, ' has bit', b, '=', x, ', bit', a, '=', y)
       WHEN 4 THEN concat('It', neg, ' has bit', a, '=', x, '. bit', b, '=', y) WHEN 5 THEN concat('It', neg, ' has bit', a, '=', x, ', bit', b, '=', y, ', bit', b + 1, '=1') WHEN 6 THEN concat('It', neg, ' 第', a, '位置为', x, '，第', b, '位置为', y)
+      WHEN 7 THEN concat(zh_neg, '第', a, '和', b, '位分别设置为“', x, '”和“', y, '”') WHEN 8 THEN concat(zh_neg, '第', a, '与第', b, '位为"', x, '"，"', y, '"') WHEN 9 THEN concat('It', neg, ' has bit', a, '=', x, ', bit', b, '=', y, ', not used otherwise')
       ELSE concat('Bits ', a, ' and ', b, ' are', neg, ' set to ', x, ' and ', y) END, '. Other text')""")
     values = F.transform(B.bit_values(F.col("text")), lambda v: F.concat_ws(":", v["offset"], v["value"]))
     return e.select("event_id", text.alias("text")).select("event_id", F.array_join(values, ",").alias("assigned"))
