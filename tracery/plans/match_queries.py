@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import match as M
+from ..operators import unbound as U
 from .registry import query
 
 BLOCK = {
@@ -65,13 +66,17 @@ def scored_wide(spark, sf_dir):
     return _scored(by_label.unionByName(by_bus, allowMissingColumns=True))
 
 
-def _scored(j):
+def _sides(df):
+    """The columns that the score reads, of requirements, blocks or both."""
     some = lambda c: F.when(F.col(c).isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
     field = lambda a, n: F.array(F.struct(F.col(a).cast("int").alias("offset"), F.col(n).cast("int").alias("size")))
-    return M.score(j.withColumns({
-        "r_tokens": F.array_distinct(F.array("v1", "v2")), "r_keywords": F.array("kw", "unit"), "b_tokens": F.array_distinct(F.array("w1", "w2")), "r_fields": field("ro", "rn_"), "b_fields": field("o", "n"), "r_sdi": some("rsdi"), "b_sdi": some("sdi"),
-        "r_category": F.col("category"), "r_devices": some("rdev"), "b_devices": some("dev"), "r_buses": some("rbus"), "b_buses": some("bus"),
-    }))
+    r = {"r_tokens": lambda: F.array_distinct(F.array("v1", "v2")), "r_keywords": lambda: F.array("kw", "unit"), "r_fields": lambda: field("ro", "rn_"), "r_sdi": lambda: some("rsdi"), "r_category": lambda: F.col("category"), "r_devices": lambda: some("rdev"), "r_buses": lambda: some("rbus")}
+    b = {"b_tokens": lambda: F.array_distinct(F.array("w1", "w2")), "b_fields": lambda: field("o", "n"), "b_sdi": lambda: some("sdi"), "b_devices": lambda: some("dev"), "b_buses": lambda: some("bus")}
+    return df.withColumns({k: f() for k, f in ((r if "req_id" in df.columns else {}) | (b if "block_key" in df.columns else {})).items()})
+
+
+def _scored(j):
+    return M.score(_sides(j))
 
 
 def _slim(df, *more):
@@ -89,6 +94,21 @@ def j9(spark, sf_dir):
     return M.bus_candidates(r, blocks(spark, sf_dir).withColumn("buses", F.array("bus")))
 
 
+BARE_SQL = f"{SIDES_SQL}, pairs AS (SELECT r.* REPLACE (CAST(NULL AS VARCHAR) AS rbus), b.* FROM r JOIN b ON category IN ('analog', 'discrete') AND label = '')" + _SCORED
+
+
+@query("j9_without_bus", f"WITH {BARE_SQL} SELECT req_id, block_key, rn, total FROM ranked WHERE rn <= 20")
+def j9_without_bus(spark, sf_dir):
+    """The 20 best of all blocks without a label, for analog and discrete requirements as if they named no bus."""
+    r = _sides(requirements(spark, sf_dir).where("category in ('analog', 'discrete')").withColumn("rbus", F.lit(None).cast("string")))
+    b = _sides(blocks(spark, sf_dir).where("label = ''"))
+    none = F.array().cast("array<string>")
+    some = lambda c: F.when(F.col(c) == "", none).otherwise(F.array(c))
+    asked = r.withColumns({"r_components": none, "r_channels": some("r_channel")})
+    pairs = U.candidates(asked, b.withColumn("b_channels", some("b_channel")))
+    return _slim(M.top_k(M.gated(M.score(pairs.join(r, "req_id").join(b, "block_key"))), 20), "rn", "total")
+
+
 @query("j10_range_candidates", f"WITH {SIDES_SQL} SELECT req_id, count(*) AS blocks, min(block_key) AS first, max(block_key) AS last FROM r JOIN b ON ro < o + n AND o < ro + rn_ GROUP BY req_id")
 def j10(spark, sf_dir):
     r = requirements(spark, sf_dir).selectExpr("req_id", "ro AS offset", "rn_ AS size")
