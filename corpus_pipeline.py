@@ -58,7 +58,10 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     scanned = secrets.scan(rows, keep_text=True)
     live = F.exists("spans", lambda s: s["kind"] == secrets.NAMES.index("live"))
     clean = F.when(live, secrets.redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return scanned.withColumn("text", clean).withColumn("n_chars", F.when(live, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*rows.columns).toDF(*docs.columns)
+    out = scanned.withColumn("text", clean)
+    if "n_chars" in rows.columns:
+        out = out.withColumn("n_chars", F.when(live, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*rows.columns).toDF(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -208,7 +208,7 @@ def samples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tuple]
     """A bounded labelled sample of whole documents, and access to all unlabelled ones; both without the held-out fold."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    taught = docs.join(F.broadcast(few), "doc_id").select("doc_id", text_or_empty().alias("text"), "lang", "source", "label")
+    taught = docs.select("doc_id", text_or_empty().alias("text"), "lang", "source").join(F.broadcast(few), "doc_id")
     rows = bounded_sample(taught, SAMPLE_DOCS, lambda _: SAMPLE_BYTES, lambda r: None, lambda r: r["label"], "quality-sample")
     return [(r["text"], r["lang"], r["source"], r["label"]) for r in rows], unlabelled(docs, labels, label)
 

@@ -24,12 +24,21 @@ CHUNK = 512
 SPAN = "array<struct<start: int, kind: int, end: int, value: string>>"
 
 
-def matches(text: Column, kind: int) -> Column:
-    """The leftmost non-overlapping matches of a kind as (start, kind, end, value), in code points; those too short are dropped.
-    Positions are running lengths of what lies between the matches and of the matches."""
-    _, pattern, group, least = KINDS[kind]
+def pieces(text: Column, kind: int) -> Column:
+    """What lies between the leftmost non-overlapping matches of a kind, the matches, and their values, side by side in chunks of CHUNK; null where there is none."""
+    _, pattern, group, _ = KINDS[kind]
     between, whole, value = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    pieces = F.arrays_zip(between.alias("between"), whole.alias("whole"), value.alias("value"))
+    return F.when(text.rlike(pattern), F.arrays_zip(between.alias("between"), whole.alias("whole"), value.alias("value")))
+
+
+def chunks(own: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(own) / CHUNK).cast("int")), lambda i: F.slice(own, i * CHUNK + 1, CHUNK))
+
+
+def spans_of(chunked: Column, kind: int) -> Column:
+    """The matches of a kind as (start, kind, end, value), in code points, from its chunks; those too short are dropped.  Positions are running lengths of what lies between the
+    matches and of the matches.  Arrays grow by chunks, so that a text of many matches takes no square of them."""
+    least = KINDS[kind][3]
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.length(x["between"])
@@ -41,12 +50,19 @@ def matches(text: Column, kind: int) -> Column:
     def spans(chunk: Column, begin: Column) -> Column:
         return F.aggregate(chunk, F.struct(begin.alias("pos"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
 
-    # the pieces go chunk by chunk, so that arrays grow by chunks and a text of many matches takes no square of them
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / CHUNK).cast("int")), lambda i: F.slice(pieces, i * CHUNK + 1, CHUNK))
-    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["between"]) + F.coalesce(F.length(x["whole"]), F.lit(0))))
+    lengths = F.transform(chunked, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["between"]) + F.coalesce(F.length(x["whole"]), F.lit(0))))
     begins = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    found = F.flatten(F.zip_with(chunks, F.slice(begins, F.lit(1), F.size(chunks)), spans))
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    found = F.flatten(F.zip_with(chunked, F.slice(begins, F.lit(1), F.size(chunked)), spans))
+    return F.when(chunked.isNull(), F.array().cast(SPAN)).otherwise(found)
+
+
+def with_base(docs: DataFrame, text: Column, keep: dict[str, Column]) -> DataFrame:
+    """The columns `keep` and `base`, all kinds' matches by start and kind.  Each step is a column of its own behind an explode, which the optimizer doesn't merge with the next, so that no
+    pattern is searched more than once a text."""
+    kinds = range(len(KINDS))
+    rows = docs.select(*(c.alias(k) for k, c in keep.items()), F.explode(F.array(F.struct(*(pieces(text, k).alias(f"p{k}") for k in kinds)))).alias("pieces"))
+    rows = rows.select(*keep, F.explode(F.array(F.struct(*(chunks(F.col(f"pieces.p{k}")).alias(f"c{k}") for k in kinds)))).alias("chunks"))
+    return rows.select(*keep, F.array_sort(F.concat(*(spans_of(F.col(f"chunks.c{k}"), k) for k in kinds))).alias("base"))
 
 
 def _random_looking(value: Column, least: int) -> Column:
@@ -60,13 +76,12 @@ def scan(docs: DataFrame, repository: str = "source", owner: str = "source", man
 
     `spans` has the base ones and one for each candidate value that the corpus shows to be `copied` (at least `many_owners` distinct
     owners or repositories) or that looks `live` (fewer, at least `least` characters, and random).  Null texts count as empty, null owners as one owner.
-    Repeated rows get the same spans and count once.  Null doc_ids are kept.  An empty table gives no rows.
+    Repeated rows get the same spans and count once.  Very long texts are searched whole, in time that follows their length and their matches.  Null doc_ids are kept.  An empty table gives no rows.
     Columns of `docs` named base or spans are replaced.
     """
     keep = [c for c in docs.columns if c not in ("base", "spans") and (keep_text or c != "text")]
-    text = text_or_empty()
-    base = F.array_sort(F.concat(*[matches(text, k) for k in range(len(KINDS))]))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.monotonically_increasing_id().alias("id"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), base.alias("base"))
+    own = {"row": F.struct(*[F.col(f"`{c}`") for c in keep]), "id": F.monotonically_increasing_id(), "repository": F.col(repository), "owner": F.col(owner)}
+    rows = with_base(docs, text_or_empty(), own)
     rows = saved(rows, "secrets")  # each row's id is fixed by the writing
     found = rows.where(F.size("base") > 0).select("id", "repository", "owner", F.explode("base").alias("span")).select("id", "repository", "owner", "span", F.sha2("span.value", 256).alias("value_hash"))
     by = found.groupBy("value_hash", "repository", "owner").agg(F.lit(1).alias("one")).withColumns({"repository": F.coalesce(F.col("repository").cast("string"), F.lit("")), "owner": F.coalesce(F.col("owner").cast("string"), F.lit(""))})

@@ -23,7 +23,8 @@ def _class(kind: str) -> str:
 
 
 _L, _N = "A-Za-z" + _class("L"), "0-9" + _class("N")
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u02ff]*")
+#: Plain characters are those that stay plain in lower case, too: some letters below U+0300 have small ones far above.
+_PLAIN = re.compile("[\t\n\r\x20-\x7e" + "".join(re.escape(chr(c)) for c in range(0xA1, 0x300) if all(ord(x) < 0x300 for x in chr(c).lower())) + "]*")
 # The cutting patterns of the two vocabularies, \p{L} and \p{N} spelt out for the plain characters.
 _PIECES = {
     "word_bpe_49k.json": rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+",

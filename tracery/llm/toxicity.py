@@ -221,7 +221,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[str], l
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     few = [known.where(F.col("label") == k).orderBy(*order).limit(most) for k, most in enumerate(SAMPLE_DOCS)]
-    texts = docs.join(F.broadcast(few[0].union(few[1])), "doc_id").select("doc_id", "label", text_or_empty().alias("text"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few[0].union(few[1])), "doc_id")
     rows = bounded_sample(texts, sum(SAMPLE_DOCS), lambda k: SAMPLE_CHARS[k], lambda r: r["label"], lambda r: r["label"], "toxic-sample")
     return [r["text"] for r in rows], [r["label"] for r in rows], (toxic + 0.5) / (n + 1)
 
