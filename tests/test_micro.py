@@ -26,6 +26,45 @@ def test_fill_forward(spark):
     assert [r["p"] for r in out] == ["E1"] * 4 + ["E2"] * 2 + [None]
 
 
+@pytest.mark.parametrize("rows", [1, 2, 5, 1000])
+def test_fill_forward_in_ranges(spark, rows):
+    """Ranges that hold nothing but blanks, keys that are null, and values that are carried over several ranges."""
+    cells = [(s, r, v) for s in ("a", None) for r, v in enumerate(["", "E1", None, "None", " ", "", "E2", None, "", "", "", "", "E3"])] + [("b", 40, "x"), ("b", 7, None)]
+    df = spark.createDataFrame(cells, "sheet string, row int, p string").repartition(3)
+    as_text = df.withColumn("row", F.format_string("%04d", "row"))  # not a whole number: one window
+    plain = {(r["sheet"], int(r["row"]), r["p"]) for r in entries.fill_forward(as_text, "p", ["sheet"], ["row"]).collect()}
+    out = entries.fill_forward(df, "p", ["sheet"], ["row"], rows=rows)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} == plain and out.count() == df.count()
+
+
+def test_one_sheet_is_many_tasks(spark):
+    """A sheet of all orders: no window sees more than a range of it."""
+    n, rows = 1500, 100
+    df = spark.range(n).selectExpr("'one' AS sheet", "cast(id as int) AS row", "case when id % 337 = 5 then concat('E', id) end AS p")
+    out = entries.fill_forward(df, "p", ["sheet"], ["row"], rows=rows)
+    assert [r["p"] for r in out.orderBy("row").collect()] == [None if i < 5 else f"E{(i - 5) // 337 * 337 + 5}" for i in range(n)]
+    windows = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Window" in line and "windowspecdefinition" in line]
+    assert any("_range" in w.split("windowspecdefinition")[1].split("ASC")[0] for w in windows)
+
+
+@pytest.mark.parametrize(("frequent", "parts"), [(0, 3), (2, 2), (5, 4), (10_000, 16)])
+def test_token_join_loses_no_pair(spark, frequent, parts):
+    left = spark.createDataFrame([(f"t{min(i % 7, i % 3)}", i) for i in range(40)] + [(None, 99)], "token string, a int")
+    right = spark.createDataFrame([(f"t{i % 4}", i) for i in range(30)] + [("t0", 3), (None, 98)], "token string, b int")
+    out = coverage.token_join(left, right, frequent, parts)
+    assert sorted(map(tuple, out.select("token", "a", "b").collect())) == sorted(map(tuple, left.join(right, "token").select("token", "a", "b").collect()))
+
+
+def test_ranges_by_sets(spark):
+    r = spark.createDataFrame([(f"R{i}", i % 11, i % 3 + 1) for i in range(40)] + [("R0", 30, 9), ("R9", None, 1)], "req_id string, offset int, size int")
+    b = spark.createDataFrame([(f"B{i}", i % 13, i % 4 + 1) for i in range(30)] + [("B1", 33, 1), ("B2", 0, 1), ("B2", 0, 1)], "block_key string, offset int, size int")
+    meet = {(x["req_id"], y["block_key"]) for x in r.collect() for y in b.collect() if x["offset"] is not None and x["offset"] < y["offset"] + y["size"] and y["offset"] < x["offset"] + x["size"]}
+    got = [tuple(p) for p in match.range_candidates(r, b).collect()]
+    assert set(got) == meet and len(got) == len(meet)
+    per = {q: sorted(k for p, k in meet if p == q) for q in {p for p, _ in meet}}
+    assert {tuple(x) for x in match.range_counts(r, b).collect()} == {(q, len(k), k[0], k[-1]) for q, k in per.items()}
+
+
 def test_display_path(spark):
     assert value(spark, T.display_path(F.array(*map(F.lit, ["A", "A", "", "B", "A"])))) == "A.B.A"
 

@@ -21,10 +21,29 @@ def token_index(requirements: DataFrame, tokens: Column, source: str = "determin
     return requirements.select("req_id", F.explode(F.array_distinct(tokens)).alias("token")).select("token", "req_id", F.lit(source).alias("source")).distinct()
 
 
+#: Rows of a side beyond which a token is frequent, into how many parts its rows are dealt, and how many frequent tokens are sent to all tasks.
+FREQUENT, PARTS, SENT = 10_000, 16, 1_000_000
+
+
+def token_join(left: DataFrame, right: DataFrame, frequent: int = FREQUENT, parts: int = PARTS) -> DataFrame:
+    """All pairs of rows of `left` and `right` with an equal `token`.  Tokens that more than `frequent` rows of a side have, counted before anything is joined, go apart: each side is dealt
+    into `parts` by its rows' hashes and repeated for the other side's parts, so that one token is parts * parts even pieces of work.  The others are joined plainly; no pair is lost."""
+    many = lambda df: df.groupBy("token").count().where(F.col("count") > frequent).select("token")
+    hot = many(left).union(many(right)).distinct()
+    if hot.limit(SENT + 1).count() <= SENT:
+        hot = F.broadcast(hot)
+    part = lambda df: F.pmod(F.xxhash64(*(c for c in df.columns if c != "token")), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    l = left.join(hot, "token", "left_semi").withColumn("_l", part(left)).withColumn("_r", every)
+    r = right.join(hot, "token", "left_semi").withColumn("_r", part(right)).withColumn("_l", every)
+    plain = left.join(hot, "token", "left_anti").join(right.join(hot, "token", "left_anti"), "token")
+    return plain.unionByName(l.join(r, ["token", "_l", "_r"]).drop("_l", "_r"))
+
+
 def recall(blocks: DataFrame, index: DataFrame, k: int | None = None) -> DataFrame:
     """(block_key, req_id, overlap, source, rank): requirements that share tokens with a block (block_key, tokens), by how many; deterministic tokens before a model's."""
     b = blocks.select("block_key", F.explode(F.array_distinct("tokens")).alias("token"))
-    j = b.join(index, "token").groupBy("block_key", "req_id").agg(F.countDistinct("token").alias("overlap"), F.min("source").alias("source"))
+    j = token_join(b, index.select("token", "req_id", "source")).groupBy("block_key", "req_id").agg(F.countDistinct("token").alias("overlap"), F.min("source").alias("source"))
     out = j.withColumn("rank", F.row_number().over(Window.partitionBy("block_key").orderBy("source", F.desc("overlap"), "req_id")))
     return out if k is None else out.where(F.col("rank") <= k)
 

@@ -19,10 +19,29 @@ def blank(c: Column, words: Sequence[str] = ("None",)) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "") | F.trim(c.cast("string")).isin(list(words))
 
 
-def fill_forward(df: DataFrame, column: str, within: Sequence[str], order: Sequence[str], words: Sequence[str] = ("None",)) -> DataFrame:
-    """`column` with each blank replaced by the last value before it within the keys; leading blanks become null."""
-    w = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(column, F.last(F.when(~blank(F.col(column), words), F.col(column)), ignorenulls=True).over(w))
+#: Rows of a range that `fill_forward` goes through in one task.
+RANGE_ROWS = 100_000
+
+
+def fill_forward(df: DataFrame, column: str, within: Sequence[str], order: Sequence[str], words: Sequence[str] = ("None",), rows: int = RANGE_ROWS) -> DataFrame:
+    """`column` with each blank replaced by the last value before it within the keys; leading blanks become null.
+
+    Where the first of `order` is a whole number (a row number), a key is no task's whole load: rows are gone through in ranges of `rows` numbers, and a range begins with what the ranges before
+    it end with, a table of a row for each range.
+    """
+    value = F.when(~blank(F.col(column), words), F.col(column))
+    last = lambda *keys: F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if df.schema[order[0]].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return df.withColumn(column, last(*within))
+    df = df.withColumn("_range", F.floor(F.col(order[0]) / rows))
+    ends = df.groupBy(*within, "_range").agg(F.max_by(value, F.when(value.isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    for c in (*within, "_range"):
+        carried = carried.withColumnRenamed(c, f"_of{c}")
+    same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in (*within, "_range")]
+    filled = df.join(carried, same, "left").withColumn(column, F.coalesce(last(*within, "_range"), F.col("_carried")))
+    return filled.drop("_range", "_carried", *(f"_of{c}" for c in (*within, "_range")))
 
 
 def first_of(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str]) -> DataFrame:

@@ -34,15 +34,42 @@ def overlaps(offset: Column, size: Column, offset2: Column, size2: Column) -> Co
     return (offset < offset2 + size2) & (offset2 < offset + size)
 
 
-def range_candidates(reqs: DataFrame, blocks: DataFrame, width: int = 8) -> DataFrame:
-    """Pairs (req_id, block_key) of fields (offset, size) that overlap.  Fields are few and many rows share them: the distinct ones of both sides are dealt into bins of `width` bits and
-    joined on equal bins, in the first bin of both only, and the ids come back to what overlaps."""
+def _overlapping(r: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """(offset, size, offset2, size2): the distinct fields of both sides that overlap.  They are dealt into bins of `width` bits and joined on equal bins, in the first bin of both only."""
     last = F.floor((F.col("offset") + F.greatest(F.col("size"), F.lit(1)) - 1) / width)
     ranges = lambda df: df.select("offset", "size").distinct().withColumn("first", F.floor(F.col("offset") / width)).withColumn("bin", F.explode(F.sequence("first", last)))
-    r, b = ranges(reqs), ranges(blocks).select(F.col("offset").alias("offset2"), F.col("size").alias("size2"), F.col("first").alias("first2"), "bin")
-    met = r.join(b, "bin").where(overlaps(F.col("offset"), F.col("size"), F.col("offset2"), F.col("size2")) & (F.col("bin") == F.greatest("first", "first2"))).select("offset", "size", "offset2", "size2")
-    own = blocks.select("block_key", F.col("offset").alias("offset2"), F.col("size").alias("size2"))
-    return reqs.select("req_id", "offset", "size").join(met, ["offset", "size"]).join(own, ["offset2", "size2"]).select("req_id", "block_key").distinct()
+    theirs = ranges(b).select(F.col("offset").alias("offset2"), F.col("size").alias("size2"), F.col("first").alias("first2"), "bin")
+    meet = overlaps(F.col("offset"), F.col("size"), F.col("offset2"), F.col("size2")) & (F.col("bin") == F.greatest("first", "first2"))
+    return ranges(r).join(theirs, "bin").where(meet).select("offset", "size", "offset2", "size2")
+
+
+def _field_sets(df: DataFrame, key: str) -> DataFrame:
+    """(key, fields): each key's set of fields; rows without an offset or a size have none."""
+    return df.where("offset is not null and size is not null").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("offset", "size"))).alias("fields"))
+
+
+def _sets_that_meet(r: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """(fields, fields2), distinct: sets of fields of both sides of which some overlap.  Many rows share a set, so this is small where both sides are large."""
+    each = lambda df: df.select("fields").distinct().select("fields", F.explode("fields").alias("f")).select("fields", "f.offset", "f.size")
+    mine, theirs = each(r), each(b)
+    met = mine.join(_overlapping(mine, theirs, width), ["offset", "size"]).select("fields", "offset2", "size2")
+    return met.join(theirs.select(F.col("fields").alias("fields2"), F.col("offset").alias("offset2"), F.col("size").alias("size2")), ["offset2", "size2"]).select("fields", "fields2").distinct()
+
+
+def range_candidates(reqs: DataFrame, blocks: DataFrame, width: int = 8) -> DataFrame:
+    """Pairs (req_id, block_key), each once, of which a field (offset, size) of one overlaps one of the other.  Sets of fields are joined, and their keys come in at the very end, so that no pair
+    has to be made distinct."""
+    r, b = _field_sets(reqs, "req_id"), _field_sets(blocks, "block_key")
+    return r.join(_sets_that_meet(r, b, width), "fields").join(b.withColumnRenamed("fields", "fields2"), "fields2").select("req_id", "block_key")
+
+
+def range_counts(reqs: DataFrame, blocks: DataFrame, width: int = 8) -> DataFrame:
+    """(req_id, blocks, first, last): how many blocks `range_candidates` pairs a requirement with, and the least and the greatest key of them, for those that have any.  A block has one set of
+    fields, so sets' counts add up, and no pair is ever made."""
+    r, b = _field_sets(reqs, "req_id"), _field_sets(blocks, "block_key")
+    per = b.groupBy(F.col("fields").alias("fields2")).agg(F.count("*").alias("n"), F.min("block_key").alias("first"), F.max("block_key").alias("last"))
+    summed = _sets_that_meet(r, b, width).join(per, "fields2").groupBy("fields").agg(F.sum("n").alias("blocks"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return r.join(summed, "fields").select("req_id", "blocks", "first", "last")
 
 
 def name_hits(keywords: Column, devices: Column, family: Column) -> Column:
@@ -148,7 +175,7 @@ def prune_spare(pairs: DataFrame) -> DataFrame:
 
 def tiers(reqs: DataFrame, judged: DataFrame, ungated: DataFrame | None = None) -> DataFrame:
     """(req_id, status, top) for every requirement (req_id, category): matched, uncertain or unmatched, from its best pair of those that `passed` (see `gates`; with `ungated`, all pairs of
-    `judged` have, and those of `ungated` are the ones before the gates); one
+    `judged` have, and those of `ungated` are the ones before the gates); a labelled one (category label)
     whose pairs all failed is uncertain, with the best of their totals, or of those of the first of its labels (`label_ord`, where it is there).  One aggregation: no pair is ranked or
     read twice.
 
@@ -162,12 +189,21 @@ def tiers(reqs: DataFrame, judged: DataFrame, ungated: DataFrame | None = None)
     order = F.struct((-F.col("total")).alias("least"), "block_ord", "block_key", "total", "d_name", active.alias("active"))
     best = judged.groupBy("req_id").agg(F.min(F.when(F.col("passed"), order)).alias("best"), (-F.min(F.struct(first.alias("o"), (-F.col("total")).alias("t")))["t"]).alias("ungated"))
     j = reqs.select("req_id", "category").join(best.select("req_id", "best.total", "best.d_name", "best.active", "ungated"), "req_id", "left")
+    failed = F.when(F.col("category") == "label", F.col("ungated"))
     status = (
-        F.when(F.col("total").isNull(), F.when(F.col("ungated").isNotNull(), "uncertain").otherwise("unmatched"))
+        F.when(F.col("total").isNull(), F.when(failed.isNotNull(), "uncertain").otherwise("unmatched"))
         .when(F.col("category").isin("analog", "discrete") & (F.col("d_name") == 0), "unmatched")
         .when((F.col("total") >= 25) & (F.col("active") >= 2) & (F.col("d_name") > 0), "matched").otherwise("uncertain")
     )
-    return j.select("req_id", status.alias("status"), F.coalesce("total", "ungated", F.lit(0)).alias("top"))
+    return j.select("req_id", status.alias("status"), F.coalesce(F.col("total"), failed, F.lit(0)).alias("top"))
+
+
+def context(judged: DataFrame, k: int = 20) -> DataFrame:
+    """What raters see of labelled requirements none of whose pairs passed: the `k` best pairs of the first of their labels that any block has (`label_ord`), without regard to the least total,
+    but not those that conflict or aren't eligible."""
+    first = judged.where(F.col("category") == "label").groupBy("req_id").agg(F.max("passed").alias("_any"), F.min("label_ord").alias("_first")).where("not _any").select("req_id", "_first")
+    own = judged.join(first, "req_id").where((F.col("label_ord") == F.col("_first")) & F.col("eligible") & ~F.col("conflict")).drop("_first")
+    return top_k(own, k)
 
 
 def evidence(pairs: DataFrame) -> DataFrame:

@@ -112,8 +112,7 @@ def j9_without_bus(spark, sf_dir):
 @query("j10_range_candidates", f"WITH {SIDES_SQL} SELECT req_id, count(*) AS blocks, min(block_key) AS first, max(block_key) AS last FROM r JOIN b ON ro < o + n AND o < ro + rn_ GROUP BY req_id")
 def j10(spark, sf_dir):
     r = requirements(spark, sf_dir).selectExpr("req_id", "ro AS offset", "rn_ AS size")
-    pairs = M.range_candidates(r, blocks(spark, sf_dir).selectExpr("block_key", "o AS offset", "n AS size"))
-    return pairs.groupBy("req_id").agg(F.count("*").alias("blocks"), F.min("block_key").alias("first"), F.max("block_key").alias("last"))
+    return M.range_counts(r, blocks(spark, sf_dir).selectExpr("block_key", "o AS offset", "n AS size"))
 
 
 @query("j11_sdi_match", f"WITH {PAIRS_SQL} SELECT req_id, block_key FROM pairs WHERE rsdi = sdi")
@@ -156,7 +155,7 @@ def r6(spark, sf_dir):
 
 TIERS_SQL = f"""{SCORE_SQL}, best AS (SELECT req_id, total, d_name, CAST(d_name > 0 AS INTEGER) + CAST(d_direction > 0 AS INTEGER) + CAST(d_bit > 0 AS INTEGER) + CAST(d_sdi > 0 AS INTEGER) + CAST(d_type > 0 AS INTEGER) + CAST(d_device > 0 AS INTEGER) + CAST(d_channel > 0 AS INTEGER) AS active FROM ranked WHERE rn = 1),
   seen AS (SELECT req_id, max(total) AS ungated FROM scored GROUP BY req_id),
-  tiers AS (SELECT r.req_id, r.category, CASE WHEN total IS NULL THEN CASE WHEN ungated IS NULL THEN 'unmatched' ELSE 'uncertain' END WHEN r.category IN ('analog', 'discrete') AND d_name = 0 THEN 'unmatched' WHEN total >= 25 AND active >= 2 AND d_name > 0 THEN 'matched' ELSE 'uncertain' END AS status, coalesce(total, ungated, 0) AS top
+  tiers AS (SELECT r.req_id, r.category, CASE WHEN total IS NULL THEN CASE WHEN ungated IS NULL OR r.category <> 'label' THEN 'unmatched' ELSE 'uncertain' END WHEN r.category IN ('analog', 'discrete') AND d_name = 0 THEN 'unmatched' WHEN total >= 25 AND active >= 2 AND d_name > 0 THEN 'matched' ELSE 'uncertain' END AS status, coalesce(total, CASE WHEN r.category = 'label' THEN ungated END, 0) AS top
     FROM r LEFT JOIN best USING (req_id) LEFT JOIN seen USING (req_id))"""
 
 
