@@ -168,14 +168,17 @@ def test_raters_have_a_time_limit(spark):
     from tracery.operators import verdict
 
     now = lambda: ("covered", "", 1.0)
+    timeout = ("error", "timeout", 0.0)
 
-    def slow():
-        time.sleep(30)
-        return now()
+    def slow(seconds):
+        return lambda: time.sleep(seconds) or now()
+
+    def asked(cases, **limits):
+        return {(c, p): v for c, p, v in verdict.asked(iter(cases), **limits)}
 
     start = time.monotonic()
-    assert verdict.together([now, slow, now], ceiling=20, grace=0.2) == [now(), None, now()]
-    assert verdict.together([now, slow], ceiling=0.3, grace=0.1) == [now(), None]
+    assert asked([("1", [("a", now), ("b", slow(30)), ("c", now)])], ceiling=20, grace=0.2, drain=0.1) == {("1", "a"): now(), ("1", "b"): timeout, ("1", "c"): now()}
+    assert asked([("1", [("a", now), ("b", slow(30))])], ceiling=0.3, grace=0.1, drain=0) == {("1", "a"): now(), ("1", "b"): timeout}
     assert time.monotonic() - start < 5
 
     def rater(provider, prompt):
@@ -185,10 +188,53 @@ def test_raters_have_a_time_limit(spark):
 
     cases = spark.createDataFrame([("1", "x"), ("2", "y")], "case_id string, prompt string").coalesce(1)
     providers = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "provider string, provider_ord int").coalesce(1)
-    got = {(r["case_id"], r["provider"]): (r["status"], r["analysis"]) for r in verdict.judged(cases, providers, rater, grace=0.2).collect()}
+    got = {(r["case_id"], r["provider"]): (r["status"], r["analysis"]) for r in verdict.judged(cases, providers, rater, grace=0.2, drain=0.2).collect()}
     assert got == {(c, p): ("covered", t) for c, t in (("1", "x"), ("2", "y")) for p in "ab"} | {(c, "c"): ("error", "timeout") for c in "12"}
 
 
+def test_slow_raters_overlap_and_late_answers_count():
+    """Twenty cases of two slow calls each take as long as their shares of the calls at a time; an answer after its case's time still counts, and is asked for once."""
+    import threading
+    import time
+
+    from tracery.operators import verdict
+
+    lock, state = threading.Lock(), {"now": 0, "most": 0, "calls": 0}
+
+    def call(seconds):
+        def run():
+            with lock:
+                state["now"] += 1
+                state["calls"] += 1
+                state["most"] = max(state["most"], state["now"])
+            time.sleep(seconds)
+            with lock:
+                state["now"] -= 1
+            return "covered", f"{seconds}", 1.0
+
+        return run
+
+    start = time.monotonic()
+    got = list(verdict.asked(iter([(i, [("a", call(0.2)), ("b", call(0.2))]) for i in range(20)]), calls=10, open_cases=8))
+    assert len(got) == 40 and all(v[0] == "covered" for _, _, v in got)
+    assert 0.7 < time.monotonic() - start < 4 and state["most"] == 10
+    state["calls"] = 0
+    late = []
+    out = {(c, p): v for c, p, v in verdict.asked(iter([(1, [("a", call(0)), ("b", call(0)), ("slow", call(0.6))]), (2, [("a", call(0))])]), grace=0.1, drain=5, late=late.append)}
+    assert out[1, "slow"] == ("covered", "0.6", 1.0) and late == ["slow"] and state["calls"] == 4 and len(out) == 4
+    # a call that hangs frees its place
+    out = {(c, p): v for c, p, v in verdict.asked(iter([(1, [("hangs", call(20))]), (2, [("a", call(0))])]), ceiling=0.3, drain=0, calls=1)}
+    assert out == {(1, "hangs"): ("error", "timeout", 0.0), (2, "a"): ("covered", "0", 1.0)} or out[2, "a"][1] == "timeout"
+
+
+def test_disagreements(spark):
+    from tracery.operators import verdict
+
+    rows = [("1", "covered"), ("1", "inconsistent"), ("2", "covered"), ("2", "needs_review"), ("3", "covered"), ("3", "error"), ("4", "error"), ("5", "covered"), ("5", "inconsistent"), ("5", "needs_review")]
+    got = {r["case_id"]: r["disagreements"] for r in verdict.disagreements(spark.createDataFrame(rows, "case_id string, status string")).collect()}
+    assert got == {"1": ["key"], "2": ["vague"], "3": [], "4": [], "5": ["key", "vague"]}
+
+
 def test_block_levels_of_lost_and_refuted_candidates(spark):
     from tracery.operators import coverage
 

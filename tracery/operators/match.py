@@ -129,12 +129,15 @@ def score(pairs: DataFrame, soften: bool = False) -> DataFrame:
     return out.withColumn("total", sum((F.col(d) for d in DIMENSIONS), F.lit(0)))
 
 
-def gates(scored: DataFrame, least: int = 12) -> DataFrame:
-    """`conflict`: opposite directions, SDIs that are both stated and differ, buses that are both stated and differ; `passed`: none of these, and a total of at least `least`."""
+def gates(scored: DataFrame, least: int = 12, soften: bool = False) -> DataFrame:
+    """`conflict`: opposite directions, SDIs that are both stated and differ, buses that are both stated and differ; `passed`: none of these, and a total of at least `least`.  With `soften`,
+    opposite directions pass, but stay conflicts, where name or SDI are certain."""
     opposite = F.col("r_direction").isin("send", "receive") & F.col("b_direction").isin("send", "receive") & (F.col("r_direction") != F.col("b_direction"))
     differ = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & ~F.coalesce(F.arrays_overlap(a, b), F.lit(False))
-    conflict = opposite | differ("r_sdi", "b_sdi") | differ("r_buses", "b_buses")
-    return scored.withColumn("conflict", F.coalesce(conflict, F.lit(False))).withColumn("passed", (F.col("total") >= least) & ~F.col("conflict"))
+    other = F.coalesce(differ("r_sdi", "b_sdi") | differ("r_buses", "b_buses"), F.lit(False))
+    opposite = F.coalesce(opposite, F.lit(False))
+    let = opposite & F.lit(soften) & ((F.col("d_name") >= 30) | (F.col("d_sdi") > 0))
+    return scored.withColumn("conflict", opposite | other).withColumn("passed", (F.col("total") >= least) & ~other & (~opposite | let))
 
 
 def gated(scored: DataFrame, least: int = 12) -> DataFrame:
@@ -148,11 +151,11 @@ def ranked(pairs: DataFrame, conflicts_first: bool = False) -> DataFrame:
     return pairs.withColumn("rn", F.row_number().over(Window.partitionBy("req_id").orderBy(*order)))
 
 
-def top_k(pairs: DataFrame, k: int = 20, exempt: Column | None = None) -> DataFrame:
+def top_k(pairs: DataFrame, k: int = 20, exempt: Column | None = None, conflicts_first: bool = False) -> DataFrame:
     """The k best of each requirement, and exempt ones whatever their rank.  Two branches, so that the first keeps its group limit in the plan; write `pairs` first where they are
     dear to make."""
-    best = ranked(pairs).where(F.col("rn") <= k)
-    return best if exempt is None else best.union(ranked(pairs).where((F.col("rn") > k) & exempt))
+    best = ranked(pairs, conflicts_first).where(F.col("rn") <= k)
+    return best if exempt is None else best.union(ranked(pairs, conflicts_first).where((F.col("rn") > k) & exempt))
 
 
 def _of_one_object() -> list[Column]:

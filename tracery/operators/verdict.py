@@ -5,6 +5,7 @@ from __future__ import annotations
 import queue
 import threading
 import time
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VERDICT = "case_id string, provider string, provider_ord int, status string, analysis string, confidence double"
+_VERDICT = ["case_id", "provider", "provider_ord", "status", "analysis", "confidence"]
 STATUSES = ("covered", "inconsistent", "needs_review", "error")
 
 
@@ -30,8 +32,15 @@ def stub_rater(provider: str, prompt: str) -> tuple[str, str, float]:
     return STATUSES[n % 3], f"checksum {n}", (n % 100) / 100
 
 
+class BadOutput(ValueError):
+    """An answer that can't be read."""
+
+
 def error_class(error: BaseException) -> str:
+    """auth, timeout, rate_limit, connection, bad_output or other."""
     name, text = type(error).__name__.lower(), str(error).lower()
+    if isinstance(error, BadOutput) or "jsondecode" in name:
+        return "bad_output"
     if "auth" in name or "401" in text or "403" in text:
         return "auth"
     return "timeout" if "timeout" in name or "timed out" in text else "rate_limit" if "429" in text else "connection" if "connect" in name else "other"
@@ -54,38 +63,103 @@ class Breaker:
             self.opened = self.clock()
 
 
-#: Seconds that a case's raters have in all, those that the others have once so many have given a valid verdict.
-CEILING, GRACE, QUORUM = 300.0, 120.0, 2
+#: Seconds that a case's raters have in all, those that the others have once so many have given a valid verdict, and those that late answers are waited for in the end.
+CEILING, GRACE, QUORUM, DRAIN = 300.0, 120.0, 2, 60.0
+#: Calls at a time, and cases under way, in a task.
+CALLS, CASES = 12, 64
 Verdict = tuple[str, str, float]
 
 
-def together(calls: list[Callable[[], Verdict]], ceiling: float = CEILING, grace: float = GRACE, quorum: int = QUORUM, clock: Callable[[], float] = time.monotonic) -> list[Verdict | None]:
-    """The calls of one case, side by side; None for one that is not back in time.  Once `quorum` valid verdicts are there, the others have `grace` seconds more,
-    and never more than `ceiling` in all.  A call that hangs keeps its thread, not the task."""
-    back: queue.Queue[tuple[int, Verdict]] = queue.Queue()
-    for i, call in enumerate(calls):
-        threading.Thread(target=lambda i=i, call=call: back.put((i, call())), daemon=True).start()
-    out: list[Verdict | None] = [None] * len(calls)
-    deadline, valid = clock() + ceiling, 0
-    for _ in calls:
-        try:
-            i, verdict = back.get(timeout=max(0.0, deadline - clock()))
-        except queue.Empty:
-            break
-        out[i] = verdict
-        valid += verdict[0] != "error"
-        if valid == quorum:
-            deadline = min(deadline, clock() + grace)
-    return out
+class Calls:
+    """At most `most` calls at a time, each on a thread of its own that a call that hangs keeps to itself; answers come back through one queue."""
 
+    def __init__(self, most: int = CALLS):
+        self.most, self.waiting, self.running, self.back = most, deque(), set(), queue.Queue()
 
-def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, attempts: int = 3, ceiling: float = CEILING, grace: float = GRACE) -> DataFrame:
-    """A verdict for each case (case_id, prompt) and provider (provider, provider_ord).  A case's raters are asked side by side (see `together`); one that is too late or fails `attempts`
-    times gives an error verdict, never an exception; a breaker for each provider and partition skips calls that would fail anyway.  Write the result before using it: raters
-    need not be repeatable."""
+    def add(self, key: object, call: Callable[[], Verdict]) -> None:
+        self.waiting.append((key, call))
+        self._fill()
+
+    def given_up(self, key: object) -> None:
+        """A call that is too late frees its place; where it hasn't begun, it never does."""
+        self.running.discard(key)
+        self.waiting = deque(x for x in self.waiting if x[0] != key)
+        self._fill()
+
+    def _fill(self) -> None:
+        while self.waiting and len(self.running) < self.most:
+            key, call = self.waiting.popleft()
+            self.running.add(key)
+            threading.Thread(target=lambda key=key, call=call: self.back.put((key, call())), daemon=True).start()
+
+    def next(self, seconds: float) -> tuple[object, Verdict] | None:
+        try:
+            key, answer = self.back.get(timeout=max(0.0, seconds))
+        except queue.Empty:
+            return None
+        self.running.discard(key)
+        self._fill()
+        return key, answer
+
+
+def asked(cases: Iterator[tuple[object, list[tuple[str, Callable[[], Verdict]]]]], ceiling: float = CEILING, grace: float = GRACE, quorum: int = QUORUM, drain: float = DRAIN, calls: int = CALLS, open_cases: int = CASES, late: Callable[[str], None] = lambda _: None) -> Iterator[tuple[object, str, Verdict]]:
+    """(case, provider, verdict) of cases (case, [(provider, call)]), in the order of the answers.
+
+    The calls of many cases share one bounded set of threads.  A case has `ceiling` seconds from when it is taken up, and `grace` more once `quorum` valid verdicts are there; then its place goes to the
+    next one, and `late` is told of each provider that isn't back.  Such an answer is still waited for until `drain` seconds after the last case: if it comes, it counts, and nobody is asked twice; else
+    the verdict is an error.  Rows wait for it only in number of late answers.
+    """
+    pool, cases, under_way, owed = Calls(calls), iter(cases), {}, {}
+    more, end = True, None
+
+    def close(case: object, now: float) -> None:
+        for provider in under_way.pop(case)["open"]:
+            late(provider)
+            owed[case, provider] = now
+            pool.given_up((case, provider))
+
+    while True:
+        while more and len(under_way) < open_cases:
+            taken = next(cases, None)
+            if taken is None:
+                more = False
+                break
+            case, own = taken
+            under_way[case] = {"until": time.monotonic() + ceiling, "valid": 0, "open": {p for p, _ in own}}
+            for provider, call in own:
+                pool.add((case, provider), call)
+        now = time.monotonic()
+        for case in [c for c, x in under_way.items() if x["until"] <= now or not x["open"]]:
+            close(case, now)
+        if not under_way and not more:
+            end = end or now + drain
+            if not owed or now >= end:
+                break
+        soonest = min([x["until"] for x in under_way.values()] or [end or now])
+        got = pool.next(min(soonest - now, 1.0))
+        if got is None:
+            continue
+        (case, provider), answer = got
+        if case in under_way and provider in under_way[case]["open"]:
+            x = under_way[case]
+            x["open"].discard(provider)
+            x["valid"] += answer[0] != "error"
+            if x["valid"] == quorum:
+                x["until"] = min(x["until"], time.monotonic() + grace)
+        elif owed.pop((case, provider), None) is None:
+            continue
+        yield case, provider, answer
+    for case, provider in owed:
+        yield case, provider, ("error", "timeout", 0.0)
+
+
+def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, attempts: int = 3, ceiling: float = CEILING, grace: float = GRACE, drain: float = DRAIN, calls: int = CALLS) -> DataFrame:
+    """A verdict for each case (case_id, prompt) and provider (provider, provider_ord).  A case is one row with all of its raters, so no batch parts them, and the cases of a task are asked side by
+    side (see `asked`).  A rater that fails `attempts` times gives an error verdict, never an exception; a breaker for each provider and partition skips calls that would fail anyway.  A late answer
+    counts while its task lasts.  Write the result before using it: raters need not be repeatable."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        breakers: dict[str, Breaker] = {}
+        breakers: dict[str, Breaker] = defaultdict(Breaker)
 
         def ask(provider: str, prompt: str) -> Verdict:
             b, out = breakers[provider], ("error", "breaker open", 0.0)
@@ -102,19 +176,26 @@ def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, at
                     out = ("error", kind, 0.0)
             return out
 
-        for x in batches:
-            rows = []
-            for case, own in x.groupby("case_id", sort=False):
-                for p in own["provider"]:
-                    breakers.setdefault(p, Breaker())
-                out = together([lambda p=p, t=t: ask(p, t) for p, t in zip(own["provider"], own["prompt"], strict=True)], ceiling, grace)
-                for p, order, v in zip(own["provider"], own["provider_ord"], out, strict=True):
-                    if v is None:
-                        breakers[p].record("timeout")
-                    rows.append((case, p, order, *(v or ("error", "timeout", 0.0))))
-            yield pd.DataFrame(rows, columns=["case_id", "provider", "provider_ord", "status", "analysis", "confidence"])
+        about: dict[int, tuple[str, dict[str, int]]] = {}
+
+        def one_by_one() -> Iterator[tuple[int, list[tuple[str, Callable[[], Verdict]]]]]:
+            for x in batches:
+                for case, prompt, own in zip(x["case_id"], x["prompt"], x["own"], strict=True):
+                    n = len(about)
+                    about[n] = (case, {r["provider"]: r["provider_ord"] for r in own})
+                    yield n, [(r["provider"], lambda p=r["provider"], t=prompt: ask(p, t)) for r in own]
 
-    return cases.select("case_id", "prompt").crossJoin(F.broadcast(providers)).mapInPandas(run, VERDICT)
+        rows = []
+        for n, provider, verdict in asked(one_by_one(), ceiling, grace, QUORUM, drain, calls, CASES, lambda p: breakers[p].record("timeout")):
+            case, order = about[n]
+            rows.append((case, provider, order[provider], *verdict))
+            if len(rows) == 1000:
+                yield pd.DataFrame(rows, columns=_VERDICT)
+                rows = []
+        yield pd.DataFrame(rows, columns=_VERDICT)
+
+    raters = providers.agg(F.sort_array(F.collect_list(F.struct("provider_ord", "provider"))).alias("own"))  # one row
+    return cases.select("case_id", "prompt").crossJoin(F.broadcast(raters)).mapInPandas(run, VERDICT)
 
 
 def annotated(requests: DataFrame, cache: DataFrame, annotator: Callable[[str], str]) -> DataFrame:
@@ -181,6 +262,14 @@ def stars(level: Column, disagreements: Column) -> Column:
     return F.when(level == "full", F.when(F.size(disagreements) == 0, 5).otherwise(4)).when(level == "majority", F.when(key, 2).otherwise(3)).otherwise(1)
 
 
+def disagreements(verdicts: DataFrame) -> DataFrame:
+    """(case_id, disagreements): what the verdicts that are no errors differ in: `key` where one says covered and another inconsistent, `vague` where some only ask for a review."""
+    said = F.collect_set(F.when(F.col("status") != "error", F.col("status")))
+    has = lambda *s: F.size(F.array_intersect("said", F.array(*map(F.lit, s)))) == len(s)
+    kinds = F.array(F.when(has("covered", "inconsistent"), F.lit("key")), F.when(has("needs_review") & (F.size("said") > 1), F.lit("vague")))
+    return verdicts.groupBy("case_id").agg(said.alias("said")).select("case_id", F.array_compact(kinds).alias("disagreements"))
+
+
 def capped(consensus: DataFrame) -> DataFrame:
     """`stars`, `agreement` and `review` after a cap by how many raters are alive: none, one and two allow 1, 1 and 2 stars."""
     most = F.when(F.col("alive") <= 1, 1).when(F.col("alive") == 2, 2).otherwise(5)
