@@ -36,6 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def numbered(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """`df` with a number of its own for each row, also of equal rows; `saved` afterwards fixes it."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write `df` as Parquet into the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
@@ -51,7 +56,8 @@ def ranked(df: DataFrame, by: str, order: list[str], name: str, cell_rows: int =
     """`df` with a rank from 0 within each value of `by` (values bounded in number, none null), gapless.
 
     Rows are dealt into cells by a hash of `order`, numbered within the cell, and the cells' counts give where each begins.  A hot
-    value has many cells: a cell holds at most about `cell_rows` rows, and at most a fraction of a task's even share.
+    value has many cells: a cell holds at most about `cell_rows` rows, and at most a fraction of a task's even share.  `order` should tell equal rows apart (see `numbered`), or
+    they all come to one cell.
     """
     largest, rows = df.groupBy(by).count().agg(F.max("count"), F.sum("count")).first()
     share = (rows or 0) // (4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1

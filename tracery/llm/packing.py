@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, saved, text_or_empty
+from .common import numbered, ranked, saved, text_or_empty, text_slices
 from .tokens import encoder, vocabulary_path
 
 
@@ -80,16 +80,17 @@ def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), array("H", [end_id]).tobytes()
         for x in batches:
-            row, piece, start, length, crc, at = [], [], [], [], [], []
-            for i, t in enumerate(x.column(1).to_pylist()):
-                ids = np.frombuffer(encode(t or "") + end, "<u2").astype("<u4")
-                for k in range(0, len(ids), capacity):
-                    part = ids[k : k + capacity]
-                    at.append(i)
-                    piece.append(k // capacity)
-                    start.append(k)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part))
+            piece, start, length, crc, at = [], [], [], [], []
+            for first, held in text_slices(x.column(1)):
+                for i, t in enumerate(held, first):
+                    ids = np.frombuffer(encode(t.decode("utf-8", "replace")) + end, "<u2").astype("<u4")
+                    for k in range(0, len(ids), capacity):
+                        part = ids[k : k + capacity]
+                        at.append(i)
+                        piece.append(k // capacity)
+                        start.append(k)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part))
             row = x.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([row, pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -108,11 +109,11 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
     Null and empty texts are the end id alone.  Repeated rows are packed each by itself; null doc_ids too.  An empty table: no rows.
     Other columns are ignored.
     """
-    cut = saved(pieces(docs, path or vocabulary_path("word_bpe_49k.json"), capacity, end_id), "pieces")
+    cut = saved(numbered(pieces(docs, path or vocabulary_path("word_bpe_49k.json"), capacity, end_id)), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     spark = docs.sparkSession
     where = spark.createDataFrame(places(plan(counts, capacity)), "length long, low long, high long, first long, offset long")
-    numbered = ranked(cut, "length", ["doc_id", "piece", "start", "ids_crc32"], "rank")
+    numbered = ranked(cut, "length", ["doc_id", "piece", "start", "row_key"], "rank")
     here = (F.col("p.length") == F.col("w.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     out = numbered.alias("p").join(F.broadcast(where).alias("w"), here)
     return out.select("doc_id", "piece", "start", F.col("p.length").alias("length"), "ids_crc32", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")

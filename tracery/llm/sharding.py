@@ -15,7 +15,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, saved, text_or_empty
+from .common import numbered, ranked, saved, text_or_empty
 
 #: Bits of the hash by which the first sums are taken, and by which each refinement goes on.
 FIRST_BITS, MORE_BITS = 14, 8
@@ -102,8 +102,8 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     empty; an empty table gives no rows.  Other columns are ignored.
     """
     text = text_or_empty()
-    base = saved(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash")), "sizes")
+    base = saved(numbered(docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash"))), "sizes")
     at, _ = cuts(base.select("hash", "size"), shards)
     here = sum(((F.col("hash") >= c).cast("int") for c in at), F.lit(0))
-    out = ranked(base.withColumn("shard", here), "shard", ["doc_id", "hash"], "slot")
+    out = ranked(base.withColumn("shard", here), "shard", ["doc_id", "row_key"], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import appended, bounded_sample, mix, slices, text_or_empty, word_table
 
-#: Bounds of the fit, for clean and for toxic documents: how many, and characters in them (whole documents, in the order of a hash of the id).
-SAMPLE_DOCS, SAMPLE_CHARS = (2400, 1200), (3_000_000, 2_000_000)
+#: Bounds of the fit, for clean and for toxic documents: how many, and characters in them (whole documents, in the order of a hash of the id); each fourth of a class only calibrates.
+SAMPLE_DOCS, SAMPLE_CHARS = (3200, 1600), (4_000_000, 2_600_000)
 BUCKETS, DIM, SEGMENT = 1 << 17, 6, 6
 GRAMS = (3, 4, 5)
 
@@ -149,8 +149,8 @@ class _Softmax:
 
 
 def fit(texts: list[str | None], labels: list[int], real: float | None = None, epochs: int = 6, rounds: int = 25, seed: int = 5) -> Model:
-    """Fit on whole texts.  `real` is the share of toxic documents for which scores are calibrated, where the sample's is another one.
-    With one class only, every score is that class's share of the labels, smoothed."""
+    """Fit on whole texts.  Each fourth text of a class teaches nothing and is left to the calibration (where there are too few for that, all calibrate).  `real` is the share of toxic
+    documents for which scores are calibrated, where the sample's is another one.  With one class only, every score is that class's share of the labels, smoothed."""
     y = np.array(labels, np.int64)
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.05
     if len(set(labels)) < 2:
@@ -166,6 +166,11 @@ def fit(texts: list[str | None], labels: list[int], real: float | None = None, e
     begin = np.searchsorted(bag, np.arange(base + 1))
     docs_begin = np.searchsorted(doc, np.arange(len(y) + 1))
     net, r = _Softmax(seed), np.random.default_rng(seed)
+    place = np.empty(len(y), np.int64)  # within the class
+    for k in (0, 1):
+        place[y == k] = np.arange((y == k).sum())
+    apart = (place % 4 == 3) if min((y == 0).sum(), (y == 1).sum()) >= 40 else np.zeros(len(y), bool)
+    taught = np.flatnonzero(~apart)
     rare = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
 
     def step(groups: list[tuple[int, int]], own: np.ndarray, rate: float) -> None:
@@ -174,8 +179,8 @@ def fit(texts: list[str | None], labels: list[int], real: float | None = None, e
         net.step(b[at], which, y[own], rare[own], rate)
 
     for _ in range(epochs):  # whole documents as bags
-        order = r.permutation(len(y))
-        for k in range(0, len(y), 128):
+        order = r.permutation(taught)
+        for k in range(0, len(order), 128):
             own = order[k : k + 128]
             step([(int(docs_begin[i]), int(docs_begin[i + 1])) for i in own], own, 0.15)
     for _ in range(rounds):  # each document's most toxic segment, and for clean ones another at random
@@ -183,7 +188,7 @@ def fit(texts: list[str | None], labels: list[int], real: float | None = None, e
         z = logits(w, c, b, bag, base)
         by = np.lexsort((-z, doc))
         top = by[docs_begin[:-1].clip(max=max(base - 1, 0))] if base else by
-        some = np.flatnonzero(np.diff(docs_begin) > 0)
+        some = np.flatnonzero((np.diff(docs_begin) > 0) & ~apart)
         more = docs_begin[:-1] + (r.random(len(y)) * np.diff(docs_begin)).astype(np.int64)
         picks = [(int(top[i]), i) for i in some] + [(int(more[i]), i) for i in some if not y[i]]
         r.shuffle(picks)
@@ -192,7 +197,7 @@ def fit(texts: list[str | None], labels: list[int], real: float | None = None, e
             step([(g, g + 1) for g, _ in part], np.array([i for _, i in part]), 0.05)
     w, c = net.flat()
     top, second = highest(logits(w, c, b, bag, base), doc, len(y), c)
-    some = np.bincount(doc, minlength=len(y)) > 0
+    some = (np.bincount(doc, minlength=len(y)) > 0) & (apart | ~apart.any())
     real = share if real is None else real
     return Model(w, c, _calibrated(top[some], second[some], y[some], np.where(y[some] == 1, real / share, (1 - real) / (1 - share))))
 
