@@ -113,7 +113,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     spark = docs.sparkSession
     where = spark.createDataFrame(places(plan(counts, capacity)), "length long, low long, high long, first long, offset long")
-    numbered = ranked(cut, "length", ["doc_id", "piece", "start", "row_key"], "rank")
+    placed = ranked(cut, "length", ["doc_id", "piece", "start", "row_key"], "rank")
     here = (F.col("p.length") == F.col("w.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    out = numbered.alias("p").join(F.broadcast(where).alias("w"), here)
+    out = placed.alias("p").join(F.broadcast(where).alias("w"), here)
     return out.select("doc_id", "piece", "start", F.col("p.length").alias("length"), "ids_crc32", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
