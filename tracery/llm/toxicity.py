@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import appended, bounded_sample, mix, slices, text_or_empty, word_table
 
 #: Bounds of the fit, for clean and for toxic documents: how many, and characters in them (whole documents, in the order of a hash of the id); each fourth of a class only calibrates.
-SAMPLE_DOCS, SAMPLE_CHARS = (3200, 1600), (4_000_000, 2_600_000)
+SAMPLE_DOCS, SAMPLE_CHARS = (2400, 1200), (3_000_000, 2_000_000)
 BUCKETS, DIM, SEGMENT = 1 << 17, 6, 6
 GRAMS = (3, 4, 5)
 
@@ -162,7 +162,9 @@ def fit(texts: list[str | None], labels: list[int], real: float | None = None, e
         bag.append((g + base).astype(np.int32))
         doc.append((d + first).astype(np.int32))
         base += len(d)
-    b, bag, doc = np.concatenate(b), np.concatenate(bag), np.concatenate(doc)
+    b = np.concatenate(b)  # one after the other, so that only one is there twice
+    bag = np.concatenate(bag)
+    doc = np.concatenate(doc)
     begin = np.searchsorted(bag, np.arange(base + 1))
     docs_begin = np.searchsorted(doc, np.arange(len(y) + 1))
     net, r = _Softmax(seed), np.random.default_rng(seed)
