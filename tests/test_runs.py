@@ -1,5 +1,6 @@
 """Both analyses over cases that need all of their evidence."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_micro import WORDS
@@ -54,16 +55,130 @@ def test_unlabelled_requirements_find_blocks(spark, tmp_path):
     reqs = spark.createDataFrame([("R1", "The PumpUnit shall transmit PRESSURE_VALUE on CAN1, channel B2"), ("R2", "Other text"), ("R3", "The unit shall set the SDI"), ("R4", "Label L050 of PumpUnit")], "req_id string, content string")
     out = {r["req_id"]: r["status"] for r in runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path)).collect()}
     assert out["R1"] == "matched" and out["R2"] == "unmatched" and out["R3"] == "uncertain"
-    s = {(r["req_id"], r["block_key"]): r for r in spark.read.parquet(str(tmp_path / "scored")).collect()}
+    s = {(r["req_id"], r["block_key"]): r for r in runs.stage_table(spark, str(tmp_path), "scored").collect()}
     assert {k for k, r in s.items() if r["eligible"]} == {("R1", "Port/B2_PRESSURE_VALUE"), ("R3", "L050/SDI")} and out["R4"] == "uncertain"
     one = s["R1", "Port/B2_PRESSURE_VALUE"]
     assert (one["d_device"], one["d_channel"]) == (7, 10)
 
 
-def test_protocol_families_by_bits(spark):
-    side = spark.createDataFrame([("L050/SDI", "L050", "SDI", True, [(8, 2)], []), ("L050/SSM", "L050", "SSM", True, [(29, 2)], [])], "block_key string, label string, family string, is_protocol boolean, b_fields array<struct<offset: int, size: int>>, b_buses array<string>")
-    req = spark.createDataFrame([("R1", [], [(9, 1)], [], []), ("R2", ["L050"], [], ["SSM"], [])], "req_id string, labels array<string>, r_fields array<struct<offset: int, size: int>>, r_protocols array<string>, bus_types array<string>")
-    assert {tuple(r) for r in runs.candidates(req, side).where("eligible").select("req_id", "block_key").collect()} == {("R1", "L050/SDI"), ("R2", "L050/SSM")}
+def test_protocol_families_by_bits(spark, tmp_path):
+    at = lambda n: f"Dev.Port.L050_W.L050_1_A1_{n}"
+    facts = spark.createDataFrame([_leaf(0, at("SDI"), "BitOffset", "8"), _leaf(1, at("SDI"), "ParameterSize", "2"), _leaf(2, at("SSM"), "BitOffset", "29"), _leaf(3, at("SSM"), "ParameterSize", "2")], ENTRY)
+    reqs = spark.createDataFrame([("R1", "bit9"), ("R2", "L050 has an SSM"), ("R3", "L050 bit30")], "req_id string, content string")
+    runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path))
+    got = {(r["req_id"], r["block_key"]) for r in runs.stage_table(spark, str(tmp_path), "scored").where("eligible").collect()}
+    assert got == {("R1", "L050/SDI"), ("R2", "L050/SSM"), ("R3", "L050/SSM")}
+
+
+def test_requirements_without_label_and_bus_find_blocks(spark, tmp_path):
+    """An analog requirement that names a block and nothing else, one that only its direction speaks for, and labelled blocks, which it can't mean."""
+    facts = spark.createDataFrame([_leaf(0, "Dev.Port.PUMP_FLOW0", "BitOffset", "3"), _leaf(1, "Dev.Port.L050_W.L050_1_A1_PUMP_FLOW0", "BitOffset", "3"), _leaf(2, "Dev.Port.VALVE_POS")], ENTRY)
+    reqs = spark.createDataFrame([("R1", "The unit shall transmit the analog PUMP_FLOW0, bit 3"), ("R2", "shall transmit an analog value")], "req_id string, content string")
+    out = {r["req_id"]: (r["status"], r["top"]) for r in runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path)).collect()}
+    assert out["R1"][0] == "matched" and out["R2"][0] == "unmatched"
+    pairs = {(r["req_id"], r["block_key"]) for r in runs.stage_table(spark, str(tmp_path), "scored").collect()}
+    assert ("R1", "Port/PUMP_FLOW0") in pairs and not any("L050" in k for _, k in pairs)
+
+
+def test_raters_see_blocks_that_failed_the_gates(spark, tmp_path):
+    """None of the label's blocks reaches the least total: the raters see them all the same; one in conflict they don't."""
+    at = lambda n, side="DP": (0, side, side, "CAN1", f"Dev.Port.L050_W.L050_1_A1_{n}", "BitOffset", "3")
+    facts = spark.createDataFrame([at("PUMP_FLOW"), at("VALVE_POS", "RP")], ENTRY)
+    reqs = spark.createDataFrame([("R1", "L050 and L051 only"), ("R2", "The unit shall acquire L050 nothing")], "req_id string, content string")
+    prompts = {}
+    out = {r["req_id"]: r["status"] for r in runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path)).collect()}
+    assert out == {"R1": "uncertain", "R2": "uncertain"} or out["R1"] == "uncertain"
+    prompts = {r["case_id"]: r["prompt"] for r in runs.stage_table(spark, str(tmp_path), "cases").collect()}
+    assert "L050/PUMP_FLOW" in prompts["R1"] and "L050/VALVE_POS" in prompts["R1"]
+    assert "L050/PUMP_FLOW" not in prompts["R2"] and "L050/VALVE_POS" in prompts["R2"]
+
+
+def test_traced_requirements_meet_their_own_blocks_first(spark, tmp_path):
+    """R1's trace leads to the lesser of two blocks, R2's to none that fits, and R3 has no trace."""
+    at = lambda n: f"Dev.Port.L050_W.L050_1_A1_{n}"
+    facts = spark.createDataFrame([_leaf(0, at("PUMP_FLOW"), "BitOffset", "3"), _leaf(1, at("PUMP_SPEED"), "BitOffset", "9"), _leaf(2, "Dev.Port.OTHER_W", bus="CAN2")], ENTRY)
+    text = "The unit shall transmit L050 pump PUMP_FLOW, bit3"
+    reqs = spark.createDataFrame([("R1", text), ("R2", text), ("R3", text)], "req_id string, content string")
+    traced = spark.createDataFrame([("E1", at("PUMP_SPEED"), "R1"), ("E2", "Dev.Port.OTHER_W", "R2")], "parent_id string, spec_name string, req_id string")
+    runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path / "t"), traced=traced)
+    tiers = {r["req_id"]: (r["status"], r["pool"]) for r in runs.stage_table(spark, str(tmp_path / "t"), "tiers").collect()}
+    assert tiers["R1"][1] == "traced" and tiers["R2"] == ("matched", "full") and tiers["R3"] == ("matched", "full")
+    prompts = {r["case_id"]: r["prompt"] for r in runs.stage_table(spark, str(tmp_path / "t"), "cases").collect()}
+    assert "L050/PUMP_FLOW" in prompts["R3"] and "L050/PUMP_FLOW" in prompts["R2"]
+
+
+def test_numbers_hints_parts_synonyms_and_soft_directions(spark, tmp_path):
+    """What a run of plain words lacks, and the words that bring it."""
+    at = lambda n: f"Dev.Port.L050_W.L050_1_A1_{n}"
+    facts = spark.createDataFrame([_leaf(0, at("EDP_034"), "BitOffset", "3"), _leaf(1, at("EDP_034"), "DataFormatType", "BNR"), _leaf(2, at("FAN_CMD"), "BitOffset", "5")], ENTRY)
+    reqs = spark.createDataFrame([("R1", "L050 bit3 of 034 in volts"), ("R2", "L050 ventilator bit5"), ("R3", "shall acquire L050 EDP_034 fan")], "req_id string, content string")
+
+    def dims(name, words):
+        runs.req_to_spec(spark, facts, reqs, words, str(tmp_path / name))
+        return {(r["req_id"], r["block_key"]): r for r in runs.stage_table(spark, str(tmp_path / name), "scored").collect()}
+
+    plain = dims("a", WORDS)
+    more = dims("b", WORDS | {"numbers": ["on"], "hint_analog": ["volts"], "synonyms": {"fan": ["ventilator"]}, "soften": ["on"]})
+    assert (plain["R1", "L050/EDP_034"]["d_name"], more["R1", "L050/EDP_034"]["d_name"]) == (0, 10)
+    assert (plain["R1", "L050/EDP_034"]["d_type"], more["R1", "L050/EDP_034"]["d_type"]) == (5, 10)
+    assert (plain["R2", "L050/FAN_CMD"]["d_name"], more["R2", "L050/FAN_CMD"]["d_name"]) == (0, 8)
+
+
+def test_answers_are_taken_from_the_cache(spark, tmp_path):
+    facts = spark.createDataFrame([_leaf(0, "Dev.Port.L050_W.L050_1_A1_PUMP_FLOW")], ENTRY)
+    reqs = spark.createDataFrame([("R1", "L050 PUMP_FLOW"), ("R2", "shall transmit L050 PUMP_FLOW")], "req_id string, content string")
+    cache = str(tmp_path / "cache")
+
+    def agrees(provider, prompt):
+        return "covered", "yes", 1.0
+
+    def broken(provider, prompt):
+        raise AssertionError("what is in the cache must not be asked")
+
+    first = sorted(map(str, runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path / "a"), rater=agrees, cache=cache).collect()))
+    n = spark.read.json(cache).count()
+    assert n == 6
+    assert sorted(map(str, runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path / "b"), rater=broken, cache=cache).collect())) == first
+    assert spark.read.json(cache).count() == n
+
+
+@pytest.mark.parametrize("crash", ["before", "within", "after writing"])
+def test_a_crash_at_any_point_resumes_right(spark, tmp_path, monkeypatch, crash):
+    """Stages a -> b -> c; the second run, on other parameters of b, crashes there; the first run's tables are untouched, and only what changed is made again."""
+    df = spark.range(5)
+    made = []
+
+    def go(x, broken=None):
+        run = runs.Run(spark, str(tmp_path), {"in": df})
+
+        def make(name, source, f):
+            def inner():
+                made.append(name)
+                if name == broken and crash == "before":
+                    raise RuntimeError("before")
+                out = f(source)
+                return out.withColumn("z", F.raise_error(F.lit("within"))) if name == broken and crash == "within" else out
+            return inner
+
+        if broken and crash == "after writing":
+            note = run.note
+            monkeypatch.setattr(run, "note", lambda status, stage=None, run=None: (_ for _ in ()).throw(RuntimeError("after")) if stage == broken else note(status, stage, run))
+        a = run.stage("a", make("a", df, lambda d: d.withColumn("a", F.col("id") + 1)), ["in"])
+        b = run.stage("b", make("b", a, lambda d: d.withColumn("b", F.col("a") * x)), ["a"], x=x)
+        c = run.stage("c", make("c", b, lambda d: d.agg(F.sum("b").alias("s"))), ["b"])
+        run.note("done")
+        return c.first()["s"]
+
+    assert go(1) == 15 and made == ["a", "b", "c"]
+    with pytest.raises(Exception, match=".*"):
+        go(2, broken="b")
+    made.clear()
+    assert go(1) == 15 and made == []  # what was committed before the crash is whole
+    assert go(2) == 30 and made == ["b", "c"]
+    made.clear()
+    assert go(2) == 30 and made == []
+    log = runs.log_of(spark, str(tmp_path)).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in log}["interrupted"] == 1
 
 
 def test_listed_blocks_stay_beyond_the_best(spark, tmp_path):
@@ -76,9 +191,9 @@ def test_listed_blocks_stay_beyond_the_best(spark, tmp_path):
         return ("covered", "", 1.0) if "=" in prompt or provider == "alpha" else ("inconsistent" if provider == "beta" else "needs_review", "", 1.0)
 
     out = runs.req_to_spec(spark, facts, reqs, WORDS, str(tmp_path), rater=rater, k=1).first()
-    got = {r["block_key"] for r in spark.read.parquet(str(tmp_path / "refined")).collect()}
+    got = {r["block_key"] for r in runs.stage_table(spark, str(tmp_path), "refined").collect()}
     assert got == {"L050/PUMP_FLOW", "L050/PUMP_SPEED", "Port/PUMP_TEMP"}
-    assert spark.read.parquet(str(tmp_path / "second_verdicts")).count() == 3
+    assert runs.stage_table(spark, str(tmp_path), "second_verdicts").count() == 3
     assert (out["agreement"], out["stars"]) == ("full", 5)
 
 
@@ -87,17 +202,17 @@ def test_a_changed_run_is_computed_again(spark, tmp_path):
     reqs = spark.createDataFrame([("R1", "a"), ("R2", "b")], "req_id string, content string")
     made = []
 
-    def go(parameters, inputs):
-        run = runs.Run(spark, str(tmp_path), parameters, [inputs])
-        out = run.stage("one", lambda: made.append(1) or inputs.withColumn("k", F.lit(parameters["k"]))).collect()
+    def go(k, inputs):
+        run = runs.Run(spark, str(tmp_path), {"requirements": inputs})
+        out = run.stage("one", lambda: made.append(1) or inputs.withColumn("k", F.lit(k)), ["requirements"], k=k).collect()
         run.note("done")
         return {(r["req_id"], r["k"]) for r in out}
 
-    assert go({"k": 1}, reqs) == {("R1", 1), ("R2", 1)} and len(made) == 1
-    assert go({"k": 1}, reqs.orderBy(F.desc("req_id"))) == {("R1", 1), ("R2", 1)} and len(made) == 1
-    assert go({"k": 2}, reqs) == {("R1", 2), ("R2", 2)} and len(made) == 2
-    assert go({"k": 2}, reqs.limit(1)) == {("R1", 2)} and len(made) == 3
-    assert go({"k": 1}, reqs) == {("R1", 1), ("R2", 1)} and len(made) == 4
+    assert go(1, reqs) == {("R1", 1), ("R2", 1)} and len(made) == 1
+    assert go(1, reqs.orderBy(F.desc("req_id"))) == {("R1", 1), ("R2", 1)} and len(made) == 1
+    assert go(2, reqs) == {("R1", 2), ("R2", 2)} and len(made) == 2
+    assert go(2, reqs.limit(1)) == {("R1", 2)} and len(made) == 3
+    assert go(1, reqs) == {("R1", 1), ("R2", 1)} and len(made) == 3  # still there
 
 
 def test_sheets_of_one_name_in_two_files_stay_apart(spark):

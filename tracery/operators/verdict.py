@@ -153,8 +153,13 @@ def asked(cases: Iterator[tuple[object, list[tuple[str, Callable[[], Verdict]]]]
         yield case, provider, ("error", "timeout", 0.0)
 
 
-def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, attempts: int = 3, ceiling: float = CEILING, grace: float = GRACE, drain: float = DRAIN, calls: int = CALLS) -> DataFrame:
-    """A verdict for each case (case_id, prompt) and provider (provider, provider_ord).  A case is one row with all of its raters, so no batch parts them, and the cases of a task are asked side by
+def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, **limits: float) -> DataFrame:
+    """A verdict for each case (case_id, prompt) and provider (provider, provider_ord); see `judged_rows`."""
+    return judged_rows(cases.select("case_id", "prompt").crossJoin(F.broadcast(providers.select("provider", "provider_ord"))), rater, **limits)
+
+
+def judged_rows(asked_rows: DataFrame, rater: Rater = stub_rater, attempts: int = 3, ceiling: float = CEILING, grace: float = GRACE, drain: float = DRAIN, calls: int = CALLS) -> DataFrame:
+    """A verdict for each row (case_id, provider, provider_ord, prompt).  A case is gathered with all of its raters before the calls, so no batch parts them, and the cases of a task are asked side by
     side (see `asked`).  A rater that fails `attempts` times gives an error verdict, never an exception; a breaker for each provider and partition skips calls that would fail anyway.  A late answer
     counts while its task lasts.  Write the result before using it: raters need not be repeatable."""
 
@@ -180,10 +185,10 @@ def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, at
 
         def one_by_one() -> Iterator[tuple[int, list[tuple[str, Callable[[], Verdict]]]]]:
             for x in batches:
-                for case, prompt, own in zip(x["case_id"], x["prompt"], x["own"], strict=True):
+                for case, own in zip(x["case_id"], x["own"], strict=True):
                     n = len(about)
                     about[n] = (case, {r["provider"]: r["provider_ord"] for r in own})
-                    yield n, [(r["provider"], lambda p=r["provider"], t=prompt: ask(p, t)) for r in own]
+                    yield n, [(r["provider"], lambda p=r["provider"], t=r["prompt"]: ask(p, t)) for r in own]
 
         rows = []
         for n, provider, verdict in asked(one_by_one(), ceiling, grace, QUORUM, drain, calls, CASES, lambda p: breakers[p].record("timeout")):
@@ -194,8 +199,8 @@ def judged(cases: DataFrame, providers: DataFrame, rater: Rater = stub_rater, at
                 rows = []
         yield pd.DataFrame(rows, columns=_VERDICT)
 
-    raters = providers.agg(F.sort_array(F.collect_list(F.struct("provider_ord", "provider"))).alias("own"))  # one row
-    return cases.select("case_id", "prompt").crossJoin(F.broadcast(raters)).mapInPandas(run, VERDICT)
+    own = F.sort_array(F.collect_list(F.struct("provider_ord", "provider", "prompt"))).alias("own")
+    return asked_rows.groupBy("case_id").agg(own).mapInPandas(run, VERDICT)
 
 
 def annotated(requests: DataFrame, cache: DataFrame, annotator: Callable[[str], str]) -> DataFrame:
