@@ -68,9 +68,12 @@ def text_identifiers(text: Column, noise: Sequence[str] = ()) -> Column:
 
 
 def text_tokens(text: Column, noise: Sequence[str] = (), phrases: dict[str, str] | None = None) -> Column:
-    """The identifier parts of a text, and the token of each phrase of a ruleset's dictionary that it holds; distinct."""
-    known = F.array_compact(F.array(*(F.when(F.contains(text, F.lit(p)), t) for p, t in (phrases or {}).items()))) if phrases else F.array()
-    return F.array_union(text_identifiers(text, noise), known.cast("array<string>"))
+    """The identifier parts of a text, and the token of each phrase of a ruleset's dictionary that it holds (see `phrases`); distinct."""
+    if not phrases:
+        return text_identifiers(text, noise)
+    from .phrases import phrase_tokens
+
+    return F.array_union(text_identifiers(text, noise), phrase_tokens(text, phrases))
 
 
 def profile_key(path: Column) -> Column:

@@ -121,11 +121,20 @@ def s12(spark, sf_dir):
     return X.adaptive_pairs(cells, ["parent"], ["name"])
 
 
-@query("s13_bridge_columns", "SELECT f AS file, f % 3 AS left_col, f % 3 + 4 AS right_col FROM (SELECT unnest(range(0, 5)) AS f)")
+#: A file for each nation: its customers' ids in two columns, one in seven in another namespace, and other words around them.
+_BRIDGE = """CASE WHEN col = file % 3 THEN concat(CASE WHEN c_custkey % 7 = 0 THEN 'X-' ELSE 'A-' END, c_custkey) WHEN col = file % 3 + 4 THEN concat('B-', c_custkey) WHEN c_custkey % 9 = 0 THEN 'A-1' WHEN c_custkey % 10 = 0 THEN 'B-1' ELSE c_mktsegment END"""
+
+
+@query("s13_bridge_columns", f"""WITH t AS (SELECT c_nationkey AS file, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 2 AS row, c_custkey, c_mktsegment, unnest(range(0, 9)) AS col FROM customer),
+  look AS (SELECT file, col, split_part({_BRIDGE}, '-', 1) AS prefix FROM t WHERE row BETWEEN 3 AND 100 AND col < 8),
+  best AS (SELECT file, col, prefix, row_number() OVER (PARTITION BY file, prefix ORDER BY count(*) DESC, col) AS r FROM look WHERE prefix IN ('A', 'B') GROUP BY file, col, prefix)
+  SELECT CAST(a.file AS BIGINT) AS file, a.col AS left_col, b.col AS right_col FROM best a JOIN best b USING (file) WHERE a.r = 1 AND b.r = 1 AND a.prefix = 'A' AND b.prefix = 'B' AND a.col <> b.col""")
 def s13(spark, sf_dir):
-    rows = spark.range(5).selectExpr("id AS file", "explode(sequence(1, 60)) AS row").selectExpr("*", "explode(sequence(0, 8)) AS col")
-    cells = rows.selectExpr("file", "row", "col", "CASE WHEN col = file % 3 THEN concat('A-', row) WHEN col = file % 3 + 4 THEN concat('B-', row) WHEN row % 9 = 0 THEN 'A-1' ELSE 'none' END AS value")
-    return X.bridge_columns(cells, spark.createDataFrame([("A-7",)], "id string"), spark.createDataFrame([("B-2",)], "id string")).selectExpr("file", "cast(left_col as long) left_col", "cast(right_col as long) right_col")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_nationkey AS file", "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 2 AS row", "c_custkey", "c_mktsegment")
+    cells = c.selectExpr("*", "explode(sequence(0, 8)) AS col").selectExpr("file", "row", "col", f"{_BRIDGE} AS value")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    ids = lambda kind: orders.select(F.concat(F.lit(kind), "o_custkey").alias("id"))
+    return X.bridge_columns(cells, ids("A-"), ids("B-")).selectExpr("cast(file as long) file", "cast(left_col as long) left_col", "cast(right_col as long) right_col")
 
 
 @query("s15_sheet_choice", "SELECT concat(p_brand, p_size) AS file, coalesce(min(CASE WHEN p_name LIKE '%bolt%' THEN p_partkey END), list_sort(list(p_partkey))[3], min(p_partkey)) AS sheet FROM part GROUP BY 1")

@@ -77,7 +77,11 @@ def a11b(spark, sf_dir):
     return V.average_stars(_capped(spark, sf_dir))
 
 
-@query("l4_judged")
+#: The stub's checksum, from the crc's table, which a rule makes.
+@query("l4_judged", """WITH crc AS (SELECT list(list_reduce(range(8), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+  p AS (SELECT CAST(p_partkey AS VARCHAR) AS case_id, provider, CAST(o AS INTEGER) AS provider_ord, hex(encode(concat(provider, '|', p_name, ' ', p_size))) AS b FROM part, (VALUES ('alpha', 0), ('beta', 1), ('gamma', 2)) v(provider, o)),
+  h AS (SELECT case_id, provider, provider_ord, xor(4294967295, list_reduce(list_transform(range(1, len(b), 2), lambda i: CAST('0x' || b[i:i + 1] AS BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295)) AS n FROM p, crc)
+  SELECT case_id, provider, provider_ord, CASE n % 3 WHEN 0 THEN 'covered' WHEN 1 THEN 'inconsistent' ELSE 'needs_review' END AS status, concat('checksum ', n) AS analysis, CAST(n % 100 AS DOUBLE) / 100 AS confidence FROM h""")
 def l4(spark, sf_dir):
     cases = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("cast(p_partkey as string) AS case_id", "concat(p_name, ' ', p_size) AS prompt")
     return V.judged(cases, spark.createDataFrame([("alpha", 0), ("beta", 1), ("gamma", 2)], "provider string, provider_ord int"))
