@@ -91,6 +91,7 @@ def _cut(path: str, capacity: int, end_id: int):
                         start.append(k)
                         length.append(len(part))
                         crc.append(zlib.crc32(part))
+            pa.default_memory_pool().release_unused()
             row = x.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([row, pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -13,7 +13,7 @@ from array import array
 from collections.abc import Callable
 
 #: Words held in each of two generations of the cache of a Python worker.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 100_000
 
 _CATEGORY = {c: unicodedata.category(chr(c))[0] for c in range(128, 0x300)}
 
