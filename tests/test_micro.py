@@ -252,6 +252,48 @@ def test_workbook(spark, tmp_path):
     assert not any(r[0] == 1 for r in got)
 
 
+def _with_shared(cells_by_sheet, strings, packed=zipfile.ZIP_DEFLATED, breaks=()):
+    """A workbook with shared strings; a cell is a number of one of them."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", packed) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n}" r:id="Id{i}"/>' for i, n in enumerate(cells_by_sheet)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="Id{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(cells_by_sheet))) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><r><t>{s[:1]}</t></r><r><t>{s[1:]}</t></r></si>" for s in strings) + "</sst>")
+        for i, (name, rows) in enumerate(cells_by_sheet.items()):
+            body = "".join(f'<row r="{r}">' + "".join(f'<c r="{chr(65 + c)}{r}" t="s"><v>{v}</v></c>' for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}' + ("" if name in breaks else "</sheetData></worksheet>"))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("packed", [zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED])
+def test_shared_strings_and_wanted_sheets(spark, tmp_path, packed):
+    strings = ["alpha", "beta", "g"]
+    (tmp_path / "a.xlsx").write_bytes(_with_shared({"one": [[0, 1], [2, 9]], "two": [[1]], "broken": [[2]]}, strings, packed, breaks=("broken",)))
+    got = {tuple(r)[1:] for r in office.read_cells(spark, str(tmp_path)).collect()}
+    expected = {("one", 0, 1, 0, "alpha"), ("one", 0, 1, 1, "beta"), ("one", 0, 2, 0, "g"), ("one", 0, 2, 1, ""), ("two", 1, 1, 0, "beta"), ("broken", 2, 1, 0, "g"), (None, None, None, None, "error: ParseError")}
+    assert got == expected
+    assert {r["sheet"] for r in office.read_cells(spark, str(tmp_path), ["two", "none"]).collect()} == {"two"}
+
+
+def test_a_million_cells_in_bounded_memory(spark, tmp_path):
+    """Sheets are parsed piece by piece: the cells of a task are never all there at once."""
+    import tracemalloc
+
+    rows = 50_000
+    data = _with_shared({"big": [[i % 3] * 20 for i in range(rows)], "small": [[0]]}, ["x", "y", "z"])
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        method, body = office._member(data, z, "xl/worksheets/s0.xml")
+    tracemalloc.start()
+    n = sum(1 for _ in office.sheet_cells(method, body))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 20 * rows and peak < 40_000_000
+    (tmp_path / "a.xlsx").write_bytes(data)
+    got = office.read_cells(spark, str(tmp_path)).groupBy("sheet", "value").count().collect()
+    assert {(r["sheet"], r["value"]): r["count"] for r in got} == {("big", v): 20 * len(range(i, rows, 3)) for i, v in enumerate("xyz")} | {("small", "x"): 1}
+
+
 def test_documents(spark, tmp_path):
     glossary = [["abbr", "en", "what"], ["SDI", "source", "x"], ["", "no", "y"]]
     req = [["Identifier", "R-1"], ["Text", "old"], ["Text", "The pump"], *[["other", "x"]] * 5]
@@ -370,7 +412,7 @@ def test_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([("R1", "The unit shall transmit L050 PUMP_FLOW bit 0")], "req_id string, content string").write.parquet(str(tmp_path / "q"))
     for kind in ("req_to_spec", "spec_to_req"):
         __main__.main([kind, "--entries", str(tmp_path / "e"), "--requirements", str(tmp_path / "q"), "--out", str(tmp_path / kind)])
-    assert spark.read.parquet(str(tmp_path / "spec_to_req/coverage")).count() == 3
+    assert runs.stage_table(spark, str(tmp_path / "spec_to_req"), "coverage").count() == 3
 
 
 @settings(max_examples=15, deadline=None)
