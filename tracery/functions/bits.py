@@ -70,6 +70,7 @@ def bit_fields(text: Column) -> Column:
     return F.pandas_udf(run, FIELD)(text)
 
 
+# How an assertion is written (quotes, words that set, patterns of pairs and of single bits), and the words that deny one.
 _QUOTED = r"[\"'“‘]?\s*([01])(?!\d)\s*[\"'”’]?"
 _ZH_SET, _EN_SET = "(?:设置为|设为|置为|为|=|＝)", r"(?:set\s+to|=|＝|are|as|is|设置为|设为|置为|为)"
 _ZH_VALUES = re.compile(rf"第\s*(\d+)\s*位?\s*[和、与]\s*第?\s*(\d+)\s*位.{{0,20}}?{_ZH_SET}\s*{_QUOTED}\s*[和、与,，]\s*{_QUOTED}")
