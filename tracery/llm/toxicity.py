@@ -132,7 +132,7 @@ class _Softmax:
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(y)), y] -= 1
-        g = p * weight[:, None] / max(weight.sum(), 1e-9)
+        g = (p * weight[:, None] / max(weight.sum(), 1e-9)).astype(np.float32)
         back = (g @ self.out.T / count)[bag]
         used, at = np.unique(b, return_inverse=True)
         dv = np.stack([np.bincount(at, weights=back[:, d], minlength=len(used)) for d in range(DIM)], axis=1).astype(np.float32)
@@ -155,18 +155,24 @@ def fit(texts: list[str | None], labels: list[int], real: float | None = None, e
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.05
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0, (float(np.log(share / (1 - share))), 0.0, 0.0))
-    b, bag, doc, base = [], [], [], 0
+    b, sizes, doc, base = [], [], [], 0
     for first, held in slices(texts):
         x, g, d = bags(held)
         b.append(x.astype(np.int32))
-        bag.append((g + base).astype(np.int32))
+        sizes.append(np.bincount(g, minlength=len(d)))  # a bag is known by its size, as its subwords follow each other
         doc.append((d + first).astype(np.int32))
         base += len(d)
-    b = np.concatenate(b)  # one after the other, so that only one is there twice
-    bag = np.concatenate(bag)
-    doc = np.concatenate(doc)
-    begin = np.searchsorted(bag, np.arange(base + 1))
+    b, sizes, doc = np.concatenate(b), np.concatenate(sizes), np.concatenate(doc)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
     docs_begin = np.searchsorted(doc, np.arange(len(y) + 1))
+
+    def all_logits(weight: np.ndarray, bias: float) -> np.ndarray:
+        out = [np.empty(0)]
+        for k in range(0, base, 1 << 14):
+            own = sizes[k : k + (1 << 14)]
+            out.append(logits(weight, bias, b[begin[k] : begin[k] + own.sum()], np.repeat(np.arange(len(own)), own), len(own)))
+        return np.concatenate(out)
+
     net, r = _Softmax(seed), np.random.default_rng(seed)
     place = np.empty(len(y), np.int64)  # within the class
     for k in (0, 1):
@@ -187,7 +193,7 @@ def fit(texts: list[str | None], labels: list[int], real: float | None = None, e
             step([(int(docs_begin[i]), int(docs_begin[i + 1])) for i in own], own, 0.15)
     for _ in range(rounds):  # each document's most toxic segment, and for clean ones another at random
         w, c = net.flat()
-        z = logits(w, c, b, bag, base)
+        z = all_logits(w, c)
         by = np.lexsort((-z, doc))
         top = by[docs_begin[:-1].clip(max=max(base - 1, 0))] if base else by
         some = np.flatnonzero((np.diff(docs_begin) > 0) & ~apart)
@@ -198,7 +204,7 @@ def fit(texts: list[str | None], labels: list[int], real: float | None = None, e
             part = picks[k : k + 256]
             step([(g, g + 1) for g, _ in part], np.array([i for _, i in part]), 0.05)
     w, c = net.flat()
-    top, second = highest(logits(w, c, b, bag, base), doc, len(y), c)
+    top, second = highest(all_logits(w, c), doc, len(y), c)
     some = (np.bincount(doc, minlength=len(y)) > 0) & (apart | ~apart.any())
     real = share if real is None else real
     return Model(w, c, _calibrated(top[some], second[some], y[some], np.where(y[some] == 1, real / share, (1 - real) / (1 - share))))
