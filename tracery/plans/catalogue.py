@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import coverage_queries, entry_queries, match_queries, text_queries, trace_queries, verdict_queries  # noqa: F401
+from . import coverage_queries, entry_queries, match_queries, sheet_queries, text_queries, trace_queries, verdict_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -52,6 +52,17 @@ def load(spark: SparkSession, path: str) -> dict[str, Ruleset]:
     return {r.name: r for r in sorted(out, key=lambda r: r.name)}
 
 
+def chosen(found: dict[str, Ruleset], cells: DataFrame) -> Ruleset:
+    """The first ruleset by id whose `auto_detect` section a table of the requirement files fits; a ValueError if none does."""
+    from ..operators import sheets
+
+    rules = sheets.rules_of(cells.sparkSession, [(name, r.extra.get("auto_detect")) for name, r in sorted(found.items())])
+    first = sheets.ruleset_of_tables(cells.where("sheet is not null"), rules).agg(F.min("ruleset")).first()[0]
+    if first is None:
+        raise ValueError("the requirements fit no ruleset's tables")
+    return found[first]
+
+
 def trace_files(cells: DataFrame, names_word: str, requirements_word: str, bridge_word: str = "bridge") -> DataFrame:
     """(file, role) of trace workbooks by words in their file names: names, requirements, and as the bridge a named one or else the first that is left."""
     base = F.lower(F.element_at(F.split("file", "/"), -1))
