@@ -9,6 +9,7 @@ from itertools import combinations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -560,6 +561,21 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(df.limit(0))).count() == 0
 
 
+def test_records_are_handed_on_by_bytes(monkeypatch):
+    """An archive of pages that pack well unpacks to far more than it has; no batch holds more than the bound and one record."""
+    monkeypatch.setattr(warc, "READ_BYTES", 100_000)
+    monkeypatch.setattr(warc, "READ_ROWS", 7)
+    d = warc.train_dictionary([text(50).encode() for _ in range(100)])
+    pack = warc.compressor(d)
+    payloads = [b"a" * 60_000] * 9 + [b"b" * 500_000] + [b"c"] * 20
+    content = warc.archive_start(d) + b"".join(pack.compress(warc.record("response", str(i), "u", len(p), warc.digest_of(p), p)) for i, p in enumerate(payloads))
+    empty = warc.archive_start(d)
+    out = list(warc._reader([pa.RecordBatch.from_pydict({"archive": ["x", "y", "z"], "content": [content, empty, content]})]))
+    assert [p for b in out for p in b.column("payload").to_pylist()] == payloads * 2
+    assert [b.column("page_id").to_pylist() for b in out][:5] == [["0", "1"], ["2", "3"], ["4", "5"], ["6", "7"], ["8", "9"]]
+    assert max(b.num_rows for b in out) == 7 and all(sum(map(len, b.column("payload").to_pylist()[:-1])) < 100_000 for b in out)
+
+
 def test_least_bytes_of_a_revisit(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab")], "page_id long, url string, html string")
     assert {r["record_type"] for r in warc.read_archives(warc.write_archives(df, least_bytes=3)).collect()} == {"response"}

@@ -31,6 +31,8 @@ SAMPLE_PAGES, SAMPLE_PAGE_BYTES, DICT_BYTES = 400, 64 << 10, 32 << 10
 COPIES = 10_000
 #: An archive is closed once it holds so many bytes.
 ARCHIVE_BYTES = 16 << 20
+#: Records that are read are handed on once their payloads have so many bytes, or there are so many of them.
+READ_BYTES, READ_ROWS = 4 << 20, 4096
 
 
 class WarcError(ValueError):
@@ -188,16 +190,28 @@ def _writer(dictionary: bytes):
     return run
 
 
+_RECORD = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
+
+
+def _row(data: bytes) -> dict[str, object]:
+    r = parse_record(data)
+    h = r["headers"]
+    return {"page_id": _page_of(h["warc-record-id"]), "url": h.get("warc-target-uri", ""), "payload_bytes": r["payload_bytes"], "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": h["warc-type"], "refers_to": _page_of(h.get("warc-refers-to")), "payload": r["payload"]}
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records leave as soon as READ_BYTES of payloads or READ_ROWS records are there: what an archive unpacks to is never held whole."""
     for x in batches:
-        for content in x.column(1).to_pylist():
-            rows = []
-            for data in read_archive(content):
-                r = parse_record(data)
-                h = r["headers"]
-                rows.append({"page_id": _page_of(h["warc-record-id"]), "url": h.get("warc-target-uri", ""), "payload_bytes": r["payload_bytes"], "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "record_type": h["warc-type"], "refers_to": _page_of(h.get("warc-refers-to")), "payload": r["payload"]})
-            kind = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload", pa.binary())])
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+        for content in x.column(1):
+            rows, size = [], 0
+            for row in map(_row, read_archive(content.as_py())):
+                rows.append(row)
+                size += len(row["payload"])
+                if size >= READ_BYTES or len(rows) == READ_ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
