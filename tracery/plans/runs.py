@@ -80,6 +80,11 @@ def _rows_of(df: DataFrame) -> str:
     return f"{df.columns} {n} {total}"
 
 
+def spec_facts(run: Run, entries: DataFrame) -> DataFrame:
+    """The stage `spec_entries` of both runs: the entries that count, resolved once and read by all that is made of them."""
+    return run.stage("spec_entries", lambda: E.with_value(E.resolved(entries)), ["entries"])
+
+
 def annotated(reqs: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     """Requirements (req_id, content) with what their texts say: labels, category, direction, sdi, bit fields, names, tokens."""
     c = T.repaired_names(F.col("content"))
@@ -199,14 +204,14 @@ def req_to_spec(
     """
     soften = bool(words.get("soften"))
     run = Run(spark, folder, {"entries": entries, "requirements": reqs} | ({} if traced is None else {"traced": traced}))
-    leaves = E.leaves(E.with_value(E.resolved(entries)))
+    leaves = E.leaves(spec_facts(run, entries))
 
     def make_blocks() -> DataFrame:
         profiles = cluster.profiles(leaves)
         b = cluster.blocks(profiles).join(block_paths(leaves), "block_key").join(sub_fields(profiles), "block_key", "left")
         return b.withColumn("b_sub_fields", F.coalesce("sub_fields", F.array().cast(FIELDS))).drop("sub_fields")
 
-    blocks = run.stage("blocks", make_blocks, ["entries"])
+    blocks = run.stage("blocks", make_blocks, ["spec_entries"])
     side = block_sides(blocks, words)
     synonyms = spark.createDataFrame([(a, b) for a, many in (words.get("synonyms") or {}).items() for b in many], "name string, alias string")
     req = run.stage("annotations", lambda: with_synonyms(stated_buses(annotated(reqs, words), side, words), synonyms).withColumn("r_components", F.filter("r_devices", lambda d: d.rlike("^[A-Z]{2,}[0-9]+$"))), ["requirements", "blocks"], words=words)
@@ -315,9 +320,9 @@ def spec_to_req(spark: SparkSession, entries: DataFrame, reqs: DataFrame, folder
     run = Run(spark, folder, {"entries": entries, "requirements": reqs} | ({} if traced is None else {"traced": traced}))
     given = ["traced"] if traced is not None else []
     none = F.array().cast("array<string>")
+    e = E.leaves(spec_facts(run, entries))
 
     def make_blocks() -> DataFrame:
-        e = E.leaves(E.with_value(E.resolved(entries)))
         b = cluster.blocks(cluster.profiles(e)).join(block_paths(e), "block_key").select(
             "block_key", "label", "family", F.transform("tokens", F.upper).alias("tokens"), "protocol", "devices", "parents", _fields().alias("fields"), _sdi().alias("sdi"))
         if traced is None:
@@ -327,7 +332,7 @@ def spec_to_req(spark: SparkSession, entries: DataFrame, reqs: DataFrame, folder
         lost = s.groupBy("block_key").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("missing", "candidates")))
         return b.join(lost, "block_key")
 
-    blocks = run.stage("scoped_blocks", make_blocks, ["entries", *given, *(["requirements"] if given else [])])
+    blocks = run.stage("scoped_blocks", make_blocks, ["spec_entries", *given, *(["requirements"] if given else [])])
     index = run.stage("index", lambda: coverage.token_index(reqs, T.text_identifiers(F.col("content"), noise)), ["requirements"], noise=list(noise))
     said = annotated(reqs, {"strong_send": [], "strong_receive": [], "send": [], "receive": []} | words).select("req_id", "labels", F.col("category").alias("r_category"), "r_sdi", "r_fields", "r_devices", "r_words")
     token = coverage.token_join(blocks.select("block_key", F.explode(F.array_distinct("tokens")).alias("token")), index.select("token", "req_id"))
