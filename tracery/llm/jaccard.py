@@ -154,6 +154,23 @@ def _unfive(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
+def _squeezed(x: np.ndarray, steps: bool = True) -> bytes:
+    """Integers, with `steps` as zigzag differences, deflated byte plane by byte plane: with many buckets a posting's document is most of its bytes, and ascending ids in reach of each
+    other keep about one of eight."""
+    d = x.astype("<i8")
+    if steps:
+        d = np.diff(d, prepend=np.int64(0))
+        d = (d << 1) ^ (d >> 63)
+    return zlib.compress(d.view(np.uint8).reshape(-1, 8).T.tobytes(), 1) if len(d) else b""
+
+
+def _unsqueezed(raw: bytes, steps: bool = True) -> np.ndarray:
+    if not raw:
+        return np.empty(0, np.int64)
+    d = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+    return np.cumsum((d.view("<u8") >> np.uint64(1)).view("<i8") ^ -(d & 1)) if steps else d
+
+
 PACKED = "bucket long, tok binary, run binary, ids binary, sizes binary, a binary, b binary"
 
 
@@ -178,6 +195,8 @@ def _summed_up(u: np.ndarray, v: np.ndarray, edges: bool) -> tuple[np.ndarray, n
 def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int, buckets: int, edges: bool) -> pa.RecordBatch:
     """Postings (tok, document at) of a part of a batch, packed into a row for each bucket.  Tokens that it holds often are settled there and
     thinned out, so that a hot token sends a few postings.  A token keeps 40 bits besides its bucket; a clash only makes one more candidate."""
+    by = np.argsort(ids, kind="stable")
+    ids, sizes, at = ids[by], sizes[by], np.argsort(by)[at]
     by = np.argsort(tok, kind="stable")
     tok, at = tok[by], at[by]
     begin = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
@@ -201,11 +220,11 @@ def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
         own, times = np.unique(at[lo:hi], return_counts=True)
         rows["bucket"].append(int(bucket[lo]))
         rows["tok"].append(_five(tok[lo:hi]))
-        rows["run"].append(times.astype("<i4").tobytes())
-        rows["ids"].append(ids[own].astype("<i8").tobytes())
-        rows["sizes"].append(sizes[own].astype("<i4").tobytes())
-        rows["a"].append(a.astype("<i8").tobytes() if not i else b"")
-        rows["b"].append(b.astype("<i8").tobytes() if not i else b"")
+        rows["run"].append(_squeezed(times, False))
+        rows["ids"].append(_squeezed(ids[own]))
+        rows["sizes"].append(_squeezed(sizes[own], False))
+        rows["a"].append(_squeezed(a) if not i else b"")
+        rows["b"].append(_squeezed(b) if not i else b"")
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in rows.items()})
 
 
@@ -250,15 +269,15 @@ def _bucket(percent: int, parts: int, edges: bool):
         base = 0
         for i in range(len(t)):
             x = {k: t.column(k)[i].as_py() for k in _names(PACKED)}
-            own = np.frombuffer(x["ids"], "<i8")
+            own = _unsqueezed(x["ids"])
             tok.append(_unfive(x["tok"]))
-            at.append(np.repeat(np.arange(base, base + len(own)), np.frombuffer(x["run"], "<i4")))
+            at.append(np.repeat(np.arange(base, base + len(own)), _unsqueezed(x["run"], False)))
             ids.append(own)
-            sizes.append(np.frombuffer(x["sizes"], "<i4"))
-            a.append(np.frombuffer(x["a"], "<i8"))
-            b.append(np.frombuffer(x["b"], "<i8"))
+            sizes.append(_unsqueezed(x["sizes"], False))
+            a.append(_unsqueezed(x["a"]))
+            b.append(_unsqueezed(x["b"]))
             base += len(own)
-        tok, at, ids, sizes = np.concatenate(tok), np.concatenate(at), np.concatenate(ids), np.concatenate(sizes).astype(np.int64)
+        tok, at, ids, sizes = np.concatenate(tok), np.concatenate(at), np.concatenate(ids), np.concatenate(sizes)
         by, chained = _chains(tok, sizes[at], percent)
         u, v = _settled(ids[at[by]], chained, edges)
         u, v = _summed_up(np.concatenate([u, *a]), np.concatenate([v, *b]), edges)
@@ -267,7 +286,7 @@ def _bucket(percent: int, parts: int, edges: bool):
         u, v, part = u[by], v[by], part[by]
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
         ends = np.append(cut[1:], len(part))
-        pack = lambda z: pa.array([z[lo:hi].astype("<i8").tobytes() for lo, hi in zip(cut, ends, strict=False)], pa.binary())
+        pack = lambda z: pa.array([_squeezed(z[lo:hi]) for lo, hi in zip(cut, ends, strict=False)], pa.binary())
         return pa.table({"part": pa.array(part[cut], pa.int64()), "u": pack(u), "v": pack(v)})
 
     return run
@@ -277,7 +296,7 @@ def _part(edges: bool):
     """The edges of a part as a forest, or its counts summed."""
 
     def run(t: pa.Table) -> pa.Table:
-        u, v = _summed_up(*(np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in t.column(k)]) for k in ("u", "v")), edges)
+        u, v = _summed_up(*(np.concatenate([_unsqueezed(x.as_py()) for x in t.column(k)]) for k in ("u", "v")), edges)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
