@@ -39,10 +39,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows = _named(docs)
     groups = jaccard.near_duplicates(rows)
-    firsts = groups.where("component_id = doc_id").select("doc_id").distinct()
-    # the join has dealt the rows out by doc_id already, so that dropping repeats shuffles nothing more
-    kept = rows.join(firsts, "doc_id", "left_semi").select(*rows.columns).dropDuplicates(["doc_id", "text"])
-    return kept.union(rows.where("doc_id is null")).toDF(*docs.columns)
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg((F.count("*") > 1).alias("repeated"), F.max(F.col("component_id") == F.col("doc_id")).alias("first"))
+    other = saved(ids.where("repeated or not first"), "not-once")
+    n, repeated = other.agg(F.count("*"), F.max(F.col("repeated") & F.col("first"))).first()
+    small = lambda df: F.broadcast(df) if n <= jaccard.BROADCAST_ROWS else df
+    # ids alone go to the rows, whose texts stay where they are
+    kept = rows.where("doc_id is null").union(rows.where("doc_id is not null").join(small(other.select("doc_id")), "doc_id", "left_anti").select(*rows.columns))
+    if repeated:
+        again = rows.join(small(other.where("repeated and first").select("doc_id")), "doc_id", "left_semi").select(*rows.columns)
+        kept = kept.union(again.dropDuplicates(["doc_id", "text"]))
+    return kept.toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
