@@ -186,10 +186,16 @@ def side_starts(cells: DataFrame, markers: Sequence[str], row: int = 1) -> DataF
     return starts.withColumn("stop", F.lead("start").over(Window.partitionBy("sheet").orderBy("start")))
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """A table that grows with the cells: both sides of its join are dealt out by their keys.  Cells come from exploded rows, which Spark takes for as small as the rows, and it would send all of
+    them through the driver."""
+    return df.hint("merge")
+
+
 def layer_ranges(cells: DataFrame, sides: DataFrame, row: int = 2) -> DataFrame:
     """(sheet, side, layer, start, stop): a header opens a range that the next one closes, within its side."""
     heads = cells.where((F.col("row") == row) & ~blank(F.col("value"))).select("sheet", "col", F.col("value").alias("layer"))
-    own = heads.join(sides.withColumnsRenamed({"start": "s0", "stop": "s1"}), "sheet").where("col >= s0 and (s1 is null or col < s1)")
+    own = heads.join(_dealt(sides.withColumnsRenamed({"start": "s0", "stop": "s1"})), "sheet").where("col >= s0 and (s1 is null or col < s1)")
     stop = F.coalesce(F.lead("col").over(Window.partitionBy("sheet", "side").orderBy("col")), F.col("s1"))
     return own.select("sheet", "side", "layer", F.col("col").alias("start"), stop.alias("stop"))
 
@@ -198,9 +204,9 @@ def layer_values(cells: DataFrame, ranges: DataFrame, header_row: int = 3) -> Da
     """(sheet, row, side, layer, start, attr, value) of the rows below the headers; blank headers and empty cells give nothing, and of an attribute that a
     layer has twice the last column counts."""
     attrs = cells.where((F.col("row") == header_row) & ~blank(F.col("value"))).select("sheet", "col", F.col("value").alias("attr"))
-    attrs = attrs.join(ranges, "sheet").where("col >= start and (stop is null or col < stop)").select("sheet", "col", "side", "layer", "start", "attr")
+    attrs = attrs.join(_dealt(ranges), "sheet").where("col >= start and (stop is null or col < stop)").select("sheet", "col", "side", "layer", "start", "attr")
     data = cells.where((F.col("row") > header_row) & F.col("value").isNotNull())
-    return data.join(attrs, ["sheet", "col"]).groupBy("sheet", "row", "side", "layer", "start", "attr").agg(F.max_by("value", "col").alias("value"))
+    return data.join(_dealt(attrs), ["sheet", "col"]).groupBy("sheet", "row", "side", "layer", "start", "attr").agg(F.max_by("value", "col").alias("value"))
 
 
 def publisher_reissue(entries: DataFrame, attributes: Sequence[str]) -> DataFrame:
