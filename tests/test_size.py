@@ -26,3 +26,9 @@ def test_refined_pairs_are_not_shuffled(spark):
 def test_layers_do_not_go_through_the_driver(spark):
     for name in ("s3_layer_ranges", "s4_layer_values"):
         assert "Broadcast" not in plan(catalogue.queries()[name](spark, SF))
+
+
+def test_the_plan_of_candidates_without_bus_is_short(spark):
+    """Each broadcast and each text of a plan stays in the driver; there were 107 broadcasts and a megabyte."""
+    p = plan(catalogue.queries()["j9_without_bus"](spark, SF))
+    assert len(p) < 100_000 and p.count("BroadcastExchange") < 20

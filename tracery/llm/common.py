@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..stored import saved, shared_dir  # noqa: F401
+
 #: Texts are handled in slices of about so many bytes, so that a task's memory does not follow its partition.
 SLICE_BYTES = 1 << 20
 
@@ -24,30 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and Spark runs on this machine alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="tracery-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def numbered(df: DataFrame, name: str = "row_key") -> DataFrame:
     """`df` with a number of its own for each row, also of equal rows; `saved` afterwards fixes it."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: write `df` as Parquet into the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import saved
 from . import match
 
 #: Blocks that share a feature, up to which it is rare.
@@ -97,7 +98,7 @@ def _features(reqs: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]
     hits = borne_out(words.select("word").distinct(), named.select("family").distinct())
     of_reqs = reqs.select("req_id", F.explode("r_tokens").alias("x")).select("req_id", F.concat(F.lit("t:"), "x").alias("feature")).union(words.select("req_id", F.concat(F.lit("w:"), "word")))
     of_blocks = blocks.select("block_key", F.explode("b_tokens").alias("x")).select("block_key", F.concat(F.lit("t:"), "x").alias("feature")).union(named.join(hits, "family").select("block_key", F.concat(F.lit("w:"), "word")))
-    return of_reqs.distinct(), of_blocks.distinct()
+    return saved(of_reqs.distinct(), "req-features"), saved(of_blocks.distinct(), "block-features")
 
 
 def _sets(df: DataFrame, key: str, features: DataFrame) -> DataFrame:
@@ -107,9 +108,14 @@ def _sets(df: DataFrame, key: str, features: DataFrame) -> DataFrame:
     return df.join(own, key, "left").withColumn("names", grown).drop("_f")
 
 
+def _spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all tasks, as each becomes some hundreds; what is counted by `key` next stays where it is."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _listed(blocks: DataFrame, k: int) -> DataFrame:
     """(names, key, block_key): of each set of names and each combination of codes, the first `k` blocks.  Tasks cut their own lists first."""
-    b = blocks.withColumn("names", F.explode("names"))
+    b = _spread(blocks, "block_key").withColumn("names", F.explode("names"))
     for d in DIMS:
         b = b.withColumn(d, F.explode(d))
     b = b.select(F.array_join("names", ",").alias("names"), F.concat_ws("|", *DIMS).alias("key"), "block_key", "block_ord")
@@ -119,7 +125,7 @@ def _listed(blocks: DataFrame, k: int) -> DataFrame:
 
 def _asked(reqs: DataFrame) -> DataFrame:
     """(req_id, key, rest): the combinations that a requirement can look up, and what they are worth."""
-    r = reqs.select("req_id", *DIMS)
+    r = _spread(reqs, "req_id").select("req_id", *DIMS)
     for d in DIMS:
         r = r.withColumn(d, F.explode(d))
     return r.select("req_id", F.concat_ws("|", *(F.col(f"{d}.code") for d in DIMS)).alias("key"), sum((F.col(f"{d}.worth") for d in DIMS), F.lit(0)).alias("rest"))
@@ -130,27 +136,29 @@ def candidates(reqs: DataFrame, blocks: DataFrame, k: int = 20, least: int = 12,
 
     `reqs` has req_id and r_tokens, r_keywords, r_components, r_direction, r_fields, r_sdi, r_category (analog or discrete), r_devices, r_channels; `blocks` has block_key, block_ord and
     b_tokens, b_family, b_direction, b_fields, b_sdi, b_format, b_devices, b_channels.  No array is null.  Buses play no part: requirements that state one have another way to their blocks.
+
+    Tables that are read more than once are written on the way: each would otherwise be planned and made anew wherever it is read, features within lists within look-ups.
     """
     # a text names much that is no device
     known = blocks.select(F.explode("b_devices").alias("d")).distinct()
     own = reqs.select("req_id", F.explode("r_devices").alias("d")).join(known, "d", "left_semi").groupBy("req_id").agg(F.collect_set("d").alias("_d"))
-    reqs = reqs.join(own, "req_id", "left").withColumn("r_devices", F.coalesce("_d", F.array().cast(_STRINGS))).drop("_d")
+    reqs = saved(reqs.join(own, "req_id", "left").withColumn("r_devices", F.coalesce("_d", F.array().cast(_STRINGS))).drop("_d"), "reqs")
     of_reqs, of_blocks = _features(reqs, blocks)
-    frequent = of_blocks.groupBy("feature").count().where(F.col("count") > rare).select("feature")
+    frequent = saved(of_blocks.groupBy("feature").count().where(F.col("count") > rare).select("feature"), "frequent")
     rare_pairs = of_reqs.join(of_blocks.join(frequent, "feature", "left_anti"), "feature").select("req_id", "block_key")
-    lists = _listed(_sets(_codes(blocks), "block_key", of_blocks.join(frequent, "feature", "left_semi")), k)
-    sizes = lists.groupBy("names", "key").agg(F.count("*").alias("n"))
+    lists = saved(_listed(_sets(_codes(blocks), "block_key", of_blocks.join(frequent, "feature", "left_semi")), k), "lists")
+    sizes = saved(lists.groupBy("names", "key").agg(F.count("*").alias("n")), "list-sizes")
     asked = _asked(_options(reqs))
     full = lambda df: F.coalesce(F.max(F.when(F.col("n") >= k, F.col("worth"))), F.lit(least))
     plain = asked.where(F.col("rest") >= least).select("req_id", F.lit("").alias("names"), "key", F.col("rest").alias("worth")).join(sizes, ["names", "key"])
-    bound = plain.groupBy("req_id").agg(F.greatest(full(plain), F.lit(least)).alias("bound"))
+    bound = saved(plain.groupBy("req_id").agg(F.greatest(full(plain), F.lit(least)).alias("bound")), "bound")
     sets = _sets(reqs.select("req_id"), "req_id", of_reqs.join(frequent, "feature", "left_semi")).withColumn("names", F.explode("names")).where(F.size("names") > 0)
     # a name that is both a token and a word counts once
-    sets = sets.select("req_id", F.array_join("names", ",").alias("names"), F.least(F.lit(30), 8 * F.size(F.array_distinct(F.transform("names", lambda f: F.substring(f, 3, 1 << 20))))).alias("hit"))
+    sets = saved(sets.select("req_id", F.array_join("names", ",").alias("names"), F.least(F.lit(30), 8 * F.size(F.array_distinct(F.transform("names", lambda f: F.substring(f, 3, 1 << 20))))).alias("hit")), "name-sets")
     most = sets.groupBy("req_id").agg(F.max("hit").alias("most")).join(bound, "req_id", "left").withColumn("bound", F.coalesce("bound", F.lit(least)))
     able = asked.join(most, "req_id").where(F.col("rest") + F.col("most") >= F.col("bound"))
     hits = able.join(sets, "req_id").withColumn("worth", F.col("rest") + F.col("hit")).where(F.col("worth") >= F.col("bound")).select("req_id", "names", "key", "worth").join(sizes, ["names", "key"])
     both = plain.select("req_id", "names", "key", "worth", "n").union(hits.select("req_id", "names", "key", "worth", "n"))
-    bar = both.groupBy("req_id").agg(F.greatest(full(both), F.lit(least)).alias("bar"))
+    bar = saved(both.groupBy("req_id").agg(F.greatest(full(both), F.lit(least)).alias("bar")), "bar")
     looked_up = both.join(bar, "req_id").where(F.col("worth") >= F.col("bar")).join(lists, ["names", "key"]).select("req_id", "block_key")
     return rare_pairs.union(looked_up).distinct()
