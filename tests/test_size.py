@@ -32,3 +32,8 @@ def test_the_plan_of_candidates_without_bus_is_short(spark):
     """Each broadcast and each text of a plan stays in the driver; there were 107 broadcasts and a megabyte."""
     p = plan(catalogue.queries()["j9_without_bus"](spark, SF))
     assert len(p) < 100_000 and p.count("BroadcastExchange") < 20
+
+
+def test_pairs_are_made_once_for_the_exempt_ones_too(spark):
+    p = plan(catalogue.queries()["r4_top_k"](spark, SF))
+    assert p.count("orders.parquet") == 1 and p.count("row_number()") >= 1
