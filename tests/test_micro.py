@@ -178,6 +178,20 @@ def test_tiers(spark):
     assert got == {"r1": "matched", "r2": "uncertain", "r3": "unmatched"}
 
 
+def test_score_takes_words_that_were_made_before(spark):
+    """What a requirement's words are is found out once for it, not for each of its pairs; fields are compared as one by one."""
+    b = spark.sql("select array('x') b_tokens, 'send' b_direction, array(struct(3 as offset, 2 as size)) b_fields, array('1') b_sdi, 'DIS' b_format, array('d') b_devices, '' b_channel, array('c') b_buses, 'PUMP_flow1' b_family")
+    r = spark.sql("select array('y') r_tokens, '' r_direction, array(struct(3 as offset, 1 as size), struct(4 as offset, 2 as size)) r_fields, array('2') r_sdi, 'bus' r_category, array('e') r_devices, '' r_channel, array('g') r_buses, array('Flow1', 'low', 'um', 'mp_fl') made_of")
+    words = r.withColumn("r_words", match.name_words(F.col("made_of")))
+    got = match.score(b.crossJoin(words)).first()
+    assert (got["d_name"], got["d_bit"]) == (24, 12)
+    assert match.score(b.crossJoin(r.withColumnRenamed("made_of", "r_keywords"))).first()["d_name"] == 24
+    some = "array<struct<offset: int, size: int>>"
+    rows = [([(1, 2)], [(1, 2)], 20), ([(1, 2)], [(1, 3), (2, 2)], 12), ([(1, 2)], [(3, 2)], 8), ([(1, 2)], [(3, 4)], 0), ([], [(1, 2)], 0), (None, [(1, 2)], 0), ([(1, None)], [(1, None)], 12), ([(None, 2)], [(None, 2), (5, 1)], 8)]
+    df = spark.createDataFrame(rows, f"r {some}, b {some}, s int")
+    assert df.where(match.field_score(F.col("r"), F.col("b")) != F.col("s")).count() == 0
+
+
 def test_top_k_plan_keeps_the_group_limit(spark):
     df = spark.range(100).selectExpr("id % 3 AS req_id", "id AS total", "id AS block_ord", "id AS block_key", "id % 7 = 0 AS p")
     plan = match.top_k(df, 5, F.col("p"))._jdf.queryExecution().executedPlan().toString()
