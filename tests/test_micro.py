@@ -1,6 +1,7 @@
 """Micro-fixtures worked out by hand, and properties."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -178,6 +179,19 @@ def test_tiers(spark):
     assert got == {"r1": "matched", "r2": "uncertain", "r3": "unmatched"}
 
 
+def test_tiers_by_number_are_those_by_key_and_sort_no_pair(spark):
+    rnd = random.Random(3)
+    ords = [-(2**63), -5, 0, 7, 10, 2**53 + 1, 2**63 - 1]
+    rows = [(f"r{i}", rnd.choice(["bus", "label", "analog"]), rnd.choice([0, 8]), rnd.choice([15, 16, 17, 104]), rnd.choice([0, 1]), rnd.random() < 0.4, o, f"b{o}") for i in range(60) for o in rnd.sample(ords, rnd.randint(0, 7))]
+    pairs = spark.createDataFrame(rows, "req_id string, category string, d_name int, d_bit int, d_sdi int, passed boolean, block_ord long, block_key string")
+    pairs = pairs.withColumns({d: F.lit(0) for d in match.DIMENSIONS if d not in pairs.columns}).withColumn("total", F.col("d_name") + F.col("d_bit") + F.col("d_sdi"))
+    reqs = spark.range(61).selectExpr("concat('r', id) AS req_id", "'label' AS category")
+    by_number = match.tiers(reqs, pairs, numbered=True)
+    assert sorted(by_number.collect()) == sorted(match.tiers(reqs, pairs).collect())
+    assert {r["status"] for r in by_number.collect()} == {"matched", "uncertain", "unmatched"}
+    assert "SortAggregate" not in by_number._jdf.queryExecution().executedPlan().toString()
+
+
 def test_score_takes_words_that_were_made_before(spark):
     """What a requirement's words are is found out once for it, not for each of its pairs; fields are compared as one by one."""
     b = spark.sql("select array('x') b_tokens, 'send' b_direction, array(struct(3 as offset, 2 as size)) b_fields, array('1') b_sdi, 'DIS' b_format, array('d') b_devices, '' b_channel, array('c') b_buses, 'PUMP_flow1' b_family")
