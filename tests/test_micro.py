@@ -192,6 +192,16 @@ def test_tiers_by_number_are_those_by_key_and_sort_no_pair(spark):
     assert "SortAggregate" not in by_number._jdf.queryExecution().executedPlan().toString()
 
 
+def test_synonyms_of_lists(spark):
+    """A list that many requirements have is looked up once; a requirement given twice has the words of both rows."""
+    lists = spark.createDataFrame([(1, ["pump", "x"]), (1, ["fan"]), (2, []), (3, None), (4, ["rate"]), (5, ["rate"]), (6, [None, "y"])], "req_id int, words array<string>")
+    syn = spark.createDataFrame([(0, "pump", "flow"), (1, "fan", "blower"), (3, "flow", "rate")], "g int, canonical string, alias string")
+    got = T.lists_with_synonyms(lists.where("req_id < 6"), syn)
+    assert {r["req_id"]: r["words"] for r in got.collect()} == {1: ["blower", "fan", "flow", "pump", "x"], 4: ["flow", "rate"], 5: ["flow", "rate"]}
+    plain = T.with_synonyms(lists.select("req_id", F.explode("words").alias("word")).distinct(), syn).groupBy("req_id").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    assert {tuple(map(str, r)) for r in T.lists_with_synonyms(lists.where("req_id <> 6"), syn).collect()} == {tuple(map(str, r)) for r in plain.where("req_id <> 6").collect()}
+
+
 def test_score_takes_words_that_were_made_before(spark):
     """What a requirement's words are is found out once for it, not for each of its pairs; fields are compared as one by one."""
     b = spark.sql("select array('x') b_tokens, 'send' b_direction, array(struct(3 as offset, 2 as size)) b_fields, array('1') b_sdi, 'DIS' b_format, array('d') b_devices, '' b_channel, array('c') b_buses, 'PUMP_flow1' b_family")

@@ -122,8 +122,8 @@ SYNONYMS = [(0, "pump", "flow"), (0, "pump", "feed"), (1, "fan", "blower"), (2,
   e AS (SELECT req_id, word FROM t UNION SELECT f.req_id, m.word FROM f JOIN m USING (g)) SELECT req_id, string_agg(word, ',' ORDER BY word) AS words FROM e GROUP BY req_id""")
 def t11(spark, sf_dir):
     s = spark.createDataFrame(SYNONYMS, "g int, canonical string, alias string")
-    every = T.with_synonyms(_req(spark, sf_dir, word=F.explode(T.name_parts(F.col("name")))).distinct(), s)
-    return every.groupBy("req_id").agg(F.array_join(F.array_sort(F.collect_list("word")), ",").alias("words"))
+    every = T.lists_with_synonyms(_req(spark, sf_dir, words=T.name_parts(F.col("name"))), s)
+    return every.select("req_id", F.array_join("words", ",").alias("words"))
 
 
 ENT = "WITH " + I.ENTRY_CTE
