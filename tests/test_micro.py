@@ -202,6 +202,26 @@ def test_synonyms_of_lists(spark):
     assert {tuple(map(str, r)) for r in T.lists_with_synonyms(lists.where("req_id <> 6"), syn).collect()} == {tuple(map(str, r)) for r in plain.where("req_id <> 6").collect()}
 
 
+def test_recall_makes_the_index_once(spark):
+    """Texts are cut into tokens once, however often the pairs are read; tokens of two sources, repeated blocks and requirements count once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def cut(text):
+        seen.add(1)
+        return text.split()
+
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "b x"), (3, "y")], "req_id int, text string").repartition(1)
+    words = F.udf(cut, "array<string>").asNondeterministic()(F.col("text"))
+    index = coverage.token_index(docs.withColumn("words", words), F.col("words"))
+    index = index.union(spark.createDataFrame([("b", 1, "model"), ("z", 3, "model")], index.schema))
+    blocks = spark.createDataFrame([("B1", ["a", "b", "a"]), ("B1", ["b"]), ("B2", ["b", "z", None])], "block_key string, tokens array<string>")
+    pairs = coverage.recall(blocks, index)
+    for _ in range(2):
+        got = {(r["block_key"], r["req_id"], r["overlap"], r["source"], r["rank"]) for r in pairs.collect()}
+    assert got == {("B1", 1, 2, "deterministic", 1), ("B1", 2, 1, "deterministic", 2), ("B2", 1, 1, "deterministic", 1), ("B2", 2, 1, "deterministic", 2), ("B2", 3, 1, "model", 3)}
+    assert seen.value == 4
+
+
 def test_score_takes_words_that_were_made_before(spark):
     """What a requirement's words are is found out once for it, not for each of its pairs; fields are compared as one by one."""
     b = spark.sql("select array('x') b_tokens, 'send' b_direction, array(struct(3 as offset, 2 as size)) b_fields, array('1') b_sdi, 'DIS' b_format, array('d') b_devices, '' b_channel, array('c') b_buses, 'PUMP_flow1' b_family")

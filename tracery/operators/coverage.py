@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..stored import saved
+
 #: Levels of evidence, best first, with the status that each gives and whether a rater should look.
 LEVELS = {  # name: (rank, analysis status, needs a rater)
     "exact_label": (6, "covered_direct", False), "exact_fullname": (5, "covered_direct", False), "exact_signal": (4, "covered_direct", False),
@@ -41,9 +43,12 @@ def token_join(left: DataFrame, right: DataFrame, frequent: int = FREQUENT, part
 
 
 def recall(blocks: DataFrame, index: DataFrame, k: int | None = None) -> DataFrame:
-    """(block_key, req_id, overlap, source, rank): requirements that share tokens with a block (block_key, tokens), by how many; deterministic tokens before a model's."""
-    b = blocks.select("block_key", F.explode(F.array_distinct("tokens")).alias("token"))
-    j = token_join(b, index.select("token", "req_id", "source")).groupBy("block_key", "req_id").agg(F.countDistinct("token").alias("overlap"), F.min("source").alias("source"))
+    """(block_key, req_id, overlap, source, rank): requirements that share tokens with a block (block_key, tokens), by how many; deterministic tokens before a model's.
+
+    The index is dear to make and read several times, so what it has of the blocks' tokens is written on the way."""
+    b = saved(blocks.select("block_key", F.explode("tokens").alias("token")).distinct(), "block-tokens")
+    known = index.join(b.select("token").distinct(), "token", "left_semi").groupBy("token", "req_id").agg(F.min("source").alias("source"))
+    j = token_join(b, saved(known, "known-tokens")).groupBy("block_key", "req_id").agg(F.count("*").alias("overlap"), F.min("source").alias("source"))
     out = j.withColumn("rank", F.row_number().over(Window.partitionBy("block_key").orderBy("source", F.desc("overlap"), "req_id")))
     return out if k is None else out.where(F.col("rank") <= k)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage as V
+from ..stored import saved
 from .registry import query
 
 #: Tokens of the slice: words of six letters or more.
@@ -61,7 +62,7 @@ def r10(spark, sf_dir):
   FROM benchmark LEFT JOIN best USING (item_id) LEFT JOIN c USING (item_id)""")
 def spec_to_req(spark, sf_dir):
     b = _blocks(spark, sf_dir).withColumn("missing", F.array().cast("array<string>"))
-    pairs = _levels(spark, sf_dir).withColumn("req_id", F.col("req_id").cast("string"))
+    pairs = saved(_levels(spark, sf_dir).withColumn("req_id", F.col("req_id").cast("string")), "levels")  # read three times
     out = V.deterministic(b, pairs)
     return out.select(F.col("block_key").alias("item_id"), "rule_level", "analysis_status", "needs_ai", F.size("matched").cast("long").alias("n_matched"), "truncated")
 
