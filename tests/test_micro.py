@@ -211,8 +211,8 @@ def test_recall_makes_the_index_once(spark):
         return text.split()
 
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "b x"), (3, "y")], "req_id int, text string").repartition(1)
-    words = F.udf(cut, "array<string>").asNondeterministic()(F.col("text"))
-    index = coverage.token_index(docs.withColumn("words", words), F.col("words"))
+    words = F.udf(cut, "array<string>")(F.col("text"))
+    index = coverage.token_index(docs, words)
     index = index.union(spark.createDataFrame([("b", 1, "model"), ("z", 3, "model")], index.schema))
     blocks = spark.createDataFrame([("B1", ["a", "b", "a"]), ("B1", ["b"]), ("B2", ["b", "z", None])], "block_key string, tokens array<string>")
     pairs = coverage.recall(blocks, index)
@@ -222,6 +222,16 @@ def test_recall_makes_the_index_once(spark):
     assert seen.value == 4
 
 
+def test_token_index_compares_repeated_requirements_alone(spark):
+    once = spark.createDataFrame([(1, "a b a"), (2, "b"), (None, "c c")], "req_id int, text string")
+    index = coverage.token_index(once, F.split("text", " "))
+    assert sorted(map(str, index.collect())) == sorted(map(str, coverage.token_index(once, F.split("text", " ")).distinct().collect())) and index.count() == 4
+    assert "Aggregate" not in index._jdf.queryExecution().executedPlan().toString()
+    more = once.union(spark.createDataFrame([(1, "a d"), (None, "c e"), (None, None)], once.schema))
+    got = coverage.token_index(more, F.split("text", " ")).collect()
+    assert sorted((r["token"], str(r["req_id"])) for r in got) == [("a", "1"), ("b", "1"), ("b", "2"), ("c", "None"), ("d", "1"), ("e", "None")]
+
+
 def test_score_takes_words_that_were_made_before(spark):
     """What a requirement's words are is found out once for it, not for each of its pairs; fields are compared as one by one."""
     b = spark.sql("select array('x') b_tokens, 'send' b_direction, array(struct(3 as offset, 2 as size)) b_fields, array('1') b_sdi, 'DIS' b_format, array('d') b_devices, '' b_channel, array('c') b_buses, 'PUMP_flow1' b_family")

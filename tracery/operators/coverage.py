@@ -18,15 +18,22 @@ CLASHES = {"labelled_word": ("analog", "discrete"), "frame": ("label", "analog",
 SHOWN = 5
 
 
-def token_index(requirements: DataFrame, tokens: Column, source: str = "deterministic") -> DataFrame:
-    """(token, req_id, source), distinct; a long table, never arrays."""
-    return requirements.select("req_id", F.explode(F.array_distinct(tokens)).alias("token")).select("token", "req_id", F.lit(source).alias("source")).distinct()
-
-
 #: Rows of a side beyond which a token is frequent, into how many parts its rows are dealt, and how many frequent tokens are sent to all tasks.
 FREQUENT, PARTS, SENT = 10_000, 16, 1_000_000
 
 
+def token_index(requirements: DataFrame, tokens: Column, source: str = "deterministic") -> DataFrame:
+    """(token, req_id, source), distinct; a long table, never arrays.  Only requirements that have several rows, which are counted before, can repeat a token: the others' are not compared."""
+    rows = lambda df: df.select("req_id", F.explode(F.array_distinct(tokens)).alias("token")).select("token", "req_id", F.lit(source).alias("source"))
+    several = requirements.groupBy(F.col("req_id").alias("_id")).count().where(F.col("count") > 1).select("_id")
+    n = several.limit(SENT + 1).count()
+    if n == 0:
+        return rows(requirements)
+    several = F.broadcast(several) if n <= SENT else several
+    of = lambda how: requirements.join(several, F.col("req_id").eqNullSafe(F.col("_id")), how)
+    return rows(of("left_anti")).union(rows(of("left_semi")).distinct())
+
+
 def token_join(left: DataFrame, right: DataFrame, frequent: int = FREQUENT, parts: int = PARTS) -> DataFrame:
     """All pairs of rows of `left` and `right` with an equal `token`.  Tokens that more than `frequent` rows of a side have, counted before anything is joined, go apart: each side is dealt
     into `parts` by its rows' hashes and repeated for the other side's parts, so that one token is parts * parts even pieces of work.  The others are joined plainly; no pair is lost."""
