@@ -93,6 +93,19 @@ def test_misspellings_share_subwords(spark):
     assert near > 0.3 > clean
 
 
+class _Sizes:
+    """A model whose score is how many bytes are scored at a time."""
+
+    def _slice(self, held):
+        return np.full(len(held), float(sum(map(len, held))))
+
+
+def test_toxicity_scores_few_bytes_at_a_time(spark):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('some words ', 400) AS text").repartition(1)
+    got = toxicity.toxicity(docs, None, model=_Sizes()).agg(F.count("*"), F.max("toxic_score")).first()
+    assert got[0] == 400 and got[1] <= 1 << 17
+
+
 def test_toxicity_of_odd_input(spark, odd_docs, none):
     labels = spark.createDataFrame([(1, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(odd_docs, labels)

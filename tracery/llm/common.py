@@ -79,16 +79,16 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         yield first, [t or b"" for t in raw[first:].to_pylist()]
 
 
-def appended(docs: DataFrame, keep: list[str], name: str, score: Callable[[list[bytes], pa.RecordBatch], np.ndarray], reads: tuple[str, ...] = ()) -> DataFrame:
+def appended(docs: DataFrame, keep: list[str], name: str, score: Callable[[list[bytes], pa.RecordBatch], np.ndarray], reads: tuple[str, ...] = (), most: int = SLICE_BYTES) -> DataFrame:
     """The columns `keep` of `docs`, and `name`: the doubles that `score` makes of a slice's texts and rows.  The text is carried once, and a slice
-    is scored at a time."""
+    of about `most` bytes is scored at a time."""
     fields = {f.name: f for f in docs.schema.fields}
     columns = list(dict.fromkeys([*keep, "text", *reads]))
     text_at, kept = columns.index("text"), [columns.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for first, held in text_slices(x.column(text_at)):
+            for first, held in text_slices(x.column(text_at), most):
                 part = x.slice(first, len(held))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(score(held, part), pa.float64())], names=[*keep, name])
 

@@ -20,6 +20,8 @@ from .common import appended, bounded_sample, mix, slices, text_or_empty, word_t
 SAMPLE_DOCS, SAMPLE_CHARS = (2400, 1200), (3_000_000, 2_000_000)
 BUCKETS, DIM, SEGMENT = 1 << 17, 6, 6
 GRAMS = (3, 4, 5)
+#: Bytes of text scored at a time: subwords take some hundred bytes for each.
+SCORED_BYTES = 1 << 17
 
 _SEPARATORS = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
 _IS_WORD = word_table(_SEPARATORS)
@@ -248,7 +250,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     """
     keep = [c for c in docs.columns if c != "toxic_score" and (carry is None or c in carry)]
     model = model or fit(*sample(docs, labels, label))
-    return appended(docs, keep, "toxic_score", lambda held, _: model._slice(held))
+    return appended(docs, keep, "toxic_score", lambda held, _: model._slice(held), most=SCORED_BYTES)
 
 
 def predictions(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
