@@ -47,7 +47,8 @@ def connected(edges: DataFrame, tag: str = "components", rounds: int = 60) -> Da
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = saved(e.mapInArrow(_contract, "u long, v long").distinct(), tag)
+    # edges that Python made are written first: a task that goes through Python twice has two workers, and an executor keeps them all
+    e = saved(saved(e, tag).mapInArrow(_contract, "u long, v long").distinct(), tag)
     before = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u"))

@@ -112,8 +112,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
     """
     cut = saved(numbered(pieces(docs, path or vocabulary_path("word_bpe_49k.json"), capacity, end_id)), "pieces")
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
-    spark = docs.sparkSession
-    where = spark.createDataFrame(places(plan(counts, capacity)), "length long, low long, high long, first long, offset long")
+    # as an Arrow table: rows of a list would go through Python workers of another kind, which then stay beside the others
+    found = np.array(places(plan(counts, capacity)), np.int64).reshape(-1, 5)
+    where = docs.sparkSession.createDataFrame(pa.table(list(found.T), names=["length", "low", "high", "first", "offset"]))
     placed = ranked(cut, "length", ["doc_id", "piece", "start", "row_key"], "rank")
     here = (F.col("p.length") == F.col("w.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     out = placed.alias("p").join(F.broadcast(where).alias("w"), here)
