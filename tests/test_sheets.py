@@ -69,6 +69,15 @@ def test_odd_cells(spark):
     assert [(r["path"] == long_, r["bus"], r["attr"], r["value"]) for r in got] == [(True, "CAN", "Unit", "V")] * 2
 
 
+def test_the_last_of_equal_columns_counts(spark, monkeypatch):
+    heads = [(1, 0, "Publisher"), (2, 0, "DP"), (3, 0, "Name"), (3, 1, "Unit"), (3, 2, "Unit")]
+    rows = [(4, 0, "A"), (4, 1, "a"), (4, 2, "b"), (5, 0, "B"), (5, 1, "c"), (5, 2, " "), (6, 0, "C"), (6, 1, "d"), (6, 2, None)]
+    cells = spark.createDataFrame([("f", "CAN", 0, *x) for x in heads + rows], CELLS)
+    for most in (sheets.BROADCAST_COLUMNS, 0):
+        monkeypatch.setattr(sheets, "BROADCAST_COLUMNS", most)
+        assert sorted((r["path"], r["value"]) for r in sheets.interface_entries(cells).collect()) == [("A", "b"), ("C", "d")]
+
+
 def test_rulesets_by_tables(spark, tmp_path):
     (tmp_path / "rules").mkdir()
     sections = {

@@ -37,3 +37,9 @@ def test_the_plan_of_candidates_without_bus_is_short(spark):
 def test_pairs_are_made_once_for_the_exempt_ones_too(spark):
     p = plan(catalogue.queries()["r4_top_k"](spark, SF))
     assert p.count("orders.parquet") == 1 and p.count("row_number()") >= 1
+
+
+def test_cells_of_sheets_are_shuffled_once(spark):
+    """To their row; the other exchanges are of the few rows that tell of sheets and their ranges."""
+    p = plan(catalogue.queries()["s1_interface_entries"](spark, SF))
+    assert p.count("Exchange hashpartitioning") <= 4 and "SortMergeJoin" not in p

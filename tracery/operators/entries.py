@@ -200,13 +200,17 @@ def layer_ranges(cells: DataFrame, sides: DataFrame, row: int = 2) -> DataFrame:
     return own.select("sheet", "side", "layer", F.col("col").alias("start"), stop.alias("stop"))
 
 
+def layer_columns(cells: DataFrame, ranges: DataFrame, header_row: int = 3) -> DataFrame:
+    """(sheet, col, side, layer, start, attr) of the columns that the header row names within a range; blank headers give nothing."""
+    attrs = cells.where((F.col("row") == header_row) & ~blank(F.col("value"))).select("sheet", "col", F.col("value").alias("attr"))
+    return attrs.join(_dealt(ranges), "sheet").where("col >= start and (stop is null or col < stop)").select("sheet", "col", "side", "layer", "start", "attr")
+
+
 def layer_values(cells: DataFrame, ranges: DataFrame, header_row: int = 3) -> DataFrame:
     """(sheet, row, side, layer, start, attr, value) of the rows below the headers; blank headers and empty cells give nothing, and of an attribute that a
     layer has twice the last column counts."""
-    attrs = cells.where((F.col("row") == header_row) & ~blank(F.col("value"))).select("sheet", "col", F.col("value").alias("attr"))
-    attrs = attrs.join(_dealt(ranges), "sheet").where("col >= start and (stop is null or col < stop)").select("sheet", "col", "side", "layer", "start", "attr")
     data = cells.where((F.col("row") > header_row) & F.col("value").isNotNull())
-    return data.join(_dealt(attrs), ["sheet", "col"]).groupBy("sheet", "row", "side", "layer", "start", "attr").agg(F.max_by("value", "col").alias("value"))
+    return data.join(_dealt(layer_columns(cells, ranges, header_row)), ["sheet", "col"]).groupBy("sheet", "row", "side", "layer", "start", "attr").agg(F.max_by("value", "col").alias("value"))
 
 
 def publisher_reissue(entries: DataFrame, attributes: Sequence[str]) -> DataFrame:

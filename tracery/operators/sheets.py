@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import display_path, has_frame_word
+from ..stored import saved
 from . import entries as E
 
 # Names of attributes, layers and buses in the workbooks.
@@ -47,17 +48,36 @@ def bus_in(text: Column, layout: Layout, begins: bool = False) -> Column:
     return F.coalesce(*first, *(F.when(word(b), b) for b in layout.buses))
 
 
+#: Columns of sheets that are sent to every task; beyond, cells are dealt out to meet them.
+BROADCAST_COLUMNS = 200_000
+
+
 def _rows(cells: DataFrame, layout: Layout) -> DataFrame:
-    """A row for each row of a sheet: `cells`, the values of both sides in order, and of its sheet the last layer of the subscriber, the last leaf layer of the publisher, whether it has a publisher."""
+    """A row for each row of a sheet: `cells`, the values of both sides in order, and of its sheet the last layer of the subscriber, the last leaf layer of the publisher, whether it has a publisher.
+
+    What the header rows say of a sheet's columns is written first; cells meet it where they are, and are shuffled once, to their row.
+    """
     tall = cells.groupBy("sheet").agg(F.max("row").alias("rows")).where(F.col("rows") >= layout.least_rows).select("sheet")
-    c = cells.join(tall, "sheet", "left_semi")
-    ranges = E.layer_ranges(c, E.side_starts(c, [layout.publisher, layout.subscriber])).withColumn("side", F.when(F.col("side") == layout.publisher, E.PUBLISHER).otherwise(E.SUBSCRIBER))
+    top = saved(cells.where("row <= 3").join(tall, "sheet", "left_semi"), "sheet-heads")
+    ranges = E.layer_ranges(top, E.side_starts(top, [layout.publisher, layout.subscriber])).withColumn("side", F.when(F.col("side") == layout.publisher, E.PUBLISHER).otherwise(E.SUBSCRIBER))
+    ranges = saved(ranges, "sheet-ranges")
     last = lambda hit: F.max(F.when(hit, F.col("start")))
     sheets = ranges.groupBy("sheet").agg(
         last(F.col("side") == E.SUBSCRIBER).alias("last_sub"), last((F.col("side") == E.PUBLISHER) & (F.col("layer") == E.PUBLISHER)).alias("last_leaf"), F.max(F.col("side") == E.PUBLISHER).alias("published"),
         F.min(F.when((F.col("side") == E.SUBSCRIBER) & (F.col("layer") == layout.port), F.col("start"))).alias("first_port"))
-    values = E.layer_values(c, ranges).withColumn("value", F.trim("value"))
-    return values.where("value <> ''").groupBy("sheet", "row").agg(F.sort_array(F.collect_list(F.struct("start", "attr", "value", "side", "layer"))).alias("cells")).join(sheets, "sheet")
+    columns = saved(E.layer_columns(top, ranges), "sheet-columns")
+    few = columns.count() <= BROADCAST_COLUMNS
+    small = F.broadcast if few else lambda df: df.hint("merge")
+    values = cells.where((F.col("row") > 3) & F.col("value").isNotNull()).join(small(columns), ["sheet", "col"])
+    at = F.collect_list(F.struct("start", "attr", "col", "value", "side", "layer"))
+    # dealt out first, and to as many parts as are set: cells are sorted to make rows of them, after the shuffle and a small part at a time
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = values.repartition(n, "sheet", "row").groupBy("sheet", "row").agg(F.sort_array(at).alias("cells"))
+    x = F.col("cells")
+    # of an attribute that a layer has twice the last column counts
+    final = F.filter(x, lambda c, i: F.coalesce((F.get(x, i + 1)["start"] != c["start"]) | (F.get(x, i + 1)["attr"] != c["attr"]), F.lit(True)))
+    final = F.transform(final, lambda c: F.struct(c["start"].alias("start"), c["attr"].alias("attr"), F.trim(c["value"]).alias("value"), c["side"].alias("side"), c["layer"].alias("layer")))
+    return rows.withColumn("cells", F.filter(final, lambda c: c["value"] != "")).where(F.size("cells") > 0).join(small(sheets), "sheet")
 
 
 def interface_entries(publishers: DataFrame | None, subscribers: DataFrame | None = None, layout: Layout = Layout(), names: dict[str, str] | None = None) -> DataFrame:
