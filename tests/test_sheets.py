@@ -97,3 +97,21 @@ def test_rulesets_by_tables(spark, tmp_path):
     assert pick(other, fits) == "b" and pick(other) == "c" and pick(fits, [["1", "2", "3"], ["1", "2", "Q3"]]) == "a"
     with pytest.raises(ValueError):
         pick([["x"]])
+
+
+def test_rulesets_of_odd_tables(spark):
+    """Files without an id are one file, as in SQL; checks beyond those of one number; a place met by several cells; tables whose files are told apart."""
+    many = [(r, c, None, f"v{r}.{c};") for r in range(1, 11) for c in range(7)]
+    rules = spark.createDataFrame([("many", 10, None, 7, many), ("b", None, 2, None, []), ("a", None, None, 1, [(1, 0, "x", "y"), (1, 0, None, "z")]), ("none", 99, None, None, None)], sheets.RULES)
+    full = [(r, c, f" v{r}.{c}; ") for r, c, *_ in many]
+    tables = [
+        ("f", 1, full), ("g", 2, [x for x in full if x != (9, 6, " v9.6; ")]), ("h", 3, full[:-1] + [(10, 6, None)]), (None, 4, [(1, 0, "xy")]), (None, 5, [(1, 0, "xay"), (1, 0, "z")]), ("i", 6, [(1, 0, "xy"), (1, 0, " ")]),
+        ("j", 7, [(1, 0, "x"), (1, 1, "y"), (2, 0, "z")])]
+    cells = spark.createDataFrame([(f, t, *x) for f, t, xs in tables for x in xs], "file string, table_ord int, row int, col int, value string")
+    # "b" comes before "many" wherever the shape fits; without it the full table alone is left
+    assert dict(map(tuple, sheets.ruleset_of_tables(cells, rules).collect())) == {"f": "b", "g": "b", "h": "b", "j": "b", None: "a"}
+    some = rules.where("ruleset <> 'b'")
+    assert dict(map(tuple, sheets.ruleset_of_tables(cells, some).collect())) == {"f": "many", None: "a"}
+    assert sheets.ruleset_of_tables(cells, rules.where("false")).count() == 0
+    files = spark.createDataFrame([(f, t) for f, t, _ in tables] + [("k", 1), ("k", 8), ("l", None)], "file string, table_ord int")
+    assert dict(map(tuple, sheets.ruleset_of_tables(cells.drop("file"), some, files).collect())) == {"f": "many", "k": "many", None: "a"}

@@ -43,3 +43,10 @@ def test_cells_of_sheets_are_shuffled_once(spark):
     """To their row; the other exchanges are of the few rows that tell of sheets and their ranges."""
     p = plan(catalogue.queries()["s1_interface_entries"](spark, SF))
     assert p.count("Exchange hashpartitioning") <= 4 and "SortMergeJoin" not in p
+
+
+def test_cells_of_tables_are_not_shuffled(spark):
+    """Rows are read once and made tables before they meet their files; they were joined, and sorted for it, twice."""
+    p = plan(catalogue.queries()["s18_tables"](spark, SF), "optimizedPlan")
+    assert p.count("Relation [l_orderkey") == 1 and p.count("Relation [o_orderkey") == 1
+    assert p.index("Join Inner") < p.index("Aggregate [table_ord") < p.index("Relation [l_orderkey")

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -149,21 +151,37 @@ def interface_entries(publishers: DataFrame | None, subscribers: DataFrame | Non
 RULES = "ruleset string, exact_rows int, least_rows int, exact_columns int, checks array<struct<row: int, col: int, starts: string, has: string>>"
 
 
-def ruleset_of_tables(cells: DataFrame, rules: DataFrame) -> DataFrame:
+def ruleset_of_tables(cells: DataFrame, rules: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(file, ruleset): the first ruleset by id of those with a rule that any table of the file (file, table_ord, row from 1, col from 0, value) fits in its shape and in every checked cell.
 
     `rules` has RULES; null numbers ask for nothing, and of a check both words must fit, null ones do.  A cell outside the table, or without text, fits no check.  Files that fit no rule give no row.
-    The rules are a ruleset each, hand-written; only cells at checked places leave the scan for the checks, and the shapes are counted before they are shuffled.
+    With `files` (file, table_ord), `cells` has no file, and `table_ord` names a table among those of all files.
+
+    The rules are a ruleset each, hand-written and few, and are read on the driver.  A table is one row of numbers, its shape and a bit for each check that a cell of it fits, and is made before
+    cells are shuffled; only tables that fit a rule meet their files.
     """
-    at = rules.select("ruleset", F.size("checks").alias("n"), F.posexplode("checks").alias("i", "k")).select("ruleset", "i", "k.*")
-    shapes = cells.groupBy("file", "table_ord").agg(F.max("row").alias("rows"), (F.max("col") + 1).alias("columns"))
-    text = F.trim("value")
-    fits = (F.col("starts").isNull() | text.startswith(F.col("starts"))) & (F.col("has").isNull() | text.contains(F.col("has")))
-    hit = cells.join(F.broadcast(at), ["row", "col"]).where((text != "") & fits).groupBy("file", "table_ord", "ruleset").agg(F.count_distinct("i").alias("hits"))
-    of_shape = [F.col(rule).isNull() | op for rule, op in (("exact_rows", F.col("rows") == F.col("exact_rows")), ("least_rows", F.col("rows") >= F.col("least_rows")), ("exact_columns", F.col("columns") == F.col("exact_columns")))]
-    need = rules.select("ruleset", "exact_rows", "least_rows", "exact_columns", F.greatest(F.size("checks"), F.lit(0)).alias("n"))
-    fit = shapes.join(F.broadcast(need), of_shape[0] & of_shape[1] & of_shape[2]).join(hit, ["file", "table_ord", "ruleset"], "left")
-    return fit.where(F.coalesce("hits", F.lit(0)) == F.col("n")).groupBy("file").agg(F.min("ruleset").alias("ruleset"))
+    found, text, bits = rules.collect(), F.trim("value"), 63
+    checks = [(i, k) for i, rule in enumerate(found) for k in rule["checks"] or ()]
+    words = [checks[i : i + bits] for i in range(0, len(checks), bits)]
+
+    def hit(k) -> Column:
+        given = [text.startswith(k["starts"])] if k["starts"] is not None else []
+        given += [text.contains(k["has"])] if k["has"] is not None else []
+        return reduce(and_, given, (F.col("row") == F.lit(k["row"])) & (F.col("col") == F.lit(k["col"])) & (text != ""))
+
+    bit = lambda b: F.lit(1 << b).cast("long")
+    hits = [F.bit_or(reduce(Column.bitwiseOR, [F.when(hit(k), bit(b)).otherwise(0) for b, (_, k) in enumerate(word)])).alias(f"hits{w}") for w, word in enumerate(words)]
+    table = ["table_ord"] if files is not None else ["file", "table_ord"]
+    tables = cells.groupBy(*table).agg(F.max("row").alias("rows"), (F.max("col") + 1).alias("columns"), *hits)
+
+    def fits(i: int, rule) -> Column:
+        asked = [F.col(f"hits{w}").bitwiseAND(bit(b)) != 0 for w, word in enumerate(words) for b, (of, _) in enumerate(word) if of == i]
+        shape = (("exact_rows", F.col("rows") == rule["exact_rows"]), ("least_rows", F.col("rows") >= rule["least_rows"]), ("exact_columns", F.col("columns") == rule["exact_columns"]))
+        return F.when(reduce(and_, asked + [op for name, op in shape if rule[name] is not None], F.lit(True)), F.lit(rule["ruleset"]))
+
+    first = F.array_min(F.array(F.lit(None).cast("string"), *(fits(i, rule) for i, rule in enumerate(found))))
+    fit = tables.select(*table, first.alias("ruleset")).where(F.col("ruleset").isNotNull())
+    return (fit if files is None else fit.join(files, "table_ord")).groupBy("file").agg(F.min("ruleset").alias("ruleset"))
 
 
 def rules_of(spark, found: Sequence[tuple[str, dict]]) -> DataFrame:

@@ -83,7 +83,6 @@ _RULES = (("beta", None, None, 2, [(1, 0, "1", None), (3, 1, None, "A")]), ("alp
   SELECT file, min(ruleset) AS ruleset FROM t GROUP BY file HAVING count(ruleset) > 0""")
 def s18_tables(spark, sf_dir):
     """A customer's orders as the tables of a file, line items as their rows."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    both = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS o_orderkey", "l_linenumber AS row", "array(cast(l_partkey AS string), concat(l_returnflag, l_linestatus)) AS cells").join(o, "o_orderkey")
-    cells = both.select(F.col("o_custkey").alias("file"), F.col("o_orderkey").alias("table_ord"), "row", F.posexplode("cells").alias("col", "value"))
-    return S.ruleset_of_tables(cells, spark.createDataFrame(_RULES, S.RULES))
+    files = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS file", "o_orderkey AS table_ord")
+    cells = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_orderkey AS table_ord", "l_linenumber AS row", "posexplode(array(cast(l_partkey AS string), concat(l_returnflag, l_linestatus))) AS (col, value)")
+    return S.ruleset_of_tables(cells, spark.createDataFrame(_RULES, S.RULES), files)
