@@ -223,7 +223,9 @@ def req_to_spec(
     evidence = {"r_category": F.col("category"), "r_channel": channel, "b_channel": channel, "named": F.col("is_protocol") & F.array_contains("r_protocols", F.col("family"))}
 
     def scores(pairs: DataFrame) -> DataFrame:
-        return match.score(pairs.join(req, "req_id").join(side, "block_key").withColumns(evidence), soften)
+        # the score's words, once for each requirement, in place of the identifiers of that name
+        of = req.withColumn("r_words", match.name_words(F.col("r_keywords"), F.col("r_components")))
+        return match.score(pairs.join(of, "req_id").join(side, "block_key").withColumns(evidence), soften).drop("r_words")
 
     scored = run.stage("scored", lambda: scores(candidates(req, side, k, pool)), ["annotations", "blocks", *(["traced"] if traced is not None else [])], words=words, k=k)
     judged = match.gates(scored, soften=soften).withColumn("label_ord", F.when(F.col("label") != "", F.array_position("labels", F.col("label")))).withColumn("passed", F.col("passed") & F.col("eligible"))
