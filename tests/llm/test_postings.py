@@ -34,3 +34,17 @@ def test_texts_stay_where_they_are(spark, tmp_path):
     # of a repeated doc_id with other texts, each text stays once if the id is the first of its group
     out = corpus_pipeline.one_of_each_group(spark, docs.where("doc_id is null or doc_id = 3").withColumn("text", F.when(F.col("doc_id").isNull(), None).otherwise(F.col("text"))), str(tmp_path))
     assert sorted(map(str, (tuple(r) for r in out.select("doc_id", "text").collect()))) == ["(3, 'one two three four five six seven 1')", "(3, 'one two')", "(None, None)"]
+
+
+def test_chance_tokens_send_no_texts_across_a_block(spark, monkeypatch):
+    """Documents that share a few tokens with each of some others are one block; only those that share as many as a link takes go to another's cell."""
+    rows, met = {}, J.saved
+    monkeypatch.setattr(J, "saved", lambda df, tag: rows.setdefault(tag, met(df, tag)))
+    n = 600
+    passage = lambda i, j: " ".join(f"w{min(i, j)}x{max(i, j)}x{k}" for k in range(8))
+    text = lambda i: " ".join(passage(i, (i + d) % n) for d in (-3, -2, -1, 1, 2, 3))
+    docs = [(i, text(i)) for i in range(n)] + [(n + i, f"{text(17 * i)} end{i}") for i in range(30)]
+    out = J.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), cell=16, sketch_bits=4)
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {i: i if i < n else 17 * (i - n) for i in range(n + 30)}
+    assert rows["of-block"].count() > n / 2 and rows["of-block"].groupBy("block").count().agg(F.max("count")).first()[0] > n / 2
+    assert 0 < rows["reach"].count() < n / 2

@@ -11,7 +11,8 @@ n - ceil(t*n) + l tokens each (the l-prefix lemma).  The order here is rare firs
                   the chains closed to connected components; no link leaves a block.
 4. `tree_links`   a block's distinct sets, dealt into cells of bounded size, are joined by dual traversal of signature trees.
                   Large blocks: each cell also sees the block's pivot; members that are linked with it form one component, and
-                  only the others go to cells of compatible size that hold a document with a prefix token of theirs.
+                  only cells of the others are met by members that share l tokens of their prefixes with them: chance tokens chain
+                  much of a large corpus, and single ones would send each text to most cells of its block.
 5. components     of the links found.  Links inside what is already one component are skipped, so a group of g near copies
                   costs about g verified links instead of g*g/2.
 """
@@ -144,16 +145,6 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return forest(u, v) if len(u) else (u, v)
 
 
-def _five(tok: np.ndarray) -> bytes:
-    return tok.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _unfive(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
-
-
 def _squeezed(x: np.ndarray, steps: bool = True) -> bytes:
     """Integers, with `steps` as zigzag differences, deflated byte plane by byte plane: with many buckets a posting's document is most of its bytes, and ascending ids in reach of each
     other keep about one of eight."""
@@ -194,7 +185,7 @@ def _summed_up(u: np.ndarray, v: np.ndarray, edges: bool) -> tuple[np.ndarray, n
 
 def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int, buckets: int, edges: bool) -> pa.RecordBatch:
     """Postings (tok, document at) of a part of a batch, packed into a row for each bucket.  Tokens that it holds often are settled there and
-    thinned out, so that a hot token sends a few postings.  A token keeps 40 bits besides its bucket; a clash only makes one more candidate."""
+    thinned out, so that a hot token sends a few postings.  A token keeps 32 bits besides its bucket; a clash only makes one more candidate."""
     by = np.argsort(ids, kind="stable")
     ids, sizes, at = ids[by], sizes[by], np.argsort(by)[at]
     by = np.argsort(tok, kind="stable")
@@ -211,7 +202,7 @@ def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
         starts = np.flatnonzero(np.concatenate([[True], ~chained]))
         keep = _thin(starts, np.append(starts[1:], len(ht)), sizes[ha], percent)
         tok, at = np.concatenate([tok[~hot], ht[keep]]), np.concatenate([at[~hot], ha[keep]])
-    bucket, tok = (tok % np.uint64(buckets)).astype(np.int64), tok >> np.uint64(24)
+    bucket, tok = (tok % np.uint64(buckets)).astype(np.int64), (tok >> np.uint64(32)).astype("<u4")
     by = np.lexsort((at, bucket))
     tok, at, bucket = tok[by], at[by], bucket[by]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -219,7 +210,7 @@ def _packed(tok: np.ndarray, at: np.ndarray, ids: np.ndarray, sizes: np.ndarray,
     for i, (lo, hi) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), len(tok)], strict=True)):
         own, times = np.unique(at[lo:hi], return_counts=True)
         rows["bucket"].append(int(bucket[lo]))
-        rows["tok"].append(_five(tok[lo:hi]))
+        rows["tok"].append(tok[lo:hi].tobytes())
         rows["run"].append(_squeezed(times, False))
         rows["ids"].append(_squeezed(ids[own]))
         rows["sizes"].append(_squeezed(sizes[own], False))
@@ -270,7 +261,7 @@ def _bucket(percent: int, parts: int, edges: bool):
         for i in range(len(t)):
             x = {k: t.column(k)[i].as_py() for k in _names(PACKED)}
             own = _unsqueezed(x["ids"])
-            tok.append(_unfive(x["tok"]))
+            tok.append(np.frombuffer(x["tok"], "<u4"))
             at.append(np.repeat(np.arange(base, base + len(own)), _unsqueezed(x["run"], False)))
             ids.append(own)
             sizes.append(_unsqueezed(x["sizes"], False))
@@ -302,15 +293,76 @@ def _part(edges: bool):
     return run
 
 
-def _open_tokens(words: int, percent: int, levels: bytes):
-    """The prefix tokens of members, with the columns that tell where a member is."""
-    parts = _prefixes(words, percent, levels, True)
+OPEN = "bucket long, tok binary, run binary, ids binary, cells binary, bands binary, apart binary"
+
+
+def _open_postings(words: int, percent: int, buckets: int, levels: bytes):
+    """Prefix tokens of members (doc_id, text, block, cell, band, apart), packed by hash bucket."""
+    parts = _prefixes(words, percent, levels, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for first, _, tok, at in parts(x.column(x.schema.get_field_index("text"))):
-                own = x.drop_columns(["text"]).take(pa.array(at + first))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(tok.view(np.int64))], names=[*own.schema.names, "tok"])
+            ids, block, cell, band, apart = (x.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3, 4, 5))
+            for first, _, tok, at in parts(x.column(1)):
+                at = at + first
+                tok = mix(tok ^ mix(block.astype(np.uint64) + np.uint64(1))[at])
+                bucket = (tok % np.uint64(buckets)).astype(np.int64)
+                by = np.lexsort((at, bucket))
+                tok, at, bucket = (tok[by] >> np.uint64(32)).astype("<u4"), at[by], bucket[by]
+                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                rows: dict[str, list] = {k: [] for k in _names(OPEN)}
+                for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(tok)], strict=True):
+                    own, times = np.unique(at[lo:hi], return_counts=True)
+                    for k, v in zip(rows, (int(bucket[lo]), tok[lo:hi].tobytes(), _squeezed(times, False), _squeezed(ids[own]), _squeezed(cell[own], False), _squeezed(band[own], False), _squeezed(apart[own], False)), strict=True):
+                        rows[k].append(v)
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in rows.items()})
+
+    return run
+
+
+def _added_up(code: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, back = np.unique(np.concatenate(code), return_inverse=True)
+    return own, np.bincount(back, weights=np.concatenate(n), minlength=len(own)).astype(np.int64)
+
+
+def _met(most: int = 2_000_000):
+    """(doc_id, chunk, shared): how many tokens of a bucket a document shares with the members of another cell that are apart from their pivot, for cells of compatible sizes; of two documents
+    that are both apart, one goes to the other's cell.  About `most` pairs are held at a time."""
+
+    def run(t: pa.Table) -> pa.Table:
+        tok, at, docs, base = [], [], [], 0
+        for i in range(len(t)):
+            x = {k: t.column(k)[i].as_py() for k in _names(OPEN)[1:]}
+            run, *own = (_unsqueezed(x[k], k == "ids") for k in ("run", "ids", "cells", "bands", "apart"))
+            tok.append(np.frombuffer(x["tok"], "<u4"))
+            at.append(np.repeat(np.arange(base, base + len(run)), run))
+            docs.append(own)
+            base += len(run)
+        tok, at = np.concatenate(tok), np.concatenate(at)
+        ids, cell, band, apart = (np.concatenate(c) for c in zip(*docs, strict=True))
+        cells, no = np.unique(cell, return_inverse=True)
+        size = np.zeros(len(cells), np.int64)
+        size[no] = band
+        # the chunks of each token, once each
+        asks = apart[at] == 1
+        chunk = np.unique(tok[asks].astype(np.uint64) * np.uint64(len(cells)) + no[at[asks]].astype(np.uint64))
+        of, chunk = chunk // np.uint64(len(cells)), (chunk % np.uint64(len(cells))).astype(np.int64)
+        lo, hi = (np.searchsorted(of, tok.astype(np.uint64), side) for side in ("left", "right"))
+        some = np.flatnonzero(hi > lo)
+        lo, n, at = lo[some], (hi - lo)[some], at[some]
+        ends = np.cumsum(n)
+        code, shared, begin = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        while begin < len(n):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - n[begin] + most, "right")))
+            k = n[begin:end]
+            mine = np.repeat(at[begin:end], k)
+            theirs = chunk[np.repeat(lo[begin:end], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+            here, far = band[mine], size[theirs]
+            fits = (no[mine] != theirs) & ((np.abs(here - far) <= 1) | (np.maximum(here, far) == ANY_BAND)) & ((apart[mine] == 0) | (no[mine] < theirs))
+            c, m = np.unique(mine[fits] * len(cells) + theirs[fits], return_counts=True)
+            code, shared = ([x] for x in _added_up([*code, c], [*shared, m]))
+            begin = end
+        return pa.table({"doc_id": ids[code[0] // len(cells)], "chunk": cells[code[0] % len(cells)], "shared": shared[0]})
 
     return run
 
@@ -457,43 +509,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, cell: in
     least = F.greatest(F.lit(1), F.ceil(F.ceil(percent * F.col("n") / 100.0) / 8.0))
     few = settled(docs, False).select(F.col("u").alias("doc_id"), F.col("v").alias("shared")).join(reps, "doc_id").where(F.col("mixed") | (F.col("shared") >= least))
     few = saved(few.drop("shared"), "few")
-    small = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
-    kept = saved(docs.join(small, "doc_id"), "candidates")
+    held = few.count()
+    # ids go to the texts, which stay where they are until they meet in cells
+    small = lambda df: F.broadcast(df) if held <= BROADCAST_ROWS else df
+    kept = saved(docs.join(small(few.select("doc_id")), "doc_id"), "candidates")
 
     # blocks that no link leaves: survivors that share a token, closed to connected components
-    blocks = saved(connected(settled(kept.select("doc_id", "text"), True), "blocks").select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "of-block")
+    blocks = saved(connected(settled(kept, True), "blocks").select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "of-block")
     sizes = blocks.groupBy("block").agg(F.count("*").alias("members"))
     band = F.when(F.col("mixed"), ANY_BAND).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent))).cast("int")
     salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / F.lit(float(cell))).cast("long"))
     big = F.col("members") > cell
-    members = kept.join(blocks.join(sizes, "block"), "doc_id").withColumns({"band": F.when(big, band).otherwise(-1), "salt": F.when(big, salt).otherwise(0)})
-    members = saved(members.select("block", "band", "salt", "doc_id", "text"), "members")
+    members = few.join(blocks, "doc_id").join(sizes, "block").withColumns({"band": F.when(big, band).otherwise(-1), "salt": F.when(big, salt).otherwise(0)})
+    cells = members.groupBy("block", "band", "salt").agg(F.min("doc_id").alias("cell"))
+    members = saved(members.join(cells, ["block", "band", "salt"]).select("doc_id", "block", "band", "cell", F.when(F.col("mixed"), 1).otherwise(least).cast("long").alias("least")), "members")
 
-    key = ["block", "band", "salt"]
     pivots = members.where("band >= 0").groupBy("block").agg(F.min("doc_id").alias("doc_id"))
-    pivots = members.drop("band", "salt").join(pivots, ["block", "doc_id"])
-    cells = members.where("band >= 0").select(key).distinct()
-    first = members.join(pivots.select("doc_id"), "doc_id", "left_anti").select(*key, "doc_id", "text", F.lit(0).alias("role"))
-    first = first.union(cells.join(pivots, "block").select(*key, "doc_id", "text", F.lit(1).alias("role")))
-    found = saved(first.groupBy(key).applyInArrow(_cell(words, percent), "u long, v long"), "links")
+    first = members.join(pivots.select("doc_id"), "doc_id", "left_anti").select("doc_id", "cell", F.lit(0).alias("role"))
+    first = first.union(members.where("band >= 0").select("block", "cell").distinct().join(pivots, "block").select("doc_id", "cell", F.lit(1).alias("role")))
+    found = saved(kept.join(small(first), "doc_id").groupBy("cell").applyInArrow(_cell(words, percent), "u long, v long"), "links")
     links = found.where("v >= 0")
 
     apart = found.where("v = -1").select(F.col("u").alias("doc_id")).distinct()
     if not apart.isEmpty():
-        # members apart from the pivot meet those of other cells with which they share a prefix token
-        there = members.join(apart.withColumn("apart", F.lit(True)), "doc_id", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
-        asked = there.where("apart").select("block").distinct()
-        there = there.where("band >= 0").join(asked, "block", "left_semi").select(*key, "doc_id", "apart", "text")
-        tokens = saved(there.mapInArrow(_open_tokens(words, percent, levels), "block long, band int, salt long, doc_id long, apart boolean, tok long"), "tokens")
-        chunks = tokens.where("apart").select("block", "tok", F.col("band").alias("own"), F.col("salt").alias("chunk")).distinct()
-        here, far = F.struct(F.col("own").alias("a"), F.col("chunk").alias("b")), F.struct(F.col("band").alias("a"), F.col("salt").alias("b"))
-        reach = tokens.join(chunks, ["block", "tok"]).where(((F.abs(F.col("band") - F.col("own")) <= 1) | (F.greatest("band", "own") == ANY_BAND)) & (here != far) & (~F.col("apart") | (here < far)))
-        key2 = [*key, "own", "chunk"]
-        reach = saved(reach.select(*key2, "doc_id").distinct(), "reach")
-        second = reach.join(members.select("doc_id", "text"), "doc_id").select(*key2, "doc_id", "text", F.lit(0).alias("role"))
-        asking = there.where("apart").select("block", F.col("band").alias("own"), F.col("salt").alias("chunk"), "doc_id", "text")
-        asking = reach.select(key2).distinct().join(asking, ["block", "own", "chunk"]).select(*key2, "doc_id", "text", F.lit(2).alias("role"))
-        links = links.union(second.union(asking).groupBy(key2).applyInArrow(_cell(words, percent), "u long, v long").where("v >= 0"))
+        # members apart from the pivot meet those of other cells with which they share as many prefix tokens as a link takes
+        there = members.join(apart.withColumn("apart", F.lit(1)), "doc_id", "left").withColumn("apart", F.coalesce("apart", F.lit(0)))
+        there = saved(there.where("band >= 0").join(there.where("apart = 1").select("block").distinct(), "block", "left_semi"), "open")
+        prefixes = 4 * (there.agg(F.sum("least")).first()[0] or 0)
+        postings = kept.join(small(there.select("doc_id", "block", "cell", "band", "apart")), "doc_id").mapInArrow(_open_postings(words, percent, max(parts, prefixes // bucket_tokens + 1), levels), OPEN)
+        met = postings.groupBy("bucket").applyInArrow(_met(), "doc_id long, chunk long, shared long").groupBy("doc_id", "chunk").agg(F.sum("shared").alias("shared"))
+        met = saved(met.join(small(there.select("doc_id", "least")), "doc_id").where("shared >= least").select("doc_id", "chunk"), "reach")
+        # a cell's guests come in pieces of bounded size, each of which meets all of the cell that is apart
+        pieces = met.groupBy("chunk").agg(F.ceil(F.count("*") / F.lit(float(cell))).cast("long").alias("pieces"))
+        guests = met.join(pieces, "chunk").select("doc_id", "chunk", F.pmod(F.xxhash64("doc_id"), "pieces").alias("piece"), F.lit(0).alias("role"))
+        hosts = there.where("apart = 1").select("doc_id", F.col("cell").alias("chunk")).join(pieces, "chunk").select("doc_id", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(2).alias("role"))
+        both = saved(guests.union(hosts), "second")
+        ask = F.broadcast(both) if both.count() <= BROADCAST_ROWS else both
+        links = links.union(kept.join(ask, "doc_id").groupBy("chunk", "piece").applyInArrow(_cell(words, percent), "u long, v long").where("v >= 0"))
 
     reached = connected(links, "linked")
     by_set = firsts.select("set_key", "rep").join(reached.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
