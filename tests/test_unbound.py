@@ -61,3 +61,25 @@ def test_no_rows(spark):
     b, r = tables(9, 5, 5)
     for blocks, reqs in (([], r), (b, [])):
         assert unbound.candidates(spark.createDataFrame(reqs, REQ), spark.createDataFrame(blocks, BLOCK)).count() == 0
+
+
+def test_look_ups_are_shared_and_do_not_go_through_the_driver(spark, monkeypatch):
+    """Ten requirements of each kind take the look-ups of one; lists are larger than their files, so that none is broadcast for a small file."""
+    b, r = tables(11, 60, 30)
+    blocks, plans, rows, save = spark.createDataFrame(b, BLOCK), {}, [], unbound.saved
+
+    def noted(df, tag):
+        plans.setdefault(tag, df._jdf.queryExecution().executedPlan().toString())
+        out = save(df, tag)
+        rows[-1] += out.count() if "worth" in out.columns or "bound" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(unbound, "saved", noted)
+    found = []
+    for times in (1, 10):
+        rows.append(0)
+        many = spark.createDataFrame([(f"{x[0]}-{t}", *x[1:]) for t in range(times) for x in r], REQ)
+        found.append({(p["req_id"], p["block_key"]) for p in unbound.candidates(many, blocks, k=3, rare=3).collect()})
+    assert rows[0] == rows[1] > 0
+    assert {(f"{q.split('-')[0]}-0", x) for q, x in found[1]} == found[0] and len(found[1]) == 10 * len(found[0])
+    assert not any("BroadcastExchange" in plans.get(tag, "") for tag in ("plain", "hits", "bound", "bar"))

@@ -5,6 +5,9 @@ list keeps its first k blocks alone.  A requirement looks up the combinations th
 score is exactly that and that isn't in the list has k others before it, so it is none of the k best.  And a full list worth s makes all combinations worth less than s needless:
 the bound that keeps look-ups few.
 
+Look-ups are made once for what requirements have in common: what a requirement is beside its names is one kind of rest, its names are sets, and a list is looked up once for a kind of
+rest and a set.  `kinds` are requirements that are alike in all that counts.
+
 Names hit in parts, so they are features: shared tokens, and words that a block's family bears out.  Pairs that share a rare feature are all taken; frequent features are one more
 dimension of the lists, as sets, looked up only where they reach the bound that the other dimensions have set.
 """
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 from ..stored import saved
 from . import match
 
+#: Lists and what looks them up repeat few strings, so that their files are some hundredths of what they take in memory, and Spark would send them through the driver for small ones.
+_DEALT = "merge"
 #: Blocks that share a feature, up to which it is rare.
 RARE = 64
 #: Distinct names and devices beyond which their scores grow no more.
@@ -123,12 +128,18 @@ def _listed(blocks: DataFrame, k: int) -> DataFrame:
     return b.withColumn("rn", rn).where(F.col("rn") <= k).select("names", "key", "block_key")
 
 
-def _asked(reqs: DataFrame) -> DataFrame:
-    """(req_id, key, rest): the combinations that a requirement can look up, and what they are worth."""
-    r = _spread(reqs, "req_id").select("req_id", *DIMS)
+def _asked(kinds: DataFrame) -> DataFrame:
+    """(rest_id, key, rest): the combinations that a kind of rest can look up, and what they are worth."""
+    r = _spread(kinds, "rest_id").select("rest_id", *DIMS)
     for d in DIMS:
         r = r.withColumn(d, F.explode(d))
-    return r.select("req_id", F.concat_ws("|", *(F.col(f"{d}.code") for d in DIMS)).alias("key"), sum((F.col(f"{d}.worth") for d in DIMS), F.lit(0)).alias("rest"))
+    return r.select("rest_id", F.concat_ws("|", *(F.col(f"{d}.code") for d in DIMS)).alias("key"), sum((F.col(f"{d}.worth") for d in DIMS), F.lit(0)).alias("rest"))
+
+
+def kinds(reqs: DataFrame, columns: list[str], name: str = "kind") -> DataFrame:
+    """(req_id, `name`): requirements that are alike in `columns` have the least req_id of them in common."""
+    alike = reqs.select("req_id", F.to_json(F.struct(*columns)).alias("_like"))
+    return alike.join(alike.groupBy("_like").agg(F.min("req_id").alias(name)).hint(_DEALT), "_like").select("req_id", name)
 
 
 def candidates(reqs: DataFrame, blocks: DataFrame, k: int = 20, least: int = 12, rare: int = RARE) -> DataFrame:
@@ -142,23 +153,30 @@ def candidates(reqs: DataFrame, blocks: DataFrame, k: int = 20, least: int = 12,
     # a text names much that is no device
     known = blocks.select(F.explode("b_devices").alias("d")).distinct()
     own = reqs.select("req_id", F.explode("r_devices").alias("d")).join(known, "d", "left_semi").groupBy("req_id").agg(F.collect_set("d").alias("_d"))
-    reqs = saved(reqs.join(own, "req_id", "left").withColumn("r_devices", F.coalesce("_d", F.array().cast(_STRINGS))).drop("_d"), "reqs")
+    # collect_set has no order
+    reqs = saved(reqs.join(own.hint(_DEALT), "req_id", "left").withColumn("r_devices", F.array_sort(F.coalesce("_d", F.array().cast(_STRINGS)))).drop("_d"), "reqs")
     of_reqs, of_blocks = _features(reqs, blocks)
     frequent = saved(of_blocks.groupBy("feature").count().where(F.col("count") > rare).select("feature"), "frequent")
-    rare_pairs = of_reqs.join(of_blocks.join(frequent, "feature", "left_anti"), "feature").select("req_id", "block_key")
+    rare_pairs = of_reqs.join(of_blocks.join(frequent, "feature", "left_anti").hint(_DEALT), "feature").select("req_id", "block_key")
     lists = saved(_listed(_sets(_codes(blocks), "block_key", of_blocks.join(frequent, "feature", "left_semi")), k), "lists")
-    sizes = saved(lists.groupBy("names", "key").agg(F.count("*").alias("n")), "list-sizes")
-    asked = _asked(_options(reqs))
-    full = lambda df: F.coalesce(F.max(F.when(F.col("n") >= k, F.col("worth"))), F.lit(least))
-    plain = asked.where(F.col("rest") >= least).select("req_id", F.lit("").alias("names"), "key", F.col("rest").alias("worth")).join(sizes, ["names", "key"])
-    bound = saved(plain.groupBy("req_id").agg(F.greatest(full(plain), F.lit(least)).alias("bound")), "bound")
+    sizes = saved(lists.groupBy("names", "key").agg(F.count("*").alias("n")), "list-sizes").hint(_DEALT)
+    rests = saved(kinds(reqs, ["r_direction", "r_fields", "r_sdi", "r_category", "r_devices", "r_channels"], "rest_id"), "rests")
+    asked = saved(_asked(_options(reqs.join(rests.where("req_id = rest_id").hint(_DEALT), "req_id"))), "asked")
+    full = F.max(F.when(F.col("n") >= k, F.col("worth")))
+    plain = saved(asked.where(F.col("rest") >= least).select("rest_id", F.lit("").alias("names"), "key", F.col("rest").alias("worth")).join(sizes, ["names", "key"]), "plain")
+    bound = saved(plain.groupBy("rest_id").agg(F.greatest(full, F.lit(least)).alias("bound")), "bound")
     sets = _sets(reqs.select("req_id"), "req_id", of_reqs.join(frequent, "feature", "left_semi")).withColumn("names", F.explode("names")).where(F.size("names") > 0)
     # a name that is both a token and a word counts once
-    sets = saved(sets.select("req_id", F.array_join("names", ",").alias("names"), F.least(F.lit(30), 8 * F.size(F.array_distinct(F.transform("names", lambda f: F.substring(f, 3, 1 << 20))))).alias("hit")), "name-sets")
-    most = sets.groupBy("req_id").agg(F.max("hit").alias("most")).join(bound, "req_id", "left").withColumn("bound", F.coalesce("bound", F.lit(least)))
-    able = asked.join(most, "req_id").where(F.col("rest") + F.col("most") >= F.col("bound"))
-    hits = able.join(sets, "req_id").withColumn("worth", F.col("rest") + F.col("hit")).where(F.col("worth") >= F.col("bound")).select("req_id", "names", "key", "worth").join(sizes, ["names", "key"])
-    both = plain.select("req_id", "names", "key", "worth", "n").union(hits.select("req_id", "names", "key", "worth", "n"))
-    bar = saved(both.groupBy("req_id").agg(F.greatest(full(both), F.lit(least)).alias("bar")), "bar")
-    looked_up = both.join(bar, "req_id").where(F.col("worth") >= F.col("bar")).join(lists, ["names", "key"]).select("req_id", "block_key")
+    hit = F.least(F.lit(30), 8 * F.size(F.array_distinct(F.transform("names", lambda f: F.substring(f, 3, 1 << 20)))))
+    sets = saved(sets.select("req_id", F.array_join("names", ",").alias("names"), hit.alias("hit")).join(rests.hint(_DEALT), "req_id"), "name-sets")
+    able = asked.join(bound.hint(_DEALT), "rest_id", "left").withColumn("bound", F.coalesce("bound", F.lit(least)))
+    named = able.join(sets.select("rest_id", "names", "hit").distinct().hint(_DEALT), "rest_id").withColumn("worth", F.col("rest") + F.col("hit")).where(F.col("worth") >= F.col("bound"))
+    hits = saved(named.select("rest_id", "names", "key", "worth").join(sizes, ["names", "key"]), "hits")
+    # a requirement's own sets, and none
+    own = rests.select("req_id", "rest_id", F.lit("").alias("names")).union(sets.select("req_id", "rest_id", "names"))
+    both = plain.union(hits.select(plain.columns))
+    best = both.groupBy("rest_id", "names").agg(full.alias("full"))
+    bar = saved(own.join(best.hint(_DEALT), ["rest_id", "names"]).groupBy("req_id").agg(F.greatest(F.max("full"), F.lit(least)).alias("bar")), "bar")
+    wanted = own.join(bar.hint(_DEALT), "req_id")
+    looked_up = wanted.join(both.hint(_DEALT), ["rest_id", "names"]).where(F.col("worth") >= F.col("bar")).select("req_id", "names", "key").join(lists.hint(_DEALT), ["names", "key"]).select("req_id", "block_key")
     return rare_pairs.union(looked_up).distinct()
